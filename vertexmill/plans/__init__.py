@@ -1 +1 @@
-
+"""Query plans: checkpoints and the registered queries."""
