@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexmill.plans.checkpoints import checkpoint_dir, cut
+
+__all__ = ["SPACE", "ascii_lower", "checkpoint_dir", "cut", "let", "table", "words"]
+
 #: Java pattern of the ASCII white space that separates words.
 SPACE = "[ \\t-\\r]+"
 
@@ -15,24 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
