@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, rlz
+from . import jaccard, mixing, quality, rlz
 from .common import table
 
 
@@ -20,5 +20,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_quality_rules, op7_mix_sources)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_quality_rules, op7_mix_sources, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
