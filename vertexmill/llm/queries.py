@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, quality, rlz
+from . import bpe, jaccard, mixing, quality, rlz
 from .common import table
 
 
+#: The folder of the tokenizer files, the same on every worker.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), quality.trusted(table(spark, sf_dir, "labels")))
 
@@ -24,5 +34,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_quality_rules, op7_mix_sources, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op5_quality_rules, op7_mix_sources, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
