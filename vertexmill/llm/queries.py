@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, quality, rlz
+from . import bitplane, bpe, jaccard, mixing, quality, rlz
 from .common import table
 
 
@@ -30,9 +30,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op5_quality_rules, op7_mix_sources, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op5_quality_rules, op7_mix_sources, op8_bit_planes, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
