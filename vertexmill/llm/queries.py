@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, jaccard, mixing, quality, rlz
+from . import bitplane, bpe, jaccard, license_scan, mixing, quality, rlz
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), quality.trusted(table(spark, sf_dir, "labels")))
 
@@ -38,5 +42,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op5_quality_rules, op7_mix_sources, op8_bit_planes, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op7_mix_sources, op8_bit_planes, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
