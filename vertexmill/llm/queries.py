@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, jaccard, license_scan, mixing, quality, rlz
+from . import bitplane, bpe, jaccard, license_scan, mixing, quality, rlz, url_filter
 from .common import table
 
 
@@ -30,6 +30,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), quality.trusted(table(spark, sf_dir, "labels")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(list(url_filter.RULES), "rule string, verdict string")
+    return url_filter.judge(pages, rules, url_filter.feed_urls(pages))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -42,5 +48,50 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op7_mix_sources, op8_bit_planes, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op10_jaccard_join)}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": r"""
+WITH split AS (
+  SELECT page_id, url,
+         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
+  FROM pages),
+feed AS (SELECT DISTINCT host || rtrim(path, '/') AS key FROM split WHERE url LIKE '%utm_source=%' AND host <> ''),
+judged AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+         host <> '' AND host || rtrim(path, '/') IN (SELECT key FROM feed) AS listed
+  FROM split)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM judged""",
+    "op7_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank,
+         CAST([1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM totals),
+-- in the order of size by weight, the level is that of the first source that its own cap does not stop
+filled AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3e0 * source_size) OVER (ORDER BY source_size / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY source_size / weight DESC, source_rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS level
+  FROM ranked),
+shares AS (
+  SELECT source, source_size, source_rank,
+         least(3e0 * source_size, weight * (SELECT level FROM filled WHERE 3e0 * source_size > weight * level ORDER BY source_size / weight, source_rank LIMIT 1))::DOUBLE AS target
+  FROM filled),
+queue AS (
+  SELECT doc_id, size, source_rank, source_size, target, epoch, md5(concat_ws('-', CAST(doc_id AS VARCHAR), CAST(epoch AS VARCHAR))) AS draw
+  FROM sized JOIN shares ON sized.source IS NOT DISTINCT FROM shares.source, (SELECT unnest([1, 2, 3]) AS epoch)),
+timed AS (
+  SELECT *, CASE WHEN target > 0 THEN CAST(sum(size) OVER (PARTITION BY source_rank ORDER BY epoch, draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS DOUBLE) / target ELSE 0 END AS finish FROM queue),
+served AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, source_rank, draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM timed)
+SELECT doc_id, first(size) AS size, first(source_size) AS source_size, first(target) AS target,
+       CAST(sum(greatest(0, least(size, (SELECT sum(source_size) FROM totals) - before))) AS BIGINT) AS taken
+FROM served GROUP BY doc_id""",
+}
