@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, jaccard, license_scan, mixing, quality, rlz, url_filter
+from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, quality, rlz, url_filter
 from .common import table
 
 
@@ -44,11 +44,15 @@ def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op9_lm_score, op10_jaccard_join)}
 ORACLES: dict[str, str] = {
     "op6_url_filter": r"""
 WITH split AS (
