@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, let, words
+from .common import cut, let, words
 
 CELLS = 1 << 16
 ORDERS = (1, 2)
@@ -30,12 +30,12 @@ MIN_WORDS = 50
 #: Per cent of words in repeated 3-word windows beyond which a document fails.
 MOST_REPEATED = 50
 
-SIGNS = "[^#*$%&|<>]"
+NOT_SIGNS = "[^#*$%&|<>]+"
 
 
 def pieces(text: Column) -> Column:
-    """Letters, digits and other signs apart, A-Z in lower case."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit("([a-z\\x80-\\uffff]+|[0-9]+|[\\x21-\\x2f\\x3a-\\x60\\x7b-\\x7f]+)"), F.lit(1))
+    """Letters, digits and other signs apart, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z\\x80-\\uffff]+|[0-9]+|[\\x21-\\x2f\\x3a-\\x60\\x7b-\\x7f]+)"), F.lit(1))
 
 
 def cells(text: Column, orders=ORDERS, n_cells: int = CELLS) -> Column:
@@ -80,12 +80,11 @@ def repeat_words(w: Column) -> Column:
 def base_columns(text: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); null texts count as empty."""
     plain = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(plain, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    counts = let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), repeat_words(w).alias("n_repeat_words")))
+    lines = F.filter(F.split(plain, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
+    counts = let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeat_words(w).alias("n_repeat_words")))
     return {
         "counts": counts,
-        "word_chars": F.length(F.translate(plain, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(plain, SIGNS, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(plain, NOT_SIGNS, "")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     }
 
@@ -123,12 +122,12 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, keep=(), threshold: float = T
     kept_columns = [F.first(c).alias(c) for c in ("doc_id", *keep)]
     scored = grams.groupBy("q_row").agg(
         *kept_columns, *[F.first(f"q_{n}").alias(f"q_{n}") for n in base if n != "counts"],
-        F.first("q_counts.n_words").cast("long").alias("n_words"), F.first("q_counts.n_repeat_words").cast("long").alias("n_repeat_words"),
+        *[F.first(f"q_counts.{n}").cast("long").alias(n) for n in ("n_words", "word_chars", "n_repeat_words")],
         F.count("cell").alias("n_grams"), F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("score"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.select(
-        "doc_id", *keep, "n_words", *[F.col(f"q_{n}").alias(n) for n in base if n != "counts"], "n_repeat_words",
+        "doc_id", *keep, "n_words", "word_chars", *[F.col(f"q_{n}").alias(n) for n in base if n != "counts"], "n_repeat_words",
         failed.alias("base_failed"), "n_grams", "score", (~failed & (F.col("score") >= threshold)).alias("kept"),
     )
 
