@@ -1,12 +1,21 @@
-"""A corpus pipeline of five stages over the documents table."""
+"""A corpus pipeline of five stages over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from vertexmill.llm import mixing, quality
+from vertexmill.llm import bpe, jaccard, mixing, quality, rlz
 from vertexmill.llm.common import cut, table
 
+#: The tokenizer file of the last stage, the same path on every worker.
+TOKENIZER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/byte_bpe_50k.json"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the n-gram model keep."""
@@ -14,13 +23,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, quality.trusted(table(spark, sf_dir, "labels")), keep=extra).filter("kept").select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates the document of the smallest id."""
+    return jaccard.keep_first(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-word windows that a document of smaller id holds; a text may become empty."""
+    return rlz.remove_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order and number in which the mix serves them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing sources", mix_sources)]
-#: The stages' own models and codecs are beyond SQL.
+def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per served document: doc_id, n_tokens, and SHA-256 of its ids and of the text decoded from them."""
+    return bpe.report(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("mixing sources", mix_sources),
+    ("BPE round trip", bpe_round_trip),
+]
+#: SQL has neither the quality model's hashes nor the tokenizer.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, quality, rlz, url_filter
+from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, quality, rlz, url_filter, vptree
 from .common import table
 
 
@@ -14,6 +14,12 @@ from .common import table
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return vptree.nearest(vectors, queries)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.report(table(spark, sf_dir, "documents"))
 
@@ -52,8 +58,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op9_lm_score, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op9_lm_score, op10_jaccard_join)}
 ORACLES: dict[str, str] = {
+    "op1_nearest_vectors": """
+WITH usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10""",
     "op6_url_filter": r"""
 WITH split AS (
   SELECT page_id, url,
