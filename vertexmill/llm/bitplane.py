@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,19 +25,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import checkpoint_dir, cut
 
 MAGIC = b"BPL1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 #: Words in each of the two generations that a worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
@@ -153,37 +156,73 @@ class PlaneReader:
             held = held[size:]
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer file, word by word.
+class WordEncoder(dict):
+    """Encodes texts with a tokenizer file, word by word: a dictionary from words, as bytes, to their ids, that encodes what it misses.
 
     The tokenizer's pre-tokens never hold white space, so a text's ids are its
-    ASCII-white-space-separated words' ids in turn; each worker keeps the ids
-    of words that it has met, in two generations of bounded size.
+    ASCII-white-space-separated words' ids in turn. Each worker keeps the ids
+    of words that it has met, in two generations of bounded size. Words of
+    plain Latin letters, digits and signs are lower-cased and cut here, and
+    their parts go to the tokenizer's model; all others go through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.encode().split() for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.older, self.words = self.words, {}
-        words = self.words
-        missing = {w for p in parts for w in p} - words.keys()
-        known = missing & self.older.keys()
-        words |= {w: self.older[w] for w in known}
-        fresh = list(missing - known)
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            words[w] = np.array(e.ids, "<u4").tobytes()
-        get = words.__getitem__
-        return [np.frombuffer(b"".join([get(w) for w in p]), "<u4") for p in parts]
+        letters = byte_letters()
+        self.letters = {b: letters[b] for b in range(256)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            low = word.lower()
+            if low.isalpha():  # ASCII letters only
+                ids = self[low] if low != word else self._model(word.decode())
+            elif b"<|" in word:
+                ids = self._whole(word)
+            elif _SIGNS.fullmatch(word):
+                parts = _ASCII_PARTS.findall(low)
+                ids = b"".join([self[p] for p in parts]) if len(parts) > 1 or low != word else self._model(word.decode())
+            else:
+                text = word.decode()
+                if _PLAIN.fullmatch(text):
+                    parts = _PARTS.findall(text.lower())
+                    if len(parts) > 1 or parts[0] != text:
+                        ids = b"".join([self[p.encode()] for p in parts])
+                    else:
+                        ids = self._model(word.decode("latin-1").translate(self.letters))
+                else:
+                    ids = self._whole(word)
+        self[word] = ids
+        return ids
+
+    def _model(self, part: str) -> bytes:
+        return np.array([t.id for t in self.tokenize(part)], "<u4").tobytes()
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
+
+
+_SIGNS = re.compile(b"[!-~]+")
+#: The word tokenizer's pre-token pattern, for lower-cased ASCII and in full.
+_ASCII_PARTS = re.compile(b"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Latin letters, digits and signs that lower-casing and composition leave one by one.
+_PLAIN = re.compile("[!-~\xa1-\u012f\u0131-\u0240]+")
+_PARTS = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+")
 
 
 @lru_cache(2)
@@ -191,18 +230,6 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _groups(texts: list[str], most: int = 8 << 20) -> Iterator[list[str]]:
-    group, size = [], 0
-    for t in texts:
-        if group and size + len(t) > most:
-            yield group
-            group, size = [], 0
-        group.append(t)
-        size += len(t)
-    if group:
-        yield group
-
-
 def write_ids(docs: DataFrame, path: str, end_id: int, kind: str = "bit", folder: str | None = None) -> DataFrame:
     """Encode docs(doc_id, text) and write the ids in ascending doc_id order; returns the manifest (part, file, n_docs, n_ids, start), a row a file.
 
@@ -223,16 +250,14 @@ def write_ids(docs: DataFrame, path: str, end_id: int, kind: str = "bit", folder
         n_ids = 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            at = 0
-            for group in _groups(batch.column("text").fill_null("").to_pylist()):
-                for x in encoder(path).encode(group):
-                    if writer is None:
-                        store.create_dir(root, recursive=True)
-                        stream = store.open_output_stream(trial)
-                        writer = PlaneWriter(stream, kind)
-                    writer.add(ids[at], np.concatenate([x, end]))
-                    n_ids += len(x) + 1
-                    at += 1
+            for doc_id, text in zip(ids, batch.column("text").fill_null("").to_pylist(), strict=True):
+                x = encoder(path).encode(text)
+                if writer is None:
+                    store.create_dir(root, recursive=True)
+                    stream = store.open_output_stream(trial)
+                    writer = PlaneWriter(stream, kind)
+                writer.add(doc_id, np.concatenate([x, end]))
+                n_ids += len(x) + 1
         if writer is not None:
             writer.close()
             stream.close()
@@ -247,8 +272,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int, kind: str = "bit", folder
     return manifest.withColumn("start", start)
 
 
-def read_ids(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids array<int>) from the files of a manifest; ids as they were written."""
+def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids array<int>) from the files of a manifest, ids as they were written and, on request, left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
@@ -256,26 +281,30 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 with store.open_input_file(root) as source:
                     rows, held = [], 0
                     for doc_id, ids in PlaneReader(source).documents():
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.astype(np.int32)))
+                        rows.append((doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), ids if with_ids else None))
                         start += len(ids)
-                        held += len(ids)
+                        held += len(ids) if with_ids else 64
                         if held > 1 << 20:
-                            yield _rows(rows)
+                            yield _rows(rows, with_ids)
                             rows, held = [], 0
                     if rows:
-                        yield _rows(rows)
+                        yield _rows(rows, with_ids)
 
-    files = manifest.repartition("file")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    files = manifest.repartition(max(1, manifest.count()), "file")
+    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
+def _rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     doc_id, start, n, crc, ids = zip(*rows, strict=True)
-    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+    columns = [pa.array(x, pa.int64()) for x in (doc_id, start, n, crc)]
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    if with_ids:
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def report(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Write docs' ids, read the files back: (doc_id, start, n_tokens, ids_crc32)."""
-    return read_ids(write_ids(docs, path, end_id)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_ids(write_ids(docs, path, end_id), with_ids=False)
