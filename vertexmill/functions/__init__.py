@@ -1 +1 @@
-
+"""Column builders: geometry of poses and cameras, robust losses."""

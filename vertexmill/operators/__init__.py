@@ -1 +1 @@
-
+"""Operators, each from DataFrames to DataFrames."""
