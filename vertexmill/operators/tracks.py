@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vertexmill.functions import cameras as cam
 from vertexmill.functions import geometry as g
@@ -43,7 +44,7 @@ def build_tracks(matches: DataFrame, task_rows: int | None = None) -> DataFrame:
     return groups.join(sizes, "root").join(where, "node").select(F.col("root").alias("track_id"), "image_id", "feature_idx", "x", "y")
 
 
-@F.pandas_udf("struct<x:double,y:double,z:double,cond:double>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "z", "cond")]))
 def _solve(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     A = np.array([list(x) for x in a]).reshape(-1, 6)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
     value = np.linalg.eigvalsh(A)
