@@ -32,7 +32,7 @@ def greedy_groups(edges: DataFrame, images: DataFrame, task_rows: int = TASK_ROW
     small, large = open_.filter(F.col("count") <= task_rows), open_.filter(F.col("count") > task_rows)
     free = component.join(clashes, "component", "left_anti").select("node", F.col("component").alias("root"))
     pick = lambda df, which: df.join(which.select("component"), "component", "left_semi")
-    settled = pick(of_edge, small).groupBy("component").cogroup(cut(pick(placed, small)).groupBy("component")).applyInPandas(_settle, "node long, root long")
+    settled = pick(of_edge, small).groupBy("component").cogroup(pick(placed, small).toDF("component", "node", "image").groupBy("component")).applyInPandas(_settle, "node long, root long")
     out = free.union(settled)
     if not large.isEmpty():
         out = out.union(_in_rounds(pick(of_edge, large), pick(placed, large)))
