@@ -11,15 +11,16 @@ before the rest of their columns is multiplied:
   among the first n - ceil(t * n) + 1 of each (n being its size), so only these
   leading columns enter the first product, and a column counts only if two
   different sets hold it.
-- Overlaps accumulated over the leading columns, with the places of the last
-  shared one, bound a pair's whole overlap from above; pairs below
+- Up to the earlier of two sets' last leading columns the accumulated overlap is
+  complete; what lies beyond adds at most the rest of that set, and at most what
+  the other has after the last shared column. Pairs for which this stays below
   t / (1 + t) * (a + b) go.
 - The surviving pairs' whole rows are multiplied.
 
 Equal sets are one class from the start. As only components are asked for,
-pairs inside a component are not multiplied: two rounds link every class to the
-best pivot of its columns, then only pairs across the remaining components are
-formed. So a group of thousands of near copies costs about a pair a document,
+pairs inside a component are not multiplied: a few rounds link the classes of
+wide columns to the pivot of these columns that stands in most of them, then only
+pairs across the remaining components are formed. So a group of thousands of near copies costs about a pair a document,
 and no link between components is lost.
 """
 
@@ -43,7 +44,13 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles that go last in the order of columns: at most so many (8 bytes each are broadcast). Any order gives the same result; this one keeps common columns out of the first product.
 MOST_COMMON = 1 << 16
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
+#: Columns of more classes than this go through the pivot rounds; narrower ones form all their pairs once.
+PIVOT_LABELS = 16
+#: Whole sets are fetched from the texts by broadcast of up to so many row keys (16 bytes each), else by shuffle.
+MOST_BROADCAST_KEYS = 200_000
+#: Bits of a set's size, of a leading column's place, and of the rank of a set's last leading column, in one number.
+SIZE_BITS, AT_BITS, LAST_BITS = 26, 24, 13
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -102,6 +109,11 @@ def ordered(s: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])[:n]
 
 
+def _rank(last: np.uint64, late: bool) -> int:
+    """The place of a column in the order of columns, in LAST_BITS bits."""
+    return (int(late) << (LAST_BITS - 1)) | int(last) >> (64 - LAST_BITS + 1)
+
+
 def _lead(k: int, percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
@@ -111,16 +123,20 @@ def _lead(k: int, percent: int, common):
             for s in _sets(batch.column("text"), k):
                 if not len(s) or (label := _class(s)) in seen:
                     continue
+                if len(s) >> SIZE_BITS:
+                    raise ValueError(f"a text has {len(s)} distinct shingles, more than 2 ** {SIZE_BITS}")
                 seen.add(label)
-                out.append((ordered(s, late, leading(len(s), percent)), label, len(s)))
+                first = ordered(s, late, leading(len(s), percent))
+                is_late = len(late) > 0 and late[min(np.searchsorted(late, first[-1]), len(late) - 1)] == first[-1]
+                out.append((first, label, len(s) << LAST_BITS | _rank(first[-1], is_late)))
             if not out:
                 continue
             counts = np.array([len(x) for x, _, _ in out])
             at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             size = np.repeat(np.array([n for _, _, n in out], np.int64), counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x for x, _, _ in out]).view(np.int64)), pa.array(np.repeat(np.array([c for _, c, _ in out], np.int64), counts)), pa.array(size << 32 | at)],
-                names=["col", "label", "size_at"],
+                [pa.array(np.concatenate([x for x, _, _ in out]).view(np.int64)), pa.array(np.repeat(np.array([c for _, c, _ in out], np.int64), counts)), pa.array(size << AT_BITS | at)],
+                names=["col", "label", "packed"],
             )
 
     return run
@@ -137,18 +153,30 @@ def _whole(k: int):
     return run
 
 
-def _need(percent: int, a: Column, b: Column) -> Column:
-    """Least overlap of linked sets of sizes a and b, times 100 + percent."""
-    return F.lit(percent) * (a + b)
+def _pairs(x: DataFrame, y: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """(a, b, shared): overlaps of x's with y's leading columns, summed by pair; pairs below the bound go.
+
+    x, y: (col, label, size, at, last, component). apart: pairs inside a
+    component, and the second of the two ways to name a pair, are left out.
+    """
+    def side(df, n):
+        return df.select("col", *[F.col(c).alias(f"{c}_{n}") for c in ("label", "size", "at", "last", "component")])
+
+    similar = (F.col("label_a") != F.col("label_b")) & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
+    if apart:
+        similar = similar & (F.col("component_a") < F.col("component_b"))
+    both = side(x, "a").join(side(y, "b"), "col").filter(similar)
+    first = [F.first(f"{c}_{n}").alias(f"{c}_{n}") for n in "ab" for c in ("size", "last")]
+    sums = both.groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), *first)
 
+    def rest(n, other):
+        # beyond its last leading column if that comes first, else beyond the last shared one
+        size = F.col(f"size_{n}")
+        lead = size - F.ceil(percent * size / F.lit(100)) + 1
+        return F.when(F.col(f"last_{n}") < F.col(f"last_{other}"), size - lead).otherwise(size - F.col(f"at_{n}") - 1)
 
-def _pairs(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Overlaps of x's with y's leading columns, summed by pair; pairs below the bound go. x, y: (col, label, size, at)."""
-    both = x.select("col", F.col("label").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a")).join(y.select("col", F.col("label").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b")), "col")
-    near = (F.col("a") != F.col("b")) & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
-    sums = both.filter(near).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"))
-    most = F.col("shared") + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1)
-    return sums.filter((100 + percent) * most >= _need(percent, F.col("size_a"), F.col("size_b"))).select("a", "b", "shared")
+    most = F.col("shared") + F.least(rest("a", "b"), rest("b", "a"))
+    return sums.filter((100 + percent) * most >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b", "shared")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,42 +205,66 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in late.collect()], np.int64).view(np.uint64)))
 
     texts = rows.filter("doc_id is not null and text is not null")
-    lead = texts.mapInArrow(_lead(k, percent, common), "col long, label long, size_at long")
-    held = lead.groupBy("col").agg(F.count("*").alias("times")).filter("times > 1").select("col")
-    maybe = lead.join(held, "col").dropDuplicates(["col", "label"])
-    cols = cut(maybe.select("col", "label", F.shiftright("size_at", 32).alias("size"), F.col("size_at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")))
-    shared = cols.groupBy("col").agg(F.count("*").alias("labels")).filter("labels > 1").select("col")
-    cols = cut(cols.join(shared, "col"))
+    # one shuffle by column: the counts and the rows are read from the same files
+    lead = texts.mapInArrow(_lead(k, percent, common), "col long, label long, packed long").repartition("col")
+    shared = lead.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("col")
+    packed = cut(lead.join(shared, "col").dropDuplicates(["col", "label"]))
+    mask = lambda bits: F.lit((1 << bits) - 1)
+    fields = (F.shiftright("packed", AT_BITS + LAST_BITS).alias("size"), F.col("packed").bitwiseAND(mask(AT_BITS)).alias("at"), F.shiftright("packed", AT_BITS).bitwiseAND(mask(LAST_BITS)).alias("last"))
+    cols = packed.select("col", "label", *fields)
+    wide = packed.groupBy("col").agg(F.count("*").alias("labels")).filter(F.col("labels") > PIVOT_LABELS).select("col")
+    hot = cut(packed.join(wide, "col")).select("col", "label", *fields)
+    # the class that stands in most wide columns is the likeliest hub of a group
+    hub = cut(hot.groupBy("label").agg(F.count("*").alias("weight")))
 
     node = members.filter("doc_id is not null and n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
-    wanted = cols.select("label").distinct().join(node, "label").select("label", F.col("first.doc_id").alias("doc_id"), F.col("first.row_hash").alias("row_hash"))
-    chosen = texts.join(wanted, ["doc_id", "row_hash"]).select("label", "text")
-    sets = cut(chosen.mapInArrow(_whole(k), "label long, cols array<long>").dropDuplicates(["label"]))
-
-    tried, component = None, None
+    sets, tried, component, n_linked = None, None, None, 0
     for turn in range(pivot_rounds + 1):
+        rows_now = hot if turn < pivot_rounds else cols
         if component is None:
-            marked = cols.withColumn("component", F.col("label"))
+            marked = rows_now.withColumn("component", F.col("label"))
         else:
-            marked = cols.join(component, "label", "left").withColumn("component", F.coalesce("component", "label"))
-        pivots = marked.groupBy("col").agg(F.min(F.struct("component", "label", "size", "at")).alias("pivot"), F.max("component").alias("last")).filter("pivot.component < last")
+            small = F.broadcast(component) if n_linked <= MOST_BROADCAST_KEYS else component
+            marked = rows_now.join(small, "label", "left").withColumn("component", F.coalesce("component", "label"))
+        ends = marked.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("col")
         if turn < pivot_rounds:
-            flat = pivots.select("col", "pivot.label", "pivot.size", "pivot.at")
-            pairs = _pairs(flat, cols, percent)
+            open_rows = marked.join(ends, "col").join(hub, "label")
+            if component is not None:  # later rounds look for hubs among the classes not linked yet
+                open_rows = open_rows.filter("component = label")
+            first = F.max_by(F.struct("label", "size", "at", "last", "component"), F.struct("weight", -F.col("label")))
+            pivots = open_rows.groupBy("col").agg(first.alias("pivot")).select("col", "pivot.*")
+            pairs = _pairs(pivots, open_rows.drop("weight"), percent, apart=False)
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         else:
-            open_cols = marked.join(pivots.select("col"), "col")
-            pairs = _across(open_cols, percent)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            across = marked.join(ends, "col")
+            pairs = _pairs(across, across, percent, apart=True).select("a", "b")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        found = cut(_links(pairs, sets, percent))
+        pairs = cut(pairs)
+        wanted = pairs.select(F.col("a").alias("label")).union(pairs.select(F.col("b").alias("label"))).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("label"), "label", "left_anti")
+        wanted = cut(wanted.join(node, "label").select("label", F.col("first.doc_id").alias("doc_id"), F.col("first.row_hash").alias("row_hash")))
+        n_wanted = wanted.count()
+        if n_wanted:
+            keys = F.broadcast(wanted) if n_wanted <= MOST_BROADCAST_KEYS else wanted
+            fetched = cut(texts.join(keys, ["doc_id", "row_hash"]).select("label", "text").mapInArrow(_whole(k), "label long, cols array<long>"))
+            sets = fetched if sets is None else sets.union(fetched)
+        if sets is None:
+            continue
+        found = cut(_links(pairs, sets, percent).distinct())
         tried = found if tried is None else tried.union(found)
         links = tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        component = connected_components(links).select(F.col("node").alias("label"), "component")
+        component = cut(connected_components(links).select(F.col("node").alias("label"), "component"))
+        n_linked = component.count()
 
     # classes to documents: a class, a component and an id are all nodes of one small graph
-    placed = members.filter("doc_id is not null and n > 0").select("doc_id", "label").distinct().join(component, "label", "left").withColumn("component", F.coalesce("component", "label"))
+    placed = members.filter("doc_id is not null and n > 0").select("doc_id", "label").distinct()
+    if component is None:
+        placed = placed.withColumn("component", F.col("label"))
+    else:
+        placed = placed.join(component, "label", "left").withColumn("component", F.coalesce("component", "label"))
     placed = _with_ids(cut(placed))
     low = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_id = placed.join(low, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -230,17 +282,6 @@ def _with_ids(placed: DataFrame) -> DataFrame:
     return placed.join(joined, "component", "left").select("doc_id", F.coalesce("joined", "component").alias("component"))
 
 
-def _across(marked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a leading column."""
-    x = marked.select("col", "label", "size", "at", "component")
-    y = x.select("col", F.col("label").alias("b"), F.col("size").alias("size_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
-    near = (F.col("component") < F.col("component_b")) & (100 * F.col("size") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size"))
-    both = x.join(y, "col").filter(near)
-    sums = both.groupBy(F.col("label").alias("a"), "b").agg(F.count("*").alias("shared"), F.max("at").alias("at_a"), F.max("at_b").alias("at_b"), F.max("size").alias("size_a"), F.max("size_b").alias("size_b"))
-    most = F.col("shared") + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1)
-    return sums.filter((100 + percent) * most >= _need(percent, F.col("size_a"), F.col("size_b"))).select("a", "b")
-
-
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
     return near_duplicates(docs).drop("row_hash")
