@@ -13,12 +13,14 @@ are not white space; such a place is always a pre-token boundary.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
+class Entry(NamedTuple):
+    """Ids, the ids as decimals with commas, and the bytes that they stand for."""
+
+    ids: tuple[int, ...]
+    text: str
+    data: bytes
+
+
 class Vocabulary:
     """Merges, symbols and special tokens of a byte-level tokenizer file."""
 
@@ -70,10 +80,11 @@ class Vocabulary:
         self.token_bytes = {i: bytes(of_letter[c] for c in token) for token, i in vocab.items() if all(c in of_letter for c in token)}
         self.token_bytes |= {i: token.encode() for token, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older_words: dict[str, tuple[int, ...]] = {}
+        # special tokens stay in the younger generation
+        self.chunks: dict[str, Entry] = {t: self.entry((i,)) for t, i in self.special.items()}
+        self.older: dict[str, Entry] = {}
+        self.words: dict[str, Entry] = {}
+        self.older_words: dict[str, Entry] = {}
 
     def ranks_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; NONE where they do not merge."""
@@ -143,45 +154,51 @@ class Vocabulary:
         ends = np.flatnonzero(left == self.width - 1)
         return left[left != self.width - 1], np.diff(ends, prepend=-1) - 1
 
+    def entry(self, ids: tuple[int, ...]) -> Entry:
+        return Entry(ids, ",".join(map(str, ids)), b"".join([self.token_bytes[i] for i in ids]))
+
     def learn(self, new: list[str]) -> None:
         """Encode chunks and keep them."""
         if len(self.words) > KEPT_CHUNKS:
             self.older_words, self.words = self.words, {}
         words, find = self.words, _PRETOKEN.findall
         parts = [find(c) for c in new]
-        missing = {p for x in parts for p in x} - words.keys()
+        missing = set().union(*parts) - words.keys()
         known = missing & self.older_words.keys()
         words |= {p: self.older_words[p] for p in known}
         fresh = list(missing - known)
         ids, n = self.merge([p.encode() for p in fresh])
         ids, stop = ids.tolist(), np.cumsum(n).tolist()
-        words |= {p: tuple(ids[i:j]) for p, i, j in zip(fresh, [0, *stop], stop, strict=False)}
+        words |= {p: self.entry(tuple(ids[i:j])) for p, i, j in zip(fresh, [0, *stop], stop, strict=False)}
         for c, x in zip(new, parts, strict=True):
-            self.chunks[c] = words[x[0]] if len(x) == 1 else tuple([i for p in x for i in words[p]])
-
-    def pieces(self, text: str) -> list[str | int]:
-        """A text's chunks, and ids for special tokens."""
+            if len(x) == 1:
+                self.chunks[c] = words[x[0]]
+            else:
+                ids, texts, data = zip(*[words[p] for p in x], strict=True)
+                self.chunks[c] = Entry(tuple(chain.from_iterable(ids)), ",".join(texts), b"".join(data))
+
+    def pieces(self, text: str) -> list[str]:
+        """A text's chunks, special tokens among them."""
         if self.cut and (found := self.cut.findall(text)):
-            out: list[str | int] = []
+            out: list[str] = []
             for part, token in zip(self.cut.split(text), [*found, None], strict=True):
                 out.extend(_chunks(part))
                 if token is not None:
-                    out.append(self.special[token])
+                    out.append(token)
             return out
         return _chunks(text)
 
-    def encode(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """The ids of each text, as a list of tuples."""
+    def encode(self, texts: list[str]) -> list[list[Entry]]:
+        """The entries of each text's chunks."""
         parts = [self.pieces(t) for t in texts]
-        wanted = {c for x in parts for c in x if type(c) is str}
         if len(self.chunks) > KEPT_CHUNKS:
-            self.older, self.chunks = self.chunks, {}
-        missing = wanted - self.chunks.keys()
+            self.older, self.chunks = self.chunks, {t: self.entry((i,)) for t, i in self.special.items()}
+        missing = set().union(*parts) - self.chunks.keys()
         known = missing & self.older.keys()
         self.chunks |= {c: self.older[c] for c in known}
         self.learn(list(missing - known))
         get = self.chunks.__getitem__
-        return [[get(c) if type(c) is str else (c,) for c in x] for x in parts]
+        return [list(map(get, x)) for x in parts]
 
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; ids outside the vocabulary are left out."""
@@ -248,21 +265,14 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        as_text: dict[tuple[int, ...], tuple[str, bytes]] = {}
+        gc.freeze()  # what is kept holds no cycles; it need not be traversed again and again
         for batch in batches:
             n, ids, decoded = [], [], []
             for group in _texts(batch):
                 for x in v.encode(group):
-                    if len(as_text) > KEPT_CHUNKS:
-                        as_text.clear()
-                    strings, data = [], []
-                    for c in x:
-                        if (got := as_text.get(c)) is None:
-                            got = as_text[c] = (",".join(map(str, c)), b"".join([v.token_bytes[i] for i in c]))
-                        strings.append(got[0])
-                        data.append(got[1])
-                    n.append(sum(map(len, x)))
-                    ids.append(hashlib.sha256(",".join(strings).encode()).hexdigest())
+                    own, texts, data = zip(*x, strict=True) if x else ((), (), ())
+                    n.append(sum(map(len, own)))
+                    ids.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
                     decoded.append(hashlib.sha256(_valid(b"".join(data))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -281,7 +291,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             flat: list[np.ndarray] = []
             for group in _texts(batch):
-                flat.extend(np.fromiter((i for c in x for i in c), np.int32) for x in v.encode(group))
+                flat.extend(np.fromiter(chain.from_iterable([c.ids for c in x]), np.int32) for x in v.encode(group))
             size = np.array([len(x) for x in flat], np.int64)
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
