@@ -322,7 +322,7 @@ def pipeline_counts(spark, d):
 QUERIES = {f.__name__: f for f in (
     marker_overlap, image_listing, status_flags, detectable_images, catalog_sync, index_summary, set_ignored, replace_by_key, redetect_status, settings, latest_run, run_rows, fold_run_log, config_values,
     observation_counts, default_anchor, graph_components, reachability, graph_summary, seed_scores, residual_stats, outliers, common_markers, frame_pairs, mutual_match, match_summary,
-    epipolar_filter, sampson_filter, epipolar_pairs, two_view_points, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
+    epipolar_filter, sampson_filter, epipolar_pairs, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
     build_tracks, track_components, triangulate_tracks, estimate_poses, adjust_map, refine_points, residual_rows, calibration_frames, pair_upsert, pipeline_counts,
 )}
 
