@@ -34,6 +34,33 @@ def test_jaccard(docs):
     assert jaccard.components(docs).count() == len(DOCS) and jaccard.components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_groups(spark):
+    """Brute force over a large group of near copies around the threshold, many of them not linked."""
+    rng = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for at in rng.integers(0, len(w), rng.integers(0, 7)):
+            w[at] = f"e{rng.integers(0, 9)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"{x}{rng.integers(0, 3)}" for x in "abcdefgh") for _ in range(50)]
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    low = list(range(len(sets)))
+    for _ in sets:
+        was = list(low)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    low[i] = low[j] = min(low[i], low[j])
+        if low == was:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs).collect()}
+    assert got == dict(enumerate(low)) and 20 < len(set(low)) < 190
+
+
 def test_base_rules(docs, spark):
     rows = quality.judge(docs, spark.createDataFrame([(0,)], "doc_id long")).collect()
     assert len(rows) == len(DOCS)

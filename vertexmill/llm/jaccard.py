@@ -15,11 +15,14 @@ before the rest of their columns is multiplied:
   complete; what lies beyond adds at most the rest of that set, and at most what
   the other has after the last shared column. Pairs for which this stays below
   t / (1 + t) * (a + b) go.
+- In common columns a row carries 256 parity bits of its whole set. The bits in
+  which two sets differ number at most what stands in one of them only, so a
+  pair that differs in too many is discarded as the block is multiplied.
 - The surviving pairs' whole rows are multiplied.
 
 Equal sets are one class from the start. As only components are asked for,
 pairs inside a component are not multiplied: a few rounds link the classes of
-wide columns to the pivot of these columns that stands in most of them, then only
+wide columns to the pivot of the column, the class of most common shingles, then only
 pairs across the remaining components are formed. So a group of thousands of near copies costs about a pair a document,
 and no link between components is lost.
 """
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexmill.operators.components import connected_components
@@ -45,10 +48,12 @@ PERCENT = 80
 #: Shingles that go last in the order of columns: at most so many (8 bytes each are broadcast). Any order gives the same result; this one keeps common columns out of the first product.
 MOST_COMMON = 1 << 16
 PIVOT_ROUNDS = 3
-#: Columns of more classes than this go through the pivot rounds; narrower ones form all their pairs once.
+#: Columns of more rows than this go through the pivot rounds; narrower ones form all their pairs once.
 PIVOT_LABELS = 16
 #: Whole sets are fetched from the texts by broadcast of up to so many row keys (16 bytes each), else by shuffle.
 MOST_BROADCAST_KEYS = 200_000
+#: Parity bits of a set; a power of two, at least 64.
+PARITY_BITS = 256
 #: Bits of a set's size, of a leading column's place, and of the rank of a set's last leading column, in one number.
 SIZE_BITS, AT_BITS, LAST_BITS = 26, 24, 13
 
@@ -114,12 +119,19 @@ def _rank(last: np.uint64, late: bool) -> int:
     return (int(late) << (LAST_BITS - 1)) | int(last) >> (64 - LAST_BITS + 1)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Of each of PARITY_BITS buckets, whether an odd number of the set's hashes falls into it, as int64 words."""
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _lead(k: int, percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = common.value
         for batch in batches:
             seen: set[int] = set()
             out: list[tuple[np.ndarray, int, int]] = []
+            n_late, bits = [], []
             for s in _sets(batch.column("text"), k):
                 if not len(s) or (label := _class(s)) in seen:
                     continue
@@ -127,6 +139,9 @@ def _lead(k: int, percent: int, common):
                     raise ValueError(f"a text has {len(s)} distinct shingles, more than 2 ** {SIZE_BITS}")
                 seen.add(label)
                 first = ordered(s, late, leading(len(s), percent))
+                held = int(np.isin(s, late, assume_unique=True).sum()) if len(late) else 0
+                n_late.append(max(0, len(first) - (len(s) - held)))
+                bits.append(np.append(parity(s), held) if n_late[-1] else None)
                 is_late = len(late) > 0 and late[min(np.searchsorted(late, first[-1]), len(late) - 1)] == first[-1]
                 out.append((first, label, len(s) << LAST_BITS | _rank(first[-1], is_late)))
             if not out:
@@ -134,9 +149,13 @@ def _lead(k: int, percent: int, common):
             counts = np.array([len(x) for x, _, _ in out])
             at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             size = np.repeat(np.array([n for _, _, n in out], np.int64), counts)
+            is_late = at >= np.repeat(counts - np.array(n_late), counts)
+            flat = [np.tile(b, n) for b, n in zip(bits, n_late, strict=True) if n]
+            offsets = np.concatenate([[0], np.cumsum(is_late)]).astype(np.int32) * (PARITY_BITS // 64 + 1)
+            sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)), mask=pa.array(~is_late))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([x for x, _, _ in out]).view(np.int64)), pa.array(np.repeat(np.array([c for _, c, _ in out], np.int64), counts)), pa.array(size << AT_BITS | at)],
-                names=["col", "label", "packed"],
+                [pa.array(np.concatenate([x for x, _, _ in out]).view(np.int64)), pa.array(np.repeat(np.array([c for _, c, _ in out], np.int64), counts)), pa.array(size << AT_BITS | at), sketch],
+                names=["col", "label", "packed", "sketch"],
             )
 
     return run
@@ -156,13 +175,15 @@ def _whole(k: int):
 def _pairs(x: DataFrame, y: DataFrame, percent: int, apart: bool) -> DataFrame:
     """(a, b, shared): overlaps of x's with y's leading columns, summed by pair; pairs below the bound go.
 
-    x, y: (col, label, size, at, last, component). apart: pairs inside a
+    x, y: (col, label, size, at, last, sketch, component). apart: pairs inside a
     component, and the second of the two ways to name a pair, are left out.
     """
     def side(df, n):
-        return df.select("col", *[F.col(c).alias(f"{c}_{n}") for c in ("label", "size", "at", "last", "component")])
+        return df.select("col", *[F.col(c).alias(f"{c}_{n}") for c in ("label", "size", "at", "last", "sketch", "component")])
 
     similar = (F.col("label_a") != F.col("label_b")) & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
+    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    similar = similar & ((100 + percent) * F.coalesce(differ, F.lit(0)) <= (100 - percent) * (F.col("size_a") + F.col("size_b")))
     if apart:
         similar = similar & (F.col("component_a") < F.col("component_b"))
     both = side(x, "a").join(side(y, "b"), "col").filter(similar)
@@ -205,17 +226,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
     common = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in late.collect()], np.int64).view(np.uint64)))
 
     texts = rows.filter("doc_id is not null and text is not null")
-    # one shuffle by column: the counts and the rows are read from the same files
-    lead = texts.mapInArrow(_lead(k, percent, common), "col long, label long, packed long").repartition("col")
-    shared = lead.groupBy("col").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("col")
-    packed = cut(lead.join(shared, "col").dropDuplicates(["col", "label"]))
+    lead = texts.mapInArrow(_lead(k, percent, common), "col long, label long, packed long, sketch array<bigint>")
+    # one shuffle and one sort by column
+    of_col = Window.partitionBy("col").orderBy("label")
+    whole = of_col.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = lead.select("*", F.first("label").over(whole).alias("low"), F.last("label").over(whole).alias("high"), F.count("*").over(whole).alias("rows"), F.lag("label").over(of_col).alias("before"))
+    shared = seen.filter("low <> high and (before is null or before <> label)")
+    packed = cut(shared.select("col", "label", "packed", "sketch", (F.col("rows") > PIVOT_LABELS).alias("wide")))
     mask = lambda bits: F.lit((1 << bits) - 1)
     fields = (F.shiftright("packed", AT_BITS + LAST_BITS).alias("size"), F.col("packed").bitwiseAND(mask(AT_BITS)).alias("at"), F.shiftright("packed", AT_BITS).bitwiseAND(mask(LAST_BITS)).alias("last"))
-    cols = packed.select("col", "label", *fields)
-    wide = packed.groupBy("col").agg(F.count("*").alias("labels")).filter(F.col("labels") > PIVOT_LABELS).select("col")
-    hot = cut(packed.join(wide, "col")).select("col", "label", *fields)
-    # the class that stands in most wide columns is the likeliest hub of a group
-    hub = cut(hot.groupBy("label").agg(F.count("*").alias("weight")))
+    cols = packed.select("col", "label", *fields, "sketch")
+    # the class that holds most common shingles is the likeliest hub of a group
+    hot = packed.filter("wide").select("col", "label", *fields, "sketch", F.coalesce(F.get("sketch", F.lit(PARITY_BITS // 64)), F.lit(0)).alias("weight"))
 
     node = members.filter("doc_id is not null and n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
     sets, tried, component, n_linked = None, None, None, 0
@@ -228,10 +250,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
             marked = rows_now.join(small, "label", "left").withColumn("component", F.coalesce("component", "label"))
         ends = marked.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("col")
         if turn < pivot_rounds:
-            open_rows = marked.join(ends, "col").join(hub, "label")
+            open_rows = marked.join(ends, "col")
             if component is not None:  # later rounds look for hubs among the classes not linked yet
                 open_rows = open_rows.filter("component = label")
-            first = F.max_by(F.struct("label", "size", "at", "last", "component"), F.struct("weight", -F.col("label")))
+            first = F.max_by(F.struct("label", "size", "at", "last", "sketch", "component"), F.struct("weight", -F.col("label")))
             pivots = open_rows.groupBy("col").agg(first.alias("pivot")).select("col", "pivot.*")
             pairs = _pairs(pivots, open_rows.drop("weight"), percent, apart=False)
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
