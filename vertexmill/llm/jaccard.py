@@ -139,7 +139,7 @@ def _lead(k: int, percent: int, common):
                     raise ValueError(f"a text has {len(s)} distinct shingles, more than 2 ** {SIZE_BITS}")
                 seen.add(label)
                 first = ordered(s, late, leading(len(s), percent))
-                held = int(np.isin(s, late, assume_unique=True).sum()) if len(late) else 0
+                held = int((late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s).sum()) if len(late) else 0
                 n_late.append(max(0, len(first) - (len(s) - held)))
                 bits.append(np.append(parity(s), held) if n_late[-1] else None)
                 is_late = len(late) > 0 and late[min(np.searchsorted(late, first[-1]), len(late) - 1)] == first[-1]
