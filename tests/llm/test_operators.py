@@ -5,10 +5,12 @@ import io
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from vertexmill.llm import bitplane, jaccard, license_scan, lblm, mixing, quality, rlz, url_filter, vptree
+from vertexmill.llm import text as tx
 
 WORD = r"[^\x20\x09-\x0D]+"
 A = " ".join(f"w{i}" for i in range(80))
@@ -61,6 +63,24 @@ def test_jaccard_groups(spark):
     assert got == dict(enumerate(low)) and 20 < len(set(low)) < 190
 
 
+@pytest.mark.parametrize("texts", [[None, "", None], ["ab " * (5 << 18), None], ["ab " * (5 << 18), "", "ab " * (5 << 18)]])
+def test_slices_without_bytes(texts):
+    """Null and empty texts alone, after and between texts longer than a slice."""
+    got = []
+    for row, end, w in tx.slices(pa.array(texts, pa.string())):
+        assert row == len(got) and len(w.hashes()) == len(w)
+        got += np.diff(w.first).tolist()
+    assert got == [len((t or "").split()) for t in texts]
+
+
+def test_tables_without_bytes(spark):
+    none = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", None])], "doc_id long, text string").coalesce(1)
+    sha = hashlib.sha256(b"").hexdigest()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rlz.report(none).collect()) == [(i, 0, 0, sha) for i in range(3)]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(none).collect()) == [(i, 0, i) for i in range(3)]
+    assert sorted((r.doc_id, r.n_tokens) for r in lblm.score(none).collect()) == [(i, 1) for i in range(3)]
+
+
 def test_base_rules(docs, spark):
     rows = quality.judge(docs, spark.createDataFrame([(0,)], "doc_id long")).collect()
     assert len(rows) == len(DOCS)

@@ -61,10 +61,11 @@ class Words:
     def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool = False):
         self.data = _LOWER[data] if lower else data
         inside = ~_SPACE[self.data]
-        edge = np.empty(len(inside) + 1, bool)
-        edge[:1] = inside[:1]
-        edge[1:-1] = inside[1:] != inside[:-1]
-        edge[-1:] = inside[-1:]
+        edge = np.zeros(len(inside) + 1, bool)  # without a byte, no word
+        if len(inside):
+            edge[0] = inside[0]
+            edge[1:-1] = inside[1:] != inside[:-1]
+            edge[-1] = inside[-1]
         for b in (bounds[1:-1],):  # a word ends with its text
             cut = b[(b > 0) & (b < len(inside))]
             cut = np.unique(cut[inside[cut] & inside[cut - 1]])
