@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexmill.llm import bpe, jaccard, mixing, quality, rlz
-from vertexmill.llm.common import cut, table
+from vertexmill.llm.common import table, written
 
 #: The tokenizer file of the last stage, the same path on every worker.
 TOKENIZER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/byte_bpe_50k.json"
@@ -55,9 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each but the last written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
-            docs = cut(docs)
+            docs = written(docs)
     return docs

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexmill.plans.checkpoints import checkpoint_dir, cut
+from vertexmill.plans.checkpoints import checkpoint_dir, cut, written
 
-__all__ = ["SPACE", "ascii_lower", "checkpoint_dir", "cut", "let", "table", "words"]
+__all__ = ["SPACE", "ascii_lower", "checkpoint_dir", "cut", "let", "table", "words", "written"]
 
 #: Java pattern of the ASCII white space that separates words.
 SPACE = "[ \\t-\\r]+"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, words
+from .common import cut, let, words, written
 
 CELLS = 1 << 16
 ORDERS = (1, 2)
@@ -111,20 +111,27 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, keep=(), threshold: float = T
 
     Null texts count as empty: no words, so base_failed. Documents without an
     n-gram score 0. Repeated rows are judged alike, each on its own; null ids
-    are never trusted. Other columns of docs are not read. An empty table gives
-    an empty result.
+    are never trusted. With columns to keep, the rows are written down with a
+    number first; only numbers and counts go through the n-grams, and the kept
+    columns are joined to the scores by number. Other columns of docs are not
+    read. An empty table gives an empty result.
     """
+    number = F.monotonically_increasing_id()
+    if keep:
+        docs = written(docs.select(*dict.fromkeys(("doc_id", "text", *keep))).withColumn("q_row", number))
+        number = F.col("q_row")
     table = F.broadcast(ratios(docs, trusted_ids, **fit))
     base = base_columns(F.col("text"))
     orders, n_cells = fit.get("orders", ORDERS), fit.get("n_cells", CELLS)
-    rows = docs.select("doc_id", *keep, *[c.alias(f"q_{n}") for n, c in base.items()], cells(F.col("text"), orders, n_cells).alias("q_cells")).withColumn("q_row", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", *[c.alias(f"q_{n}") for n, c in base.items()], cells(F.col("text"), orders, n_cells).alias("q_cells"), number.alias("q_row"))
     grams = rows.withColumn("cell", F.explode_outer("q_cells")).drop("q_cells").join(table, "cell", "left")
-    kept_columns = [F.first(c).alias(c) for c in ("doc_id", *keep)]
     scored = grams.groupBy("q_row").agg(
-        *kept_columns, *[F.first(f"q_{n}").alias(f"q_{n}") for n in base if n != "counts"],
+        F.first("doc_id").alias("doc_id"), *[F.first(f"q_{n}").alias(f"q_{n}") for n in base if n != "counts"],
         *[F.first(f"q_counts.{n}").cast("long").alias(n) for n in ("n_words", "word_chars", "n_repeat_words")],
         F.count("cell").alias("n_grams"), F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("score"),
     )
+    if keep:
+        scored = scored.join(docs.select("q_row", *keep), "q_row")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.select(
         "doc_id", *keep, "n_words", "word_chars", *[F.col(f"q_{n}").alias(n) for n in base if n != "counts"], "n_repeat_words",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the checkpoint folder and read it again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
