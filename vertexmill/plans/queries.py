@@ -143,7 +143,7 @@ def common_markers(spark, d):
 
 def frame_pairs(spark, d):
     common = graph.common_markers(fx.view(spark, d, "fx_pose_markers"))
-    chosen = pairs.select_frame_pairs(fx.poses(spark, d), common, max_baseline=0.5)
+    chosen = pairs.select_frame_pairs(fx.poses(spark, d), common)
     return chosen.select("image_id_a", "image_id_b", *r6("baseline_m", "optical_axis_angle_deg"), "common_marker_count", *r6("estimated_overlap_score"))
 
 
@@ -284,14 +284,14 @@ def adjust_map(spark, d):
     found = marker_poses.estimate_marker_poses(scene, fx.camera(spark), SIZE).filter("success").withColumnRenamed("detection_id", "obs_id").withColumnRenamed("reprojection_error_px", "err")
     anchor = found.agg(F.min("marker_id")).first()[0]
     c, m = graph.propagate_poses(found, anchor)
-    done = adjust.robust_adjust(scene.drop("T", "M"), c, m, fx.camera(spark), SIZE, anchor, adjust.Config(iterations=5))
+    done = adjust.robust_adjust(scene.drop("T", "M"), c, m, fx.camera(spark), SIZE, anchor)
     return done.errors.select("image_id", "marker_id", "corner", F.round("error_px", 3).alias("error_px"), "is_outlier")
 
 
 def refine_points(spark, d):
     obs = tracks.build_tracks(fx.view(spark, d, "fx_matches"))
     p = tracks.triangulate(obs, fx.poses(spark, d), fx.camera(spark), max_mean_px=1e6, max_px=1e6).withColumn("point_id", F.col("track_id")).withColumn("is_active", F.lit(True))
-    return points.refine_points(p, obs, fx.poses(spark, d), fx.camera(spark), iterations=10).select("point_id", *[F.round(c, 3).alias(c) for c in ("initial_cost", "final_cost")])
+    return points.refine_points(p, obs, fx.poses(spark, d), fx.camera(spark)).select("point_id", *[F.round(c, 3).alias(c) for c in ("initial_cost", "final_cost")])
 
 
 def residual_rows(spark, d):
