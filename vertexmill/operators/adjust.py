@@ -17,8 +17,10 @@ from vertexmill.operators.poses import camera_array
 from vertexmill.plans.checkpoints import cut
 
 PENALTY = 1e6
-#: The reduced system is solved on the driver up to so many markers (6 unknowns each).
+#: The reduced system is solved on the driver up to so many markers (6 unknowns each), beyond them by conjugate gradients over tables.
 MOST_MARKERS = 1000
+#: The conjugate gradients end when the residual is so much of the right-hand side.
+RESIDUAL = 1e-10
 #: Observations of the images that a task holds at once, about.
 BUCKET_ROWS = 20_000
 
@@ -110,54 +112,113 @@ def _jacobian(f, x: np.ndarray, step: float = 1e-6) -> np.ndarray:
     return np.stack(out, -1)
 
 
+def solve_few(pairs: DataFrame, damping: float) -> DataFrame:
+    """(marker_id, delta) of the damped reduced system pairs(i, j, k, v), solved on the driver.
+
+    k up to 35 is a place in the 6 x 6 block of the markers i and j, 36 to 41
+    one of the diagonal that is damped, from 42 on one of the gradient.
+    """
+    rows = list(pairs.toLocalIterator())  # at most MOST_MARKERS squared blocks
+    ids = sorted({r["i"] for r in rows})
+    place = {m: n for n, m in enumerate(ids)}
+    A, b = np.eye(6 * len(ids)) * 1e-12, np.zeros(6 * len(ids))
+    for r in rows:
+        i, j, k = 6 * place[r["i"]], 6 * place[r["j"]], r["k"]
+        if k < 36:
+            A[i + k // 6, j + k % 6] += r["v"]
+        elif k < 42:
+            A[i + k - 36, j + k - 36] += damping * r["v"]
+        else:
+            b[i + k - 42] += r["v"]
+    delta = -np.linalg.solve(A, b).reshape(-1, 6) if ids else np.zeros((0, 6))
+    return pairs.sparkSession.createDataFrame(list(zip(ids, delta.tolist(), strict=True)), "marker_id long, delta array<double>")
+
+
+def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
+    """As solve_few, by conjugate gradients preconditioned with the diagonal blocks.
+
+    The matrix is a table of entries (i, r, j, c, v), a vector one of (i, r, x);
+    a product is a join and a sum, and only dot products come to the driver.
+    """
+    k = F.col("k")
+    plain = pairs.filter(k < 36).select("i", F.floor(k / 6).cast("int").alias("r"), "j", (k % 6).cast("int").alias("c"), "v")
+    damped = pairs.filter((k >= 36) & (k < 42) & (F.col("i") == F.col("j"))).select("i", (k - 36).alias("r"), F.col("i").alias("j"), (k - 36).alias("c"), (damping * F.col("v") + 1e-12).alias("v"))
+    matrix = cut(plain.unionByName(damped).groupBy("i", "r", "j", "c").agg(F.sum("v").alias("v")))
+
+    def inverse(frame: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros((6, 6))
+        block[frame["r"], frame["c"]] = frame["v"]
+        r, c = np.divmod(np.arange(36), 6)
+        return pd.DataFrame({"i": frame["i"].iloc[0], "r": r, "j": frame["i"].iloc[0], "c": c, "v": np.linalg.inv(block).ravel()})
+
+    near = cut(matrix.filter("i = j").groupBy("i").applyInPandas(inverse, "i long, r int, j long, c int, v double"))
+
+    def times(table: DataFrame, vector: DataFrame, x: str, name: str) -> DataFrame:
+        right = vector.select(F.col("i").alias("j"), F.col("r").alias("c"), F.col(x).alias("x"))
+        return table.join(right, ["j", "c"]).groupBy("i", "r").agg(F.sum(F.col("v") * F.col("x")).alias(name))
+
+    def dots(state: DataFrame) -> tuple[float, float]:
+        return tuple(state.agg(F.coalesce(F.sum(F.col("res") * F.col("z")), F.lit(0.0)), F.coalesce(F.sum(F.col("res") * F.col("res")), F.lit(0.0))).first())
+
+    right = cut(pairs.filter((k >= 42) & (F.col("i") == F.col("j"))).select("i", (k - 42).alias("r"), (-F.col("v")).alias("res")))
+    state = cut(right.join(times(near, right, "res", "z"), ["i", "r"]).select("i", "r", F.lit(0.0).alias("x"), "res", "z", F.col("z").alias("p")))
+    (rz, rr), most = dots(state), 100 + 10 * right.count()
+    enough = RESIDUAL**2 * rr
+    for _ in range(most):
+        if rr <= enough:
+            break
+        state = cut(state.join(times(matrix, state, "p", "q"), ["i", "r"]))
+        alpha = rz / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        state = state.select("i", "r", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("res") - alpha * F.col("q")).alias("res"), "p")
+        state = cut(state.join(times(near, state, "res", "z"), ["i", "r"]))
+        before, (rz, rr) = rz, dots(state)
+        state = state.withColumn("p", F.col("z") + rz / before * F.col("p"))
+    else:
+        raise RuntimeError(f"conjugate gradients did not settle in {most} steps")
+    steps = F.transform(F.sort_array(F.collect_list(F.struct("r", "x"))), lambda s: s["x"])
+    return cut(state.groupBy(F.col("i").alias("marker_id")).agg(steps.alias("delta")))
+
+
 def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses: DataFrame, cameras: DataFrame, size: float, anchor: int, config: Config = Config()) -> Result:
     """Camera and marker poses of least robust reprojection error, the anchor marker fixed at the identity.
 
     observations(image_id, marker_id, corners, camera_id). Levenberg-Marquardt:
     in each iteration the tasks build each image's normal equations, remove its
-    camera from them, and send their sums by pair of markers; the driver solves
-    the reduced system of the markers, at most MOST_MARKERS; the tasks put the
-    solution back to get each camera's step and the new cost. Images, however
-    many, stay with the tasks.
+    camera from them, and send their sums by pair of markers; the reduced system
+    of the markers is solved on the driver if they are few, else as tables; the
+    tasks put the solution back to get each camera's step and the new cost.
+    Poses of images and markers, however many, stay tables.
     """
     rho, corners = loss(config.loss), arrays.DETECTOR_CORNERS * size
     spark = observations.sparkSession
     obs = cam.with_camera(assemble(observations, camera_poses, marker_poses, anchor), cameras).select("image_id", "marker_id", "corners", "camera")
-    # markers are checked to be few before they come to the driver
     used = obs.select("marker_id").distinct()
-    n_markers = used.count()
-    if n_markers > MOST_MARKERS:
-        raise ValueError(f"{n_markers} markers; the reduced system takes {MOST_MARKERS}")
-    seeds = marker_poses.join(used, "marker_id", "left_semi").select("marker_id", g.to_vector(F.col("T")).alias("xi")).collect()
-    xi = {r["marker_id"]: np.array(r["xi"]) for r in seeds}
-    xi[anchor] = np.zeros(6)
-    ids = sorted(xi)
-    place = {m: i for i, m in enumerate(ids)}
-    marker = np.array([xi[m] for m in ids])
-    free = np.array([m != anchor for m in ids])
+    seeds = marker_poses.filter(F.col("marker_id") != anchor).join(used, "marker_id", "left_semi").groupBy("marker_id").agg(F.first(g.to_vector(F.col("T"))).alias("mxi"))
+    markers = cut(seeds.unionByName(spark.createDataFrame([(anchor, [0.0] * 6)], "marker_id long, mxi array<double>")))
+    n_markers = markers.count()
 
     rows = obs.join(camera_poses.select("image_id", g.to_vector(F.col("T")).alias("xi")), "image_id")
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     held = cut(rows.drop("xi").withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets))).repartition("bucket"))
     poses = cut(rows.groupBy("image_id").agg(F.first("xi").alias("xi")))
 
-    def with_poses():
-        return held.join(poses, "image_id").groupBy("bucket")
+    def with_poses(markers: DataFrame):
+        return held.join(poses, "image_id").join(markers, "marker_id").groupBy("bucket")
 
-    def prepare(frame: pd.DataFrame, marker: np.ndarray):
+    def prepare(frame: pd.DataFrame):
         images, at = np.unique(frame["image_id"].to_numpy(), return_inverse=True)
-        camera_xi = np.array([list(x) for x in frame["xi"]])
-        m = np.array([place[i] for i in frame["marker_id"]])
+        camera_xi, marker = (np.array([list(x) for x in frame[c]]) for c in ("xi", "mxi"))
         pixels, camera = _observe(frame)
-        r = _residuals(camera_xi, marker[m], pixels, camera, corners, config.penalty_px)
-        return images, at, camera_xi, m, pixels, camera, r
+        r = _residuals(camera_xi, marker, pixels, camera, corners, config.penalty_px)
+        return images, at, camera_xi, marker, pixels, camera, r
 
-    def blocks(frame: pd.DataFrame, marker: np.ndarray, damping: float):
-        images, at, camera_xi, m, pixels, camera, r = prepare(frame, marker)
+    def blocks(frame: pd.DataFrame, damping: float):
+        images, at, camera_xi, marker, pixels, camera, r = prepare(frame)
+        free = frame["marker_id"].to_numpy() != anchor
         s = (r * r).sum(1)
         w = rho.weight(s, config.scale)[:, None, None]
-        Jc = _jacobian(lambda x: _residuals(x, marker[m], pixels, camera, corners, config.penalty_px), camera_xi)
-        Jm = _jacobian(lambda x: _residuals(camera_xi, x, pixels, camera, corners, config.penalty_px), marker[m]) * free[m][:, None, None]
+        Jc = _jacobian(lambda x: _residuals(x, marker, pixels, camera, corners, config.penalty_px), camera_xi)
+        Jm = _jacobian(lambda x: _residuals(camera_xi, x, pixels, camera, corners, config.penalty_px), marker) * free[:, None, None]
         U, bc = np.zeros((len(images), 6, 6)), np.zeros((len(images), 6))
         np.add.at(U, at, np.swapaxes(Jc, 1, 2) @ (w * Jc))
         np.add.at(bc, at, (np.swapaxes(Jc, 1, 2) @ (w * r[..., None]))[..., 0])
@@ -165,11 +226,13 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
         W = np.swapaxes(Jc, 1, 2) @ (w * Jm)
         V = np.swapaxes(Jm, 1, 2) @ (w * Jm)
         bm = (np.swapaxes(Jm, 1, 2) @ (w * r[..., None]))[..., 0]
-        return images, at, camera_xi, m, s, U, bc, W, V, bm
+        return images, at, camera_xi, s, U, bc, W, V, bm
 
-    def evaluate(marker: np.ndarray, damping: float):
+    def evaluate(damping: float) -> tuple[DataFrame, float, float]:
+        """The table (total, i, j, k, v) of the sums by pair of markers, the cost, and the largest slope."""
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            images, at, _, m, s, U, bc, W, V, bm = blocks(frame, marker, damping)
+            images, at, _, s, U, bc, W, V, bm = blocks(frame, damping)
+            m = frame["marker_id"].to_numpy()
             UW = np.linalg.solve(U[at], W)
             Ub = np.linalg.solve(U, bc[..., None])[..., 0]
             out: dict[tuple[int, int], np.ndarray] = {}
@@ -188,73 +251,61 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
                     for b in group:
                         add(m[a], m[b], np.concatenate([-(W[a].T @ UW[b]).ravel(), np.zeros(12)]))
             cost = 0.5 * rho.rho(s, config.scale).sum()
-            keys = [(int(i), int(j), v.tolist()) for (i, j), v in out.items()]
-            return pd.DataFrame([*keys, (-1, -1, [cost, float(np.abs(bc).max(initial=0.0))])], columns=["i", "j", "block"])
-
-        parts = with_poses().applyInPandas(run, "i int, j int, block array<double>")
-        sums = parts.select("i", "j", F.posexplode("block").alias("k", "v")).groupBy("i", "j", "k").agg(F.when((F.col("i") == -1) & (F.col("k") == 1), F.max("v")).otherwise(F.sum("v")).alias("v"))
-        # at most MOST_MARKERS squared blocks
-        S, b, diagonal, cost, slope = np.zeros((len(ids) * 6, len(ids) * 6)), np.zeros(len(ids) * 6), np.zeros(len(ids) * 6), 0.0, 0.0
-        for r in sums.toLocalIterator():
-            i, j, k = r["i"], r["j"], r["k"]
-            if i < 0:
-                cost, slope = (r["v"], slope) if k == 0 else (cost, r["v"])
-            elif k < 36:
-                S[6 * i + k // 6, 6 * j + k % 6] += r["v"]
-            elif k < 42:
-                diagonal[6 * i + k - 36] += r["v"]
-            else:
-                b[6 * i + k - 42] += r["v"]
-        return S, b, diagonal, cost, slope
-
-    def step_back(marker: np.ndarray, new_marker: np.ndarray, damping: float) -> DataFrame:
-        delta = new_marker - marker
-
+            keys = [(False, int(i), int(j), v.tolist()) for (i, j), v in out.items()]
+            return pd.DataFrame([*keys, (True, 0, 0, [cost, float(np.abs(bc).max(initial=0.0))])], columns=["total", "i", "j", "block"])
+
+        parts = with_poses(markers).applyInPandas(run, "total boolean, i long, j long, block array<double>")
+        sums = parts.select("total", "i", "j", F.posexplode("block").alias("k", "v")).groupBy("total", "i", "j", "k").agg(F.when(F.col("total") & (F.col("k") == 1), F.max("v")).otherwise(F.sum("v")).alias("v"))
+        sums = cut(sums)
+        totals = {r["k"]: r["v"] for r in sums.filter("total").collect()}
+        slope = sums.filter("not total and k >= 42").filter(F.col("i") != anchor).agg(F.max(F.abs("v"))).first()[0]
+        return sums, totals.get(0, 0.0), max(totals.get(1, 0.0), slope or 0.0)
+
+    def step_back(trial: DataFrame, damping: float) -> DataFrame:
+        """trial(marker_id, mxi, delta, moved): the markers before the step, the step, and the markers after it."""
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            images, at, camera_xi, m, _, U, bc, W, _, _ = blocks(frame, marker, damping)
+            images, at, camera_xi, _, U, bc, W, _, _ = blocks(frame, damping)
+            delta, moved = (np.array([list(x) for x in frame[c]]) for c in ("delta", "moved"))
             rhs = bc.copy()
-            np.add.at(rhs, at, (W @ delta[m][..., None])[..., 0])
+            np.add.at(rhs, at, (W @ delta[..., None])[..., 0])
             first = np.unique(at, return_index=True)[1]
             new = camera_xi[first] - np.linalg.solve(U, rhs[..., None])[..., 0]
-            r = _residuals(new[at], new_marker[m], *_observe(frame), corners, config.penalty_px)
+            r = _residuals(new[at], moved, *_observe(frame), corners, config.penalty_px)
             cost = np.bincount(at, 0.5 * rho.rho((r * r).sum(1), config.scale), len(images))
             return pd.DataFrame({"image_id": images, "xi": new.tolist(), "cost": cost})
 
-        return with_poses().applyInPandas(run, "image_id long, xi array<double>, cost double")
+        return with_poses(trial).applyInPandas(run, "image_id long, xi array<double>, cost double")
 
     damping, first_cost, cost, done = 1e-4, None, None, 0
-    unknown = np.repeat(free, 6)
     for _ in range(config.iterations):
-        S, b, diagonal, cost, slope = evaluate(marker, damping)
+        sums, cost, slope = evaluate(damping)
         first_cost = cost if first_cost is None else first_cost
-        if max(slope, float(np.abs(b[unknown]).max(initial=0.0))) < config.gradient_tolerance:
+        if slope < config.gradient_tolerance:
             break
         accepted = False
         while damping < 1e12:
-            A = S[np.ix_(unknown, unknown)]
-            A = A + np.diag(damping * diagonal[unknown] + 1e-12)
-            delta = np.zeros(len(ids) * 6)
-            if unknown.any():
-                delta[unknown] = -np.linalg.solve(A, b[unknown])
-            trial = marker + delta.reshape(-1, 6)
-            moved = cut(step_back(marker, trial, damping))
+            pairs = sums.filter("not total").filter((F.col("i") != anchor) & (F.col("j") != anchor)).drop("total")
+            step = (solve_few if n_markers <= MOST_MARKERS else solve_many)(pairs, damping)
+            delta = F.coalesce("delta", F.array(*[F.lit(0.0)] * 6))
+            trial = markers.join(step, "marker_id", "left").withColumn("delta", delta)
+            trial = cut(trial.withColumn("moved", F.zip_with("mxi", "delta", lambda x, y: x + y)))
+            moved = cut(step_back(trial, damping))
             new_cost = moved.agg(F.sum("cost")).first()[0]
             if new_cost < cost:
                 accepted = True
                 break
             damping *= 10
-            S, b, diagonal, _, _ = evaluate(marker, damping)
+            sums, _, _ = evaluate(damping)
         if not accepted:
             break
-        change, size_of_step = cost - new_cost, float(np.abs(delta).max(initial=0.0))
-        marker, poses, cost, damping, done = trial, moved.select("image_id", "xi"), new_cost, max(damping / 10, 1e-12), done + 1
-        if change <= config.cost_tolerance * max(cost, 1e-300) or (unknown.any() and size_of_step < config.step_tolerance):
+        change, size_of_step = cost - new_cost, trial.agg(F.max(F.array_max(F.transform("delta", F.abs)))).first()[0]
+        markers, poses, cost, damping, done = trial.select("marker_id", F.col("moved").alias("mxi")), moved.select("image_id", "xi"), new_cost, max(damping / 10, 1e-12), done + 1
+        if change <= config.cost_tolerance * max(cost, 1e-300) or (n_markers > 1 and size_of_step < config.step_tolerance):
             break
 
     solved = poses.select("image_id", g.from_vector(F.col("xi")).alias("T"))
-    table = spark.createDataFrame([(m, marker[place[m]].tolist(), m == anchor) for m in ids], "marker_id long, xi array<double>, is_anchor boolean")
-    summary = {"initial_cost": first_cost or 0.0, "final_cost": cost or 0.0, "num_iterations": done, "num_markers": len(ids)}
-    return Result(solved, table.select("marker_id", g.from_vector(F.col("xi")).alias("T"), "is_anchor"), summary)
+    summary = {"initial_cost": first_cost or 0.0, "final_cost": cost or 0.0, "num_iterations": done, "num_markers": n_markers}
+    return Result(solved, markers.select("marker_id", g.from_vector(F.col("mxi")).alias("T"), (F.col("marker_id") == anchor).alias("is_anchor")), summary)
 
 
 class Robust(NamedTuple):
