@@ -55,7 +55,7 @@ TEMPLATES = (
     template("mpl-header", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     template("spdx", "spdx license identifier", "spdx license identifier"),
 )
-#: Rarest words by which a template is looked up; phrases that are wholly mandatory need one.
+#: Rarest words by which a template is looked up, beside the rarest mandatory one; phrases that are wholly mandatory need only that.
 LOOKUPS = 3
 
 
@@ -76,10 +76,14 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]
 
 
 def lookups(t: Template, frequencies: dict[str, int], most: int = LOOKUPS) -> list[str]:
-    """The template's rarest words (highest IDF), ties by word."""
+    """The template's rarest words (highest IDF), ties by word, and the rarest of its mandatory words: one stands wherever the template can be found."""
     a, n = t.key
-    within = t.words[a : a + n] if t.base else t.words
-    return sorted(set(within), key=lambda w: (frequencies.get(w, 0), w))[: 1 if t.base else most]
+
+    def rarest(words):
+        return sorted(set(words), key=lambda w: (frequencies.get(w, 0), w))
+
+    must = rarest(t.words[a : a + n])[:1]
+    return must if t.base else list(dict.fromkeys([*rarest(t.words)[:most], *must]))
 
 
 def _found(t: Template, rare: list[str], hits: Column, parts: Column, lead: Column) -> Column:
