@@ -24,6 +24,25 @@ def project(points: np.ndarray, camera: np.ndarray) -> np.ndarray:
     return np.where(seen[..., None], np.stack([u, v], -1), np.nan)
 
 
+def unproject(pixels: np.ndarray, camera: np.ndarray, steps: int = 10) -> np.ndarray:
+    """Unit rays (..., 3) of pixels (..., 2): `steps` steps of a fixed-point iteration undo the distortion."""
+    omni, fx, fy, cx, cy, xi, k1, k2, p1, p2, k3 = np.moveaxis(camera, -1, 0)
+    x0, y0 = (pixels[..., 0] - cx) / fx, (pixels[..., 1] - cy) / fy
+    x, y = x0, y0
+    for _ in range(steps):
+        r2 = x * x + y * y
+        radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
+        dx = x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)
+        dy = y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+        x, y = x + x0 - dx, y + y0 - dy
+    r2 = x * x + y * y
+    alpha = (xi + np.sqrt(np.maximum(0.0, 1 + (1 - xi * xi) * r2))) / (1 + r2)
+    one = np.where(omni > 0, alpha, 1.0)
+    ray = np.stack([one * x, one * y, np.where(omni > 0, alpha - xi, 1.0)], -1)
+    n = np.linalg.norm(ray, axis=-1, keepdims=True)
+    return np.where(n > 1e-12, ray / np.where(n > 1e-12, n, 1.0), np.nan)
+
+
 def rotations(r: np.ndarray) -> np.ndarray:
     """Rotation matrices (..., 3, 3) of rotation vectors (..., 3)."""
     angle = np.linalg.norm(r, axis=-1)[..., None, None]

@@ -184,19 +184,3 @@ def marker_corners(size: float, order: str) -> Column:
         raise ValueError(f"marker size must be finite and positive, got {size}")
     half = size / 2
     return F.array(*[F.struct(F.lit(i).alias("corner"), vector(x * half, y * half, 0).alias("point")) for i, (x, y) in enumerate(CORNER_ORDERS[order])])
-
-
-def ray_angular_error(f1: Column, f2: Column, R: Column, t: Column) -> Column:
-    """Distance of ray f2 from the epipolar plane of ray f1, as a sine; the pose maps frame 1 into frame 2."""
-    normal = unit(cross(t, rotate(R, f1)))
-    return F.coalesce(F.abs(dot(normal, unit(f2))), F.lit(float("inf")))
-
-
-def sampson_error(f1: Column, f2: Column, R: Column, t: Column) -> Column:
-    """First-order squared distance to the epipolar constraint, on rays scaled to z = 1."""
-    a, b = vector(f1[0] / f1[2], f1[1] / f1[2], 1), vector(f2[0] / f2[2], f2[1] / f2[2], 1)
-    line = cross(t, rotate(R, a))
-    back = rotate_back(R, vector(t[2] * b[1] - t[1] * b[2], t[0] * b[2] - t[2] * b[0], t[1] * b[0] - t[0] * b[1]))
-    value = dot(b, line)
-    scale = line[0] * line[0] + line[1] * line[1] + back[0] * back[0] + back[1] * back[1]
-    return F.when(scale > EPSILON, value * value / F.when(scale > EPSILON, scale)).otherwise(float("inf"))

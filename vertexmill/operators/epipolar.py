@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexmill.functions import arrays
 from vertexmill.functions import cameras as cam
-from vertexmill.functions import geometry as g
+from vertexmill.functions import matches as mt
 
-#: Error types: name to (column of two rays, rotation and translation). Any other name means ray_angular.
-ERRORS: dict[str, Callable[[Column, Column, Column, Column], Column]] = {"ray_angular": g.ray_angular_error, "sampson": g.sampson_error}
+#: Error types: name to (errors of two rays, rotation and translation). Any other name means ray_angular.
+ERRORS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {"ray_angular": mt.ray_angular_error, "sampson": mt.sampson_error}
 LIMITS = {"ray_angular": 0.003, "sampson": 1e-4}
 
 
@@ -23,19 +25,59 @@ def match_geometry(matches: DataFrame, poses: DataFrame, cameras: DataFrame) ->
     """
     side = lambda n: poses.select(F.col("image_id").alias(f"image_id_{n}"), F.col("T").alias(f"T_{n}"), *([F.col("camera_id")] if n == "a" else []))
     both = cam.with_camera(matches.join(side("a"), "image_id_a").join(side("b"), "image_id_b"), cameras)
-    pixel = lambda n: F.struct(F.col(f"x_{n}").cast("double").alias("u"), F.col(f"y_{n}").cast("double").alias("v"))
-    return both.withColumns({f"ray_{n}": cam.unproject_column(pixel(n), F.col("camera")) for n in "ab"})
+
+    def rays(batch) -> dict[str, np.ndarray]:
+        camera = mt.cameras(batch.column("camera"))
+        return {f"ray_{n}": arrays.unproject(np.stack([mt.numbers(batch.column(f"x_{n}")), mt.numbers(batch.column(f"y_{n}"))], -1), camera) for n in "ab"}
+
+    return mt.with_columns(both, "ray_a array<double>, ray_b array<double>", rays)
+
+
+def _rays(batch, n: str) -> np.ndarray:
+    return batch.column(f"ray_{n}").flatten().to_numpy().reshape(-1, 3)
 
 
 def with_epipolar_error(located: DataFrame, error_type: str = "ray_angular", limit: float | None = None, min_baseline: float = 0.03) -> DataFrame:
     """located, from match_geometry(), with epipolar_error and is_epipolar_inlier; pairs that stand closer than min_baseline have infinite error."""
     name = error_type if error_type in ERRORS else "ray_angular"
     bound = LIMITS.get(name, 0.0) if limit is None else limit
-    baseline = g.norm(g.minus(F.col("T_a.t"), F.col("T_b.t")))
-    with_pose = located.withColumn("T_ba", g.relative(F.col("T_a"), F.col("T_b")))
-    error = F.when(baseline < min_baseline, float("inf")).otherwise(ERRORS[name](F.col("ray_a"), F.col("ray_b"), F.col("T_ba.R"), F.col("T_ba.t")))
-    out = with_pose.withColumn("epipolar_error", error).drop("T_ba")
-    return out.withColumn("is_epipolar_inlier", ~F.isnan("epipolar_error") & (F.col("epipolar_error") <= bound))
+    measure = ERRORS[name]
+
+    def errors(batch) -> dict[str, np.ndarray]:
+        (Ra, ta), (Rb, tb) = (mt.poses(batch.column(f"T_{n}")) for n in "ab")
+        R, t = np.einsum("nji,njk->nik", Rb, Ra), np.einsum("nji,nj->ni", Rb, ta - tb)
+        error = np.where(np.linalg.norm(ta - tb, axis=1) < min_baseline, np.inf, measure(_rays(batch, "a"), _rays(batch, "b"), R, t))
+        return {"epipolar_error": error, "is_epipolar_inlier": error <= bound}
+
+    return mt.with_columns(located, "epipolar_error double, is_epipolar_inlier boolean", errors)
+
+
+def triangulate_pairs(located: DataFrame, min_angle_deg: float = 1.0, max_px: float = 6.0, max_gap: float = 0.25, max_depth: float = 100.0) -> DataFrame:
+    """located, from match_geometry(), with the midpoint (x, y, z), gap_m, angle_deg, error_a_px, error_b_px and is_valid of each match."""
+    def points(batch) -> dict[str, np.ndarray]:
+        camera = mt.cameras(batch.column("camera"))
+        T = {n: mt.poses(batch.column(f"T_{n}")) for n in "ab"}
+        d = {n: mt.unit(np.einsum("nij,nj->ni", T[n][0], _rays(batch, n))) for n in "ab"}
+        c, dot = {n: T[n][1] for n in "ab"}, lambda x, y: np.einsum("ni,ni->n", x, y)
+        k, wa, wb = dot(d["a"], d["b"]), dot(c["b"] - c["a"], d["a"]), dot(c["b"] - c["a"], d["b"])
+        scale = 1 - k * k
+        safe = np.where(np.abs(scale) > mt.EPSILON, scale, mt.EPSILON)
+        pa, pb = c["a"] + d["a"] * ((wa - k * wb) / safe)[:, None], c["b"] + d["b"] * ((k * wa - wb) / safe)[:, None]
+        p = (pa + pb) / 2
+        gap, angle = np.linalg.norm(pa - pb, axis=1), np.degrees(np.arccos(np.clip(k, -1.0, 1.0)))
+        error = {n: _pixel_error(p, *T[n], camera, batch.column(f"x_{n}"), batch.column(f"y_{n}")) for n in "ab"}
+        far = np.maximum(np.linalg.norm(p - c["a"], axis=1), np.linalg.norm(p - c["b"], axis=1))
+        valid = (dot(p - c["a"], d["a"]) > 0) & (dot(p - c["b"], d["b"]) > 0) & (angle >= min_angle_deg) & (error["a"] <= max_px) & (error["b"] <= max_px) & (gap <= max_gap) & (far <= max_depth)
+        return {"x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "gap_m": gap, "angle_deg": angle, "error_a_px": error["a"], "error_b_px": error["b"], "is_valid": valid}
+
+    schema = "x double, y double, z double, gap_m double, angle_deg double, error_a_px double, error_b_px double, is_valid boolean"
+    return mt.with_columns(located, schema, points, drop=("ray_a", "ray_b", "T_a", "T_b", "camera"))
+
+
+def _pixel_error(p: np.ndarray, R: np.ndarray, t: np.ndarray, camera: np.ndarray, x, y) -> np.ndarray:
+    """Distances in the image of points p from the pixels (x, y); NaN where a point is not seen."""
+    seen = arrays.project(np.einsum("nji,nj->ni", R, p - t), camera)
+    return np.hypot(seen[:, 0] - mt.numbers(x), seen[:, 1] - mt.numbers(y))
 
 
 def pair_results(filtered: DataFrame, min_inliers: int = 8) -> DataFrame:

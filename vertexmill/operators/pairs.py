@@ -9,25 +9,26 @@ from vertexmill.functions import geometry as g
 
 
 def candidate_pairs(poses: DataFrame, max_baseline: float, columns: list[str]) -> DataFrame:
-    """Pairs of poses(image_id, T, ...) with image_id_a < image_id_b whose centres are within max_baseline, by a grid of that width.
+    """Pairs of poses(image_id, centre, ...) with image_id_a < image_id_b whose centres are within max_baseline, by a grid of that width.
 
     One side stands in its own cell, the other in its cell and the 26 around
     it. columns are carried for both sides, with suffixes _a and _b.
     """
-    cell = [F.floor(F.col("T.t")[i] / max_baseline).alias(f"c{i}") for i in range(3)]
-    own = poses.select("image_id", "T", *columns, *cell)
-    around = F.explode(F.flatten(F.flatten(F.array(*[F.array(*[F.array(*[F.struct((F.col("c0") + i).alias("c0"), (F.col("c1") + j).alias("c1"), (F.col("c2") + k).alias("c2")) for k in (-1, 0, 1)]) for j in (-1, 0, 1)]) for i in (-1, 0, 1)]))))
-    a = own.select("c0", "c1", "c2", *[F.col(c).alias(f"{c}_a") for c in ("image_id", "T", *columns)])
-    b = own.select(around.alias("n"), *[F.col(c).alias(f"{c}_b") for c in ("image_id", "T", *columns)]).select("n.*", *[f"{c}_b" for c in ("image_id", "T", *columns)])
-    baseline = g.norm(g.minus(F.col("T_a.t"), F.col("T_b.t")))
-    return a.join(b, ["c0", "c1", "c2"]).filter("image_id_a < image_id_b").withColumn("baseline_m", baseline).filter(F.col("baseline_m") <= max_baseline).drop("c0", "c1", "c2")
-
-
-def score_pairs(pairs: DataFrame, common: DataFrame, min_baseline: float = 0.03, max_angle_deg: float = 60.0, min_common: int = 0, bonus: bool = True) -> DataFrame:
-    """Pairs with angle, common markers and overlap score; those outside the limits go. Limits are inclusive."""
-    angle = g.angle_deg(g.optical_axis(F.col("T_a")), g.optical_axis(F.col("T_b")))
+    cell = [F.floor(F.col("centre")[i] / max_baseline).alias(f"c{i}") for i in range(3)]
+    kept = ("image_id", "centre", *columns)
+    own = poses.select(*kept, *cell)
+    around = F.array(*[F.struct((F.col("c0") + i).alias("c0"), (F.col("c1") + j).alias("c1"), (F.col("c2") + k).alias("c2")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    a = own.select("c0", "c1", "c2", *[F.col(c).alias(f"{c}_a") for c in kept])
+    b = own.select(F.explode(around).alias("n"), *[F.col(c).alias(f"{c}_b") for c in kept]).select("n.*", *[f"{c}_b" for c in kept])
+    baseline = g.norm(g.minus(F.col("centre_a"), F.col("centre_b")))
+    return a.join(b, ["c0", "c1", "c2"]).filter("image_id_a < image_id_b").withColumn("baseline_m", baseline).filter(F.col("baseline_m") <= max_baseline).drop("c0", "c1", "c2", "centre_a", "centre_b")
+
+
+def score_pairs(pairs: DataFrame, min_baseline: float = 0.03, max_angle_deg: float = 60.0, min_common: int = 0, bonus: bool = True) -> DataFrame:
+    """Pairs(image_id_a, image_id_b, axis_a, axis_b, markers_a, markers_b, baseline_m) with angle, common markers and overlap score; those outside the limits go. Limits are inclusive."""
+    angle = g.angle_deg(F.col("axis_a"), F.col("axis_b"))
     near = pairs.filter(F.col("baseline_m") >= min_baseline).withColumn("optical_axis_angle_deg", angle).filter(F.col("optical_axis_angle_deg") <= max_angle_deg)
-    counted = near.join(common, ["image_id_a", "image_id_b"], "left").withColumn("common_marker_count", F.coalesce("common_marker_count", F.lit(0).cast("long"))).filter(F.col("common_marker_count") >= min_common)
+    counted = near.withColumn("common_marker_count", F.size(F.array_intersect("markers_a", "markers_b")).cast("long")).filter(F.col("common_marker_count") >= min_common)
     score = 1 / (1 + F.col("baseline_m")) + (0.2 * F.col("common_marker_count") if bonus else F.lit(0.0))
     return counted.select("image_id_a", "image_id_b", "baseline_m", "optical_axis_angle_deg", "common_marker_count", score.alias("estimated_overlap_score"))
 
@@ -39,7 +40,14 @@ def top_pairs(scored: DataFrame, most: int = 10) -> DataFrame:
     return ends.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("image_id", "place").distinct()
 
 
-def select_frame_pairs(poses: DataFrame, common: DataFrame, min_baseline: float = 0.03, max_baseline: float = 5.0, max_angle_deg: float = 60.0, min_common: int = 0, most: int = 10, bonus: bool = True) -> DataFrame:
-    """The frame pairs to match, with status candidate. poses(image_id, T); common from common_markers()."""
-    scored = score_pairs(candidate_pairs(poses, max_baseline, []), common, min_baseline, max_angle_deg, min_common, bonus)
+def select_frame_pairs(poses: DataFrame, detections: DataFrame, min_baseline: float = 0.03, max_baseline: float = 5.0, max_angle_deg: float = 60.0, min_common: int = 0, most: int = 10, bonus: bool = True) -> DataFrame:
+    """The frame pairs to match, with status candidate. poses(image_id, T), detections(image_id, marker_id).
+
+    Common markers are counted for pairs that stand near enough only: each pose
+    carries its image's markers.
+    """
+    markers = detections.groupBy("image_id").agg(F.collect_set("marker_id").alias("markers"))
+    placed = poses.select("image_id", F.col("T.t").alias("centre"), g.optical_axis(F.col("T")).alias("axis")).join(markers, "image_id", "left")
+    placed = placed.withColumn("markers", F.coalesce("markers", F.array().cast("array<long>")))
+    scored = score_pairs(candidate_pairs(placed, max_baseline, ["axis", "markers"]), min_baseline, max_angle_deg, min_common, bonus)
     return top_pairs(scored, most).withColumn("status", F.lit("candidate"))

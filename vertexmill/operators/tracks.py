@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from vertexmill.functions import arrays
 from vertexmill.functions import cameras as cam
-from vertexmill.functions import geometry as g
+from vertexmill.functions import matches as mt
 from vertexmill.operators.greedy import greedy_groups
 
 FEATURE_BITS = 32
+#: Observations that a task of the triangulation holds, about.
+BUCKET_ROWS = 50_000
+POINTS = ("track_id", "x", "y", "z", "mean_reprojection_error_px", "max_reprojection_error_px", "num_observations", "min_triangulation_angle_deg")
 
 
 def feature_node(image: str, feature: str):
@@ -44,15 +47,14 @@ def build_tracks(matches: DataFrame, task_rows: int | None = None) -> DataFrame:
     return groups.join(sizes, "root").join(where, "node").select(F.col("root").alias("track_id"), "image_id", "feature_idx", "x", "y")
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "z", "cond")]))
-def _solve(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    A = np.array([list(x) for x in a]).reshape(-1, 6)[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+def _points(A: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(n, 3) solutions; NaN where the rays do not fix a point."""
     value = np.linalg.eigvalsh(A)
-    cond = np.where(value[:, 0] > 0, value[:, 2] / np.where(value[:, 0] > 0, value[:, 0], 1.0), np.inf)
-    good = cond <= 1e10
+    low = value[:, 0]
+    good = (low > 0) & (value[:, 2] <= 1e10 * np.where(low > 0, low, 1.0))
     x = np.full((len(A), 3), np.nan)
-    x[good] = np.linalg.solve(A[good], np.array([list(v) for v in b]).reshape(-1, 3)[good][..., None])[..., 0]
-    return pd.DataFrame({"x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "cond": cond})
+    x[good] = np.linalg.solve(A[good], b[good][..., None])[..., 0]
+    return x
 
 
 def triangulate(observations: DataFrame, poses: DataFrame, cameras: DataFrame, min_observations: int = 2, min_angle_deg: float = 1.0, max_mean_px: float = 3.0, max_px: float = 6.0, max_depth: float = 100.0) -> DataFrame:
@@ -62,50 +64,42 @@ def triangulate(observations: DataFrame, poses: DataFrame, cameras: DataFrame, m
     track is left out if it has too few observations, two in an image, one
     without pose, rays that do not fix a point, a point that is not in front of
     all cameras or too far, too small an angle between its nearest two rays, or
-    too large an error. A NaN error leaves the track out.
+    too large an error. A NaN error leaves the track out. Tracks are dealt into
+    buckets with all their observations (an image each), and a bucket is solved
+    at once.
     """
-    joined = observations.join(poses.select("image_id", "T", "camera_id"), "image_id", "left")
+    joined = observations.select("track_id", "image_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(poses.select("image_id", "T", "camera_id"), "image_id", "left")
     counts = joined.groupBy("track_id").agg(F.count("*").alias("num_observations"), F.count_distinct("image_id").alias("n_images"), F.count_if(F.col("T").isNull()).alias("n_missing"))
     whole = counts.filter((F.col("num_observations") >= min_observations) & (F.col("n_images") == F.col("num_observations")) & (F.col("n_missing") == 0)).select("track_id", "num_observations")
-    located = cam.with_camera(joined.filter("T is not null"), cameras).join(whole, "track_id")
-    pixel = F.struct(F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"))
-    rays = located.withColumn("pixel", pixel).withColumn("ray", cam.unproject_column(F.col("pixel"), F.col("camera"))).withColumn("d", g.unit(g.rotate(F.col("T.R"), F.col("ray")))).select("track_id", "image_id", "num_observations", "pixel", "T", "camera", "d")
-    d, c = F.col("d"), F.col("T.t")
-    P = {(i, j): F.lit(1.0 if i == j else 0.0) - d[i] * d[j] for i in range(3) for j in range(3)}
-    A = [F.sum(P[i, j]) for i in range(3) for j in range(i, 3)]
-    b = [F.sum(P[i, 0] * c[0] + P[i, 1] * c[1] + P[i, 2] * c[2]) for i in range(3)]
-    solved = rays.groupBy("track_id").agg(F.array(*A).alias("A"), F.array(*b).alias("b")).select("track_id", _solve("A", "b").alias("s")).filter("s.cond <= 1e10")
-    point = g.vector(F.col("s.x"), F.col("s.y"), F.col("s.z"))
-    back = rays.join(solved, "track_id").withColumn("point", point)
-    seen = cam.project_column(g.transform_back(F.col("T"), F.col("point")), F.col("camera"))
-    judged = back.withColumn("seen", seen).withColumn("depth", g.dot(g.minus(F.col("point"), c), d))
-    error = F.hypot(F.col("seen.u") - F.col("pixel.u"), F.col("seen.v") - F.col("pixel.v"))
-    stats = judged.groupBy("track_id").agg(F.first("point").alias("point"), F.first("num_observations").alias("num_observations"), F.avg(error).alias("mean_px"), F.max(error).alias("max_px"), F.min("depth").alias("near"), F.max("depth").alias("far"))
-    stats = stats.filter((F.col("near") > 0) & (F.col("far") <= max_depth) & ~F.isnan("mean_px") & (F.col("mean_px") <= max_mean_px) & (F.col("max_px") <= max_px))
-    one = rays.select("track_id", F.col("image_id").alias("i"), F.col("d").alias("d1"))
-    two = rays.select("track_id", F.col("image_id").alias("j"), F.col("d").alias("d2"))
-    angles = one.join(two, "track_id").filter("i < j").groupBy("track_id").agg(F.max(g.dot(F.col("d1"), F.col("d2"))).alias("cos"))
-    angle = F.degrees(F.acos(g.clip(F.col("cos"), -1.0, 1.0)))
-    out = stats.join(angles, "track_id").withColumn("min_triangulation_angle_deg", angle).filter(F.col("min_triangulation_angle_deg") >= min_angle_deg)
-    return out.select("track_id", *[F.col("point")[i].alias(n) for i, n in enumerate("xyz")], F.col("mean_px").alias("mean_reprojection_error_px"), F.col("max_px").alias("max_reprojection_error_px"), "num_observations", "min_triangulation_angle_deg")
-
-
-def triangulate_two_view(located: DataFrame, min_angle_deg: float = 1.0, max_px: float = 6.0, max_gap: float = 0.25, max_depth: float = 100.0) -> DataFrame:
-    """located, from match_geometry(), with the midpoint (x, y, z), gap_m, angle_deg, error_a_px, error_b_px and is_valid of each match."""
-    rays = located.withColumns({f"d_{n}": g.unit(g.rotate(F.col(f"T_{n}.R"), F.col(f"ray_{n}"))) for n in "ab"})
-    ca, cb, da, db = F.col("T_a.t"), F.col("T_b.t"), F.col("d_a"), F.col("d_b")
-    along = rays.withColumns({"k": g.dot(da, db), "wa": g.dot(g.minus(cb, ca), da), "wb": g.dot(g.minus(cb, ca), db)})
-    scale = 1 - F.col("k") * F.col("k")
-    steps = along.withColumn("scale", scale).withColumn("safe", F.when(F.abs("scale") > 1e-12, F.col("scale")).otherwise(1e-12))
-    steps = steps.withColumns({"s": (F.col("wa") - F.col("k") * F.col("wb")) / F.col("safe"), "r": (F.col("k") * F.col("wa") - F.col("wb")) / F.col("safe")})
-    ends = steps.withColumns({"pa": g.plus(ca, g.times(da, F.col("s"))), "pb": g.plus(cb, g.times(db, F.col("r")))})
-    mid = ends.withColumns({"point": g.times(g.plus(F.col("pa"), F.col("pb")), F.lit(0.5)), "gap_m": g.norm(g.minus(F.col("pa"), F.col("pb"))), "angle_deg": g.angle_deg(da, db)})
-    p = F.col("point")
-    mid = mid.withColumns({f"seen_{n}": cam.project_column(g.transform_back(F.col(f"T_{n}"), p), F.col("camera")) for n in "ab"})
-    mid = mid.withColumns({f"error_{n}_px": F.hypot(F.col(f"seen_{n}.u") - F.col(f"x_{n}"), F.col(f"seen_{n}.v") - F.col(f"y_{n}")) for n in "ab"})
-    fine = lambda c: ~F.isnan(c) & (F.col(c) <= max_px)
-    far = F.greatest(g.norm(g.minus(p, ca)), g.norm(g.minus(p, cb)))
-    valid = (g.dot(g.minus(p, ca), da) > 0) & (g.dot(g.minus(p, cb), db) > 0) & (F.col("angle_deg") >= min_angle_deg) & fine("error_a_px") & fine("error_b_px") & (F.col("gap_m") <= max_gap) & (far <= max_depth)
-    out = mid.withColumn("is_valid", F.coalesce(valid, F.lit(False))).withColumns({n: p[i] for i, n in enumerate("xyz")})
-    return out.drop("k", "wa", "wb", "scale", "safe", "s", "r", "pa", "pb", "point", "seen_a", "seen_b", "d_a", "d_b")
-
+    rows = cam.with_camera(joined.filter("T is not null"), cameras).join(whole.select("track_id"), "track_id")
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.sort_by([("track_id", "ascending"), ("image_id", "ascending")]).combine_chunks().to_batches()[0]
+        ids, first, at = np.unique(batch.column("track_id").to_numpy(), return_index=True, return_inverse=True)
+        (R, c), camera = mt.poses(batch.column("T")), mt.cameras(batch.column("camera"))
+        pixel = np.stack([mt.numbers(batch.column("x")), mt.numbers(batch.column("y"))], -1)
+        d = mt.unit(np.einsum("nij,nj->ni", R, arrays.unproject(pixel, camera)))
+        P = np.eye(3) - d[:, :, None] * d[:, None, :]
+        X = _points(np.add.reduceat(P, first), np.add.reduceat(np.einsum("nij,nj->ni", P, c), first))
+        seen = arrays.project(np.einsum("nji,nj->ni", R, X[at] - c), camera)
+        error, depth = np.hypot(*(seen - pixel).T), np.einsum("ni,ni->n", X[at] - c, d)
+        n = np.diff(np.append(first, len(at)))
+        mean = np.add.reduceat(error, first) / n
+        angle = np.degrees(np.arccos(np.clip(_largest_cosine(d, first, n), -1.0, 1.0)))
+        stats = (X[:, 0], X[:, 1], X[:, 2], mean, np.maximum.reduceat(error, first), n, angle)
+        good = (np.minimum.reduceat(depth, first) > 0) & (np.maximum.reduceat(depth, first) <= max_depth) & (mean <= max_mean_px) & (stats[4] <= max_px) & (angle >= min_angle_deg)
+        return pa.table([pa.array(v[good]) for v in (ids, *stats)], names=POINTS)
+
+    bucket = F.pmod(F.xxhash64("track_id"), F.lit(buckets))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(run, ", ".join(f"{n} {'long' if n in ('track_id', 'num_observations') else 'double'}" for n in POINTS))
+
+
+def _largest_cosine(d: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each run of n rays the largest cosine between two of them: every ray meets the one k places on, for each k."""
+    out = np.full(len(first), -np.inf)
+    run = np.repeat(np.arange(len(first)), n)
+    for k in range(1, int(n.max(initial=0))):
+        near = np.flatnonzero(run[:-k] == run[k:])
+        np.maximum.at(out, run[near], np.einsum("ni,ni->n", d[near], d[near + k]))
+    return out

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; a local one only where none is set and the master is local, as in tests. Elsewhere a missing setting is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return named or context.getCheckpointDir().get()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not (named or context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -47,6 +47,11 @@ FROM customer""",
     "fx_pose_markers": """
 SELECT image_id, image_id % 5 AS marker_id FROM fx_poses
 UNION SELECT image_id, 10 + image_id % 3 AS marker_id FROM fx_poses""",
+    "fx_path": """
+SELECT image_id, cos_y, sin_y, tx + 2e1 * floor(image_id / 4e2) AS tx, ty, tz, CAST(floor(image_id / 4e2) AS BIGINT) AS room FROM fx_poses""",
+    "fx_path_markers": """
+SELECT image_id, room * 20 + image_id % 5 AS marker_id FROM fx_path
+UNION SELECT image_id, room * 20 + 10 + image_id % 3 AS marker_id FROM fx_path""",
     "fx_features": """
 SELECT label AS image_id, vec_id AS feature_idx, embedding AS descriptor FROM embeddings""",
     "fx_matches": """
@@ -64,6 +69,8 @@ FROM part""",
 }
 TABLES = ("orders", "lineitem", "events", "customer", "embeddings", "part")
 CAMERA = {"camera_id": "c", "model": "pinhole_radtan", "image_width": 640, "image_height": 480, "fx": 500.0, "fy": 500.0, "cx": 320.0, "cy": 240.0, "xi": None, "k1": 0.0, "k2": 0.0, "p1": 0.0, "p2": 0.0, "k3": 0.0}
+DISTORTED = {"camera_id": "d", "k1": -0.2, "k2": 0.05, "p1": 0.001, "p2": -0.0005}
+OMNI = {"camera_id": "o", "model": "omni_radtan", "xi": 0.9}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,13 +104,27 @@ def with_views(sql: str) -> str:
     return head + ",\n".join(parts) + "\n" + body
 
 
-def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_poses as (image_id, T, camera_id)."""
+def poses(spark: SparkSession, sf_dir: str, name: str = "fx_poses") -> DataFrame:
+    """fx_poses, or another view of its columns, as (image_id, T, camera_id)."""
     T = g.pose(g.rotation_y(F.col("cos_y"), F.col("sin_y")), F.array("tx", "ty", "tz"))
-    return view(spark, sf_dir, "fx_poses").select("image_id", T.alias("T"), F.lit("c").alias("camera_id"))
+    return view(spark, sf_dir, name).select("image_id", T.alias("T"), F.lit("c").alias("camera_id"))
 
 
 def camera(spark: SparkSession) -> DataFrame:
+    return cameras(spark).filter("camera_id = 'c'")
+
+
+def cameras(spark: SparkSession) -> DataFrame:
+    """Three cameras: without distortion, with it, and one that sees all around."""
     from vertexmill.schemas import CAMERAS
 
-    return spark.createDataFrame([tuple(CAMERA[n] for n in CAMERAS.names)], CAMERAS)
+    rows = [CAMERA, CAMERA | DISTORTED, CAMERA | DISTORTED | OMNI]
+    return spark.createDataFrame([tuple(c[n] for n in CAMERAS.names) for c in rows], CAMERAS)
+
+
+def cameras_sql() -> str:
+    """The cameras for DuckDB, as a subquery with the column is_omni."""
+    names = ("fx", "fy", "cx", "cy", "xi", "k1", "k2", "p1", "p2", "k3")
+    rows = [(c["camera_id"], c["model"] == "omni_radtan", *[c[n] or 0.0 for n in names]) for c in (CAMERA, CAMERA | DISTORTED, CAMERA | DISTORTED | OMNI)]
+    values = ", ".join(f"('{i}', {str(o).lower()}, {', '.join(f'{x:e}' for x in rest)})" for i, o, *rest in rows)
+    return f"(SELECT * FROM (VALUES {values}) AS t(camera_id, is_omni, {', '.join(names)}))"

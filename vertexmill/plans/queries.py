@@ -138,19 +138,19 @@ def outliers(spark, d):
 
 
 def common_markers(spark, d):
-    return graph.common_markers(fx.view(spark, d, "fx_pose_markers"))
+    return graph.common_markers(fx.view(spark, d, "fx_path_markers"))
 
 
 def frame_pairs(spark, d):
-    common = graph.common_markers(fx.view(spark, d, "fx_pose_markers"))
-    chosen = pairs.select_frame_pairs(fx.poses(spark, d), common)
-    return chosen.select("image_id_a", "image_id_b", *r6("baseline_m", "optical_axis_angle_deg"), "common_marker_count", *r6("estimated_overlap_score"))
+    chosen = pairs.select_frame_pairs(fx.poses(spark, d, "fx_path"), fx.view(spark, d, "fx_path_markers"))
+    return chosen.select("image_id_a", "image_id_b", *r6("baseline_m", "optical_axis_angle_deg"), "common_marker_count", *r6("estimated_overlap_score"), "status")
 
 
-def _feature_pairs(features):
+def _feature_pairs(features, most: int = 10):
+    """Each image with those whose ids are up to `most` larger."""
     ids = features.select("image_id").distinct()
-    a, b = ids.withColumnRenamed("image_id", "image_id_a"), ids.withColumnRenamed("image_id", "image_id_b")
-    return a.join(b, F.col("image_id_a") < F.col("image_id_b"))
+    a = ids.select(F.col("image_id").alias("image_id_a"), F.explode(F.sequence(F.col("image_id") + 1, F.col("image_id") + most)).alias("image_id_b"))
+    return a.join(ids.withColumnRenamed("image_id", "image_id_b"), "image_id_b", "left_semi").select("image_id_a", "image_id_b")
 
 
 def mutual_match(spark, d):
@@ -159,11 +159,14 @@ def mutual_match(spark, d):
 
 
 def match_summary(spark, d):
+    """Images of every fifth id have features that do not fit, those after them none."""
     features = fx.view(spark, d, "fx_features")
     wanted = _feature_pairs(features)
     images = features.select("image_id").distinct()
-    outcomes = matching.pair_outcomes(wanted, images, images.limit(0).withColumn("reason", F.lit(None).cast("string")), matching.match_pairs(features, wanted))
-    return matching.match_summary(outcomes).drop("reasons")
+    rejected = images.filter("image_id % 5 = 3").withColumn("reason", F.concat(F.lit("features of another kind: "), F.col("image_id").cast("string")))
+    usable = images.filter("image_id % 5 < 3")
+    found = matching.match_pairs(features.join(usable, "image_id", "left_semi"), wanted)
+    return matching.match_summary(matching.pair_outcomes(wanted, usable, rejected, found)).withColumn("reasons", F.concat_ws("; ", "reasons"))
 
 
 def _located(spark, d):
@@ -183,18 +186,24 @@ def epipolar_pairs(spark, d):
 
 
 def two_view_points(spark, d):
-    found = tracks.triangulate_two_view(_located(spark, d), max_px=1e9, max_gap=5.0)
-    return found.filter("abs(1 - pow(cos(radians(angle_deg)), 2)) > 1e-3").select("match_id", *r6("x", "y", "z", "gap_m", "angle_deg"))
+    found = epipolar.triangulate_pairs(_located(spark, d), max_px=1e9, max_gap=5.0)
+    return found.filter("angle_deg > 2").select("match_id", *r6("x", "y", "z", "gap_m", "angle_deg"), "is_valid")
+
+
+def _camera_id(key: str):
+    return F.element_at(F.array(F.lit("c"), F.lit("d"), F.lit("o")), (F.col(key) % 3 + 1).cast("int"))
 
 
 def project_points(spark, d):
-    at = fx.poses(spark, d).join(fx.view(spark, d, "fx_pose_markers"), "image_id").withColumn("point", g.transform_back(F.col("T"), g.vector(F.col("marker_id") / 4.0, 1, F.col("marker_id") / 2.0 + 3)))
-    return cam.project(at, fx.camera(spark)).select("image_id", "marker_id", F.round(F.when(~F.isnan("pixel.u"), F.col("pixel.u")), 6).alias("u"), F.round(F.when(~F.isnan("pixel.v"), F.col("pixel.v")), 6).alias("v"))
+    """By the three cameras in turn."""
+    at = fx.poses(spark, d).join(fx.view(spark, d, "fx_pose_markers"), "image_id").withColumn("camera_id", _camera_id("image_id"))
+    at = at.withColumn("point", g.transform_back(F.col("T"), g.vector(F.col("marker_id") / 4.0, 1, F.col("marker_id") / 2.0 + 3)))
+    return cam.project(at, fx.cameras(spark)).select("image_id", "marker_id", F.round(F.when(~F.isnan("pixel.u"), F.col("pixel.u")), 6).alias("u"), F.round(F.when(~F.isnan("pixel.v"), F.col("pixel.v")), 6).alias("v"))
 
 
 def unproject_pixels(spark, d):
-    m = fx.view(spark, d, "fx_matches").select("match_id", F.struct(F.col("x_a").alias("u"), F.col("y_a").alias("v")).alias("pixel"), F.lit("c").alias("camera_id"))
-    rays = cam.unproject(m, fx.camera(spark))
+    m = fx.view(spark, d, "fx_matches").select("match_id", F.struct(F.col("x_a").alias("u"), F.col("y_a").alias("v")).alias("pixel"), _camera_id("match_id").alias("camera_id"))
+    rays = cam.unproject(m, fx.cameras(spark))
     return rays.select("match_id", *[F.round(F.col("ray")[i], 6).alias(n) for i, n in enumerate("xyz")])
 
 
@@ -255,9 +264,19 @@ def track_components(spark, d):
     return t.join(clean, F.col("track_id") == F.col("component"), "left_semi").groupBy("track_id").agg(F.count("*").alias("num_observations"))
 
 
+def _seen_points(spark, d):
+    """Tracks of the parts' points: pixels, off by parts of a pixel, in the images of the first two rooms' poses that look at them."""
+    p = fx.view(spark, d, "fx_points").select("track_id", (F.col("x") + 1).alias("x"), F.col("y"), (F.col("z") + 6).alias("z"))
+    pairs_ = p.select("track_id", "x", "y", "z", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("track_id") * 7 + k * 8) % 40 + F.lit(4).cast("long") * F.floor(F.col("track_id") / 100) % 100)).alias("image_id"))
+    at = pairs_.join(fx.poses(spark, d), "image_id").withColumn("q", g.transform_back(F.col("T"), g.vector(F.col("x"), F.col("y"), F.col("z")))).filter(F.col("q")[2] > 1.0)
+    c = fx.CAMERA
+    off = lambda k: ((F.col("track_id") * 31 + F.col("image_id") * 17 + k) % 11 - 5) / 100.0
+    return at.select("track_id", "image_id", (F.col("q")[0] / F.col("q")[2] * c["fx"] + c["cx"] + off(0)).alias("x"), (F.col("q")[1] / F.col("q")[2] * c["fy"] + c["cy"] + off(3)).alias("y"))
+
+
 def triangulate_tracks(spark, d):
-    found = tracks.triangulate(tracks.build_tracks(fx.view(spark, d, "fx_matches")), fx.poses(spark, d), fx.camera(spark), max_mean_px=1e6, max_px=1e6)
-    return found.select("track_id", "num_observations", *r6("x", "y", "z", "mean_reprojection_error_px"))
+    found = tracks.triangulate(_seen_points(spark, d), fx.poses(spark, d), fx.camera(spark))
+    return found.select("track_id", "num_observations", *r6("x", "y", "z", "mean_reprojection_error_px", "max_reprojection_error_px", "min_triangulation_angle_deg"))
 
 
 def _scene(spark, d):
@@ -289,8 +308,8 @@ def adjust_map(spark, d):
 
 
 def refine_points(spark, d):
-    obs = tracks.build_tracks(fx.view(spark, d, "fx_matches"))
-    p = tracks.triangulate(obs, fx.poses(spark, d), fx.camera(spark), max_mean_px=1e6, max_px=1e6).withColumn("point_id", F.col("track_id")).withColumn("is_active", F.lit(True))
+    obs = _seen_points(spark, d)
+    p = tracks.triangulate(obs, fx.poses(spark, d), fx.camera(spark)).withColumn("point_id", F.col("track_id")).withColumn("is_active", F.lit(True))
     return points.refine_points(p, obs, fx.poses(spark, d), fx.camera(spark)).select("point_id", *[F.round(c, 3).alias(c) for c in ("initial_cost", "final_cost")])
 
 
@@ -302,7 +321,9 @@ def residual_rows(spark, d):
 
 
 def calibration_frames(spark, d):
-    frames = fx.view(spark, d, "fx_images").join(fx.view(spark, d, "fx_detections").groupBy("image_id").agg(F.count("*").alias("num_corners")), "image_id").select(F.col("rel_path").alias("name"), F.col("ignored").cast("int").alias("width"), F.col("missing").cast("int").alias("height"), "num_corners")
+    wide = F.col("image_id") % 3 > 0
+    frames = fx.view(spark, d, "fx_images").join(fx.view(spark, d, "fx_detections").groupBy("image_id").agg(F.count("*").alias("num_corners")), "image_id")
+    frames = frames.select(F.col("rel_path").alias("name"), F.when(wide, 1920).otherwise(640).alias("width"), F.when(wide, 1080).otherwise(480).alias("height"), "num_corners")
     return adjust.usable_frames(frames, least_corners=3)
 
 
@@ -322,7 +343,7 @@ def pipeline_counts(spark, d):
 QUERIES = {f.__name__: f for f in (
     marker_overlap, image_listing, status_flags, detectable_images, catalog_sync, index_summary, set_ignored, replace_by_key, redetect_status, settings, latest_run, run_rows, fold_run_log, config_values,
     observation_counts, default_anchor, graph_components, reachability, graph_summary, seed_scores, residual_stats, outliers, common_markers, frame_pairs, mutual_match, match_summary,
-    epipolar_filter, sampson_filter, epipolar_pairs, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
+    epipolar_filter, sampson_filter, epipolar_pairs, two_view_points, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
     build_tracks, track_components, triangulate_tracks, estimate_poses, adjust_map, refine_points, residual_rows, calibration_frames, pair_upsert, pipeline_counts,
 )}
 
@@ -361,7 +382,7 @@ UNION ALL SELECT 'image', image_id, count(*) FROM fx_detections GROUP BY 2""",
 SELECT image_id, marker_id, round(max(error_px), 6) AS max_error_px, round(avg(error_px), 6) AS mean_error_px FROM fx_errors GROUP BY 1, 2 HAVING max(error_px) > 9.5 OR avg(error_px) > 8""",
     "common_markers": """
 SELECT a.image_id AS image_id_a, b.image_id AS image_id_b, count(*) AS common_marker_count
-FROM fx_pose_markers a JOIN fx_pose_markers b ON a.marker_id = b.marker_id AND a.image_id < b.image_id GROUP BY 1, 2""",
+FROM fx_path_markers a JOIN fx_path_markers b ON a.marker_id = b.marker_id AND a.image_id < b.image_id GROUP BY 1, 2""",
     "mutual_match": """
 WITH f AS (SELECT image_id, feature_idx, descriptor::DOUBLE[] AS v FROM fx_features),
 s AS (SELECT a.image_id AS image_id_a, b.image_id AS image_id_b, a.feature_idx AS feature_idx_a, b.feature_idx AS feature_idx_b, list_inner_product(a.v, b.v) AS score FROM f a JOIN f b ON a.image_id < b.image_id),
@@ -383,5 +404,161 @@ SELECT DISTINCT n.point_id FROM n WHERE total <= 500 OR i IN (SELECT CAST(floor(
 }
 
 
+_MATCHED = """
+f AS (SELECT image_id, feature_idx, descriptor::DOUBLE[] AS v FROM fx_features),
+s AS (SELECT a.image_id AS image_id_a, b.image_id AS image_id_b, a.feature_idx AS feature_idx_a, b.feature_idx AS feature_idx_b, list_inner_product(a.v, b.v) AS score FROM f a JOIN f b ON b.image_id - a.image_id BETWEEN 1 AND 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id_b, image_id_a, feature_idx_a ORDER BY score DESC, feature_idx_b) AS ra, row_number() OVER (PARTITION BY image_id_a, image_id_b, feature_idx_b ORDER BY score DESC, feature_idx_a) AS rb FROM s)"""
+#: Markers with the smallest marker that they reach, over the edges of view e.
+_COMPONENTS = """
+reach(marker_id, root) AS (SELECT DISTINCT marker_id, marker_id FROM e UNION SELECT b.marker_id, r.root FROM reach r JOIN e a ON a.marker_id = r.marker_id JOIN e b ON a.image_id = b.image_id),
+comp AS (SELECT marker_id, min(root) AS component FROM reach GROUP BY 1)"""
+_EDGES = "e AS (SELECT DISTINCT image_id, marker_id FROM fx_edges),"
+_GOOD_EDGES = "e AS (SELECT DISTINCT image_id, marker_id FROM fx_edges WHERE err IS NOT NULL),"
+#: Matches with both poses, rays of unit length (a1 a2 a3, b1 b2 b3), and the pose of camera a in the frame of camera b about the y axis (c, s, t1 t2 t3).
+_LOCATED = """
+z AS (SELECT m.match_id, m.image_id_a, m.image_id_b, (x_a - 3.2e2) / 5e2 AS ax, (y_a - 2.4e2) / 5e2 AS ay, (x_b - 3.2e2) / 5e2 AS bx, (y_b - 2.4e2) / 5e2 AS b_y,
+             p.cos_y AS ca, p.sin_y AS sa, q.cos_y AS cb, q.sin_y AS sb, p.tx AS pax, p.ty AS pay, p.tz AS paz, q.tx AS pbx, q.ty AS pby, q.tz AS pbz,
+             p.tx - q.tx AS dx, p.ty - q.ty AS dy, p.tz - q.tz AS dz
+      FROM fx_matches m JOIN fx_poses p ON m.image_id_a = p.image_id JOIN fx_poses q ON m.image_id_b = q.image_id),
+l AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS baseline, ax / sqrt(ax * ax + ay * ay + 1) AS a1, ay / sqrt(ax * ax + ay * ay + 1) AS a2, 1 / sqrt(ax * ax + ay * ay + 1) AS a3,
+             bx / sqrt(bx * bx + b_y * b_y + 1) AS b1, b_y / sqrt(bx * bx + b_y * b_y + 1) AS b2, 1 / sqrt(bx * bx + b_y * b_y + 1) AS b3,
+             cb * ca + sb * sa AS c, cb * sa - sb * ca AS s, cb * dx - sb * dz AS t1, dy AS t2, sb * dx + cb * dz AS t3 FROM z)"""
+_ANGULAR = """
+w AS (SELECT *, c * a1 + s * a3 AS w1, a2 AS w2, c * a3 - s * a1 AS w3 FROM l),
+n AS (SELECT *, t2 * w3 - t3 * w2 AS n1, t3 * w1 - t1 * w3 AS n2, t1 * w2 - t2 * w1 AS n3 FROM w),
+err AS (SELECT match_id, image_id_a, image_id_b, CASE WHEN baseline < 3e-2 OR sqrt(n1 * n1 + n2 * n2 + n3 * n3) <= 1e-12 THEN 'inf'::DOUBLE
+               ELSE abs(n1 * b1 + n2 * b2 + n3 * b3) / sqrt(n1 * n1 + n2 * n2 + n3 * n3) END AS error FROM n)"""
+_SCENE = """
+seen AS (SELECT p.image_id, m.marker_id, k.corner, cos_y, sin_y, p.tx, p.ty, p.tz,
+                m.marker_id / 8e0 + k.px * 1.25e-1 - p.tx AS vx, m.marker_id % 4 / 2e0 + k.py * 1.25e-1 - p.ty AS vy, m.marker_id / 8e0 + 6e0 - p.tz AS vz
+         FROM fx_poses p JOIN fx_pose_markers m ON p.image_id = m.image_id, (VALUES (0, -1, 1), (1, 1, 1), (2, 1, -1), (3, -1, -1)) AS k(corner, px, py)),
+scene AS (SELECT image_id, marker_id, corner FROM seen QUALIFY min(sin_y * vx + cos_y * vz) OVER (PARTITION BY image_id, marker_id) > 1)"""
+_DISTORT = """x * (1 + r2 * (k1 + r2 * (k2 + r2 * k3))) + 2 * p1 * x * y + p2 * (r2 + 2 * x * x) AS xd, y * (1 + r2 * (k1 + r2 * (k2 + r2 * k3))) + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y AS yd"""
+_CAMERA_OF = "CASE {} % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'd' ELSE 'o' END"
+
+ORACLES |= {
+    "mutual_match": f"WITH {_MATCHED} SELECT CAST(image_id_a AS BIGINT) AS image_id_a, CAST(image_id_b AS BIGINT) AS image_id_b, feature_idx_a, feature_idx_b, round(score, 6) AS match_score FROM r WHERE ra = 1 AND rb = 1 AND score > 0.1",
+    "match_summary": f"""WITH {_MATCHED},
+ids AS (SELECT DISTINCT image_id FROM fx_features),
+p AS (SELECT a.image_id AS image_id_a, b.image_id AS image_id_b, CASE WHEN a.image_id % 5 = 4 OR b.image_id % 5 = 4 THEN 'missing' WHEN a.image_id % 5 = 3 OR b.image_id % 5 = 3 THEN 'other' ELSE 'matched' END AS outcome,
+             CASE WHEN a.image_id % 5 = 3 THEN a.image_id WHEN b.image_id % 5 = 3 THEN b.image_id END AS bad
+      FROM ids a JOIN ids b ON b.image_id - a.image_id BETWEEN 1 AND 10),
+n AS (SELECT image_id_a, image_id_b, count(*) AS n FROM r WHERE ra = 1 AND rb = 1 AND score > 0.1 GROUP BY 1, 2),
+o AS (SELECT p.*, CASE WHEN outcome = 'matched' THEN coalesce(n, 0) END AS raw FROM p LEFT JOIN n USING (image_id_a, image_id_b)),
+why AS (SELECT bad, min((image_id_a, image_id_b)) AS first_at FROM o WHERE bad IS NOT NULL GROUP BY 1 ORDER BY first_at LIMIT 3)
+SELECT count(*) FILTER (outcome = 'matched') AS matched_pairs, count(*) FILTER (outcome <> 'matched') AS skipped_pairs, CAST(0 AS BIGINT) AS failed_pairs, CAST(coalesce(sum(raw), 0) AS BIGINT) AS raw_matches,
+       coalesce(min(raw), 0) AS min_matches, CAST(coalesce(floor(median(raw)), 0) AS BIGINT) AS median_matches, coalesce(max(raw), 0) AS max_matches,
+       coalesce((SELECT string_agg('features of another kind: ' || bad, '; ' ORDER BY first_at) FROM why), '') AS reasons FROM o""",
+    "index_summary": "SELECT count(*) FILTER (change IN ('new', 'updated', 'unchanged')) AS found, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'missing') AS missing, count(*) FILTER (change = 'unchanged') AS unchanged FROM (" + ORACLES["catalog_sync"] + ")",
+    "redetect_status": """
+SELECT i.image_id, CASE WHEN i.modified_since_detection THEN CASE WHEN n.image_id IS NOT NULL THEN 'detected' ELSE 'no_markers' END ELSE i.detection_status END AS detection_status, false AS modified_since_detection
+FROM fx_images i LEFT JOIN (SELECT DISTINCT image_id FROM fx_detections WHERE marker_id >= 50) n ON i.image_id = n.image_id""",
+    "fold_run_log": """
+SELECT project_id, round(arg_max(mean_error_px, run_id) FILTER (success AND mean_error_px IS NOT NULL), 6) AS mean_error_px, arg_max(setting_json, run_id) FILTER (NOT success AND setting_json IS NOT NULL) AS error_message FROM fx_runs GROUP BY 1""",
+    "config_values": "SELECT run_id, coalesce(CAST(json_extract(setting_json, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(setting_json, '$.loss'), 'huber') AS loss FROM fx_runs",
+    "graph_components": f"WITH RECURSIVE {_EDGES} {_COMPONENTS} SELECT 'marker' AS kind, marker_id AS id, component FROM comp UNION ALL SELECT 'image', image_id, min(component) FROM e JOIN comp USING (marker_id) GROUP BY image_id",
+    "reachability": f"WITH RECURSIVE {_EDGES} {_COMPONENTS} SELECT marker_id, component = (SELECT min(marker_id) FROM comp) AS is_connected FROM comp",
+    "graph_summary": f"""WITH RECURSIVE {_EDGES} {_COMPONENTS}
+SELECT (SELECT count(DISTINCT image_id) FROM fx_edges) AS num_images, (SELECT count(DISTINCT marker_id) FROM fx_edges) AS num_markers, (SELECT count(*) FROM fx_edges) AS num_observations,
+       (SELECT count(*) FROM (SELECT DISTINCT a.marker_id, b.marker_id FROM e a JOIN e b ON a.image_id = b.image_id AND a.marker_id < b.marker_id)) AS num_overlap_edges,
+       count(DISTINCT component) AS num_components, count(*) FILTER (component = low) AS num_connected_markers, count(*) FILTER (component <> low) AS num_disconnected_markers, true AS anchor_exists, any_value(low) AS anchor
+FROM comp, (SELECT min(marker_id) AS low FROM comp)""",
+    # every seeded marker and image proposes along all its edges, so the smallest error of an edge wins
+    "seed_scores": f"""WITH RECURSIVE {_GOOD_EDGES} {_COMPONENTS},
+home AS (SELECT marker_id FROM comp WHERE component = (SELECT min(marker_id) FROM fx_edges)),
+near AS (SELECT x.* FROM fx_edges x JOIN home USING (marker_id) WHERE err IS NOT NULL)
+SELECT 'image' AS kind, image_id AS id, round(min(err), 6) AS score FROM near GROUP BY image_id
+UNION ALL SELECT 'marker', marker_id, CASE WHEN marker_id = (SELECT min(marker_id) FROM fx_edges) THEN 0e0 ELSE round(min(err), 6) END FROM near GROUP BY marker_id""",
+    "frame_pairs": """
+WITH k AS (SELECT image_id, list(marker_id) AS markers FROM fx_path_markers GROUP BY 1),
+p AS (SELECT * FROM fx_path JOIN k USING (image_id)),
+near AS (SELECT a.image_id AS image_id_a, b.image_id AS image_id_b, sqrt((a.tx - b.tx) * (a.tx - b.tx) + (a.ty - b.ty) * (a.ty - b.ty) + (a.tz - b.tz) * (a.tz - b.tz)) AS baseline_m,
+                degrees(acos(greatest(-1e0, least(1e0, a.sin_y * b.sin_y + a.cos_y * b.cos_y)))) AS angle, len(list_intersect(a.markers, b.markers)) AS common
+         FROM p a JOIN p b ON a.image_id < b.image_id AND b.room - a.room <= 1),
+fine AS (SELECT *, 1e0 / (1e0 + baseline_m) + 2e-1 * common AS score FROM near WHERE baseline_m BETWEEN 3e-2 AND 5e0 AND angle <= 6e1),
+ends AS (SELECT *, image_id_a AS image_id FROM fine UNION ALL SELECT *, image_id_b FROM fine),
+best AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, image_id_a, image_id_b) <= 10)
+SELECT DISTINCT image_id_a, image_id_b, round(baseline_m, 6) AS baseline_m, round(angle, 6) AS optical_axis_angle_deg, CAST(common AS BIGINT) AS common_marker_count, round(score, 6) AS estimated_overlap_score, 'candidate' AS status FROM best""",
+    "epipolar_filter": f"WITH {_LOCATED}, {_ANGULAR} SELECT match_id, round(error, 6) AS epipolar_error, error <= 5e-2 AS is_epipolar_inlier FROM err",
+    "epipolar_pairs": f"WITH {_LOCATED}, {_ANGULAR} SELECT image_id_a, image_id_b, count(*) FILTER (error <= 5e-2) AS num_epipolar_inliers, CASE WHEN count(*) FILTER (error <= 5e-2) >= 8 THEN 'filtered' ELSE 'few_inliers' END AS status FROM err GROUP BY 1, 2",
+    "sampson_filter": f"""WITH {_LOCATED},
+w AS (SELECT *, c * ax + s AS w1, ay AS w2, c - s * ax AS w3, b_y * t3 - t2 AS u1, t1 - bx * t3 AS u2, bx * t2 - b_y * t1 AS u3 FROM l),
+n AS (SELECT *, t2 * w3 - t3 * w2 AS n1, t3 * w1 - t1 * w3 AS n2, t1 * w2 - t2 * w1 AS n3, c * u1 - s * u3 AS m1, u2 AS m2 FROM w),
+q AS (SELECT *, n1 * n1 + n2 * n2 + m1 * m1 + m2 * m2 AS scale, bx * n1 + b_y * n2 + n3 AS value FROM n),
+err AS (SELECT match_id, CASE WHEN baseline < 3e-2 OR scale <= 1e-12 THEN 'inf'::DOUBLE ELSE value * value / scale END AS error FROM q)
+SELECT match_id, round(error, 6) AS epipolar_error, error <= 1e-2 AS is_epipolar_inlier FROM err""",
+    "two_view_points": f"""WITH {_LOCATED},
+r AS (SELECT match_id, pax, pay, paz, pbx, pby, pbz, ca * a1 + sa * a3 AS d1, a2 AS d2, ca * a3 - sa * a1 AS d3, cb * b1 + sb * b3 AS e1, b2 AS e2, cb * b3 - sb * b1 AS e3, -dx AS hx, -dy AS hy, -dz AS hz, ca, sa, cb, sb, ax, ay, bx, b_y FROM l),
+k AS (SELECT *, d1 * e1 + d2 * e2 + d3 * e3 AS k, hx * d1 + hy * d2 + hz * d3 AS wa, hx * e1 + hy * e2 + hz * e3 AS wb FROM r),
+s AS (SELECT *, (wa - k * wb) / (1 - k * k) AS s, (k * wa - wb) / (1 - k * k) AS r, degrees(acos(greatest(-1e0, least(1e0, k)))) AS angle FROM k WHERE degrees(acos(greatest(-1e0, least(1e0, k)))) > 2),
+p AS (SELECT *, pax + s * d1 AS x1, pay + s * d2 AS y1, paz + s * d3 AS z1, pbx + r * e1 AS x2, pby + r * e2 AS y2, pbz + r * e3 AS z2 FROM s),
+m AS (SELECT *, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, (z1 + z2) / 2 AS z, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2) + (z1 - z2) * (z1 - z2)) AS gap FROM p),
+v AS (SELECT *, ca * (x - pax) - sa * (z - paz) AS qx, y - pay AS qy, sa * (x - pax) + ca * (z - paz) AS qz, cb * (x - pbx) - sb * (z - pbz) AS ox, y - pby AS oy, sb * (x - pbx) + cb * (z - pbz) AS oz FROM m)
+SELECT match_id, round(x + 0e0, 6) AS x, round(y + 0e0, 6) AS y, round(z + 0e0, 6) AS z, round(gap, 6) AS gap_m, round(angle, 6) AS angle_deg,
+       coalesce((x - pax) * d1 + (y - pay) * d2 + (z - paz) * d3 > 0 AND (x - pbx) * e1 + (y - pby) * e2 + (z - pbz) * e3 > 0 AND qz > 1e-12 AND oz > 1e-12
+                AND sqrt(pow(5e2 * (qx / qz - ax), 2) + pow(5e2 * (qy / qz - ay), 2)) <= 1e9 AND sqrt(pow(5e2 * (ox / oz - bx), 2) + pow(5e2 * (oy / oz - b_y), 2)) <= 1e9
+                AND gap <= 5e0 AND greatest(sqrt((x - pax) * (x - pax) + (y - pay) * (y - pay) + (z - paz) * (z - paz)), sqrt((x - pbx) * (x - pbx) + (y - pby) * (y - pby) + (z - pbz) * (z - pbz))) <= 1e2, false) AS is_valid
+FROM v""",
+    "project_points": f"""
+WITH v AS (SELECT p.image_id, m.marker_id, {_CAMERA_OF.format("p.image_id")} AS camera_id, cos_y, sin_y, m.marker_id / 4e0 - tx AS vx, 1e0 - ty AS vy, m.marker_id / 2e0 + 3e0 - tz AS vz FROM fx_poses p JOIN fx_pose_markers m ON p.image_id = m.image_id),
+l AS (SELECT image_id, marker_id, camera_id, cos_y * vx - sin_y * vz AS x0, vy AS y0, sin_y * vx + cos_y * vz AS z0 FROM v),
+c AS (SELECT l.*, cams.* EXCLUDE (camera_id), z0 + CASE WHEN is_omni THEN xi * sqrt(x0 * x0 + y0 * y0 + z0 * z0) ELSE 0e0 END AS depth FROM l JOIN {fx.cameras_sql()} cams USING (camera_id)),
+n AS (SELECT *, x0 / depth AS x, y0 / depth AS y, (x0 * x0 + y0 * y0) / (depth * depth) AS r2 FROM c),
+q AS (SELECT *, {_DISTORT} FROM n)
+SELECT image_id, marker_id, CASE WHEN depth > 1e-12 THEN round(fx * xd + cx, 6) END AS u, CASE WHEN depth > 1e-12 THEN round(fy * yd + cy, 6) END AS v FROM q""",
+    "unproject_pixels": f"""
+WITH RECURSIVE m AS (SELECT match_id, (x_a - cx) / fx AS x0, (y_a - cy) / fy AS y0, cams.* FROM (SELECT *, {_CAMERA_OF.format("match_id")} AS camera_id FROM fx_matches) JOIN {fx.cameras_sql()} cams USING (camera_id)),
+steps AS (SELECT 0 AS n, match_id, x0, y0, is_omni, xi, k1, k2, p1, p2, k3, x0 AS x, y0 AS y, x0 * x0 + y0 * y0 AS r2 FROM m
+  UNION ALL SELECT n + 1, match_id, x0, y0, is_omni, xi, k1, k2, p1, p2, k3, x + x0 - xd, y + y0 - yd, pow(x + x0 - xd, 2) + pow(y + y0 - yd, 2) FROM (SELECT *, {_DISTORT} FROM steps) WHERE n < 10),
+r AS (SELECT match_id, x, y, is_omni, xi, (xi + sqrt(greatest(0e0, 1 + (1 - xi * xi) * r2))) / (1 + r2) AS alpha FROM steps WHERE n = 10),
+f AS (SELECT match_id, CASE WHEN is_omni THEN alpha * x ELSE x END AS x, CASE WHEN is_omni THEN alpha * y ELSE y END AS y, CASE WHEN is_omni THEN alpha - xi ELSE 1e0 END AS z FROM r)
+SELECT match_id, round(x / sqrt(x * x + y * y + z * z), 6) AS x, round(y / sqrt(x * x + y * y + z * z), 6) AS y, round(z / sqrt(x * x + y * y + z * z), 6) AS z FROM f""",
+    "marker_map": """
+SELECT image_id * 4 + corner AS id, round(cos_y * px * 1.25e-1 + tx, 6) AS x, round(py * 1.25e-1 + ty, 6) AS y, round(tz - sin_y * px * 1.25e-1, 6) AS z
+FROM fx_poses, (VALUES (0, -1, -1), (1, -1, 1), (2, 1, 1), (3, 1, -1)) AS k(corner, px, py)""",
+    "relative_poses": """
+SELECT image_id_a, image_id_b, round(q.cos_y * (p.tx - q.tx) - q.sin_y * (p.tz - q.tz) + 0e0, 6) AS t0, round(p.ty - q.ty + 0e0, 6) AS t1, round(q.sin_y * (p.tx - q.tx) + q.cos_y * (p.tz - q.tz) + 0e0, 6) AS t2, round(q.cos_y * p.sin_y - q.sin_y * p.cos_y + 0e0, 6) AS r02
+FROM (SELECT DISTINCT image_id_a, image_id_b FROM fx_matches) JOIN fx_poses p ON image_id_a = p.image_id JOIN fx_poses q ON image_id_b = q.image_id""",
+    "track_components": """
+WITH RECURSIVE m AS (SELECT image_id_a * 4294967296 + feature_idx_a AS u, image_id_b * 4294967296 + feature_idx_b AS v FROM fx_matches),
+e AS (SELECT DISTINCT u, v FROM m UNION SELECT v, u FROM m),
+-- labels only fall, each node taking the smallest label that reaches it
+reach(node, root) AS (SELECT DISTINCT u, u FROM e UNION SELECT e.v, r.root FROM reach r JOIN e ON e.u = r.node WHERE r.root < e.v),
+comp AS (SELECT node, min(root) AS component FROM reach GROUP BY 1)
+SELECT component AS track_id, count(*) AS num_observations FROM comp GROUP BY 1 HAVING count(*) = count(DISTINCT node // 4294967296)""",
+    "residual_rows": f"""WITH {_SCENE},
+r AS (SELECT image_id, marker_id, corner, ((image_id * 31 + marker_id * 17 + corner) % 11 - 5) / 1e2 AS rx, -((image_id * 31 + marker_id * 17 + corner + 3) % 11 - 5) / 1e2 AS ry FROM scene)
+SELECT image_id, marker_id, corner, round(sqrt(rx * rx + ry * ry), 6) AS error_px, round(rx + 0e0, 6) AS residual_x_px, round(ry + 0e0, 6) AS residual_y_px FROM r""",
+    "calibration_frames": """
+WITH n AS (SELECT image_id, count(*) AS num_corners FROM fx_detections GROUP BY 1),
+f AS (SELECT rel_path AS name, CASE WHEN image_id % 3 > 0 THEN 1920 ELSE 640 END AS width, CASE WHEN image_id % 3 > 0 THEN 1080 ELSE 480 END AS height, num_corners FROM fx_images JOIN n USING (image_id) WHERE num_corners >= 3),
+good AS (SELECT * FROM f WHERE width = (SELECT arg_min(width, name) FROM f))
+SELECT * FROM good WHERE (SELECT count(*) FROM good) >= 5""",
+    "pair_upsert": """
+SELECT image_id_a, image_id_b, CASE WHEN count(*) > 1 THEN 'candidate' ELSE 'matched' END AS status, CASE WHEN count(*) > 1 THEN 0 ELSE count(*) END AS num_raw_matches FROM fx_matches GROUP BY 1, 2""",
+    "pipeline_counts": """
+WITH f AS (SELECT image_id, count(*) AS n FROM fx_features GROUP BY 1)
+SELECT count(*) AS feature_images, CAST(coalesce(sum(n), 0) AS BIGINT) AS keypoints, count(*) AS features, (SELECT count(DISTINCT pair_id) FROM fx_matches) AS pairs, (SELECT count(DISTINCT pair_id) FROM fx_matches) AS matched_pairs,
+       (SELECT count(*) FROM fx_matches) AS matches, (SELECT count(*) FROM fx_matches WHERE x_a < 300) AS inliers, (SELECT count(*) FROM fx_points) AS tracks, (SELECT count(*) FROM fx_points WHERE z > 1) AS points
+FROM f WHERE image_id < 7""",
+    "triangulate_tracks": """
+WITH pts AS (SELECT track_id, x + 1e0 AS x, y, z + 6e0 AS z FROM fx_points),
+see AS (SELECT track_id, p.*, cos_y * (x - tx) - sin_y * (z - tz) AS qx, y - ty AS qy, sin_y * (x - tx) + cos_y * (z - tz) AS qz
+        FROM pts, range(5) AS k(k), fx_poses p WHERE p.image_id = (track_id * 7 + k * 8) % 40 + (4 * CAST(floor(track_id / 1e2) AS BIGINT)) % 100),
+obs AS (SELECT track_id, image_id, cos_y AS c, sin_y AS s, tx, ty, tz, qx / qz + ((track_id * 31 + image_id * 17) % 11 - 5) / 5e4 AS u, qy / qz + ((track_id * 31 + image_id * 17 + 3) % 11 - 5) / 5e4 AS v FROM see WHERE qz > 1),
+n AS (SELECT track_id FROM obs GROUP BY 1 HAVING count(*) >= 2),
+ray AS (SELECT obs.*, (c * u + s) / sqrt(u * u + v * v + 1) AS d1, v / sqrt(u * u + v * v + 1) AS d2, (c - s * u) / sqrt(u * u + v * v + 1) AS d3 FROM obs JOIN n USING (track_id)),
+sums AS (SELECT track_id, count(*) AS num_observations, sum(1 - d1 * d1) AS a, sum(-d1 * d2) AS b, sum(-d1 * d3) AS c, sum(1 - d2 * d2) AS d, sum(-d2 * d3) AS e, sum(1 - d3 * d3) AS f,
+         sum(tx - d1 * (d1 * tx + d2 * ty + d3 * tz)) AS g, sum(ty - d2 * (d1 * tx + d2 * ty + d3 * tz)) AS h, sum(tz - d3 * (d1 * tx + d2 * ty + d3 * tz)) AS i FROM ray GROUP BY 1),
+det AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM sums),
+x AS (SELECT track_id, num_observations, (g * (d * f - e * e) - b * (h * f - e * i) + c * (h * e - d * i)) / det AS x, (a * (h * f - e * i) - g * (b * f - c * e) + c * (b * i - c * h)) / det AS y, (a * (d * i - h * e) - b * (b * i - h * c) + g * (b * e - c * d)) / det AS z FROM det),
+back AS (SELECT x.*, ray.*  EXCLUDE (track_id), c * (x - tx) - s * (z - tz) AS qx, y - ty AS qy, s * (x - tx) + c * (z - tz) AS qz, (x - tx) * d1 + (y - ty) * d2 + (z - tz) * d3 AS depth FROM x JOIN ray USING (track_id)),
+err AS (SELECT track_id, any_value(num_observations) AS num_observations, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, avg(5e2 * sqrt(pow(qx / qz - u, 2) + pow(qy / qz - v, 2))) AS mean_px, max(5e2 * sqrt(pow(qx / qz - u, 2) + pow(qy / qz - v, 2))) AS max_px, min(depth) AS near, max(depth) AS far FROM back GROUP BY 1),
+angles AS (SELECT p.track_id, degrees(acos(greatest(-1e0, least(1e0, max(p.d1 * q.d1 + p.d2 * q.d2 + p.d3 * q.d3))))) AS angle FROM ray p JOIN ray q ON p.track_id = q.track_id AND p.image_id < q.image_id GROUP BY 1)
+SELECT track_id, num_observations, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(mean_px, 6) AS mean_reprojection_error_px, round(max_px, 6) AS max_reprojection_error_px, round(angle, 6) AS min_triangulation_angle_deg
+FROM err JOIN angles USING (track_id) WHERE near > 0 AND far <= 1e2 AND mean_px <= 3 AND max_px <= 6 AND angle >= 1""",
+}
+
+
 def oracles() -> dict[str, str]:
     return {name: fx.with_views(sql) for name, sql in ORACLES.items()}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vertexmill.functions import geometry as g
 
@@ -24,8 +26,14 @@ def marker_map(poses: DataFrame, size: float) -> DataFrame:
     return explode_corners(poses, size).select(F.shiftleft(checked, 2).bitwiseOR(F.col("corner")).alias("id"), "x", "y", "z")
 
 
+@F.pandas_udf(T.StringType())
+def _six_decimals(x: pd.Series) -> pd.Series:
+    """The number's exact value to six decimals, ties to even."""
+    return x.map("{:.6f}".format)
+
+
 def _six(name: str):
-    return F.format_string("%.6f", F.col(name)).alias(name)
+    return _six_decimals(name).alias(name)
 
 
 def export_marker_map(poses: DataFrame, size: float, path: str) -> None:
