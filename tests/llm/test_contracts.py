@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from vertexmill.llm import bitplane, bpe, lblm, quality, queries
+from vertexmill.llm import bitplane, bpe, lblm, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXTS = [
@@ -27,7 +28,7 @@ def docs(spark):
 
 
 def test_op3_against_the_library(docs):
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    path = public_tokenizers.path("byte_bpe_50k.json")
     library, want = Tokenizer.from_file(path), []
     for i, t in ROWS:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -38,7 +39,7 @@ def test_op3_against_the_library(docs):
 
 
 def test_op8_against_the_library(docs):
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     want = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in ROWS]
     rows = bitplane.read_ids(bitplane.write_ids(docs, path, 1)).collect()

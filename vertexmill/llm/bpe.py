@@ -4,11 +4,10 @@ Texts are cut into pre-tokens; the distinct new ones of a batch are encoded
 together. An index maps each pair of neighbouring symbols to all its places in
 the batch. Ranks are applied in ascending order: all places of the pair of the
 lowest active rank are merged, left to right, and the lists of the pairs that
-this breaks or makes are updated. Results are kept per worker, in two
-generations of bounded size, so that common chunks are encoded once.
-
-Chunks are texts cut before each space that stands between two characters that
-are not white space; such a place is always a pre-token boundary.
+this breaks or makes are updated. Pre-tokens are numbered; a worker keeps the
+ids of those it has met, up to a bounded number, in one flat array, so that
+common ones are encoded once. A batch's ids, their decimals and the bytes that
+they stand for are gathered by these numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +26,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks in each of the two generations that a worker keeps.
-KEPT_CHUNKS = 200_000
+#: Pre-tokens that a worker keeps before it starts afresh.
+KEPT_WORDS = 300_000
 #: The rank of pairs that do not merge.
 NONE = 1 << 40
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pre-token pattern of byte-level BPE, with Unicode white space spelled out.
 PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_S}\\p{{L}}\\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _PRETOKEN = regex.compile(PATTERN)
-_SPACES = f"[{_S}] | [{_S}]|^ | $"
-_UNEVEN = regex.compile(_SPACES)
 
 
 def byte_letters() -> list[str]:
@@ -50,12 +46,30 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(free)) for b in range(256)]
 
 
-class Entry(NamedTuple):
-    """Ids, the ids as decimals with commas, and the bytes that they stand for."""
+class Runs:
+    """Byte strings or arrays one behind the other: run k is flat[start[k] : start[k] + size[k]]."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+        self.start = np.cumsum(size) - size
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> Runs:
+        return cls(np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts)))
+
+    def take(self, which: np.ndarray) -> Runs:
+        """The runs of these numbers, one behind the other."""
+        size = self.size[which]
+        out = Runs(self.flat[:0], size)
+        shift = (self.start[which] - out.start).astype(np.int32)
+        at = np.arange(int(size.sum()), dtype=np.int32)
+        at += np.repeat(shift, size)
+        out.flat = self.flat[at]
+        return out
 
-    ids: tuple[int, ...]
-    text: str
-    data: bytes
+    def bounds(self, runs: np.ndarray) -> np.ndarray:
+        """Where the flat values of each of so many runs in turn begin, with the end of the last."""
+        return np.append(self.start, len(self.flat))[np.concatenate([[0], np.cumsum(runs)])]
 
 
 class Vocabulary:
@@ -79,12 +93,16 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes = {i: bytes(of_letter[c] for c in token) for token, i in vocab.items() if all(c in of_letter for c in token)}
         self.token_bytes |= {i: token.encode() for token, i in self.special.items()}
+        known = range(max(self.token_bytes, default=-1) + 1)
+        self.bytes = Runs.of([self.token_bytes.get(i, b"") for i in known])
+        self.decimals = Runs.of([f"{i},".encode() for i in known])
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        # special tokens stay in the younger generation
-        self.chunks: dict[str, Entry] = {t: self.entry((i,)) for t, i in self.special.items()}
-        self.older: dict[str, Entry] = {}
-        self.words: dict[str, Entry] = {}
-        self.older_words: dict[str, Entry] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Keep the special tokens alone."""
+        self.words = {t: k for k, t in enumerate(self.special)}
+        self.ids = Runs(np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
     def ranks_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; NONE where they do not merge."""
@@ -154,51 +172,36 @@ class Vocabulary:
         ends = np.flatnonzero(left == self.width - 1)
         return left[left != self.width - 1], np.diff(ends, prepend=-1) - 1
 
-    def entry(self, ids: tuple[int, ...]) -> Entry:
-        return Entry(ids, ",".join(map(str, ids)), b"".join([self.token_bytes[i] for i in ids]))
-
     def learn(self, new: list[str]) -> None:
-        """Encode chunks and keep them."""
-        if len(self.words) > KEPT_CHUNKS:
-            self.older_words, self.words = self.words, {}
-        words, find = self.words, _PRETOKEN.findall
-        parts = [find(c) for c in new]
-        missing = set().union(*parts) - words.keys()
-        known = missing & self.older_words.keys()
-        words |= {p: self.older_words[p] for p in known}
-        fresh = list(missing - known)
-        ids, n = self.merge([p.encode() for p in fresh])
-        ids, stop = ids.tolist(), np.cumsum(n).tolist()
-        words |= {p: self.entry(tuple(ids[i:j])) for p, i, j in zip(fresh, [0, *stop], stop, strict=False)}
-        for c, x in zip(new, parts, strict=True):
-            if len(x) == 1:
-                self.chunks[c] = words[x[0]]
-            else:
-                ids, texts, data = zip(*[words[p] for p in x], strict=True)
-                self.chunks[c] = Entry(tuple(chain.from_iterable(ids)), ",".join(texts), b"".join(data))
+        """Encode pre-tokens, number them and keep them."""
+        ids, n = self.merge([p.encode() for p in new])
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.ids = Runs(np.concatenate([self.ids.flat, ids.astype(np.int32)]), np.concatenate([self.ids.size, n]))
 
     def pieces(self, text: str) -> list[str]:
-        """A text's chunks, special tokens among them."""
+        """A text's pre-tokens, special tokens among them."""
         if self.cut and (found := self.cut.findall(text)):
             out: list[str] = []
             for part, token in zip(self.cut.split(text), [*found, None], strict=True):
-                out.extend(_chunks(part))
+                out.extend(_PRETOKEN.findall(part))
                 if token is not None:
                     out.append(token)
             return out
-        return _chunks(text)
+        return _PRETOKEN.findall(text)
 
-    def encode(self, texts: list[str]) -> list[list[Entry]]:
-        """The entries of each text's chunks."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin, with the end of the last."""
+        if len(self.words) > KEPT_WORDS:
+            self.forget()
         parts = [self.pieces(t) for t in texts]
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.older, self.chunks = self.chunks, {t: self.entry((i,)) for t, i in self.special.items()}
-        missing = set().union(*parts) - self.chunks.keys()
-        known = missing & self.older.keys()
-        self.chunks |= {c: self.older[c] for c in known}
-        self.learn(list(missing - known))
-        get = self.chunks.__getitem__
-        return [list(map(get, x)) for x in parts]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = list(chain.from_iterable(parts))
+        del parts
+        new = [p for p in set(flat) if p not in self.words]
+        if new:
+            self.learn(new)
+        found = self.ids.take(np.fromiter(map(self.words.__getitem__, flat), np.int32, len(flat)))
+        return found.flat, found.bounds(size)
 
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; ids outside the vocabulary are left out."""
@@ -215,26 +218,6 @@ def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _chunks(text: str) -> list[str]:
-    if not text:
-        return []
-    if _UNEVEN.search(text):
-        return list(_uneven(text))
-    parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
-
-
-def _uneven(text: str) -> Iterator[str]:
-    last = 0
-    for m in _EVEN_SPACE.finditer(text):
-        yield text[last : m.start()]
-        last = m.start()
-    yield text[last:]
-
-
-_EVEN_SPACE = regex.compile(f"(?<=[^{_S}]) (?=[^{_S}])")
-
-
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -269,17 +252,28 @@ def report(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             n, ids, decoded = [], [], []
             for group in _texts(batch):
-                for x in v.encode(group):
-                    own, texts, data = zip(*x, strict=True) if x else ((), (), ())
-                    n.append(sum(map(len, own)))
-                    ids.append(hashlib.sha256(",".join(texts).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(_valid(b"".join(data))).hexdigest())
+                flat, first = v.encode(group)
+                size = np.diff(first)
+                n.extend(size.tolist())
+                decimals, data = v.decimals.take(flat), v.bytes.take(flat)
+                ids.extend(_digest(x[:-1]) for x in _split(decimals, size))
+                decoded.extend(_digest(_valid(x)) for x in _split(data, size))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _split(runs: Runs, size: np.ndarray) -> Iterator[bytes]:
+    """The bytes of so many runs in turn, for each text."""
+    data, first = runs.flat.tobytes(), runs.bounds(size).tolist()
+    return (data[i:j] for i, j in zip(first, first[1:], strict=False))
+
+
+def _digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def _valid(data: bytes) -> bytes:
     return data.decode("utf-8", "replace").encode()
 
@@ -289,12 +283,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            flat: list[np.ndarray] = []
+            flat, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for group in _texts(batch):
-                flat.extend(np.fromiter(chain.from_iterable([c.ids for c in x]), np.int32) for x in v.encode(group))
-            size = np.array([len(x) for x in flat], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+                ids, first = v.encode(group)
+                flat.append(ids)
+                size.append(np.diff(first))
+            size = np.concatenate(size)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(flat)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), ids], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, quality, rlz, url_filter, vptree
 from .common import table
 
 
-#: The folder of the tokenizer files, the same on every worker.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-
 def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
@@ -25,7 +20,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +42,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bitplane.report(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    return bitplane.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
