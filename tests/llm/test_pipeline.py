@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ import corpus_pipeline
 from vertexmill.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-PIECE = re.compile(r"[a-z\x80-￿]+|[0-9]+|[\x21-\x2f\x3a-\x60\x7b-\x7f]+")
+PIECE = re.compile(r"[a-z\x80-\U0010ffff]+|[0-9]+|[\x21-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 def corpus():
@@ -25,7 +26,7 @@ def corpus():
     texts = [" ".join(rng.choice(prose, rng.integers(40, 160))) for _ in range(30)]
     texts += [t.replace("seaa", "seab", 1) + " end" for t in texts[:6]]  # near copies
     texts += [" ".join([*rng.choice(prose, 60), passage, *rng.choice(prose, 90)]) for _ in range(4)]
-    texts += [" ".join(rng.choice(junk, 80)) for _ in range(8)] + ["one two three " * 40, "few words", "", None]
+    texts += [" ".join(rng.choice(junk, 80)) for _ in range(8)] + ["one two three " * 40, "few words 😀😀", "", None]
     texts += [" ".join(rng.choice(prose, 4000)) + "  \n"]
     docs = [(i, t, ["a", "b", "c", None][i % 4], len(t or "")) for i, t in enumerate(texts)]
     labels = [(i, int(i < 25 or i == 46), int(i in (3, 4))) for i in range(0, len(docs), 2)]
@@ -33,9 +34,9 @@ def corpus():
 
 
 def cells(text):
-    p = [x.encode() for x in PIECE.findall((text or "").lower())]
-    two = [xxhash.xxh64_intdigest(b, seed=xxhash.xxh64_intdigest(a, seed=42)) for a, b in zip(p, p[1:])]
-    return [h % quality.CELLS for h in [xxhash.xxh64_intdigest(x, seed=42) for x in p] + two]
+    one = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in PIECE.findall((text or "").lower())]
+    two = [xxhash.xxh64_intdigest(struct.pack("<Q", b), seed=xxhash.xxh64_intdigest(struct.pack("<Q", a), seed=42)) for a, b in zip(one, one[1:])]
+    return [h % quality.CELLS for h in one + two]
 
 
 def good_quality(docs, labels):
@@ -119,17 +120,36 @@ def tables(spark, tmp_path_factory):
     return folder, docs, labels
 
 
-def test_quality_keeps_texts_out_of_the_ngrams(spark, tables):
+def test_quality_against_plain_python(spark, tables):
     folder, docs, labels = tables
-    table = spark.read.parquet(f"{folder}/documents.parquet")
+    table = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(c) for c in ("cell", "counts", "model", "score", "kept", "N_WORDS")})
     trusted = quality.trusted(spark.read.parquet(f"{folder}/labels.parquet"))
-    judged = quality.judge(table, trusted, keep=["text", "source", "n_chars", "lang"])
-    assert "SortAggregate" not in judged._jdf.queryExecution().executedPlan().toString()
     stay, scores = good_quality(docs, labels)
-    rows, plain = judged.collect(), {r.doc_id: r for r in quality.judge(table, trusted).collect()}
-    assert {r.doc_id: r.text for r in rows} == {i: t for i, t, *_ in docs} and len(rows) == len(docs)
-    assert {r.doc_id for r in rows if r.kept} == {r[0] for r in stay}
-    assert all(abs(r.score - scores[r.doc_id]) < 1e-9 and r.n_grams == len(cells(r.text)) == plain[r.doc_id].n_grams for r in rows)
+    judged = quality.judge(table, trusted)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Generate", "Python", "Arrow"))
+    rows = judged.collect()
+    assert {r.doc_id for r in rows if r.kept} == {r[0] for r in stay} and len(rows) == len(docs)
+    texts = {i: t for i, t, *_ in docs}
+    assert all(abs(r.score - scores[r.doc_id]) < 1e-5 and r.n_grams == len(cells(texts[r.doc_id])) for r in rows)
+    kept = quality.keep(table, trusted)
+    assert kept.columns == table.columns and sorted((r.doc_id, r.text, r.score) for r in kept.collect()) == sorted((i, t, "score") for i, t, *_ in stay)
+    none = table.limit(0)
+    assert quality.judge(none, trusted).count() == quality.keep(none, trusted).count() == 0
+
+
+def test_repeats_in_full(spark):
+    """Both ways of counting repeated windows agree."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(list("abcdef"), n)) for n in (0, 1, 2, 3, 4, 9, 60, 300)] + ["a " * 50, "a b " * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    h = F.transform(quality.words(F.col("text")), lambda x: F.xxhash64(x))
+    three = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    rows = df.select("text", quality.repeat_words(quality.words(F.col("text"))).alias("a"), quality._repeats_in_full(three).alias("b")).collect()
+    for r in rows:
+        w = r.text.split()
+        n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        assert r.a == r.b == len({i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)})
 
 
 def test_pipeline(spark, tables):

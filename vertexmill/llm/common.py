@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexmill.plans.checkpoints import checkpoint_dir, cut, written
 
-__all__ = ["SPACE", "ascii_lower", "checkpoint_dir", "cut", "let", "table", "words", "written"]
+__all__ = ["SPACE", "ascii_lower", "checkpoint_dir", "cut", "free_name", "let", "table", "words", "written"]
 
 #: Java pattern of the ASCII white space that separates words.
 SPACE = "[ \\t-\\r]+"
@@ -30,3 +30,11 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, with underscores behind it until no column of df has that name, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

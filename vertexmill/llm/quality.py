@@ -8,16 +8,18 @@ trusted counts being smoothed toward the corpus; the document is kept when the
 score reaches a fixed threshold.
 
 All is done with DataFrame functions. The corpus counts are summed in the map
-tasks before the shuffle; the table of ratios has one row a cell at most and is
-broadcast (CELLS rows of 12 bytes).
+tasks before the shuffle; the ratios, one a cell (CELLS of them), go to the
+tasks as an array, and each text is scored where it stands.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, words, written
+from .common import let, words
 
 CELLS = 1 << 16
 ORDERS = (1, 2)
@@ -35,46 +37,87 @@ NOT_SIGNS = "[^#*$%&|<>]+"
 
 def pieces(text: Column) -> Column:
     """Letters, digits and other signs apart, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z\\x80-\\uffff]+|[0-9]+|[\\x21-\\x2f\\x3a-\\x60\\x7b-\\x7f]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z\\x80-\\x{10ffff}]+|[0-9]+|[\\x21-\\x2f\\x3a-\\x60\\x7b-\\x7f]+)"), F.lit(1))
 
 
 def cells(text: Column, orders=ORDERS, n_cells: int = CELLS) -> Column:
-    """The cells of a text's n-grams, for each order in turn."""
-    def cell(*parts):
-        return F.pmod(F.xxhash64(*parts), F.lit(n_cells)).cast("int")
+    """The cells of a text's n-grams, for each order in turn.
+
+    A piece has one hash; an n-gram's hash is that of the n-gram without its
+    last piece, and of this piece.
+    """
+    def grams(h):
+        def longer(g, n):
+            count = F.greatest(F.size(h) - (n - 1), F.lit(0))
+            return F.zip_with(F.slice(g, F.lit(1), count), F.slice(h, F.lit(n), count), lambda a, b: F.xxhash64(a, b))
+
+        def of_order(g, n):
+            own = [F.transform(g, lambda x: F.pmod(x, F.lit(n_cells)).cast("int"))] if n in orders else []
+            if n == max(orders):
+                return own
+            return own + [let(longer(g, n + 1), lambda more: F.concat(*of_order(more, n + 1)))]
 
-    def of_order(p, n):
-        if n == 1:
-            return F.transform(p, lambda x: cell(x))
-        at = F.when(F.size(p) >= n, F.sequence(F.lit(1), F.size(p) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: cell(*[F.element_at(p, i + k) for k in range(n)]))
+        return F.concat(*of_order(h, 1))
 
-    def grams(p):
-        return F.concat(*[of_order(p, n) for n in orders])
+    return let(F.transform(pieces(text), lambda x: F.xxhash64(x)), grams)
 
-    return let(pieces(text), grams)
+
+#: Low bits of a window's hash that make room for its place, so that numbers can be sorted.
+PLACE_BITS = 24
 
 
 def repeat_words(w: Column) -> Column:
     """Words that stand in 3-word windows found twice or more in the same text.
 
     The windows' 64-bit hashes are sorted with their places, so that equal ones
-    are neighbours: n log n in the length of the text.
+    are neighbours: n log n in the length of the text. Hash and place share a
+    number; where neighbours differ only in the bits that this costs, or the
+    text is too long for it, both are sorted in full.
     """
-    starts = F.when(F.size(w) >= 3, F.sequence(F.lit(1), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i")))
+    low = F.lit((1 << PLACE_BITS) - 1).cast("long")
+
+    def alike(x, y):
+        return F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0, F.lit(False))
+
+    def place(x):
+        return x.bitwiseAND(low).cast("int")
+
+    def counted(h):
+        def of_sorted(s):
+            return let(F.filter(s, lambda x, k: alike(x, F.get(s, k - 1)) | alike(x, F.get(s, k + 1))), checked)
+
+        def checked(at):
+            def clash(x, k):
+                y = F.get(at, k - 1)
+                return alike(x, y) & (F.get(h, place(x)) != F.get(h, place(y)))
+
+            return F.when(F.size(at) == 0, 0).when(F.exists(F.transform(at, clash), lambda x: x), _repeats_in_full(h)).otherwise(_words_under(F.sort_array(F.transform(at, place))))
+
+        packed = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
+        return F.when(F.size(h) >= 1 << PLACE_BITS, _repeats_in_full(h)).otherwise(let(F.sort_array(packed), of_sorted))
+
+    def windows(g):
+        return F.transform(F.slice(g, F.lit(1), F.greatest(F.size(g) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(g, i + 1), F.get(g, i + 2)))
+
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda g: let(windows(g), counted))
+
 
-    def covered(s):
+def _repeats_in_full(h: Column) -> Column:
+    def repeated(s):
         def again(x, k):
-            before = F.when(k > 0, F.element_at(s, k)["h"] == x["h"]).otherwise(False)
-            after = F.when(k < F.size(s) - 1, F.element_at(s, k + 2)["h"] == x["h"]).otherwise(False)
-            return before | after
+            return F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
 
-        at = F.sort_array(F.transform(F.filter(s, again), lambda x: x["i"]))
-        zero = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-        return F.aggregate(at, zero, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
+        return _words_under(F.sort_array(F.transform(F.filter(s, again), lambda x: x["i"])))
 
-    return let(F.sort_array(hashed), covered)
+    return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated)
+
+
+def _words_under(at: Column) -> Column:
+    """How many words the 3-word windows at these sorted places cover."""
+    def total(p):
+        return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(x - F.get(p, k - 1), F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    return let(at, total)
 
 
 def base_columns(text: Column) -> dict[str, Column]:
@@ -89,56 +132,71 @@ def base_columns(text: Column) -> dict[str, Column]:
     }
 
 
-def ratios(docs: DataFrame, trusted_ids: DataFrame, orders=ORDERS, n_cells: int = CELLS, smoothing: float = SMOOTHING, most_trusted: int = MOST_TRUSTED) -> DataFrame:
-    """(cell, ratio): log of trusted over corpus frequency, counted over all docs.
+def ratios(docs: DataFrame, trusted_ids: DataFrame, orders=ORDERS, n_cells: int = CELLS, smoothing: float = SMOOTHING, most_trusted: int = MOST_TRUSTED) -> list[float]:
+    """Of each cell the log of trusted over corpus frequency, counted over all docs; 0 for a cell that no text has.
 
     trusted_ids(doc_id) names the trusted documents; the `most_trusted` smallest
-    are used. With none, or no docs, every ratio is 0.
+    are used. With none, or no docs, every ratio is 0. n_cells counts come to
+    the driver.
     """
     ids = trusted_ids.select("doc_id").filter("doc_id is not null").distinct().orderBy("doc_id").limit(most_trusted)
     marked = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("trusted", F.lit(1))), "doc_id", "left")
     grams = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(cells(F.col("text"), orders, n_cells)).alias("cell"))
-    counts = cut(grams.groupBy("cell").agg(F.count("*").alias("n"), F.sum("trusted").alias("t")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("all_n"), F.coalesce(F.sum("t"), F.lit(0)).cast("double").alias("all_t"))
-    prior = F.lit(smoothing * n_cells)
-    expected = F.col("n") / F.col("all_n")
-    ratio = F.log((F.col("t") + prior * expected) / (F.col("all_t") + prior) / expected)
-    return counts.crossJoin(F.broadcast(total)).select("cell", ratio.alias("ratio"))
+    counts = grams.groupBy("cell").agg(F.count("*").alias("n"), F.sum("trusted").alias("t")).collect()
+    all_n, all_t, prior = sum(r["n"] for r in counts), sum(r["t"] for r in counts), smoothing * n_cells
+    out = [0.0] * n_cells
+    for r in counts:
+        expected = r["n"] / all_n
+        out[r["cell"]] = math.log((r["t"] + prior * expected) / (all_t + prior) / expected)
+    return out
+
+
+def likelihood(text: Column, table: list[float], orders=ORDERS) -> Column:
+    """(n_grams, score) of a text: the number of its n-grams and the mean of their ratios, 0 without any.
+
+    The ratios stand in the plan as one array, to five decimals.
+    """
+    ratio = F.split(F.lit(",".join(f"{x:.5f}" for x in table)), ",").cast("array<float>")
 
+    def mean(c):
+        total = F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(ratio, x))
+        return F.struct(F.size(c).cast("long").alias("n_grams"), F.when(F.size(c) > 0, total / F.size(c)).otherwise(0.0).alias("score"))
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, keep=(), threshold: float = THRESHOLD, **fit) -> DataFrame:
-    """A row per row of docs: doc_id, the columns named in keep, the base columns, base_failed, n_grams, score, kept.
+    return let(cells(text, orders, len(table)), mean)
+
+
+def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, **fit) -> DataFrame:
+    """A row per row of docs: doc_id, the base columns, base_failed, n_grams, score, kept.
 
     Null texts count as empty: no words, so base_failed. Documents without an
-    n-gram score 0. Repeated rows are judged alike, each on its own; null ids
-    are never trusted. With columns to keep, the rows are written down with a
-    number first; only numbers and counts go through the n-grams, and the kept
-    columns are joined to the scores by number. Other columns of docs are not
-    read. An empty table gives an empty result.
+    n-gram score 0; a score equal to the threshold is kept. Repeated rows are
+    counted and judged each on its own; null ids are judged but never trusted.
+    Other columns of docs are not read. An empty table gives an empty result.
+    Rows are neither split nor shuffled.
     """
-    number = F.monotonically_increasing_id()
-    if keep:
-        docs = written(docs.select(*dict.fromkeys(("doc_id", "text", *keep))).withColumn("q_row", number))
-        number = F.col("q_row")
-    table = F.broadcast(ratios(docs, trusted_ids, **fit))
     base = base_columns(F.col("text"))
-    orders, n_cells = fit.get("orders", ORDERS), fit.get("n_cells", CELLS)
-    rows = docs.select("doc_id", *[c.alias(f"q_{n}") for n, c in base.items()], cells(F.col("text"), orders, n_cells).alias("q_cells"), number.alias("q_row"))
-    grams = rows.withColumn("cell", F.explode_outer("q_cells")).drop("q_cells").join(table, "cell", "left")
-    scored = grams.groupBy("q_row").agg(
-        F.first("doc_id").alias("doc_id"), *[F.first(f"q_{n}").alias(f"q_{n}") for n in base if n != "counts"],
-        *[F.first(f"q_counts.{n}").cast("long").alias(n) for n in ("n_words", "word_chars", "n_repeat_words")],
-        F.count("cell").alias("n_grams"), F.coalesce(F.avg("ratio"), F.lit(0.0)).alias("score"),
-    )
-    if keep:
-        scored = scored.join(docs.select("q_row", *keep), "q_row")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return scored.select(
-        "doc_id", *keep, "n_words", "word_chars", *[F.col(f"q_{n}").alias(n) for n in base if n != "counts"], "n_repeat_words",
-        failed.alias("base_failed"), "n_grams", "score", (~failed & (F.col("score") >= threshold)).alias("kept"),
+    model = likelihood(F.col("text"), ratios(docs, trusted_ids, **fit), fit.get("orders", ORDERS))
+    rows = docs.select("doc_id", *[c.alias(n) for n, c in base.items()], model.alias("model"))
+    counts, score = F.col("counts"), F.col("model.score")
+    failed = base_failed(counts)
+    return rows.select(
+        "doc_id", *[counts[n].cast("long").alias(n) for n in ("n_words", "word_chars")], "n_symbols", "n_dup_lines", counts["n_repeat_words"].cast("long").alias("n_repeat_words"),
+        failed.alias("base_failed"), "model.n_grams", score.alias("score"), (~failed & (score >= threshold)).alias("kept"),
     )
 
 
+def base_failed(counts: Column) -> Column:
+    return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED * counts["n_words"])
+
+
+def keep(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, **fit) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns, whatever these are called. Nulls, repeats and empty tables as there."""
+    text = F.col("text")
+    good = let(base_columns(text)["counts"], lambda c: ~base_failed(c))
+    model = likelihood(text, ratios(docs, trusted_ids, **fit), fit.get("orders", ORDERS))
+    return docs.filter(good).filter(model["score"] >= threshold)
+
+
 def trusted(labels: DataFrame) -> DataFrame:
     """Ids that the labels call good and not toxic."""
     return labels.filter("quality = 1 and toxic = 0").select("doc_id")
