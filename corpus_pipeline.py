@@ -6,21 +6,19 @@ kept; every stage but the last returns the columns of documents.
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexmill.llm import bpe, jaccard, mixing, quality, rlz
 from vertexmill.llm.common import table, written
 
 #: The tokenizer file of the last stage, the same path on every worker.
-TOKENIZER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers") + "/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the n-gram model keep."""
-    extra = [c for c in docs.columns if c != "doc_id"]
-    return quality.judge(docs, quality.trusted(table(spark, sf_dir, "labels")), keep=extra).filter("kept").select(*docs.columns)
+    return quality.keep(docs, quality.trusted(table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
