@@ -1,5 +1,10 @@
 """Places that only the mandatory phrase proposes."""
 
+import random
+import re
+
+from pyspark.sql import functions as F
+
 from vertexmill.llm import license_scan
 
 
@@ -20,3 +25,39 @@ def test_variants_without_the_rarest_words(spark):
     alone = license_scan.template("own", "alpha beta gamma delta epsilon zeta eta theta iota kappa", "alpha beta")
     text = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta x x x x")], "doc_id long, text string")
     assert license_scan.scan(text, (alone, license_scan.template("mit", "mit license"))).first().labels == "own"
+
+
+def brute(text, templates):
+    words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    found = {}
+    for t in templates:
+        a, n = t.key
+        for s in range(-a, len(words) - a - n + 1):
+            at = {p: words[s + p] for p in range(len(t.words)) if 0 <= s + p < len(words)}
+            share = sum(at.get(p) == w for p, w in enumerate(t.words)) / len(t.words)
+            if all(at.get(p) == t.words[p] for p in range(a, a + n)) and share >= license_scan.SHARE:
+                found.setdefault(t.label, []).append((s, share))
+    base = [s for t in templates if t.base for s, _ in found.get(t.label, [])]
+    names = lambda wanted: ",".join(sorted({t.label for t in templates if wanted(t) and t.label in found}))
+    return (len(words), len(base), min(base, default=None), max(base, default=None), names(lambda t: t.base), names(lambda t: True), max((x for v in found.values() for _, x in v), default=0.0))
+
+
+def test_planted_texts_against_brute_force(spark):
+    """Every template's text alone, twice, amid other words, cut short and with words changed; odd rows; a very long text."""
+    rng = random.Random(4)
+    common = sorted({w for t in license_scan.TEMPLATES for w in t.words}) + ["zz", "Ünder", "kü"]
+    texts = [None, "", " ", "...", "MIT", "mit license mit license", "MIT-License; cc by\tCC-BY!", "\n\x0bapache   license\n", "MİT license"]
+    for t in license_scan.TEMPLATES:
+        whole = " ".join(t.words)
+        texts += [whole, f"{whole}. {whole.upper()}", " ".join(rng.choices(common, k=20)) + " " + whole + " " + " ".join(rng.choices(common, k=20)), " ".join(t.words[: len(t.words) * 3 // 4])]
+        texts.append(" ".join(w if rng.random() < 0.85 else "zz" for w in t.words))
+    texts += [" ".join(rng.choices(common, k=200)) for _ in range(20)] + [" ".join(rng.choices(common, k=50_000)) + " gnu general public license"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "mit license"), (4, "MIT"), (4, "MIT")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("s", "labels", "score", "word", "N_BASE")})
+    plan = license_scan.scan(docs, frequencies={})._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Generate", "Python", "Arrow"))
+    got = sorted((tuple(r) for r in license_scan.scan(docs).collect()), key=str)
+    want = sorted(((i, *brute(t, license_scan.TEMPLATES)) for i, t in rows), key=str)
+    assert [r[:7] for r in got] == [r[:7] for r in want] and all(abs(a[7] - b[7]) < 1e-12 for a, b in zip(got, want, strict=True))
+    assert {x for r in want for x in r[6].split(",") if x} == {t.label for t in license_scan.TEMPLATES}
+    assert license_scan.scan(docs.limit(0)).count() == 0

@@ -1,15 +1,16 @@
 """Licence scan with a positional index of rare words.
 
-The templates' postings say at which places of which templates a word stands.
-Document frequencies of the templates' words are counted over the whole corpus;
-each template is looked up by its rarest words only. A rare word at place i of
-a file whose posting is place p of a template proposes that the template starts
-at i - p; proposals of one template at one start are one. At each the mandatory
-key phrase is verified word by word, and longer templates also need a share of
-their words in place.
+The index says at which places of which templates a licence word stands. The
+words' document frequencies are counted over the whole corpus. A template can
+stand in a file only if all words of its mandatory key phrase do, so the words
+by which a file is looked up are, of the file's licence words, the two of the
+highest IDF in that phrase. Each of the two, at place i of the file and p of the
+template, says that the template starts at i - p; only starts that both say are
+left when their postings are intersected. At each the key phrase is verified
+word by word, and longer templates also need a share of their words in place.
 
 Only DataFrame functions are used, and a file's row is never split or shuffled:
-proposals stay in arrays, one short entry for each rare word found.
+starts stay in arrays, one short entry for each rare word found.
 """
 
 from __future__ import annotations
@@ -48,15 +49,26 @@ TEMPLATES = (
     template("cc-by", "cc by"),
     template("mit", "mit license"),
     template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    template("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "software is provided as is without warranty of any kind"),
+    template("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
     template("apache-header", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "may not use this file except in compliance with the license"),
     template("gpl-header", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "you can redistribute it and or modify it"),
+    template("gpl-warranty", "this program is distributed in the hope that it will be useful but without any warranty", "distributed in the hope that it will be useful"),
+    template("lgpl", "gnu lesser general public license", "lesser general public license"),
+    template("agpl", "gnu affero general public license", "affero general public license"),
     template("cc-text", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
+    template("cc0-text", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     template("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    template("bsd-names", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "may be used to endorse or promote products derived from this software"),
     template("mpl-header", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    template("epl", "eclipse public license", "eclipse public license"),
+    template("boost", "boost software license version 1 0", "boost software license"),
+    template("unlicense-text", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    template("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "in no event will the authors be held liable"),
     template("spdx", "spdx license identifier", "spdx license identifier"),
 )
-#: Rarest words by which a template is looked up, beside the rarest mandatory one; phrases that are wholly mandatory need only that.
-LOOKUPS = 3
+#: Rare words of the key phrase whose postings are intersected.
+LOOKUPS = 2
 
 
 def split_words(text: Column) -> Column:
@@ -76,38 +88,31 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]
 
 
 def lookups(t: Template, frequencies: dict[str, int], most: int = LOOKUPS) -> list[str]:
-    """The template's rarest words (highest IDF), ties by word, and the rarest of its mandatory words: one stands wherever the template can be found."""
+    """The words of the key phrase that are rarest in the corpus (highest IDF), ties by word; fewer if the phrase has fewer."""
     a, n = t.key
+    return sorted(set(t.words[a : a + n]), key=lambda w: (frequencies.get(w, 0), w))[:most]
 
-    def rarest(words):
-        return sorted(set(words), key=lambda w: (frequencies.get(w, 0), w))
 
-    must = rarest(t.words[a : a + n])[:1]
-    return must if t.base else list(dict.fromkeys([*rarest(t.words)[:most], *must]))
-
-
-def _found(t: Template, rare: list[str], hits: Column, parts: Column, lead: Column) -> Column:
-    """Starts, from words counted from 0, at which the template stands. hits: places in parts of all rare words."""
-    postings = [(w, [p for p, x in enumerate(t.words) if x == w]) for w in rare]
+def _found(t: Template, rare: list[str], hits: Column, parts: Column) -> Column:
+    """(start, share) of the places in parts where the template stands. hits: places of all files' rare words."""
+    a, n = t.key
 
-    def starts(i):
-        out = F.array().cast("array<int>")
-        for w, at in reversed(postings):
-            out = F.when(F.get(parts, i) == w, F.array(*[i - F.lit(p) for p in at])).otherwise(out)
-        return out
+    def starts(word):
+        at = F.filter(hits, lambda i: F.get(parts, i) == word)
+        return F.flatten(F.transform(at, lambda i: F.array(*[i - p for p in range(a, a + n) if t.words[p] == word])))
 
-    proposed = F.array_distinct(F.flatten(F.transform(hits, starts)))
-    a, n = t.key
+    both = starts(rare[0])
+    for word in rare[1:]:
+        both = F.array_intersect(both, starts(word))
 
     def holds(s):
         ok = F.lit(True)
         for p in range(a, a + n):
             ok = ok & F.coalesce(F.get(parts, s + p) == t.words[p], F.lit(False))
-        if not t.base:
-            ok = ok & (_share(t, parts, s) >= SHARE)
         return ok
 
-    return F.transform(F.filter(proposed, holds), lambda s: s - lead)
+    placed = F.transform(F.filter(F.array_distinct(both), holds), lambda s: F.struct(s.alias("start"), (F.lit(1.0) if n == len(t.words) else _share(t, parts, s)).alias("share")))
+    return placed if n == len(t.words) else F.filter(placed, lambda x: x["share"] >= SHARE)
 
 
 def _share(t: Template, parts: Column, s: Column) -> Column:
@@ -124,35 +129,34 @@ def scan(docs: DataFrame, templates=TEMPLATES, frequencies: dict[str, int] | Non
     score is the largest share of a found template's words that stand in
     place, 1 for base phrases, 0 where nothing is found. Null texts count as
     empty: no words, no labels (empty strings), null places. Null ids and
-    repeated rows are scanned like any other; other columns of docs are not
-    read; an empty table gives an empty result.
+    repeated rows are scanned like any other; words of equal frequency are
+    taken in their own order, which changes no result; other columns of docs
+    are not read; an empty table gives an empty result.
     """
     frequencies = document_frequencies(docs, templates) if frequencies is None else frequencies
     rare = {t.label: lookups(t, frequencies) for t in templates}
     every = sorted({w for x in rare.values() for w in x})
+    base = {f"t{k}" for k, t in enumerate(templates) if t.base}
+    none = F.array().cast("array<struct<start:int,share:double>>")
 
     def row(parts):
         lead = (F.element_at(parts, 1) == "").cast("int")
         tail = ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
-        n_words = F.size(parts) - lead - tail
         hits = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).isin(every))
-        return F.struct(n_words.alias("n_words"), let(hits, lambda h: F.struct(*[F.when(F.size(h) > 0, _found(t, rare[t.label], h, parts, lead)).otherwise(F.array().cast("array<int>")).alias(f"t{k}") for k, t in enumerate(templates)])).alias("at"), let(hits, lambda h: F.when(F.size(h) > 0, F.struct(*[_best(t, rare[t.label], h, parts, lead).alias(f"t{k}") for k, t in enumerate(templates) if not t.base]))).alias("best"))
+        found = let(hits, lambda h: F.struct(*[F.when(F.size(h) >= len(rare[t.label]), _found(t, rare[t.label], h, parts)).otherwise(none).alias(f"t{k}") for k, t in enumerate(templates)]))
+        return F.struct((F.size(parts) - lead - tail).alias("n_words"), lead.alias("lead"), found.alias("found"))
 
     rows = docs.select("doc_id", let(split_words(F.col("text")), row).alias("s"))
-    base = F.concat(*[F.col(f"s.at.t{k}") for k, t in enumerate(templates) if t.base])
-    names = {f"t{k}": t for k, t in enumerate(templates)}
+    at = F.transform(F.concat(*[F.col(f"s.found.{k}") for k in sorted(base)]), lambda x: x["start"] - F.col("s.lead"))
 
     def labels(wanted):
-        return F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"s.at.{k}") > 0, F.lit(t.label)) for k, t in names.items() if wanted(t)]))), ",")
+        named = [F.when(F.size(f"s.found.t{k}") > 0, F.lit(t.label)) for k, t in enumerate(templates) if f"t{k}" in wanted]
+        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*named)))), ",")
 
-    score = F.greatest(F.lit(0.0), F.when(F.size(base) > 0, F.lit(1.0)), *[F.col(f"s.best.{k}") for k, t in names.items() if not t.base])
+    everything = [f"t{k}" for k in range(len(templates))]
+    score = F.coalesce(F.array_max(F.transform(F.concat(*[F.col(f"s.found.{k}") for k in everything]), lambda x: x["share"])), F.lit(0.0))
     return rows.select(
-        "doc_id", F.col("s.n_words").cast("long").alias("n_words"), F.size(base).cast("long").alias("n_base"),
-        F.array_min(base).cast("long").alias("first_word"), F.array_max(base).cast("long").alias("last_word"),
-        labels(lambda t: t.base).alias("base_labels"), labels(lambda t: True).alias("labels"), score.alias("score"),
+        "doc_id", F.col("s.n_words").cast("long").alias("n_words"), F.size(at).cast("long").alias("n_base"),
+        F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
+        labels(base).alias("base_labels"), labels(everything).alias("labels"), score.alias("score"),
     )
-
-
-def _best(t: Template, rare: list[str], hits: Column, parts: Column, lead: Column) -> Column:
-    """The largest share among the template's places; null if there is none."""
-    return F.array_max(F.transform(_found(t, rare, hits, parts, lead), lambda s: _share(t, parts, s + lead)))
