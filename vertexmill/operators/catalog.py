@@ -62,7 +62,8 @@ def set_flag(table: DataFrame, keys: DataFrame, key: str, flag: str, value: bool
 
 
 def path_order(path: str = "rel_path") -> Column:
-    return F.collate(path, "UTF8_LCASE")
+    """A key that orders paths with A-Z as a-z; other letters keep their case."""
+    return F.translate(path, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def list_images(images: DataFrame, detections: DataFrame, include_missing: bool = True) -> DataFrame:

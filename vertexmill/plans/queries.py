@@ -12,6 +12,7 @@ from vertexmill.operators import poses as marker_poses
 from vertexmill.sources import writers
 
 from . import fixtures as fx
+from . import table_queries
 
 SIZE = 0.25
 
@@ -345,7 +346,7 @@ QUERIES = {f.__name__: f for f in (
     observation_counts, default_anchor, graph_components, reachability, graph_summary, seed_scores, residual_stats, outliers, common_markers, frame_pairs, mutual_match, match_summary,
     epipolar_filter, sampson_filter, epipolar_pairs, two_view_points, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
     build_tracks, track_components, triangulate_tracks, estimate_poses, adjust_map, refine_points, residual_rows, calibration_frames, pair_upsert, pipeline_counts,
-)}
+)} | table_queries.QUERIES
 
 
 #: SQL over the views; the views are put in front by oracles().
@@ -561,4 +562,4 @@ FROM err JOIN angles USING (track_id) WHERE near > 0 AND far <= 1e2 AND mean_px
 
 
 def oracles() -> dict[str, str]:
-    return {name: fx.with_views(sql) for name, sql in ORACLES.items()}
+    return {name: fx.with_views(sql) for name, sql in (ORACLES | table_queries.ORACLES).items()}
