@@ -1,23 +1,26 @@
 """Nearest neighbours with a vantage-point tree per shard.
 
 Vectors are dealt into shards by hash; each shard's tree splits its vectors at
-the median distance to a vantage point, down to small leaves. A block of
-queries goes down a tree together. A subtree is left out for a query when the
-triangle inequality, times a factor, says that it holds nothing nearer than the
-query's current k-th neighbour: with factor 1 nothing is lost, a larger factor
-leaves out more.
-
-Queries and vectors meet by (shard, block of queries): a vector is sent once
-for every block of queries, a query once for every shard. Shards hold
-SHARD_ROWS vectors and blocks BLOCK_QUERIES queries, about, whatever the size
-of the tables. Only distances that were measured on the original vectors in
-double precision are returned.
+the median distance to a vantage point, the one of a few candidates to which
+distances spread most, down to small leaves. A block of queries goes down a tree
+together. A subtree is left out for a query when the triangle inequality, times
+a factor, says that it holds nothing nearer than the query's current k-th
+neighbour: with factor 1 nothing is lost, a larger factor leaves out more.
+
+Each vector is sent to its shard and each query to every shard. In a shard's
+task the vectors come first; their tree is built once, and the queries stream
+past it, a batch at a time. Shards hold SHARD_ROWS vectors, about, whatever the
+size of the tables. Only distances that were measured on the original vectors
+in double precision are returned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,9 @@ from .common import cut
 NEIGHBOURS = 10
 FACTOR = 1.0
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 4096
 LEAF = 128
+#: Candidates for a vantage point, and vectors to which their distances are measured.
+CANDIDATES, MEASURED = 8, 64
 
 
 def usable(vector: Column) -> Column:
@@ -46,13 +50,21 @@ class Tree:
     def _build(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
             return rows
-        centre = rows[0]
-        d = np.sqrt(((self.points[rows] - self.points[centre]) ** 2).sum(1))
+        centre = self._vantage(rows)
+        rest = rows[rows != centre]
+        d = np.sqrt(((self.points[rest] - self.points[centre]) ** 2).sum(1))
         radius = float(np.median(d))
-        inner, outer = rows[d <= radius], rows[d > radius]
+        inner, outer = rest[d <= radius], rest[d > radius]
         if not len(outer):  # more than half of the vectors are alike, or equally far
             return rows
-        return centre, radius, self._build(inner), self._build(outer)
+        return np.array([centre]), radius, self._build(inner), self._build(outer)
+
+    def _vantage(self, rows: np.ndarray) -> int:
+        """Of evenly picked candidates the one whose distances to evenly picked vectors vary most."""
+        pick = lambda n: rows[np.linspace(0, len(rows) - 1, min(n, len(rows))).astype(np.int64)]
+        candidates, others = pick(CANDIDATES), self.points[pick(MEASURED)]
+        spread = [np.sqrt(((others - self.points[c]) ** 2).sum(1)).var() for c in candidates]
+        return int(candidates[int(np.argmax(spread))])
 
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """(rows, distances), k a query, nearest first, ties to the smaller id; -1 and inf where there are fewer. own: the id that a query must not find."""
@@ -70,6 +82,7 @@ class Tree:
                 self._scan(node, who, queries, own, ids, best, rows)
                 continue
             centre, radius, inner, outer = node
+            self._scan(centre, who, queries, own, ids, best, rows)
             d = np.sqrt(((queries[who] - self.points[centre]) ** 2).sum(1))
             # rounding of d and radius must not leave out an equal distance
             slack = 1e-9 * (1 + radius)
@@ -103,31 +116,57 @@ class Tree:
             rows[w] = np.take_along_axis(both_r, order, 1)
 
 
+class _Shard:
+    """A shard's vectors, by length, and their trees once the first query has come."""
+
+    def __init__(self, leaf: int):
+        self.leaf, self.held, self.trees = leaf, {}, None
+
+    def add(self, ids: np.ndarray, vectors: list[np.ndarray]) -> None:
+        for i, v in zip(ids.tolist(), vectors, strict=True):
+            self.held.setdefault(len(v), []).append((i, v))
+
+    def search(self, ids: np.ndarray, vectors: list[np.ndarray], k: int, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query ids, vector ids, distances); vectors of another length have no distance."""
+        if self.trees is None:
+            self.trees = {}
+            for width, rows in self.held.items():
+                rows.sort(key=lambda r: r[0])
+                self.trees[width] = np.array([i for i, _ in rows], np.int64), Tree(np.array([v for _, v in rows], np.float64), self.leaf)
+            self.held = {}
+        size = np.array([len(v) for v in vectors])
+        for width in np.unique(size).tolist():
+            if width in self.trees:
+                own, tree = self.trees[width]
+                at = np.flatnonzero(size == width)
+                rows, d = tree.search(np.array([vectors[i] for i in at], np.float64), ids[at], own, k, factor)
+                found = rows >= 0
+                yield np.repeat(ids[at], found.sum(1)), own[rows[found]], d[found]
+
+
 def _searcher(k: int, factor: float, leaf: int):
-    def run(table: pa.Table) -> pa.Table:
-        is_query = table.column("is_query").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
-        vectors = table.column("vector").combine_chunks()
-        size = np.diff(vectors.offsets.to_numpy())
-        flat = vectors.values.to_numpy()
-        starts = vectors.offsets.to_numpy()[:-1]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for width in np.unique(size):  # vectors of different lengths have no distance
-            q, p = np.flatnonzero(is_query & (size == width)), np.flatnonzero(~is_query & (size == width))
-            if not len(q) or not len(p):
+    """Over rows sorted by shard, vectors before queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, _Shard(leaf)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            take = lambda rows, width=width: flat[starts[rows][:, None] + np.arange(width)].astype(np.float64)
-            p = p[np.argsort(ids[p], kind="stable")]
-            rows, d = Tree(take(p), leaf).search(take(q), ids[q], ids[p], k, factor)
-            found = rows >= 0
-            out.append((np.repeat(ids[q], found.sum(1)), ids[p][rows[found]], d[found]))
-        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": a, "vec_id": b, "score": d})
+            shards, asked = batch.column("shard").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+            ids, vectors = batch.column("id").to_numpy(), [np.asarray(v) for v in np.split(batch.column("vector").flatten().to_numpy(), np.cumsum(pc.list_value_length(batch.column("vector")).to_numpy())[:-1])]
+            edges = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (asked[1:] != asked[:-1])]).tolist() + [len(ids)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if shards[a] != number:
+                    number, shard = shards[a], _Shard(leaf)
+                if not asked[a]:
+                    shard.add(ids[a:b], vectors[a:b])
+                    continue
+                for q, v, d in shard.search(ids[a:b], vectors[a:b], k, factor):
+                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(d)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, leaf: int = LEAF) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors, nearest first, ties to the smaller vec_id.
 
     vectors(vec_id, embedding), queries(query_id, embedding). A query does not
@@ -144,11 +183,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor:
 
     points, asked = cut(clean(vectors, "vec_id")), cut(clean(queries, "query_id"))
     shards = max(1, -(-points.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_queries))
-    spread = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    left = points.select(spread.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "vector", F.lit(False).alias("is_query"))
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vector", F.lit(True).alias("is_query"))
-    found = left.union(right).groupBy("shard", "block").applyInArrow(_searcher(k, factor, leaf), "query_id long, vec_id long, score double")
+    left = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"), "id", "vector")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"), "id", "vector")
+    dealt = left.union(right).repartition("shard").sortWithinPartitions("shard", "is_query", "id")
+    found = dealt.mapInArrow(_searcher(k, factor, leaf), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
-
