@@ -1,24 +1,28 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 A document is parsed relative to all documents of smaller id. The reference is
-indexed by the hashes of its 50-word seeds, in as many blocks as there are
-shuffle partitions; the index keeps each seed's first place. A document's seeds
-that hit the index are joined greedily into factors: a factor grows while the
-next seed stands at the next place of the same reference document. As seeds
-that straddle the end of a factor are looked up as well, a repeated window that
-greedy parsing would split between two factors is found at their boundary. Each
-factor is at least a window long, so the words under factors are the words
-under repeated windows.
+cut into blocks of words, each running on by a window less one word, so that
+every window lies in one block. All blocks are indexed by the hashes of their
+50-word seeds; the index keeps each seed's first place. The parse is greedy: at a
+document's first seed that hits the index, the factor is the longest match of
+the document's words with the words of the block from that place on. The next
+factor is looked for among the seeds that straddle the end of the factor, or
+stand behind it, so a repeated window that would be split between two factors is
+found at their boundary. A factor counts if it is a window long, which also
+settles that the words, not only the hashes, are alike; the words under factors
+are the words under repeated windows.
 
 Only seeds that can hit go through the index. Every seed has an anchor, the
 smallest hash of the 10-word runs inside it; equal seeds have equal anchors, so
 a seed is looked up only when its anchor occurs in two different texts. About
 one word in twenty is an anchor. Exact copies are settled first, by digest.
-Hashes of seeds have 128 bits.
+Hashes of seeds have 128 bits. Blocks are fetched once for each document that
+hits them, as 32-bit hashes of words.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -28,10 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import cut
+from .common import cut, free_name
 
 WINDOW = 50
 ANCHOR = 10
+#: Windows that begin in a block of the reference.
+BLOCK = 128
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -98,15 +104,61 @@ def _seeds(window: int, anchor: int):
     return run
 
 
-def factors_of(hits: np.ndarray, refs: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors (start, length, reference, place) from the seeds of one text that hit the index."""
-    order = np.argsort(hits, kind="stable")
-    hits, refs, places = hits[order], refs[order], places[order]
-    new = np.ones(len(hits), bool)
-    new[1:] = (np.diff(hits) != 1) | (np.diff(refs) != 0) | (np.diff(places) != 1)
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(hits)]]) - 1
-    return hits[first], hits[last] - hits[first] + window, refs[first], places[first]
+def parse(words: np.ndarray, hits: np.ndarray, refs: list[tuple[int, int]], places: np.ndarray, blocks: dict[tuple[int, int, int], np.ndarray], window: int, block: int = BLOCK) -> list[tuple[int, int, int, int]]:
+    """The greedy factors (start, length, reference, place) of a text.
+
+    words: hashes of the text's words. hits: places of seeds that hit the index,
+    ascending; refs and places: (id, row) and place of each one's first
+    occurrence. blocks: by id, row and number, the words of reference blocks.
+    """
+    out, i = [], 0
+    starts = hits.tolist()
+    while i < len(starts):
+        at, place = starts[i], int(places[i])
+        there = blocks[(*refs[i], place // block)][place % block :]
+        here = words[at : at + len(there)]
+        differ = np.flatnonzero(here != there[: len(here)])
+        length = int(differ[0]) if len(differ) else len(here)
+        if length < window:  # equal hashes of different words
+            i += 1
+            continue
+        out.append((at, length, refs[i][0], place))
+        # seeds that lie inside the factor are done with; those that straddle its end are not
+        i = bisect.bisect_right(starts, at + length - window)
+    return out
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def _blocks(window: int):
+    """The blocks of reference texts whose numbers are wanted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column("wanted")
+            rows, numbers, content = [], [], []
+            for row, end, w in tx.slices(batch.column("text")):
+                h = _short(w.hashes())
+                for i in range(end - row):
+                    own = h[w.first[i] : w.first[i + 1]]
+                    for n in wanted[row + i].as_py():
+                        rows.append(row + i)
+                        numbers.append(n)
+                        content.append(own[n * BLOCK : (n + 1) * BLOCK + window - 1].tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], names=["ref", "ref_row", "number", "content"])
+
+    return run
+
+
+def _of_row(hits, blocks) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, dict]:
+    """The arguments of parse() from a row's lists."""
+    at, ref, row, place = (hits.field(c).to_numpy() for c in ("at", "ref", "ref_row", "place"))
+    order = np.argsort(at, kind="stable")
+    keys = zip(blocks.field("ref").to_pylist(), blocks.field("ref_row").to_pylist(), blocks.field("number").to_pylist(), strict=True)
+    held = {k: np.frombuffer(c, np.uint32) for k, c in zip(keys, blocks.field("content").to_pylist(), strict=True)}
+    return at[order], list(zip(ref[order].tolist(), row[order].tolist(), strict=True)), place[order], held
 
 
 def covered(n_words: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -117,21 +169,31 @@ def covered(n_words: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return np.cumsum(depth[:-1]) > 0
 
 
-def _cutter(window: int, digest: bool):
+def _parser(window: int, out: str):
+    """A text's factors, or what they leave of it (text), or the digest of that."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, out, removed = batch.column("hits"), [], []
+            hits, blocks, result, removed = batch.column("hits"), batch.column("blocks"), [], []
             for row, end, w in tx.slices(batch.column("text")):
+                h = _short(w.hashes())
                 for i in range(end - row):
-                    n = int(w.first[i + 1] - w.first[i])
-                    h = hits[row + i].values
-                    at, ref, place = (h.field(c).to_numpy() for c in ("at", "ref", "place"))
-                    start, length, _, _ = factors_of(at.astype(np.int64), ref, place, window)
-                    gone = covered(n, start, length)
+                    own = h[w.first[i] : w.first[i + 1]]
+                    found = np.array(parse(own, *_of_row(hits[row + i].values, blocks[row + i].values), window), np.int64).reshape(-1, 4)
+                    if out == "factors":
+                        result.append(found)
+                        continue
+                    gone = covered(len(own), found[:, 0], found[:, 1])
                     removed.append(int(gone.sum()))
                     kept = _join(w, i, ~gone)
-                    out.append(hashlib.sha256(kept).hexdigest() if digest else kept.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "row_hash", "n_cut", "cut"])
+                    result.append(hashlib.sha256(kept).hexdigest() if out == "digest" else kept.decode())
+            ids = [batch.column("doc_id"), batch.column("row_hash")]
+            if out == "factors":
+                size = np.array([len(x) for x in result])
+                at = pa.array(np.repeat(np.arange(len(size)), size))
+                flat = np.concatenate(result) if result else np.zeros((0, 4), np.int64)
+                yield pa.RecordBatch.from_arrays([*[x.take(at) for x in ids], *[pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4)]], names=["doc_id", "row_hash", "start", "length", "ref_doc_id", "ref_start"])
+            else:
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(removed, pa.int64()), pa.array(result, pa.string())], names=["doc_id", "row_hash", "n_cut", "cut"])
 
     return run
 
@@ -154,35 +216,34 @@ class Repeats:
         self.known = known.join(first, "digest").select("doc_id", "row_hash", "anchors", (F.col("first_id") < F.col("doc_id")).alias("copy"))
         first_rows = self.known.filter(~F.col("copy")).select("doc_id", "row_hash", "anchors").dropDuplicates(["doc_id", "row_hash"])
         anchors = first_rows.select("doc_id", "row_hash", F.explode("anchors").alias("anchor"))
-        shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+        # written down, so that the join deals both sides and can split a common anchor's, or seed's, rows
+        shared = cut(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
         wanted = anchors.join(shared, "anchor").groupBy("doc_id", "row_hash").agg(F.collect_list("anchor").alias("shared"))
         self.wanted = cut(wanted)
         self.texts = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         seeds = self.texts.join(self.wanted, ["doc_id", "row_hash"]).mapInArrow(_seeds(window, anchor), "doc_id long, row_hash long, at int, one long, two long")
-        index = seeds.groupBy("one", "two").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.max("doc_id").alias("last")).filter("ref.doc_id < last").select("one", "two", F.col("ref.doc_id").alias("ref"), F.col("ref.at").alias("place"))
-        self.hits = seeds.join(index, ["one", "two"]).filter("ref < doc_id").select("doc_id", "row_hash", "at", "ref", "place")
+        first_place = F.min(F.struct("doc_id", "row_hash", "at")).alias("ref")
+        index = seeds.groupBy("one", "two").agg(first_place, F.max("doc_id").alias("last")).filter("ref.doc_id < last")
+        index = cut(index.select("one", "two", F.col("ref.doc_id").alias("ref"), F.col("ref.row_hash").alias("ref_row"), F.col("ref.at").alias("place")))
+        self.hits = seeds.join(index, ["one", "two"]).filter("ref < doc_id").select("doc_id", "row_hash", "at", "ref", "ref_row", "place")
+
+    def _parsed(self, out: str, schema: str) -> DataFrame:
+        key, block = ["doc_id", "row_hash"], ["ref", "ref_row", "number"]
+        listed = cut(self.hits.groupBy(*key).agg(F.collect_set(F.struct("at", "ref", "ref_row", "place")).alias("hits")))
+        needed = listed.select(*key, F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["ref"].alias("ref"), h["ref_row"].alias("ref_row"), F.floor(h["place"] / BLOCK).cast("int").alias("number"))))).alias("b")).select(*key, "b.*")
+        of_text = needed.groupBy(F.col("ref").alias("doc_id"), F.col("ref_row").alias("row_hash")).agg(F.collect_set("number").alias("wanted"))
+        blocks = cut(self.texts.join(of_text, key).mapInArrow(_blocks(self.window), "ref long, ref_row long, number int, content binary").dropDuplicates(block))
+        fetched = needed.join(blocks, block).groupBy(*key).agg(F.collect_list(F.struct(*block, "content")).alias("blocks"))
+        rows = self.texts.dropDuplicates(key) if out == "factors" else self.texts
+        return rows.join(listed, key).join(fetched, key).mapInArrow(_parser(self.window, out), schema)
 
     def factors(self) -> DataFrame:
         """(doc_id, row_hash, start, length, ref_doc_id, ref_start), without the exact copies."""
-        window = self.window
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    h = batch.column("hits")[i].values
-                    at, ref, place = (h.field(c).to_numpy() for c in ("at", "ref", "place"))
-                    found = factors_of(at.astype(np.int64), ref, place, window)
-                    ids = [pa.array(np.full(len(found[0]), batch.column(c)[i].as_py(), np.int64)) for c in ("doc_id", "row_hash")]
-                    yield pa.RecordBatch.from_arrays([*ids, *[pa.array(x.astype(np.int64)) for x in found]], names=["doc_id", "row_hash", "start", "length", "ref_doc_id", "ref_start"])
-
-        return self._listed().mapInArrow(run, "doc_id long, row_hash long, start long, length long, ref_doc_id long, ref_start long")
-
-    def _listed(self) -> DataFrame:
-        return self.hits.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("at", "ref", "place")).alias("hits"))
+        return self._parsed("factors", "doc_id long, row_hash long, start long, length long, ref_doc_id long, ref_start long")
 
     def cut_texts(self, digest: bool) -> DataFrame:
         """(doc_id, row_hash, n_cut, cut): what the parse leaves of each text that has a factor, or its SHA-256."""
-        parts = self.texts.join(self._listed(), ["doc_id", "row_hash"]).mapInArrow(_cutter(self.window, digest), "doc_id long, row_hash long, n_cut long, cut string")
+        parts = self._parsed("digest" if digest else "text", "doc_id long, row_hash long, n_cut long, cut string")
         return parts.dropDuplicates(["doc_id", "row_hash"])
 
     def copies(self) -> DataFrame:
@@ -191,7 +252,7 @@ class Repeats:
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_sha256."""
+    """Per row of docs: doc_id, n_words, n_removed, kept_sha256. Nulls, repeated rows and rows without id as in Repeats; an empty table gives an empty result."""
     r = Repeats(docs, window)
     key = ["doc_id", "row_hash"]
     out = r.summary.select(*key, "n_words", "digest").join(r.cut_texts(True), key, "left").join(r.copies().withColumn("whole", F.lit(True)), key, "left")
@@ -206,12 +267,19 @@ def _outcome(empty: Column, full: Column) -> tuple[Column, Column]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the repeated words removed: the same columns; text becomes the kept words, joined by one space, where words were removed, and stays as it is elsewhere. n_chars, if there, follows the text."""
+    """docs with the repeated words removed: the same columns; text becomes the kept words, joined by one space, where words were removed, and stays as it is elsewhere.
+
+    A text may become empty. n_chars, if there, follows the text. Null texts and
+    rows without id stay as they are; repeated rows are cut alike and kept each;
+    other columns may have any names; an empty table stays empty.
+    """
     r = Repeats(docs, window)
-    done = r.cut_texts(False).select("doc_id", "row_hash", "cut", F.lit(False).alias("whole")).unionByName(r.copies().select("doc_id", "row_hash", F.lit("").alias("cut"), F.lit(True).alias("whole")))
-    done = done.select(F.col("doc_id").alias("rlz_id"), F.col("row_hash").alias("rlz_hash"), F.col("cut").alias("rlz_cut"))
-    at = (F.col("doc_id").cast("long") == F.col("rlz_id")) & (F.xxhash64("text") == F.col("rlz_hash"))
-    out = docs.join(done, at, "left").withColumn("text", F.coalesce("rlz_cut", "text"))
+    done = r.cut_texts(False).select("doc_id", "row_hash", "cut").unionByName(r.copies().select("doc_id", "row_hash", F.lit("").alias("cut")))
+    id_, hash_, cut_ = (free_name(docs, n) for n in ("rlz_id", "rlz_hash", "rlz_cut"))
+    done = done.select(F.col("doc_id").alias(id_), F.col("row_hash").alias(hash_), F.col("cut").alias(cut_))
+    out = docs.join(done, (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
+    text = F.coalesce(F.col(cut_), F.col("text")).alias("text")
+    columns = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("rlz_cut").isNotNull(), F.length("rlz_cut")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col(cut_).isNotNull(), F.length(cut_)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[columns.get(c, F.col(f"`{c}`")) for c in docs.columns])
