@@ -112,26 +112,37 @@ def _jacobian(f, x: np.ndarray, step: float = 1e-6) -> np.ndarray:
     return np.stack(out, -1)
 
 
+def _pairs_within(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ordered pairs (a, b), a = b among them, of rows with the same value in at."""
+    order = np.argsort(at, kind="stable")
+    size = np.bincount(at[order])
+    size = size[size > 0]
+    first = np.cumsum(size) - size
+    n, start = np.repeat(size, size), np.repeat(first, size)
+    a = np.repeat(np.arange(len(at)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+    return order[a], order[b]
+
+
 def solve_few(pairs: DataFrame, damping: float) -> DataFrame:
-    """(marker_id, delta) of the damped reduced system pairs(i, j, k, v), solved on the driver.
+    """(marker_id, delta) of the damped reduced system pairs(i, j, block), solved on the driver.
 
-    k up to 35 is a place in the 6 x 6 block of the markers i and j, 36 to 41
-    one of the diagonal that is damped, from 42 on one of the gradient.
+    A block holds the 6 x 6 numbers of the markers i and j, then the 6 of the
+    diagonal that is damped and the 6 of the gradient.
     """
-    rows = list(pairs.toLocalIterator())  # at most MOST_MARKERS squared blocks
-    ids = sorted({r["i"] for r in rows})
-    place = {m: n for n, m in enumerate(ids)}
-    A, b = np.eye(6 * len(ids)) * 1e-12, np.zeros(6 * len(ids))
-    for r in rows:
-        i, j, k = 6 * place[r["i"]], 6 * place[r["j"]], r["k"]
-        if k < 36:
-            A[i + k // 6, j + k % 6] += r["v"]
-        elif k < 42:
-            A[i + k - 36, j + k - 36] += damping * r["v"]
-        else:
-            b[i + k - 42] += r["v"]
-    delta = -np.linalg.solve(A, b).reshape(-1, 6) if ids else np.zeros((0, 6))
-    return pairs.sparkSession.createDataFrame(list(zip(ids, delta.tolist(), strict=True)), "marker_id long, delta array<double>")
+    rows = pairs.toArrow()  # MOST_MARKERS squared blocks at most
+    i, j = rows.column("i").to_numpy(), rows.column("j").to_numpy()
+    block = rows.column("block").combine_chunks().flatten().to_numpy().reshape(len(i), 48)
+    ids, at = np.unique(i, return_inverse=True)
+    other, own = np.searchsorted(ids, j), i == j
+    A = np.zeros((len(ids), len(ids), 6, 6))
+    A[at, other] = block[:, :36].reshape(-1, 6, 6)
+    A[at[own], at[own]] += damping * block[own, 36:42, None] * np.eye(6) + 1e-12 * np.eye(6)
+    b = np.zeros((len(ids), 6))
+    b[at[own]] = block[own, 42:]
+    n = 6 * len(ids)
+    delta = -np.linalg.solve(A.transpose(0, 2, 1, 3).reshape(n, n), b.ravel()).reshape(-1, 6)
+    return pairs.sparkSession.createDataFrame(list(zip(ids.tolist(), delta.tolist(), strict=True)), "marker_id long, delta array<double>")
 
 
 def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
@@ -141,6 +152,7 @@ def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
     a product is a join and a sum, and only dot products come to the driver.
     """
     k = F.col("k")
+    pairs = pairs.select("i", "j", F.posexplode("block").alias("k", "v"))
     plain = pairs.filter(k < 36).select("i", F.floor(k / 6).cast("int").alias("r"), "j", (k % 6).cast("int").alias("c"), "v")
     damped = pairs.filter((k >= 36) & (k < 42) & (F.col("i") == F.col("j"))).select("i", (k - 36).alias("r"), F.col("i").alias("j"), (k - 36).alias("c"), (damping * F.col("v") + 1e-12).alias("v"))
     matrix = cut(plain.unionByName(damped).groupBy("i", "r", "j", "c").agg(F.sum("v").alias("v")))
@@ -229,37 +241,28 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
         return images, at, camera_xi, s, U, bc, W, V, bm
 
     def evaluate(damping: float) -> tuple[DataFrame, float, float]:
-        """The table (total, i, j, k, v) of the sums by pair of markers, the cost, and the largest slope."""
+        """The table (i, j, block) of the sums by pair of markers, the cost, and the largest slope."""
         def run(frame: pd.DataFrame) -> pd.DataFrame:
             images, at, _, s, U, bc, W, V, bm = blocks(frame, damping)
             m = frame["marker_id"].to_numpy()
             UW = np.linalg.solve(U[at], W)
             Ub = np.linalg.solve(U, bc[..., None])[..., 0]
-            out: dict[tuple[int, int], np.ndarray] = {}
-
-            def add(i, j, block):
-                if (i, j) in out:
-                    out[i, j] += block
-                else:
-                    out[i, j] = block.copy()
-
-            for k in range(len(m)):
-                add(m[k], m[k], np.concatenate([V[k].ravel(), np.diag(V[k]), bm[k] - W[k].T @ Ub[at[k]]]))
-            order = np.argsort(at, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-                for a in group:
-                    for b in group:
-                        add(m[a], m[b], np.concatenate([-(W[a].T @ UW[b]).ravel(), np.zeros(12)]))
+            own = np.concatenate([V.reshape(-1, 36), np.einsum("nii->ni", V), bm - np.einsum("nij,ni->nj", W, Ub[at])], 1)
+            a, b = _pairs_within(at)
+            both = np.concatenate([-np.einsum("nki,nkj->nij", W[a], UW[b]).reshape(-1, 36), np.zeros((len(a), 12))], 1)
+            keys, which = np.unique(np.stack([np.concatenate([m, m[a]]), np.concatenate([m, m[b]])], 1), axis=0, return_inverse=True)
+            sums = np.zeros((len(keys), 48))
+            np.add.at(sums, which.ravel(), np.concatenate([own, both]))
             cost = 0.5 * rho.rho(s, config.scale).sum()
-            keys = [(False, int(i), int(j), v.tolist()) for (i, j), v in out.items()]
-            return pd.DataFrame([*keys, (True, 0, 0, [cost, float(np.abs(bc).max(initial=0.0))])], columns=["total", "i", "j", "block"])
+            out = pd.DataFrame({"total": False, "i": keys[:, 0], "j": keys[:, 1], "block": list(sums)})
+            return pd.concat([out, pd.DataFrame({"total": [True], "i": [0], "j": [0], "block": [np.array([cost, np.abs(bc).max(initial=0.0)])]})])
 
-        parts = with_poses(markers).applyInPandas(run, "total boolean, i long, j long, block array<double>")
-        sums = parts.select("total", "i", "j", F.posexplode("block").alias("k", "v")).groupBy("total", "i", "j", "k").agg(F.when(F.col("total") & (F.col("k") == 1), F.max("v")).otherwise(F.sum("v")).alias("v"))
-        sums = cut(sums)
-        totals = {r["k"]: r["v"] for r in sums.filter("total").collect()}
-        slope = sums.filter("not total and k >= 42").filter(F.col("i") != anchor).agg(F.max(F.abs("v"))).first()[0]
-        return sums, totals.get(0, 0.0), max(totals.get(1, 0.0), slope or 0.0)
+        parts = cut(with_poses(markers).applyInPandas(run, "total boolean, i long, j long, block array<double>"))
+        block = F.col("block")
+        sums = cut(parts.filter("not total").groupBy("i", "j").agg(F.array(*[F.sum(block[k]) for k in range(48)]).alias("block")))
+        cost, slope = parts.filter("total").agg(F.coalesce(F.sum(block[0]), F.lit(0.0)), F.coalesce(F.max(block[1]), F.lit(0.0))).first()
+        steep = sums.filter((F.col("i") == F.col("j")) & (F.col("i") != anchor)).agg(F.max(F.array_max(F.transform(F.slice("block", 43, 6), F.abs)))).first()[0]
+        return sums, cost, max(slope, steep or 0.0)
 
     def step_back(trial: DataFrame, damping: float) -> DataFrame:
         """trial(marker_id, mxi, delta, moved): the markers before the step, the step, and the markers after it."""
@@ -284,7 +287,7 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
             break
         accepted = False
         while damping < 1e12:
-            pairs = sums.filter("not total").filter((F.col("i") != anchor) & (F.col("j") != anchor)).drop("total")
+            pairs = sums.filter((F.col("i") != anchor) & (F.col("j") != anchor))
             step = (solve_few if n_markers <= MOST_MARKERS else solve_many)(pairs, damping)
             delta = F.coalesce("delta", F.array(*[F.lit(0.0)] * 6))
             trial = markers.join(step, "marker_id", "left").withColumn("delta", delta)
