@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, words
+from .common import SPACE, cut, free_name, words
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -130,20 +130,20 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> D
     """The mix itself: docs' columns, a row per epoch in which a document is served, in finish order; the text at the cut is shortened to the words taken.
 
     Texts stay out of the queue; ids and sizes wait in it. Repeated rows are
-    matched by their number among the rows of one id and text. Documents of
-    size 0 are not served.
+    matched by their number among the rows of one id, source and text, and
+    served each. Null texts and documents of size 0 are not served; null ids
+    and sources as in schedule(). Other columns may have any names; an empty
+    table stays empty.
     """
-    key = ["doc_id", "mix_hash", "mix_nth"]
-    alike = Window.partitionBy("doc_id", "mix_hash").orderBy("source")
-    hashed = docs.withColumn("mix_hash", F.xxhash64("text"))
-    placed = hashed.withColumn("mix_nth", F.row_number().over(alike))
-    sized = hashed.select("doc_id", "source", "mix_hash", word_count(F.col("text")).alias("size")).withColumn("mix_nth", F.row_number().over(alike))
-    queue = _queue(cut(sized), weights, epochs, CELL_ROWS).filter("taken > 0")
-    served = queue.select(*[F.col(c).alias(f"{c}_") for c in key], F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("finish").alias("mix_finish"))
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("mix_hash") == F.col("mix_hash_")) & (F.col("mix_nth") == F.col("mix_nth_"))
-    short = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col("mix_taken").cast("int")), " ")
-    text = F.when(F.col("mix_taken") < F.col("mix_size"), short).otherwise(F.col("text"))
-    out = placed.join(served, same).withColumn("text", text)
+    hash_, nth, size, taken, finish = (free_name(docs, f"mix_{n}") for n in ("hash", "nth", "size", "taken", "finish"))
+    alike = Window.partitionBy("doc_id", "source", hash_).orderBy(F.lit(0))
+    placed = docs.withColumn(hash_, F.xxhash64("text")).withColumn(nth, F.row_number().over(alike))
+    key = [F.col("doc_id"), F.col("source"), F.col(hash_).alias("mix_hash"), F.col(nth).alias("mix_nth")]
+    queue = _queue(cut(placed.select(*key, word_count(F.col("text")).alias("size"))), weights, epochs, CELL_ROWS).filter("taken > 0")
+    served = queue.select(F.col("doc_id").alias(f"{hash_}_id"), F.col("source").alias(f"{hash_}_source"), F.col("mix_hash").alias(f"{hash_}_hash"), F.col("mix_nth").alias(f"{hash_}_nth"), F.col("size").alias(size), F.col("taken").alias(taken), F.col("finish").alias(finish))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{hash_}_id")) & F.col("source").eqNullSafe(F.col(f"{hash_}_source")) & (F.col(hash_) == F.col(f"{hash_}_hash")) & (F.col(nth) == F.col(f"{hash_}_nth"))
+    short = F.array_join(F.slice(words(F.col("text")), F.lit(1), F.col(taken).cast("int")), " ")
+    out = placed.join(served, same).withColumn("text", F.when(F.col(taken) < F.col(size), short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.orderBy("mix_finish", "doc_id", "mix_hash", "mix_nth").select(*docs.columns)
+    return out.orderBy(finish, "doc_id", hash_, nth).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -109,4 +109,46 @@ served AS (
 SELECT doc_id, first(size) AS size, first(source_size) AS source_size, first(target) AS target,
        CAST(sum(greatest(0, least(size, (SELECT sum(source_size) FROM totals) - before))) AS BIGINT) AS taken
 FROM served GROUP BY doc_id""",
+    "op2_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS words FROM documents),
+windows AS (SELECT doc_id, i, hash(words[i:i + 49]) AS h, words[i:i + 49] AS win FROM w, unnest(range(1, len(words) - 48)) AS t(i)),
+first AS (SELECT win, min(doc_id) AS ref FROM windows GROUP BY win),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS places FROM windows JOIN first USING (win) WHERE ref < doc_id GROUP BY 1),
+kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed, words, places FROM w LEFT JOIN gone USING (doc_id)),
+left_over AS (SELECT kept.doc_id, string_agg(words[i], ' ' ORDER BY i) AS text FROM kept, unnest(range(1, len(words) + 1)) AS t(i) WHERE places IS NULL OR NOT list_contains(places, i) GROUP BY 1)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM kept LEFT JOIN left_over USING (doc_id)""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS words FROM documents),
+sets AS (SELECT doc_id, i, CASE WHEN len(words) < 5 THEN words ELSE words[i:i + 4] END AS shingle FROM w, unnest(range(1, greatest(2, len(words) - 3))) AS t(i) WHERE len(words) > 0),
+members AS (SELECT DISTINCT doc_id, shingle FROM sets),
+sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, root) AS (SELECT DISTINCT a, a FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b),
+low AS (SELECT node AS doc_id, min(root) AS root FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, w.doc_id) AS component_id FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN low USING (doc_id)""",
 }
+
+
+def _licence_sql() -> str:
+    """Every template's places, share and label, template by template."""
+    def quoted(w: str) -> str:
+        return "'" + w + "'"
+
+    parts = []
+    for t in license_scan.TEMPLATES:
+        a, n = t.key
+        key = " AND ".join(f"words[i + {p - a}] = {quoted(t.words[p])}" for p in range(a, a + n))
+        same = " + ".join(f"CASE WHEN i + {p - a} > 0 AND words[i + {p - a}] = {quoted(w)} THEN 1e0 ELSE 0e0 END" for p, w in enumerate(t.words))
+        parts.append(f"SELECT doc_id, {quoted(t.label)} AS label, {str(t.base).lower()} AS base, i - 1 - {a} AS start, ({same}) / {len(t.words)} AS share FROM places WHERE {key}")
+    return r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+places AS (SELECT doc_id, i, words FROM w, unnest(range(1, len(words) + 1)) AS t(i)),
+found AS (SELECT * FROM (""" + " UNION ALL ".join(parts) + f""") WHERE share >= {license_scan.SHARE})
+SELECT w.doc_id, CAST(any_value(len(words)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0e0) AS score
+FROM w LEFT JOIN found USING (doc_id) GROUP BY w.doc_id"""
+
+
+ORACLES["op4_license_scan"] = _licence_sql()

@@ -216,23 +216,23 @@ class Repeats:
         self.known = known.join(first, "digest").select("doc_id", "row_hash", "anchors", (F.col("first_id") < F.col("doc_id")).alias("copy"))
         first_rows = self.known.filter(~F.col("copy")).select("doc_id", "row_hash", "anchors").dropDuplicates(["doc_id", "row_hash"])
         anchors = first_rows.select("doc_id", "row_hash", F.explode("anchors").alias("anchor"))
-        # written down, so that the join deals both sides and can split a common anchor's, or seed's, rows
+        # written down, so that the join deals both sides and can split a common anchor's rows
         shared = cut(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
         wanted = anchors.join(shared, "anchor").groupBy("doc_id", "row_hash").agg(F.collect_list("anchor").alias("shared"))
         self.wanted = cut(wanted)
         self.texts = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         seeds = self.texts.join(self.wanted, ["doc_id", "row_hash"]).mapInArrow(_seeds(window, anchor), "doc_id long, row_hash long, at int, one long, two long")
-        first_place = F.min(F.struct("doc_id", "row_hash", "at")).alias("ref")
-        index = seeds.groupBy("one", "two").agg(first_place, F.max("doc_id").alias("last")).filter("ref.doc_id < last")
-        index = cut(index.select("one", "two", F.col("ref.doc_id").alias("ref"), F.col("ref.row_hash").alias("ref_row"), F.col("ref.at").alias("place")))
+        index = seeds.groupBy("one", "two").agg(F.min(F.struct("doc_id", "row_hash", "at")).alias("ref"), F.count("*").alias("n")).filter("n > 1")
+        index = index.select("one", "two", F.col("ref.doc_id").alias("ref"), F.col("ref.row_hash").alias("ref_row"), F.col("ref.at").alias("place"))
         self.hits = seeds.join(index, ["one", "two"]).filter("ref < doc_id").select("doc_id", "row_hash", "at", "ref", "ref_row", "place")
 
     def _parsed(self, out: str, schema: str) -> DataFrame:
         key, block = ["doc_id", "row_hash"], ["ref", "ref_row", "number"]
-        listed = cut(self.hits.groupBy(*key).agg(F.collect_set(F.struct("at", "ref", "ref_row", "place")).alias("hits")))
+        # all in one job, so that texts and hits are dealt out once
+        listed = self.hits.groupBy(*key).agg(F.collect_set(F.struct("at", "ref", "ref_row", "place")).alias("hits"))
         needed = listed.select(*key, F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["ref"].alias("ref"), h["ref_row"].alias("ref_row"), F.floor(h["place"] / BLOCK).cast("int").alias("number"))))).alias("b")).select(*key, "b.*")
         of_text = needed.groupBy(F.col("ref").alias("doc_id"), F.col("ref_row").alias("row_hash")).agg(F.collect_set("number").alias("wanted"))
-        blocks = cut(self.texts.join(of_text, key).mapInArrow(_blocks(self.window), "ref long, ref_row long, number int, content binary").dropDuplicates(block))
+        blocks = self.texts.join(of_text, key).mapInArrow(_blocks(self.window), "ref long, ref_row long, number int, content binary").dropDuplicates(block)
         fetched = needed.join(blocks, block).groupBy(*key).agg(F.collect_list(F.struct(*block, "content")).alias("blocks"))
         rows = self.texts.dropDuplicates(key) if out == "factors" else self.texts
         return rows.join(listed, key).join(fetched, key).mapInArrow(_parser(self.window, out), schema)
