@@ -1,18 +1,24 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts a token's class (one of the commonest words, the end of a
-text, or any other word) from the two tokens before it: the sum of each one's
-vector through a matrix of its place is compared with the class's vector, plus
-a bias. Other words share their class's probability by smoothed counts, so
+The model predicts a token (a word of the vocabulary, the end of a text, or any
+other word) from the two tokens before it: the sum of each one's vector through
+a matrix of its place is compared with the token's vector, plus a bias. The
+vocabulary holds all words from the smallest count on that leaves MOST_WORDS of
+them at most. Other words share one token's probability by smoothed counts, so
 token probabilities sum to one over the words of the training text and one
 unseen word.
 
-Training text is counted by Spark. The model is trained in numpy on all of it,
-in ROUNDS parts: every task trains a copy on its own documents, and the copies
-are averaged by tokens, as sums by parameter number. Scoring normalises by
-matrix products over the distinct contexts of a slice of text. Counts of the
-commonest words are broadcast (MOST_HOT of them); those of the others are joined
-by shuffle. Words are known by 64-bit hashes.
+Training text is counted by Spark and the model is trained in numpy on all of
+it, in ROUNDS parts. Documents, as token numbers, are dealt by a hash into
+shards whose number follows from the count of tokens, and stand in a fixed order
+there; each shard trains a copy, and the copies are averaged word by word,
+weighted by the word's uses in the shard, in the order of the shards. So the
+result does not depend on how the table is partitioned.
+
+Scoring normalises in three steps over a tree of near words (group, group in the
+group, word in that), each a batched matrix product and a softmax. Counts of the
+vocabulary are broadcast; those of other words are joined by shuffle. Words are
+known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,38 +36,40 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .common import cut
 
-#: Words with a class of their own.
-CLASSES = 500
+#: Words of the vocabulary at most, 150 bytes each on the driver and in each task; token numbers take 16 bits.
+MOST_WORDS = 50_000
 WIDTH = 16
 ORDER = 2
 NOISE = 32
 BATCH = 4096
 RATE = 0.08
 ROUNDS = 2
-#: Commonest words whose counts are broadcast, 16 bytes each.
-MOST_HOT = 50_000
+#: Tokens of a training shard, about, and shards at most (shards grow beyond).
+SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
+#: Parts into which a copy of the model is cut for averaging.
+BLOCKS = 256
 END, OTHER = 0, 1
 #: Stands for the end of a text among word hashes.
 END_HASH = np.uint64(0xE5D0C0DE0E5D0C0D)
 
 
 class Params(NamedTuple):
-    """context, target: a vector a class; place: a matrix for each token before; bias: of each class."""
+    """context, target: a vector a token; place: a matrix for each token before; bias: of each token."""
 
     context: np.ndarray
     target: np.ndarray
     place: np.ndarray
     bias: np.ndarray
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self])
+    def rows(self) -> np.ndarray:
+        """A row a token: its two vectors and its bias."""
+        return np.concatenate([self.context, self.target, self.bias[:, None]], 1)
 
-    def like(self, flat: np.ndarray) -> Params:
-        out, at = [], 0
-        for x in self:
-            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return Params(*out)
+    @classmethod
+    def of_rows(cls, rows: np.ndarray, place: np.ndarray) -> Params:
+        width = place.shape[-1]
+        parts = rows[:, :width], rows[:, width : 2 * width], place, rows[:, -1]
+        return cls(*[np.ascontiguousarray(x, np.float32) for x in parts])
 
 
 def start(log_unigram: np.ndarray, width: int = WIDTH, order: int = ORDER) -> Params:
@@ -83,6 +91,19 @@ def predict(p: Params, before: np.ndarray) -> np.ndarray:
     return sum(p.context[before[:, k]] @ p.place[k] for k in range(before.shape[1]))
 
 
+def placed(p: Params) -> list[np.ndarray]:
+    """Every token's vector through the matrix of each place."""
+    return [p.context @ m for m in p.place]
+
+
+def guesses(tables: list[np.ndarray], before: np.ndarray) -> np.ndarray:
+    """As predict, from placed(p)."""
+    out = tables[0][before[:, 0]]
+    for k, table in enumerate(tables[1:], 1):
+        out += table[before[:, k]]
+    return out
+
+
 class Trainer:
     """Adagrad on the noise-contrastive loss, in minibatches that share their noise."""
 
@@ -134,19 +155,101 @@ class Trainer:
             self._step(2, k, g)
 
 
+class Tree:
+    """Tokens in an order that puts near target vectors side by side, cut into runs, and these into runs of runs.
+
+    A run's vector is the mean of its tokens' and its bias the log of the sum of
+    their exponents, so that its score is near the log of the sum of theirs.
+    """
+
+    def __init__(self, p: Params):
+        n = len(p.bias)
+        self.order = _near_order(p.target.astype(np.float64), p.bias)
+        fan = max(1, math.ceil(n ** (1 / 3)))
+        self.leaf_edge = _edges(n, fan * fan)
+        inner = len(self.leaf_edge) - 1
+        self.inner_edge = _edges(inner, fan)
+        # of each token: its place in the order, its run, and its run of runs
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        self.place = place
+        self.run = (np.searchsorted(self.leaf_edge, place, "right") - 1).astype(np.int64)
+        self.top = (np.searchsorted(self.inner_edge, self.run, "right") - 1).astype(np.int64)
+        leaves = (p.target[self.order], p.bias[self.order])
+        runs = _pooled(*leaves, self.leaf_edge)
+        self.levels = (_pooled(*runs, self.inner_edge), runs, leaves)
+
+    def log_probabilities(self, guess: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of each target's normalised probability.
+
+        In the tree's order the tokens of a run stand together, at every level,
+        so each run's matrix product is over consecutive rows.
+        """
+        place = self.place[target]
+        order = np.argsort(place.astype(np.uint16) if len(self.place) <= 1 << 16 else place, kind="stable")
+        guess, place, target = guess[order], place[order], target[order]
+        top, run = self.top[target], self.run[target]
+        sums = np.zeros(len(target), np.float32)
+        for (vectors, bias), edge, parent, child in zip(self.levels, (np.array([0, len(self.levels[0][1])]), self.inner_edge, self.leaf_edge), (np.zeros(len(target), np.int64), top, run), (top, run, place), strict=True):
+            first = np.searchsorted(parent, np.arange(len(edge)))
+            safe = np.sqrt((guess * guess).sum(1).max(initial=0) * (vectors * vectors).sum(1).max()) + np.abs(bias).max() < 80
+            for k in np.flatnonzero(np.diff(first)).tolist():
+                a, b = edge[k], edge[k + 1]
+                if b - a == 1:
+                    continue
+                one, columns, offset = np.ones(b - a, np.float32), vectors[a:b].T.copy(), bias[a:b]
+                for i in range(first[k], first[k + 1], STEP_ROWS):
+                    j = min(i + STEP_ROWS, first[k + 1])
+                    s = guess[i:j] @ columns
+                    s += offset
+                    if not safe:  # an exponent might not fit
+                        s -= s.max(1, keepdims=True)
+                    own = s[_COUNT[: j - i], child[i:j] - a]
+                    np.exp(s, out=s)
+                    sums[i:j] += own - np.log(s @ one)
+        out = np.empty(len(target))
+        out[order] = sums
+        return out
+
+
+#: Rows of a matrix product whose scores stay in the cache.
+STEP_ROWS = 1 << 12
+_COUNT = np.arange(STEP_ROWS)
+
+
+def _edges(n: int, parts: int) -> np.ndarray:
+    """Bounds of so many even runs of n, none empty."""
+    return np.unique(np.arange(min(n, parts) + 1) * n // max(1, min(n, parts)))
+
+
+def _pooled(vectors: np.ndarray, bias: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = np.maximum.reduceat(bias, edge[:-1])
+    weight = np.exp((bias - np.repeat(top, np.diff(edge))).astype(np.float64))
+    total = np.add.reduceat(weight, edge[:-1])
+    mean = np.add.reduceat(vectors * weight[:, None], edge[:-1]) / total[:, None]
+    return mean.astype(np.float32), (top + np.log(total)).astype(np.float32)
+
+
+def _near_order(vectors: np.ndarray, bias: np.ndarray, least: int = 8) -> np.ndarray:
+    """Numbers of the vectors, halved again and again across the direction in which they spread most."""
+    out, stack = [], [np.arange(len(vectors))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= least:
+            out.append(rows[np.lexsort((rows, bias[rows]))])
+            continue
+        x = vectors[rows] - vectors[rows].mean(0)
+        _, axes = np.linalg.eigh(x.T @ x)
+        axis = axes[:, -1] * (1 if axes[np.abs(axes[:, -1]).argmax(), -1] > 0 else -1)
+        rows = rows[np.lexsort((rows, x @ axis))]
+        half = len(rows) // 2
+        stack += [rows[half:], rows[:half]]
+    return np.concatenate(out)
+
+
 def log_probabilities(p: Params, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of each target class's normalised probability; each distinct context is normalised once."""
-    key = before[:, 0]
-    for k in range(1, before.shape[1]):
-        key = key * len(p.bias) + before[:, k]
-    distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
-    guess = predict(p, before[first])
-    norm = np.empty(len(distinct), np.float64)
-    for i in range(0, len(distinct), 8192):
-        s = guess[i : i + 8192] @ p.target.T + p.bias
-        top = s.max(1)
-        norm[i : i + 8192] = top + np.log(np.exp(s - top[:, None]).sum(1, dtype=np.float64))
-    return np.einsum("ij,ij->i", guess[which], p.target[target]).astype(np.float64) + p.bias[target] - norm[which]
+    """Natural log of each target token's normalised probability."""
+    return Tree(p).log_probabilities(predict(p, before), target)
 
 
 def _tokens(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -183,28 +286,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Counts(NamedTuple):
-    """Of the training tokens: their number, the distinct ones, the table (hash, n), and the hot part: sorted hashes, their counts and their ranks by count."""
+    """Of the training tokens: their number, the distinct ones, the table (hash, n), and the vocabulary's part of it: hashes in order, and their counts."""
 
     tokens: int
     distinct: int
     table: DataFrame
     hashes: np.ndarray
     n: np.ndarray
-    rank: np.ndarray
 
 
-def count(rows: DataFrame, most_hot: int = MOST_HOT) -> Counts:
+def count(rows: DataFrame, most_words: int = MOST_WORDS) -> Counts:
+    """The vocabulary are the words of the least count, in steps of 1/64 of a doubling, that leaves most_words at most; END is always in it."""
     table = cut(rows.select("held_out", "text").mapInArrow(_counting, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = table.orderBy(F.desc("n"), "hash").limit(most_hot).collect()
+    step = F.floor(64 * F.log2("n")).cast("int")
+    # a row a step, 64 * 63 at most
+    steps = table.groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+    least, room = 0, most_words
+    for r in sorted(steps, reverse=True):
+        room -= r["words"]
+        if room < 0:
+            least = r["step"] + 1
+            break
+    end = int(END_HASH.astype(np.int64))
+    hot = table.filter((step >= least) | (F.col("hash") == end)).collect()
     hashes, n = np.array([r[0] for r in hot], np.int64).view(np.uint64), np.array([r[1] for r in hot], np.int64)
     order = np.argsort(hashes)
-    return Counts(total[0], total[1], table, hashes[order], n[order], order)
+    return Counts(sum(r["n"] for r in steps), sum(r["words"] for r in steps), table, hashes[order], n[order])
 
 
 class Model(NamedTuple):
     params: Params
-    #: sorted hashes of the words with a class, and their classes
+    #: sorted hashes of the vocabulary, END among them, and their token numbers
     hashes: np.ndarray
     classes: np.ndarray
     log_unigram: np.ndarray
@@ -214,11 +326,12 @@ class Model(NamedTuple):
         return np.where(c < 0, OTHER, c)
 
 
-def first_model(counts: Counts, classes: int = CLASSES) -> Model:
-    own = (counts.hashes != END_HASH) & (counts.rank <= classes)
+def first_model(counts: Counts) -> Model:
+    own = counts.hashes != END_HASH
     hashes, n = counts.hashes[own], counts.n[own]
-    rank = np.argsort(np.argsort(counts.rank[own]))
-    ends = int(counts.n[counts.hashes == END_HASH].sum())
+    rank = np.empty(len(n), np.int64)
+    rank[np.lexsort((hashes, -n))] = np.arange(len(n))
+    ends = int(counts.n[~own].sum())
     weight = np.ones(2 + len(hashes))
     weight[2 + rank] += n
     weight[END] += ends
@@ -228,36 +341,108 @@ def first_model(counts: Counts, classes: int = CLASSES) -> Model:
     return Model(start(log_unigram), np.append(hashes, END_HASH)[order], np.append(2 + rank, END)[order], log_unigram.astype(np.float32))
 
 
-def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Train on the rows that are not held out; each document counts in one round."""
+def _numbers(sent):
+    """Documents as token numbers of 16 bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, h in _tokens(batch.column("text")):
+                stop = np.flatnonzero(h == END_HASH) + 1
+                data = sent.value.of(h).astype(np.uint16).tobytes()
+                first = [0, *(2 * stop).tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("deal").take(pa.array(rows)), pa.array([data[i:j] for i, j in zip(first, first[1:], strict=False)], pa.binary())], names=["deal", "tokens"])
+
+    return run
+
+
+#: Bytes of token numbers that are trained on at once.
+TRAIN_BYTES = 1 << 20
+
+
+class _Copy:
+    """A copy of the model, trained on one shard's documents as they come."""
+
+    def __init__(self, model: Model, shard: int, turn: int):
+        self.trainer, self.shard = Trainer(model.params, model.log_unigram, seed=1 + turn + 2 * shard), shard
+        self.uses, self.held, self.size = np.zeros(len(model.log_unigram)), [], 0
+
+    def add(self, tokens: bytes) -> None:
+        self.held.append(tokens)
+        self.size += len(tokens)
+        if self.size >= TRAIN_BYTES:  # cut by the documents alone, not by the batches
+            self.train()
+
+    def train(self) -> None:
+        c = np.frombuffer(b"".join(self.held), np.uint16).astype(np.int64)
+        self.trainer.train(contexts(c), c)
+        self.uses += np.bincount(c, minlength=len(self.uses))
+        self.held, self.size = [], 0
+
+    def blocks(self) -> pa.RecordBatch:
+        """(block, shard, at, weights, average) of the tokens that the shard uses; block -1 holds the matrices."""
+        if self.held:
+            self.train()
+        values, used = self.trainer.p.rows(), np.flatnonzero(self.uses)
+        rows = [used[used % BLOCKS == k] for k in range(BLOCKS)]
+        parts = [(k, at // BLOCKS, self.uses[at], values[at]) for k, at in enumerate(rows) if len(at)] + [(-1, np.zeros(1), np.array([self.uses.sum()]), self.trainer.p.place)]
+        as_bytes = lambda x, kind: pa.array([np.ascontiguousarray(p[x], kind).tobytes() for p in parts], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([self.shard] * len(parts), pa.int32()), as_bytes(1, np.int32), as_bytes(2, np.float64), as_bytes(3, np.float32)], names=["block", "shard", "at", "weights", "average"])
+
+
+def _training(sent, turn: int):
+    """Copies of the model, one a shard, over rows sorted by shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copy = None
+        for batch in batches:
+            for shard, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if copy is None or copy.shard != shard:
+                    if copy is not None:
+                        yield copy.blocks()
+                    copy = _Copy(sent.value, shard, turn)
+                copy.add(tokens)
+        if copy is not None:
+            yield copy.blocks()
+
+    return run
+
+
+def _average(table: pa.Table) -> pa.Table:
+    """The mean of a block's rows over the shards that use them, summed in the shards' order."""
+    table = table.sort_by("shard")
+    at, weights, values = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("at", np.int32), ("weights", np.float64), ("average", np.float32)))
+    order = np.argsort(at, kind="stable")
+    at, weights, values = at[order], weights[order], values.reshape(len(at), -1)[order].astype(np.float64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    total = np.add.reduceat(weights, first)
+    mean = np.add.reduceat(values * weights[:, None], first) / total[:, None]
+    return pa.table({"block": table.column("block").slice(0, 1), "at": pa.array([at[first].tobytes()], pa.binary()), "average": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(rows: DataFrame, model: Model, tokens: int, rounds: int = ROUNDS) -> Model:
+    """Train on the rows(doc_id, text, held_out) that are not held out; each document counts in one round. tokens: how many there are."""
+    shards = max(1, min(MOST_SHARDS, -(-tokens // (rounds * SHARD_TOKENS))))
+    dealt = rows.filter(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("deal"), "text")
+    context = rows.sparkSession.sparkContext
     for turn in range(rounds):
-        sent = rows.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            model, n = sent.value, 0
-            trainer = Trainer(model.params, model.log_unigram)
-            for batch in batches:
-                for _, h in _tokens(batch.column("text")):
-                    c = model.of(h)
-                    trainer.train(contexts(c), c)
-                    n += len(c)
-            if n:
-                flat = trainer.p.flat().astype(np.float64) * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, n))], names=["at", "value"])
-
-        part = rows.filter((~F.col("held_out")) & (F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)).select("text")
-        # as many rows as parameters
-        sums = part.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        if sums:
-            value = np.zeros(len(sums))
-            for r in sums:
-                value[r[0]] = r[1]
-            model = model._replace(params=model.params.like(value[:-1] / value[-1]))
+        sent = context.broadcast(model)
+        numbers = dealt.filter(F.pmod("deal", F.lit(rounds)) == turn).mapInArrow(_numbers(sent), "deal long, tokens binary")
+        shard = F.pmod(F.xxhash64("deal"), F.lit(shards)).cast("int").alias("shard")
+        ordered = numbers.select(shard, "deal", "tokens").repartition("shard").sortWithinPartitions("shard", "deal", "tokens")
+        copies = ordered.mapInArrow(_training(sent, turn), "block int, shard int, at binary, weights binary, average binary")
+        # as many numbers as the model has
+        blocks = copies.groupBy("block").applyInArrow(_average, "block int, at binary, average binary").collect()
+        rows_now, place = model.params.rows(), model.params.place
+        for b in blocks:
+            at, average = np.frombuffer(b["at"], np.int32), np.frombuffer(b["average"], np.float32)
+            if b["block"] < 0:
+                place = average.reshape(place.shape)
+            else:
+                rows_now[at.astype(np.int64) * BLOCKS + b["block"]] = average.reshape(len(at), -1)
+        model = model._replace(params=Params.of_rows(rows_now, place))
         sent.unpersist()
     return model
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, most_words: int = MOST_WORDS) -> DataFrame:
     """A row per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts count as empty and have one token, the end. A null id counts as
@@ -266,12 +451,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = count(rows)
-    model = train(rows, first_model(counts), rounds)
-    hot, plain = rows.sparkSession.sparkContext.broadcast((counts.hashes, counts.n)), rows.sparkSession.sparkContext.broadcast(model)
+    counts = count(rows, most_words)
+    model = train(rows, first_model(counts), counts.tokens, rounds)
+    hot, plain = rows.sparkSession.sparkContext.broadcast((counts.hashes, counts.n)), rows.sparkSession.sparkContext.broadcast((model._replace(params=None), Tree(model.params), placed(model.params)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hashes, n), model = hot.value, plain.value
+        (hashes, n), (model, tree, tables) = hot.value, plain.value
         log_n = np.append(np.log10(n + 1.0), 0.0)
         number = np.arange(len(hashes))
         for batch in batches:
@@ -286,7 +471,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 at = _classes(h, hashes, number)
                 known, other = at >= 0, c == OTHER
                 log_c = log_n[at]
-                lbl = log_probabilities(model.params, contexts(c), c) / math.log(10)
+                lbl = tree.log_probabilities(guesses(tables, contexts(c)), c) / math.log(10)
                 sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), log_c, np.where(other, log_c, 0.0), lbl, other.astype(np.int64))]
                 row = ids[rows]
                 yield _batch(row, row, size, *sums)
