@@ -1,7 +1,12 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; every stage but the last returns the columns of documents.
+kept; every stage but the last returns the columns of documents. Null texts
+count as empty; rows without id are neither trusted, nor linked, nor cut, but
+mixed and encoded; repeated rows are judged, cut, served and encoded each, and
+as duplicates of one id stay together; ties go to the smaller id. Further
+columns, whatever their names, are handed on. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,12 +22,12 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the n-gram model keep."""
+    """Documents that the base rules and the n-gram model keep; empty and null texts are too short and go."""
     return quality.keep(docs, quality.trusted(table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document of the smallest id."""
+    """Of each component of near-duplicates the document of the smallest id; texts without words and rows without id stay."""
     return jaccard.keep_first(docs)
 
 
