@@ -108,5 +108,5 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, most_blocks: in
 
 
 def feed_urls(pages: DataFrame) -> DataFrame:
-    """The query's list: URLs that a feed's tracking parameter marks as syndicated."""
+    """The query's list: URLs that a feed's tracking parameter marks as syndicated. Null URLs are not listed, repeated ones each; an empty table gives none."""
     return pages.filter(F.col("url").contains("utm_source=")).select("url")
