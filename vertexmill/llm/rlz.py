@@ -38,6 +38,8 @@ WINDOW = 50
 ANCHOR = 10
 #: Windows that begin in a block of the reference.
 BLOCK = 128
+#: Keys of texts are joined by broadcast of up to so many rows (16 bytes each), else by shuffle.
+MOST_BROADCAST_KEYS = 200_000
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -228,13 +230,15 @@ class Repeats:
 
     def _parsed(self, out: str, schema: str) -> DataFrame:
         key, block = ["doc_id", "row_hash"], ["ref", "ref_row", "number"]
-        # all in one job, so that texts and hits are dealt out once
-        listed = self.hits.groupBy(*key).agg(F.collect_set(F.struct("at", "ref", "ref_row", "place")).alias("hits"))
+        listed = cut(self.hits.groupBy(*key).agg(F.collect_set(F.struct("at", "ref", "ref_row", "place")).alias("hits")))
         needed = listed.select(*key, F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["ref"].alias("ref"), h["ref_row"].alias("ref_row"), F.floor(h["place"] / BLOCK).cast("int").alias("number"))))).alias("b")).select(*key, "b.*")
         of_text = needed.groupBy(F.col("ref").alias("doc_id"), F.col("ref_row").alias("row_hash")).agg(F.collect_set("number").alias("wanted"))
-        blocks = self.texts.join(of_text, key).mapInArrow(_blocks(self.window), "ref long, ref_row long, number int, content binary").dropDuplicates(block)
+        # only texts that hit, or are hit, are dealt out again
+        keys = cut(listed.select(*key).union(of_text.select(*key)).distinct())
+        texts = self.texts.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys, key, "left_semi")
+        blocks = texts.join(of_text, key).mapInArrow(_blocks(self.window), "ref long, ref_row long, number int, content binary").dropDuplicates(block)
         fetched = needed.join(blocks, block).groupBy(*key).agg(F.collect_list(F.struct(*block, "content")).alias("blocks"))
-        rows = self.texts.dropDuplicates(key) if out == "factors" else self.texts
+        rows = texts.dropDuplicates(key) if out == "factors" else texts
         return rows.join(listed, key).join(fetched, key).mapInArrow(_parser(self.window, out), schema)
 
     def factors(self) -> DataFrame:
