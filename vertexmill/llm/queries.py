@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, periods, quality, rlz, url_filter, vptree
+from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, periods, quality, rlz, turns, url_filter, vptree
 from .common import table
 
 
@@ -53,11 +53,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.report(turns.damage(conversations), conversations)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.report(periods.plant(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op9_lm_score, op10_jaccard_join, op12_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op9_lm_score, op10_jaccard_join, op11_turn_repair, op12_periodic_runs)}
 ORACLES: dict[str, str] = {
     "op1_nearest_vectors": """
 WITH usable AS (
