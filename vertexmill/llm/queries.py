@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, periods, quality, rlz, turns, url_filter, vptree
+from . import bitplane, bpe, jaccard, lblm, license_scan, mixing, periods, quality, rlz, turns, url_filter, vptree, warc
 from .common import table
 
 
@@ -62,7 +62,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.report(periods.plant(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op9_lm_score, op10_jaccard_join, op11_turn_repair, op12_periodic_runs)}
+def op13_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_vectors, op2_substring_dedup, op3_bpe_round_trip, op4_license_scan, op5_quality_rules, op6_url_filter, op7_mix_sources, op8_bit_planes, op9_lm_score, op10_jaccard_join, op11_turn_repair, op12_periodic_runs, op13_warc_round_trip)}
 ORACLES: dict[str, str] = {
     "op1_nearest_vectors": """
 WITH usable AS (
@@ -126,6 +130,11 @@ gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS places
 kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed, words, places FROM w LEFT JOIN gone USING (doc_id)),
 left_over AS (SELECT kept.doc_id, string_agg(words[i], ' ' ORDER BY i) AS text FROM kept, unnest(range(1, len(words) + 1)) AS t(i) WHERE places IS NULL OR NOT list_contains(places, i) GROUP BY 1)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM kept LEFT JOIN left_over USING (doc_id)""",
+    "op13_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages),
+r AS (SELECT *, strlen(html) >= 1000 AND largest IS NOT NULL AND page_id IS DISTINCT FROM largest AS again FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN largest END AS refers_to
+FROM r""",
     "op10_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS words FROM documents),
 sets AS (SELECT doc_id, i, CASE WHEN len(words) < 5 THEN words ELSE words[i:i + 4] END AS shingle FROM w, unnest(range(1, greatest(2, len(words) - 3))) AS t(i) WHERE len(words) > 0),
