@@ -5,28 +5,100 @@ from __future__ import annotations
 import numpy as np
 
 #: Columns of a camera row that the functions here take, in order.
-CAMERA = ("is_omni", "fx", "fy", "cx", "cy", "xi", "k1", "k2", "p1", "p2", "k3")
+CAMERA = ("kind", "fx", "fy", "cx", "cy", "xi", "k1", "k2", "p1", "p2", "k3")
 DETECTOR_CORNERS = np.array([(-0.5, 0.5, 0.0), (0.5, 0.5, 0.0), (0.5, -0.5, 0.0), (-0.5, -0.5, 0.0)])
 
 
-def project(points: np.ndarray, camera: np.ndarray) -> np.ndarray:
-    """Pixels (..., 2) of points (..., 3) in the camera's frame; NaN where not seen. camera: (..., len(CAMERA))."""
+class Lenses:
+    """Cameras of batches: values (..., len(CAMERA)) and the registered models that their first number names.
+
+    The first number is 0 for pinhole_radtan, 1 for omni_radtan and 2 + k for
+    the k-th of models, pairs of array functions (project, unproject) that take
+    arrays (n, 3) or (n, 2) and a dictionary of parameters, each (n,). Arrays
+    without such models may stand for themselves.
+    """
+
+    def __init__(self, values: np.ndarray, models: tuple = ()):
+        self.values, self.models = values, models
+
+    def __getitem__(self, key) -> Lenses:
+        return Lenses(self.values[key], self.models)
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+
+def _lens(camera: np.ndarray | Lenses) -> tuple[np.ndarray, tuple]:
+    return (camera.values, camera.models) if isinstance(camera, Lenses) else (camera, ())
+
+
+def _by_model(out: np.ndarray, given: np.ndarray, camera: np.ndarray, models: tuple, which: int) -> np.ndarray:
+    """out with what registered models make of given where a camera is theirs."""
+    if not models or not (camera[..., 0] > 1).any():
+        return out
+    kind, shape = np.broadcast_to(camera[..., 0], out.shape[:-1]), out.shape[:-1]
+    every = [np.broadcast_to(camera[..., k], shape) for k in range(1, len(CAMERA))]
+    given, out = np.broadcast_to(given, (*shape, given.shape[-1])), out.copy()
+    for k, model in enumerate(models):
+        mine = kind == k + 2
+        if mine.any():
+            out[mine] = model[which](given[mine], {n: x[mine] for n, x in zip(CAMERA[1:], every, strict=True)})
+    return out
+
+
+def project(points: np.ndarray, camera: np.ndarray | Lenses) -> np.ndarray:
+    """Pixels (..., 2) of points (..., 3) in the camera's frame; NaN where not seen."""
+    values, models = _lens(camera)
+    return _by_model(_project(points, values)[0], points, values, models, 0)
+
+
+def _project(points: np.ndarray, camera: np.ndarray) -> tuple:
+    """Pixels by the built-in models, and what their slopes need."""
     omni, fx, fy, cx, cy, xi, k1, k2, p1, p2, k3 = np.moveaxis(camera, -1, 0)
     length = np.linalg.norm(points, axis=-1)
-    depth = points[..., 2] + np.where(omni > 0, xi * length, 0.0)
-    seen = (length > 1e-12) & (depth > 1e-12 * np.where(omni > 0, length, 1.0))
+    depth = points[..., 2] + np.where(omni == 1, xi * length, 0.0)
+    seen = (length > 1e-12) & (depth > 1e-12 * np.where(omni == 1, length, 1.0))
     z = np.where(seen, depth, 1.0)
     x, y = points[..., 0] / z, points[..., 1] / z
     r2 = x * x + y * y
     radial = 1 + r2 * (k1 + r2 * (k2 + r2 * k3))
     u = fx * (x * radial + 2 * p1 * x * y + p2 * (r2 + 2 * x * x)) + cx
     v = fy * (y * radial + p1 * (r2 + 2 * y * y) + 2 * p2 * x * y) + cy
-    return np.where(seen[..., None], np.stack([u, v], -1), np.nan)
+    return np.where(seen[..., None], np.stack([u, v], -1), np.nan), x, y, z, r2, radial, length
+
 
+def project_slopes(points: np.ndarray, camera: np.ndarray | Lenses) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels (..., 2) and their derivatives (..., 2, 3) by the points: in closed form for the built-in models, by central differences for registered ones."""
+    values, models = _lens(camera)
+    pixels, x, y, z, r2, radial, length = _project(points, values)
+    omni, fx, fy, _, _, xi, k1, k2, p1, p2, k3 = np.moveaxis(values, -1, 0)
+    depth = np.where(omni == 1, xi / np.where(length > 1e-12, length, 1.0), 0.0)[..., None] * points
+    depth[..., 2] += 1.0
+    flat = np.stack([x, y], -1)[..., None] * -depth[..., None, :]
+    flat[..., 0, 0] += 1.0
+    flat[..., 1, 1] += 1.0
+    flat /= z[..., None, None]
+    grow = 2 * (k1 + r2 * (2 * k2 + 3 * k3 * r2))
+    bent = np.stack([
+        np.stack([fx * (radial + grow * x * x + 2 * p1 * y + 6 * p2 * x), fx * (grow * x * y + 2 * p1 * x + 2 * p2 * y)], -1),
+        np.stack([fy * (grow * x * y + 2 * p1 * x + 2 * p2 * y), fy * (radial + grow * y * y + 6 * p1 * y + 2 * p2 * x)], -1),
+    ], -2)
+    slopes = bent @ flat
+    if models and (values[..., 0] > 1).any():
+        pixels = _by_model(pixels, points, values, models, 0)
+        for k in range(3):
+            h = np.zeros_like(points)
+            h[..., k] = 1e-6 * np.maximum(1.0, np.abs(points[..., k]))
+            ahead, behind = (_by_model(pixels, points + s, values, models, 0) for s in (h, -h))
+            other = np.broadcast_to(values[..., :1] > 1, pixels.shape)
+            slopes[..., k] = np.where(other, (ahead - behind) / (2 * h[..., k : k + 1]), slopes[..., k])
+    return pixels, slopes
 
-def unproject(pixels: np.ndarray, camera: np.ndarray, steps: int = 10) -> np.ndarray:
+
+def unproject(pixels: np.ndarray, camera: np.ndarray | Lenses, steps: int = 10) -> np.ndarray:
     """Unit rays (..., 3) of pixels (..., 2): `steps` steps of a fixed-point iteration undo the distortion."""
-    omni, fx, fy, cx, cy, xi, k1, k2, p1, p2, k3 = np.moveaxis(camera, -1, 0)
+    values, models = _lens(camera)
+    omni, fx, fy, cx, cy, xi, k1, k2, p1, p2, k3 = np.moveaxis(values, -1, 0)
     x0, y0 = (pixels[..., 0] - cx) / fx, (pixels[..., 1] - cy) / fy
     x, y = x0, y0
     for _ in range(steps):
@@ -37,18 +109,35 @@ def unproject(pixels: np.ndarray, camera: np.ndarray, steps: int = 10) -> np.nda
         x, y = x + x0 - dx, y + y0 - dy
     r2 = x * x + y * y
     alpha = (xi + np.sqrt(np.maximum(0.0, 1 + (1 - xi * xi) * r2))) / (1 + r2)
-    one = np.where(omni > 0, alpha, 1.0)
-    ray = np.stack([one * x, one * y, np.where(omni > 0, alpha - xi, 1.0)], -1)
+    one = np.where(omni == 1, alpha, 1.0)
+    ray = np.stack([one * x, one * y, np.where(omni == 1, alpha - xi, 1.0)], -1)
+    ray = _by_model(ray, pixels, values, models, 1)
     n = np.linalg.norm(ray, axis=-1, keepdims=True)
     return np.where(n > 1e-12, ray / np.where(n > 1e-12, n, 1.0), np.nan)
 
 
+def turn_slopes(r: np.ndarray) -> np.ndarray:
+    """(..., 3, 3) matrices J with d(R v) = -[R v] J dr for the rotation R of a rotation vector r."""
+    angle = np.linalg.norm(r, axis=-1)[..., None, None]
+    K = cross_matrices(r)
+    small = angle < 1e-4
+    safe = np.where(small, 1.0, angle)
+    a = np.where(small, 0.5 - angle**2 / 24, (1 - np.cos(safe)) / safe**2)
+    b = np.where(small, 1 / 6 - angle**2 / 120, (safe - np.sin(safe)) / safe**3)
+    return np.eye(3) + a * K + b * (K @ K)
+
+
+def cross_matrices(v: np.ndarray) -> np.ndarray:
+    """(..., 3, 3) matrices of the products v x ."""
+    K = np.zeros((*v.shape, 3))
+    K[..., 0, 1], K[..., 0, 2], K[..., 1, 2] = -v[..., 2], v[..., 1], -v[..., 0]
+    return K - np.swapaxes(K, -1, -2)
+
+
 def rotations(r: np.ndarray) -> np.ndarray:
     """Rotation matrices (..., 3, 3) of rotation vectors (..., 3)."""
     angle = np.linalg.norm(r, axis=-1)[..., None, None]
-    K = np.zeros((*r.shape[:-1], 3, 3))
-    K[..., 0, 1], K[..., 0, 2], K[..., 1, 2] = -r[..., 2], r[..., 1], -r[..., 0]
-    K -= np.swapaxes(K, -1, -2)
+    K = cross_matrices(r)
     small = angle < 1e-10
     safe = np.where(small, 1.0, angle)
     return np.eye(3) + np.where(small, 1.0, np.sin(safe) / safe) * K + np.where(small, 0.5, (1 - np.cos(safe)) / safe**2) * (K @ K)

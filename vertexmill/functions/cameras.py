@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
 from . import geometry as g
 
 STEPS = 10
@@ -32,11 +34,19 @@ def undistort(x: Column, y: Column, c) -> Column:
 
 
 class Model(NamedTuple):
-    """project(point, parameters) to struct(u, v), NaN where it is not seen; unproject(struct(u, v), parameters) to a unit vector; least: names of parameters that must be there."""
+    """project(point, parameters) to struct(u, v), NaN where it is not seen; unproject(struct(u, v), parameters) to a unit vector; required: names of parameters that must be there.
+
+    The solvers that work on arrays (poses, adjustment, epipolar errors,
+    triangulation, refinement) take the last two: project_array(points (n, 3),
+    {parameter: (n,)}) to (n, 2) and unproject_array(pixels (n, 2), ...) to
+    (n, 3). Those jobs fail on a camera whose model has none.
+    """
 
     project: Callable[[Column, Callable[[str], Column]], Column]
     unproject: Callable[[Column, Callable[[str], Column]], Column]
     required: tuple[str, ...]
+    project_array: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray] | None = None
+    unproject_array: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray] | None = None
 
 
 def _pixel(x: Column, y: Column, seen: Column, c) -> Column:
@@ -85,11 +95,31 @@ MODELS = {
 }
 
 
+BUILT_IN = tuple(MODELS)
+
+
 def register(name: str, model: Model) -> None:
     """Add a camera model; project and unproject then know cameras of this name."""
     MODELS[name] = model
 
 
+class ArrayModels:
+    """The models as they are registered now, for tasks, which do not see later registrations or the driver's."""
+
+    def __init__(self):
+        own = [(n, m) for n, m in MODELS.items() if n not in BUILT_IN and m.project_array and m.unproject_array]
+        self.kinds = {n: k for k, n in enumerate((*BUILT_IN, *[n for n, _ in own]))}
+        self.functions = tuple((m.project_array, m.unproject_array) for _, m in own)
+
+    def lenses(self, names: Iterable[str | None], parameters: list[np.ndarray]) -> arrays.Lenses:
+        """Cameras of arrays from model names and the parameters of arrays.CAMERA; a model without array functions is an error."""
+        names = list(names)
+        missing = {n for n in names if n not in self.kinds}
+        if missing:
+            raise ValueError(f"no array functions for camera model: {', '.join(sorted(map(str, missing)))}")
+        return arrays.Lenses(np.stack([np.array([self.kinds[n] for n in names], float), *parameters], -1), self.functions)
+
+
 def _by_model(name: Column, build) -> Column:
     out = F.lit(None)
     for known, model in MODELS.items():

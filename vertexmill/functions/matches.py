@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from vertexmill.functions import arrays
+from vertexmill.functions.cameras import ArrayModels
 
 EPSILON = 1e-12
 
@@ -26,11 +27,9 @@ def poses(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return R.flatten().flatten().to_numpy().reshape(n, 3, 3), t.flatten().to_numpy().reshape(n, 3)
 
 
-def cameras(column: pa.Array) -> np.ndarray:
-    """(n, len(arrays.CAMERA)) of a column of camera structs; a null parameter counts as 0."""
-    model = np.array(column.field("model").to_pylist(), object)
-    rest = [np.nan_to_num(numbers(column.field(name))) for name in arrays.CAMERA[1:]]
-    return np.stack([(model == "omni_radtan").astype(float), *rest], -1)
+def cameras(column: pa.Array, models: ArrayModels) -> arrays.Lenses:
+    """The cameras of a column of camera structs; a null parameter counts as 0."""
+    return models.lenses(column.field("model").to_pylist(), [np.nan_to_num(numbers(column.field(name))) for name in arrays.CAMERA[1:]])
 
 
 def unit(v: np.ndarray) -> np.ndarray:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,13 @@ from vertexmill.functions import cameras as cam
 from vertexmill.functions import geometry as g
 from vertexmill.functions.losses import loss
 from vertexmill.operators.poses import camera_array
-from vertexmill.plans.checkpoints import cut
+from vertexmill.plans.checkpoints import cut, discard, written
 
 PENALTY = 1e6
 #: The reduced system is solved on the driver up to so many markers (6 unknowns each), beyond them by conjugate gradients over tables.
 MOST_MARKERS = 1000
 #: The conjugate gradients end when the residual is so much of the right-hand side.
-RESIDUAL = 1e-10
+RESIDUAL = 1e-9
 #: Observations of the images that a task holds at once, about.
 BUCKET_ROWS = 20_000
 
@@ -85,31 +87,41 @@ class Result(NamedTuple):
     summary: dict
 
 
-def _observe(frame: pd.DataFrame):
+def _observe(frame: pd.DataFrame, models: cam.ArrayModels):
     pixels = np.array([[(p["u"], p["v"]) for p in c] for c in frame["corners"]])
-    return pixels, camera_array(frame["camera"])
+    return pixels, camera_array(frame["camera"], models)
+
+
+def _corners(camera_xi, marker_xi, corners):
+    """Rotations of cameras and markers, and the corners (n, 4, 3) from the marker's centre and from the camera's, in the world's axes, and in the camera's frame."""
+    Rc, Rm = arrays.rotations(camera_xi[:, 3:]), arrays.rotations(marker_xi[:, 3:])
+    arm = np.einsum("nij,kj->nki", Rm, corners)
+    away = arm + marker_xi[:, None, :3] - camera_xi[:, None, :3]
+    return Rc, arm, away, np.einsum("nji,nkj->nki", Rc, away)
+
+
+def _unseen(p, pixels) -> np.ndarray:
+    return (p[..., 2] <= 1e-12) | ~np.isfinite(pixels).all(-1)
 
 
 def _residuals(camera_xi, marker_xi, pixels, camera, corners, penalty) -> np.ndarray:
     """(n, 8) observed minus predicted."""
-    Rc, Rm = arrays.rotations(camera_xi[:, 3:]), arrays.rotations(marker_xi[:, 3:])
-    world = np.einsum("nij,kj->nki", Rm, corners) + marker_xi[:, None, :3]
-    p = np.einsum("nji,nkj->nki", Rc, world - camera_xi[:, None, :3])
+    p = _corners(camera_xi, marker_xi, corners)[-1]
     seen = arrays.project(p, camera[:, None, :])
-    bad = (p[..., 2] <= 1e-12) | ~np.isfinite(seen).all(-1)
-    return (pixels - np.where(bad[..., None], penalty, seen)).reshape(len(pixels), 8)
+    return (pixels - np.where(_unseen(p, seen)[..., None], penalty, seen)).reshape(len(pixels), 8)
 
 
-def _jacobian(f, x: np.ndarray, step: float = 1e-6) -> np.ndarray:
-    """(n, 8, 6) central differences of f with respect to rows of x."""
-    out = []
-    for k in range(6):
-        h = step * np.maximum(1, np.abs(x[:, k]))
-        up, down = x.copy(), x.copy()
-        up[:, k] += h
-        down[:, k] -= h
-        out.append((f(up) - f(down)) / (2 * h)[:, None])
-    return np.stack(out, -1)
+def _linear(camera_xi, marker_xi, pixels, camera, corners, penalty) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Residuals (n, 8) and their derivatives (n, 8, 6) by the camera's and by the marker's translation and rotation vector; a corner at the penalty has none."""
+    n = len(pixels)
+    Rc, arm, away, p = _corners(camera_xi, marker_xi, corners)
+    seen, slopes = arrays.project_slopes(p, camera[:, None, :])
+    bad = _unseen(p, seen)
+    r = (pixels - np.where(bad[..., None], penalty, seen)).reshape(n, 8)
+    by_world = np.where(bad[..., None, None], 0.0, slopes) @ np.swapaxes(Rc, 1, 2)[:, None]
+    turned = by_world @ arrays.cross_matrices(away) @ arrays.turn_slopes(camera_xi[:, 3:])[:, None]
+    spun = by_world @ arrays.cross_matrices(arm) @ arrays.turn_slopes(marker_xi[:, 3:])[:, None]
+    return r, np.concatenate([by_world, -turned], -1).reshape(n, 8, 6), np.concatenate([-by_world, spun], -1).reshape(n, 8, 6)
 
 
 def _pairs_within(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,50 +157,124 @@ def solve_few(pairs: DataFrame, damping: float) -> DataFrame:
     return pairs.sparkSession.createDataFrame(list(zip(ids.tolist(), delta.tolist(), strict=True)), "marker_id long, delta array<double>")
 
 
+#: Markers of a piece of a vector.
+PIECE_MARKERS = 4096
+_VECTOR = "c int, ids binary, inverse binary, x binary, res binary, z binary, p binary, rz double, rr double"
+
+
+def _floats(data: bytes, *shape: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(-1, *shape)
+
+
 def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
     """As solve_few, by conjugate gradients preconditioned with the diagonal blocks.
 
-    The matrix is a table of entries (i, r, j, c, v), a vector one of (i, r, x);
-    a product is a join and a sum, and only dot products come to the driver.
+    Markers are dealt into pieces of about PIECE_MARKERS. A row of a vector
+    holds a piece's numbers, a row of the matrix some thousand blocks of 6 x 6
+    of a pair of pieces, as bytes. A product is a join of matrix rows with the
+    pieces that they meet, numpy products, sums by marker within a row, and a
+    sum by piece. Only dot products come to the driver.
     """
-    k = F.col("k")
-    pairs = pairs.select("i", "j", F.posexplode("block").alias("k", "v"))
-    plain = pairs.filter(k < 36).select("i", F.floor(k / 6).cast("int").alias("r"), "j", (k % 6).cast("int").alias("c"), "v")
-    damped = pairs.filter((k >= 36) & (k < 42) & (F.col("i") == F.col("j"))).select("i", (k - 36).alias("r"), F.col("i").alias("j"), (k - 36).alias("c"), (damping * F.col("v") + 1e-12).alias("v"))
-    matrix = cut(plain.unionByName(damped).groupBy("i", "r", "j", "c").agg(F.sum("v").alias("v")))
-
-    def inverse(frame: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros((6, 6))
-        block[frame["r"], frame["c"]] = frame["v"]
-        r, c = np.divmod(np.arange(36), 6)
-        return pd.DataFrame({"i": frame["i"].iloc[0], "r": r, "j": frame["i"].iloc[0], "c": c, "v": np.linalg.inv(block).ravel()})
-
-    near = cut(matrix.filter("i = j").groupBy("i").applyInPandas(inverse, "i long, r int, j long, c int, v double"))
-
-    def times(table: DataFrame, vector: DataFrame, x: str, name: str) -> DataFrame:
-        right = vector.select(F.col("i").alias("j"), F.col("r").alias("c"), F.col(x).alias("x"))
-        return table.join(right, ["j", "c"]).groupBy("i", "r").agg(F.sum(F.col("v") * F.col("x")).alias(name))
-
-    def dots(state: DataFrame) -> tuple[float, float]:
-        return tuple(state.agg(F.coalesce(F.sum(F.col("res") * F.col("z")), F.lit(0.0)), F.coalesce(F.sum(F.col("res") * F.col("res")), F.lit(0.0))).first())
-
-    right = cut(pairs.filter((k >= 42) & (F.col("i") == F.col("j"))).select("i", (k - 42).alias("r"), (-F.col("v")).alias("res")))
-    state = cut(right.join(times(near, right, "res", "z"), ["i", "r"]).select("i", "r", F.lit(0.0).alias("x"), "res", "z", F.col("z").alias("p")))
-    (rz, rr), most = dots(state), 100 + 10 * right.count()
-    enough = RESIDUAL**2 * rr
+    diagonal = pairs.filter("i = j")
+    pieces = max(1, -(-diagonal.count() // PIECE_MARKERS))
+    piece = lambda c: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
+
+    def blocks(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return table.column("block").flatten().to_numpy().reshape(-1, 48) if isinstance(table, pa.RecordBatch) else table.column("block").combine_chunks().flatten().to_numpy().reshape(-1, 48)
+
+    def damped(b: np.ndarray) -> np.ndarray:
+        return b[:, :36].reshape(-1, 6, 6) + damping * b[:, 36:42, None] * np.eye(6) + 1e-12 * np.eye(6)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, j, a, b = (batch.column(c).to_numpy() for c in ("i", "j", "a", "b"))
+            block = blocks(batch)
+            plain = np.where((i == j)[:, None, None], damped(block), block[:, :36].reshape(-1, 6, 6))
+            edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                yield pa.RecordBatch.from_pydict({"a": a[s : s + 1], "b": b[s : s + 1], "i": [i[s:e].tobytes()], "j": [j[s:e].tobytes()], "block": [plain[s:e].tobytes()]})
+
+    def begin(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        block = blocks(table)
+        inverse, res = np.linalg.inv(damped(block)), -block[:, 42:]
+        z = np.einsum("nrc,nc->nr", inverse, res)
+        vectors = {"x": np.zeros_like(res), "res": res, "z": z, "p": np.zeros_like(z)}
+        return pa.table({"c": table.column("a").slice(0, 1), "ids": [table.column("i").to_numpy().tobytes()], "inverse": [inverse.tobytes()], **{k: [v.tobytes()] for k, v in vectors.items()}, "rz": [float((res * z).sum())], "rr": [float((res * res).sum())]})
+
+    dealt = pairs.select("i", "j", piece("i").alias("a"), piece("j").alias("b"), "block")
+    matrix = written(dealt.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(pack, "a int, b int, i binary, j binary, block binary"))
+    state = written(dealt.filter("i = j").groupBy("a").applyInArrow(begin, _VECTOR))
+
+    def sums(state: DataFrame, *names: str) -> list[float]:
+        return list(state.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first())
+
+    def turned(state: DataFrame, beta: float) -> DataFrame:
+        """p = z + beta p."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = [(_floats(z) + beta * _floats(p)).tobytes() for z, p in zip(batch.column("z").to_pylist(), batch.column("p").to_pylist(), strict=True)]
+                yield batch.set_column(batch.schema.get_field_index("p"), "p", pa.array(p, pa.binary()))
+
+        return state.mapInArrow(run, state.schema)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                i, j = (np.frombuffer(row[k], np.int64) for k in "ij")
+                y = np.einsum("nrc,nc->nr", _floats(row["block"], 6, 6), _floats(row["p"], 6)[np.searchsorted(np.frombuffer(row["ids"], np.int64), j)])
+                mine, at = np.unique(i, return_inverse=True)
+                out = np.zeros((len(mine), 6))
+                np.add.at(out, at, y)
+                yield pa.RecordBatch.from_pydict({"c": pa.array([row["a"]], pa.int32()), "ids": [mine.tobytes()], "y": [out.tobytes()]})
+
+    def gather(parts: pa.Table, state: pa.Table) -> pa.Table:
+        row = state.to_pylist()[0]
+        ids, p = np.frombuffer(row["ids"], np.int64), _floats(row["p"], 6)
+        q = np.zeros_like(p)
+        for part in parts.to_pylist():
+            q[np.searchsorted(ids, np.frombuffer(part["ids"], np.int64))] += _floats(part["y"], 6)
+        return state.append_column("q", pa.array([q.tobytes()], pa.binary())).append_column("pq", pa.array([float((p * q).sum())]))
+
+    def stepped(state: DataFrame, alpha: float) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    v = {k: _floats(row[k], 6) for k in ("x", "res", "p", "q")}
+                    x, res = v["x"] + alpha * v["p"], v["res"] - alpha * v["q"]
+                    z = np.einsum("nrc,nc->nr", _floats(row["inverse"], 6, 6), res)
+                    new = {"x": x.tobytes(), "res": res.tobytes(), "z": z.tobytes(), "rz": float((res * z).sum()), "rr": float((res * res).sum())}
+                    yield pa.RecordBatch.from_pylist([{k: v for k, v in (row | new).items() if k not in ("q", "pq")}], schema=kinds)
+
+        return state.mapInArrow(run, _VECTOR)
+
+    kinds = pa.schema([(c.split()[0], {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}[c.split()[1]]) for c in _VECTOR.split(", ")])
+    (rz, rr), most, beta = sums(state, "rz", "rr"), 100 + 10 * 6 * diagonal.count(), 0.0
+    enough, held = RESIDUAL**2 * rr, state
     for _ in range(most):
         if rr <= enough:
             break
-        state = cut(state.join(times(matrix, state, "p", "q"), ["i", "r"]))
-        alpha = rz / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        state = state.select("i", "r", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("res") - alpha * F.col("q")).alias("res"), "p")
-        state = cut(state.join(times(near, state, "res", "z"), ["i", "r"]))
-        before, (rz, rr) = rz, dots(state)
-        state = state.withColumn("p", F.col("z") + rz / before * F.col("p"))
+        now = turned(state, beta)
+        parts = matrix.join(now.select(F.col("c").alias("b"), "ids", "p"), "b").select("a", "i", "j", "block", "ids", "p").mapInArrow(multiply, "c int, ids binary, y binary")
+        whole = written(parts.groupBy("c").cogroup(now.groupBy("c")).applyInArrow(gather, _VECTOR + ", q binary, pq double"))
+        discard(held)
+        held, state = whole, stepped(whole, rz / sums(whole, "pq")[0])
+        before, (rz, rr) = rz, sums(state, "rz", "rr")
+        beta = rz / before
     else:
         raise RuntimeError(f"conjugate gradients did not settle in {most} steps")
-    steps = F.transform(F.sort_array(F.collect_list(F.struct("r", "x"))), lambda s: s["x"])
-    return cut(state.groupBy(F.col("i").alias("marker_id")).agg(steps.alias("delta")))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pydict({"marker_id": np.frombuffer(row["ids"], np.int64), "delta": _floats(row["x"], 6).tolist()})
+
+    out = cut(state.mapInArrow(steps, "marker_id long, delta array<double>"))
+    for used in (matrix, held):
+        discard(used)
+    return out
 
 
 def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses: DataFrame, cameras: DataFrame, size: float, anchor: int, config: Config = Config()) -> Result:
@@ -201,7 +287,7 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
     tasks put the solution back to get each camera's step and the new cost.
     Poses of images and markers, however many, stay tables.
     """
-    rho, corners = loss(config.loss), arrays.DETECTOR_CORNERS * size
+    rho, corners, models = loss(config.loss), arrays.DETECTOR_CORNERS * size, cam.ArrayModels()
     spark = observations.sparkSession
     obs = cam.with_camera(assemble(observations, camera_poses, marker_poses, anchor), cameras).select("image_id", "marker_id", "corners", "camera")
     used = obs.select("marker_id").distinct()
@@ -220,17 +306,14 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
     def prepare(frame: pd.DataFrame):
         images, at = np.unique(frame["image_id"].to_numpy(), return_inverse=True)
         camera_xi, marker = (np.array([list(x) for x in frame[c]]) for c in ("xi", "mxi"))
-        pixels, camera = _observe(frame)
-        r = _residuals(camera_xi, marker, pixels, camera, corners, config.penalty_px)
-        return images, at, camera_xi, marker, pixels, camera, r
+        return images, at, camera_xi, _linear(camera_xi, marker, *_observe(frame, models), corners, config.penalty_px)
 
     def blocks(frame: pd.DataFrame, damping: float):
-        images, at, camera_xi, marker, pixels, camera, r = prepare(frame)
+        images, at, camera_xi, (r, Jc, Jm) = prepare(frame)
         free = frame["marker_id"].to_numpy() != anchor
         s = (r * r).sum(1)
         w = rho.weight(s, config.scale)[:, None, None]
-        Jc = _jacobian(lambda x: _residuals(x, marker, pixels, camera, corners, config.penalty_px), camera_xi)
-        Jm = _jacobian(lambda x: _residuals(camera_xi, x, pixels, camera, corners, config.penalty_px), marker) * free[:, None, None]
+        Jm = Jm * free[:, None, None]
         U, bc = np.zeros((len(images), 6, 6)), np.zeros((len(images), 6))
         np.add.at(U, at, np.swapaxes(Jc, 1, 2) @ (w * Jc))
         np.add.at(bc, at, (np.swapaxes(Jc, 1, 2) @ (w * r[..., None]))[..., 0])
@@ -273,7 +356,7 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
             np.add.at(rhs, at, (W @ delta[..., None])[..., 0])
             first = np.unique(at, return_index=True)[1]
             new = camera_xi[first] - np.linalg.solve(U, rhs[..., None])[..., 0]
-            r = _residuals(new[at], moved, *_observe(frame), corners, config.penalty_px)
+            r = _residuals(new[at], moved, *_observe(frame, models), corners, config.penalty_px)
             cost = np.bincount(at, 0.5 * rho.rho((r * r).sum(1), config.scale), len(images))
             return pd.DataFrame({"image_id": images, "xi": new.tolist(), "cost": cost})
 

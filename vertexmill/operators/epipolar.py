@@ -26,8 +26,10 @@ def match_geometry(matches: DataFrame, poses: DataFrame, cameras: DataFrame) ->
     side = lambda n: poses.select(F.col("image_id").alias(f"image_id_{n}"), F.col("T").alias(f"T_{n}"), *([F.col("camera_id")] if n == "a" else []))
     both = cam.with_camera(matches.join(side("a"), "image_id_a").join(side("b"), "image_id_b"), cameras)
 
+    models = cam.ArrayModels()
+
     def rays(batch) -> dict[str, np.ndarray]:
-        camera = mt.cameras(batch.column("camera"))
+        camera = mt.cameras(batch.column("camera"), models)
         return {f"ray_{n}": arrays.unproject(np.stack([mt.numbers(batch.column(f"x_{n}")), mt.numbers(batch.column(f"y_{n}"))], -1), camera) for n in "ab"}
 
     return mt.with_columns(both, "ray_a array<double>, ray_b array<double>", rays)
@@ -54,8 +56,10 @@ def with_epipolar_error(located: DataFrame, error_type: str = "ray_angular", lim
 
 def triangulate_pairs(located: DataFrame, min_angle_deg: float = 1.0, max_px: float = 6.0, max_gap: float = 0.25, max_depth: float = 100.0) -> DataFrame:
     """located, from match_geometry(), with the midpoint (x, y, z), gap_m, angle_deg, error_a_px, error_b_px and is_valid of each match."""
+    models = cam.ArrayModels()
+
     def points(batch) -> dict[str, np.ndarray]:
-        camera = mt.cameras(batch.column("camera"))
+        camera = mt.cameras(batch.column("camera"), models)
         T = {n: mt.poses(batch.column(f"T_{n}")) for n in "ab"}
         d = {n: mt.unit(np.einsum("nij,nj->ni", T[n][0], _rays(batch, n))) for n in "ab"}
         c, dot = {n: T[n][1] for n in "ab"}, lambda x, y: np.einsum("ni,ni->n", x, y)
@@ -74,7 +78,7 @@ def triangulate_pairs(located: DataFrame, min_angle_deg: float = 1.0, max_px: fl
     return mt.with_columns(located, schema, points, drop=("ray_a", "ray_b", "T_a", "T_b", "camera"))
 
 
-def _pixel_error(p: np.ndarray, R: np.ndarray, t: np.ndarray, camera: np.ndarray, x, y) -> np.ndarray:
+def _pixel_error(p: np.ndarray, R: np.ndarray, t: np.ndarray, camera: arrays.Lenses, x, y) -> np.ndarray:
     """Distances in the image of points p from the pixels (x, y); NaN where a point is not seen."""
     seen = arrays.project(np.einsum("nji,nj->ni", R, p - t), camera)
     return np.hypot(seen[:, 0] - mt.numbers(x), seen[:, 1] - mt.numbers(y))

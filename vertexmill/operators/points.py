@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexmill.functions import arrays
+from vertexmill.functions import cameras as cam
 from vertexmill.functions.losses import loss
 from vertexmill.operators.greedy import greedy_groups
 from vertexmill.operators.poses import camera_array
@@ -73,9 +74,8 @@ def refine_points(points: DataFrame, observations: DataFrame, poses: DataFrame,
     if mode not in ("points_only", "points_and_cameras"):
         raise ValueError(f"mode {mode} is not supported")
     loss(loss_name)
-    from vertexmill.functions.cameras import with_camera
-
-    rows = with_camera(point_observations(points, observations, poses), cameras)
+    models = cam.ArrayModels()
+    rows = cam.with_camera(point_observations(points, observations, poses), cameras)
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64("point_id"), F.lit(buckets))
 
@@ -85,7 +85,7 @@ def refine_points(points: DataFrame, observations: DataFrame, poses: DataFrame,
         X = frame[["x", "y", "z"]].to_numpy()[first]
         R = np.array([[list(r) for r in T["R"]] for T in frame["T"]])
         C = np.array([list(T["t"]) for T in frame["T"]])
-        X, start, end, error = _refine(X, at, R, C, camera_array(frame["camera"]), frame[["u", "v"]].to_numpy(float), loss_name, scale, iterations, tolerance)
+        X, start, end, error = _refine(X, at, R, C, camera_array(frame["camera"], models), frame[["u", "v"]].to_numpy(float), loss_name, scale, iterations, tolerance)
         return pd.DataFrame({"point_id": ids, "x": X[:, 0], "y": X[:, 1], "z": X[:, 2], "initial_cost": start, "final_cost": end, "mean_error_px": error})
 
     schema = "point_id long, x double, y double, z double, initial_cost double, final_cost double, mean_error_px double"
@@ -112,13 +112,10 @@ def _refine(X, at, R, C, camera, pixels, loss_name, scale, iterations, tolerance
     damping = np.full(len(X), 1e-4)
     active = np.ones(len(X), bool)
     for _ in range(iterations):
-        J = np.empty((len(at), 2, 3))
-        for k in range(3):
-            h = 1e-6 * np.maximum(1, np.abs(X[:, k]))
-            up, down = X.copy(), X.copy()
-            up[:, k] += h
-            down[:, k] -= h
-            J[:, :, k] = (residuals(up) - residuals(down)) / (2 * h[at])[:, None]
+        p = np.einsum("nji,nj->ni", R, X[at] - C)
+        seen, slopes = arrays.project_slopes(p, camera)
+        bad = (p[:, 2] <= 1e-12) | ~np.isfinite(seen).all(1)
+        J = -np.where(bad[:, None, None], 0.0, slopes) @ np.swapaxes(R, 1, 2)
         w = rho.weight((r * r).sum(1), scale)
         A = np.zeros((len(X), 3, 3))
         b = np.zeros((len(X), 3))

@@ -15,8 +15,9 @@ from vertexmill.functions import cameras as cam
 POSES = "detection_id long, image_id long, marker_id long, success boolean, T_C_M struct<R:array<array<double>>,t:array<double>>, reprojection_error_px double, error_message string"
 
 
-def camera_array(camera: pd.Series) -> np.ndarray:
-    return np.array([[float(c["model"] == "omni_radtan"), *[0.0 if c[n] is None else c[n] for n in arrays.CAMERA[1:]]] for c in camera])
+def camera_array(camera: pd.Series, models: cam.ArrayModels) -> arrays.Lenses:
+    """The cameras of a column of camera structs; a null parameter counts as 0."""
+    return models.lenses([c["model"] for c in camera], [np.array([0.0 if c[n] is None else c[n] for c in camera], float) for n in arrays.CAMERA[1:]])
 
 
 def estimate_marker_poses(detections: DataFrame, cameras: DataFrame, size: float) -> DataFrame:
@@ -27,7 +28,7 @@ def estimate_marker_poses(detections: DataFrame, cameras: DataFrame, size: float
     fails the job.
     """
     rays = F.transform("corners", lambda p: cam.unproject_column(p, F.col("camera")))
-    rows = cam.with_camera(detections, cameras).withColumn("rays", rays)
+    rows, models = cam.with_camera(detections, cameras).withColumn("rays", rays), cam.ArrayModels()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -43,7 +44,7 @@ def estimate_marker_poses(detections: DataFrame, cameras: DataFrame, size: float
             if len(at):
                 pixels = np.array([[(p["u"], p["v"]) for p in c] for c in batch["corners"].iloc[at]])
                 rays = np.array([[list(r) for r in x] for x in batch["rays"].iloc[at]])
-                camera = camera_array(batch["camera"].iloc[at])
+                camera = camera_array(batch["camera"].iloc[at], models)
                 for i, x in zip(at, _solve(rays[..., :2] / rays[..., 2:], pixels, camera, size), strict=True):
                     if isinstance(x, str):
                         good[i], message[i] = False, x
@@ -54,7 +55,7 @@ def estimate_marker_poses(detections: DataFrame, cameras: DataFrame, size: float
     return rows.select("detection_id", "image_id", "marker_id", "corners", "rays", "camera").mapInPandas(run, POSES)
 
 
-def _solve(flat: np.ndarray, pixels: np.ndarray, camera: np.ndarray, size: float) -> list:
+def _solve(flat: np.ndarray, pixels: np.ndarray, camera: arrays.Lenses, size: float) -> list:
     try:
         R, t = arrays.squares_to_poses(flat, size)
     except np.linalg.LinAlgError:

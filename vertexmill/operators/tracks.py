@@ -74,10 +74,12 @@ def triangulate(observations: DataFrame, poses: DataFrame, cameras: DataFrame, m
     rows = cam.with_camera(joined.filter("T is not null"), cameras).join(whole.select("track_id"), "track_id")
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
 
+    models = cam.ArrayModels()
+
     def run(table: pa.Table) -> pa.Table:
         batch = table.sort_by([("track_id", "ascending"), ("image_id", "ascending")]).combine_chunks().to_batches()[0]
         ids, first, at = np.unique(batch.column("track_id").to_numpy(), return_index=True, return_inverse=True)
-        (R, c), camera = mt.poses(batch.column("T")), mt.cameras(batch.column("camera"))
+        (R, c), camera = mt.poses(batch.column("T")), mt.cameras(batch.column("camera"), models)
         pixel = np.stack([mt.numbers(batch.column("x")), mt.numbers(batch.column("y"))], -1)
         d = mt.unit(np.einsum("nij,nj->ni", R, arrays.unproject(pixel, camera)))
         P = np.eye(3) - d[:, :, None] * d[:, None, :]

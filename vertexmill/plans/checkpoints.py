@@ -29,4 +29,15 @@ def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the checkpoint folder and read it again."""
     path = f"{checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the files of a result of written() that nothing will read again; others are left alone."""
+    path = getattr(df, "written_to", None) if df is not None else None
+    if path:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

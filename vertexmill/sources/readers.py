@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexmill import schemas
-from vertexmill.functions.cameras import check_cameras
+from vertexmill.functions.cameras import camera_problem
 
 #: The extensions that count as images.
 EXTENSIONS = ("bmp", "jpeg", "jpg", "png", "tif", "tiff")
@@ -17,7 +17,7 @@ DICTIONARY_PREFIX = "DICT_APRILTAG"
 
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(rel_path, path, size_bytes, mtime_ms) of the image files directly in a folder; the files' content is not read."""
+    """(rel_path, path, size_bytes, mtime_ms) of the image files directly in a folder; the files' content is not read. Spark lists no file without a byte."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     wanted = F.lower("path").rlike(rf"\.({'|'.join(EXTENSIONS)})$")
@@ -27,8 +27,9 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
 def with_dimensions(scan: DataFrame, folder: str) -> DataFrame:
     """scan with width and height, null where an image cannot be decoded. It decodes pixels: use it on new and changed rows."""
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    decoded = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))  # the image source gives a URI, binaryFile a path
     image = scan.sparkSession.read.format("image").option("dropInvalid", False).load(folder).select("image.origin", "image.width", "image.height")
-    known = image.select(plain(F.col("origin")).alias("origin"), *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("width", "height")])
+    known = image.select(plain(decoded).alias("origin"), *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("width", "height")])
     return scan.join(known, plain(F.col("path")) == F.col("origin"), "left").drop("origin")
 
 
@@ -45,10 +46,44 @@ def read_detections(raw: DataFrame) -> DataFrame:
     return raw.withColumn("corners", corners).withColumn("reason", F.when(F.col("corners").isNull(), "four corners of two numbers are needed")).drop("corners_json")
 
 
+_FIELDS = {"": ("model", "image_width", "image_height"), "intrinsics": ("fx", "fy", "cx", "cy"), "omni": ("xi",), "distortion": ("k1", "k2", "p1", "p2", "k3")}
+
+
 def read_cameras(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected with reason) cameras from XML files with a <camera> element each."""
-    rows = spark.read.schema(schemas.CAMERAS).option("rowTag", "camera").xml(path)
-    return check_cameras(rows)
+    """(valid, rejected with reason) cameras from XML files of one <camera> element each; camera_id is the file's name.
+
+        <camera> <model/> <image_width/> <image_height/>
+          <intrinsics> <fx/> <fy/> <cx/> <cy/> </intrinsics>
+          <omni> <xi/> </omni>   (omni_radtan)
+          <distortion> <k1/> <k2/> <p1/> <p2/> <k3/> </distortion>
+        </camera>
+
+    A file is rejected, once and with what could be read of it, if it has no
+    such element or several, if it is not well formed, if a field that its
+    model needs is missing, empty or no number, if the model is unknown, or if
+    a size or focal length is not positive. Spark lists no file without a byte.
+    """
+    text = lambda names: ", ".join(f"{n} string" for n in names)
+    schema = ", ".join([text(_FIELDS[""]), *[f"{g} struct<{text(f).replace(' string', ': string')}>" for g, f in _FIELDS.items() if g], "malformed string"])
+    rows = spark.read.schema(schema).option("rowTag", "camera").option("columnNameOfCorruptRecord", "malformed").xml(path).select("*", "_metadata.file_path")
+    where = {f: F.trim(f"{g}.{f}" if g else f) for g, fields in _FIELDS.items() for f in fields}
+    flat = rows.select("file_path", "malformed", *[F.when(v != "", v).alias(f) for f, v in where.items()])
+    counted = flat.groupBy("file_path").agg(F.count("*").alias("elements"), F.min(F.struct("malformed", *where)).alias("row"))
+    files = spark.read.format("binaryFile").load(path).select("path")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    decoded = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    both = files.join(counted, plain(F.col("path")) == plain(decoded), "left")
+
+    kind = {f.name: f.dataType for f in schemas.CAMERAS}
+    integer, number = "^[+-]?[0-9]+$", "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+    value = {f: F.col(f"row.{f}") for f in where}
+    wrong = F.when(F.col("elements").isNull(), "no <camera> element").when(F.col("elements") > 1, "several <camera> elements").when(F.col("row.malformed").isNotNull(), "not well formed")
+    for f, v in value.items():
+        if f != "model":
+            wrong = wrong.when(~v.rlike(integer if kind[f].typeName() == "integer" else number), f"not a number: {f}")
+    read = both.select(F.element_at(F.split("path", "/"), -1).alias("camera_id"), *[(v if f == "model" else v.try_cast(kind[f])).alias(f) for f, v in value.items()], wrong.alias("wrong"))
+    marked = read.withColumn("reason", F.coalesce("wrong", camera_problem(F.struct(*schemas.CAMERAS.names)))).select(*schemas.CAMERAS.names, "reason")
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
 def read_features(records: DataFrame) -> DataFrame:
