@@ -13,9 +13,44 @@ from vertexmill.operators.matching import mutual_best
 from vertexmill.sources.writers import marker_map
 
 
-def test_components(spark):
-    edges = spark.createDataFrame([(1, 2), (3, 2), (5, 6), (9, 9), (None, 4)], "u long, v long")
-    assert {tuple(r) for r in connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
+@pytest.mark.parametrize("task_edges", [1000, 2])
+def test_components(spark, task_edges):
+    rows = [(1, 2), (3, 2), (5, 6), (9, 9), (None, 4), (2, 1)] + [(k, k + 1) for k in range(20, 31)] + [(100, 100 + k) for k in range(1, 40)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    want = {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} | {(k, 20) for k in range(20, 32)} | {(k, 100) for k in range(100, 140)}
+    assert {tuple(r) for r in connected_components(edges, task_edges=task_edges).collect()} == want
+    assert connected_components(edges.limit(0)).count() == 0
+
+
+def sequential(edges, images):
+    """node to root, by edges(u, v, place) in order; images: node to set."""
+    parent = {n: n for e in edges for n in e[:2]}
+    held = {n: set(images.get(n, ())) for n in parent}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for u, v, _ in sorted(edges, key=lambda e: e[2]):
+        a, b = sorted((find(u), find(v)))
+        if a != b and not held[a] & held[b]:
+            parent[b] = a
+            held[a] |= held[b]
+    return {n: find(n) for n in parent}
+
+
+@pytest.mark.parametrize("task_rows", [1_000, 50])
+def test_greedy_of_any_size(spark, task_rows):
+    """One component far over the rows of a task, with conflicts, beside small ones, is settled as by one edge after the other."""
+    r = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 60, (110, 2))] + [(k, k + 1) for k in range(60, 72)] + [(200, 201), (201, 202), (202, 203)]
+    edges = [(a, b, k) for k, (a, b) in enumerate(dict.fromkeys(tuple(sorted(e)) for e in edges if e[0] != e[1]))]
+    images = {n: {int(i) for i in r.integers(0, 25, r.integers(0, 3))} for n in range(73)} | {200: {1}, 201: {2}, 202: {1}, 203: {3}}
+    rows = [(n, i) for n, s in images.items() for i in s]
+    got = {x.node: x.root for x in greedy_groups(spark.createDataFrame(edges, "u long, v long, place long").repartition(3), spark.createDataFrame(rows, "node long, image long"), task_rows).collect()}
+    want = sequential(edges, images)
+    assert got == want and len(set(want.values())) > 10
 
 
 def test_greedy_refuses_a_repeated_image_in_tasks_and_in_rounds(spark):

@@ -19,10 +19,12 @@ from vertexmill.operators.poses import camera_array
 from vertexmill.plans.checkpoints import cut, discard, written
 
 PENALTY = 1e6
-#: The reduced system is solved on the driver up to so many markers (6 unknowns each), beyond them by conjugate gradients over tables.
+#: The reduced system comes to the driver if it has so many blocks (of 48 numbers, 96 MB) at most, and is solved directly for so many markers at most.
+MOST_BLOCKS = 250_000
 MOST_MARKERS = 1000
-#: The conjugate gradients end when the residual is so much of the right-hand side.
-RESIDUAL = 1e-9
+#: Conjugate gradients end when the residual is so much of the right-hand side, or after so many steps: what they have is a descent direction, and the adjustment goes on from there.
+RESIDUAL = 1e-6
+MOST_STEPS = 500
 #: Observations of the images that a task holds at once, about.
 BUCKET_ROWS = 20_000
 
@@ -136,27 +138,58 @@ def _pairs_within(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[a], order[b]
 
 
+def _damped(block: np.ndarray, damping: float) -> np.ndarray:
+    """The diagonal 6 x 6 blocks of rows (n, 48), damped."""
+    return block[:, :36].reshape(-1, 6, 6) + damping * block[:, 36:42, None] * np.eye(6) + 1e-12 * np.eye(6)
+
+
 def solve_few(pairs: DataFrame, damping: float) -> DataFrame:
-    """(marker_id, delta) of the damped reduced system pairs(i, j, block), solved on the driver.
+    """(marker_id, delta) of the damped reduced system pairs(i, j, block), solved on the driver: directly, or by conjugate gradients over its blocks for many markers.
 
     A block holds the 6 x 6 numbers of the markers i and j, then the 6 of the
     diagonal that is damped and the 6 of the gradient.
     """
-    rows = pairs.toArrow()  # MOST_MARKERS squared blocks at most
+    rows = pairs.toArrow()  # MOST_BLOCKS at most
     i, j = rows.column("i").to_numpy(), rows.column("j").to_numpy()
     block = rows.column("block").combine_chunks().flatten().to_numpy().reshape(len(i), 48)
     ids, at = np.unique(i, return_inverse=True)
     other, own = np.searchsorted(ids, j), i == j
-    A = np.zeros((len(ids), len(ids), 6, 6))
-    A[at, other] = block[:, :36].reshape(-1, 6, 6)
-    A[at[own], at[own]] += damping * block[own, 36:42, None] * np.eye(6) + 1e-12 * np.eye(6)
+    A = block[:, :36].reshape(-1, 6, 6).copy()
+    A[own] = _damped(block[own], damping)
     b = np.zeros((len(ids), 6))
-    b[at[own]] = block[own, 42:]
-    n = 6 * len(ids)
-    delta = -np.linalg.solve(A.transpose(0, 2, 1, 3).reshape(n, n), b.ravel()).reshape(-1, 6)
+    b[at[own]] = -block[own, 42:]
+    if len(ids) <= MOST_MARKERS:
+        n = 6 * len(ids)
+        whole = np.zeros((len(ids), len(ids), 6, 6))
+        whole[at, other] = A
+        delta = np.linalg.solve(whole.transpose(0, 2, 1, 3).reshape(n, n), b.ravel()).reshape(-1, 6)
+    else:
+        delta = _conjugate_gradients(A, at, other, own, b)
     return pairs.sparkSession.createDataFrame(list(zip(ids.tolist(), delta.tolist(), strict=True)), "marker_id long, delta array<double>")
 
 
+def _conjugate_gradients(A: np.ndarray, at: np.ndarray, other: np.ndarray, own: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Blocks A in rows at and columns other, those of own on the diagonal, which precondition."""
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(len(b)))
+    A, other = A[order], other[order]
+    inverse = np.empty((len(b), 6, 6))
+    inverse[at[own]] = np.linalg.inv(A[np.argsort(order)][own])
+    x, res = np.zeros_like(b), b.copy()
+    p = z = np.einsum("nrc,nc->nr", inverse, res)
+    rz, enough = (res * z).sum(), RESIDUAL**2 * (res * res).sum()
+    for _ in range(MOST_STEPS):
+        if (res * res).sum() <= enough:
+            break
+        q = np.add.reduceat((A @ p[other][..., None])[..., 0], first)
+        alpha = rz / (p * q).sum()
+        x, res = x + alpha * p, res - alpha * q
+        z = np.einsum("nrc,nc->nr", inverse, res)
+        before, rz = rz, (res * z).sum()
+        p = z + rz / before * p
+    return x
+
+
 #: Markers of a piece of a vector.
 PIECE_MARKERS = 4096
 _VECTOR = "c int, ids binary, inverse binary, x binary, res binary, z binary, p binary, rz double, rr double"
@@ -182,16 +215,13 @@ def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
     def blocks(table: pa.Table | pa.RecordBatch) -> np.ndarray:
         return table.column("block").flatten().to_numpy().reshape(-1, 48) if isinstance(table, pa.RecordBatch) else table.column("block").combine_chunks().flatten().to_numpy().reshape(-1, 48)
 
-    def damped(b: np.ndarray) -> np.ndarray:
-        return b[:, :36].reshape(-1, 6, 6) + damping * b[:, 36:42, None] * np.eye(6) + 1e-12 * np.eye(6)
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             i, j, a, b = (batch.column(c).to_numpy() for c in ("i", "j", "a", "b"))
             block = blocks(batch)
-            plain = np.where((i == j)[:, None, None], damped(block), block[:, :36].reshape(-1, 6, 6))
+            plain = np.where((i == j)[:, None, None], _damped(block, damping), block[:, :36].reshape(-1, 6, 6))
             edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
             for s, e in zip(edge[:-1], edge[1:], strict=True):
                 yield pa.RecordBatch.from_pydict({"a": a[s : s + 1], "b": b[s : s + 1], "i": [i[s:e].tobytes()], "j": [j[s:e].tobytes()], "block": [plain[s:e].tobytes()]})
@@ -199,7 +229,7 @@ def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
     def begin(table: pa.Table) -> pa.Table:
         table = table.sort_by("i")
         block = blocks(table)
-        inverse, res = np.linalg.inv(damped(block)), -block[:, 42:]
+        inverse, res = np.linalg.inv(_damped(block, damping)), -block[:, 42:]
         z = np.einsum("nrc,nc->nr", inverse, res)
         vectors = {"x": np.zeros_like(res), "res": res, "z": z, "p": np.zeros_like(z)}
         return pa.table({"c": table.column("a").slice(0, 1), "ids": [table.column("i").to_numpy().tobytes()], "inverse": [inverse.tobytes()], **{k: [v.tobytes()] for k, v in vectors.items()}, "rz": [float((res * z).sum())], "rr": [float((res * res).sum())]})
@@ -251,9 +281,9 @@ def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
         return state.mapInArrow(run, _VECTOR)
 
     kinds = pa.schema([(c.split()[0], {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}[c.split()[1]]) for c in _VECTOR.split(", ")])
-    (rz, rr), most, beta = sums(state, "rz", "rr"), 100 + 10 * 6 * diagonal.count(), 0.0
+    (rz, rr), beta = sums(state, "rz", "rr"), 0.0
     enough, held = RESIDUAL**2 * rr, state
-    for _ in range(most):
+    for _ in range(MOST_STEPS):
         if rr <= enough:
             break
         now = turned(state, beta)
@@ -263,8 +293,6 @@ def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
         held, state = whole, stepped(whole, rz / sums(whole, "pq")[0])
         before, (rz, rr) = rz, sums(state, "rz", "rr")
         beta = rz / before
-    else:
-        raise RuntimeError(f"conjugate gradients did not settle in {most} steps")
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +311,7 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
     observations(image_id, marker_id, corners, camera_id). Levenberg-Marquardt:
     in each iteration the tasks build each image's normal equations, remove its
     camera from them, and send their sums by pair of markers; the reduced system
-    of the markers is solved on the driver if they are few, else as tables; the
+    of the markers is solved on the driver if it is small, else as tables; the
     tasks put the solution back to get each camera's step and the new cost.
     Poses of images and markers, however many, stay tables.
     """
@@ -371,7 +399,7 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
         accepted = False
         while damping < 1e12:
             pairs = sums.filter((F.col("i") != anchor) & (F.col("j") != anchor))
-            step = (solve_few if n_markers <= MOST_MARKERS else solve_many)(pairs, damping)
+            step = (solve_few if pairs.count() <= MOST_BLOCKS else solve_many)(pairs, damping)
             delta = F.coalesce("delta", F.array(*[F.lit(0.0)] * 6))
             trial = markers.join(step, "marker_id", "left").withColumn("delta", delta)
             trial = cut(trial.withColumn("moved", F.zip_with("mxi", "delta", lambda x, y: x + y)))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexmill.plans.checkpoints import cut
+from vertexmill.plans.checkpoints import discard, written
+
+#: So few links, 16 bytes each, are settled in one task.
+TASK_EDGES = 200_000
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -13,38 +18,74 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """(u, m): the smallest of u and its neighbours v."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """(u, m), written down: the smallest of u and its neighbours v. Partial sums make a hub a row a task."""
+    return written(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of u go to the smallest of all its neighbours."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Larger neighbours of u go to the smallest of all its neighbours; and the minima, for disposal."""
     pairs = _both_ways(edges)
-    return pairs.join(_smallest(pairs), "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = _smallest(pairs)
+    return pairs.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Smaller neighbours of u, and u, go to the smallest of them. edges: u > v."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Smaller neighbours of u, and u, go to the smallest of them; and the minima. edges: u > v."""
     low = _smallest(edges)
     moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(low.filter("u <> m").select("u", F.col("m").alias("v"))).distinct(), low
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node points to one other, which points to none."""
+    ends = links.select(F.col("u").alias("n"), F.lit(1).alias("out")).union(links.select("v", F.lit(0)))
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.min("out").alias("least")).filter("out > 1 or (out = 1 and least = 0)").isEmpty()
+
+
+def _in_a_task(links: pd.DataFrame) -> pd.DataFrame:
+    """(node, component) of few links: each node takes the smallest label over its links and then its label's label, until none changes."""
+    nodes, ends = np.unique(links[["u", "v"]].to_numpy(), return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (label[u], label[v], u, v):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            return pd.DataFrame({"node": nodes, "component": nodes[label]})
+        label = new
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component) for the nodes of edges(u, v); component is its smallest node.
 
     Rows with a null end and loops are ignored, repeated edges count once; a
     node that stands in loops only has no row. An empty table gives an empty
-    result. Every step is a minimum by key and an equi-join; neighbours are
-    never listed, so a node of any degree is safe. Each round is checkpointed.
+    result. Every step is a minimum by key and an equi-join with the minima.
+    These are written down first, so that both sides of the join are plain
+    shuffles, which adaptive execution splits where a node has very many
+    neighbours; minima and the check for the end are sums with partial sums.
+    Neighbours are never listed. Each round is written down, and the files of
+    the round before are deleted. Once there are no more than task_edges links,
+    one task settles them.
     """
-    links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u <> v").distinct()
-    nodes = None
-    for _ in range(max_rounds):
-        links = cut(_small_star(_large_star(links) if nodes is not None else links))
-        nodes = links
-        unsettled = links.select("u").groupBy("u").count().filter("count > 1").limit(1).count() or links.select("v").join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        if not unsettled:
+    links = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u is not null and v is not null and u <> v").distinct())
+    for n in range(max_rounds):
+        if links.count() <= task_edges:
+            return links.groupBy(F.lit("all")).applyInPandas(_in_a_task, "node long, component long")
+        if n:
+            made, low_large = _large_star(links)
+            large = written(made)
+        else:
+            large, low_large = links, None
+        made, low_small = _small_star(large)
+        new = written(made)
+        for old in (links, large, low_large, low_small):
+            discard(old)
+        links = new
+        if _settled(links):
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -3,46 +3,122 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexmill.operators.components import connected_components
-from vertexmill.plans.checkpoints import cut
+from vertexmill.plans.checkpoints import discard, written
 
-#: Edges and images of a component that one task settles by itself; larger ones are settled in rounds.
+#: Edges and images that one task settles at once, about; it sizes the work, not what can be settled.
 TASK_ROWS = 100_000
+#: A component's first edges are cut at shares of 2 ** (-k / 4), for k below this.
+STEPS = 128
+
+
+def _ranked(edges: DataFrame) -> DataFrame:
+    """edges(u, v, place) with rank, the number of an edge in the order of place, from the counts of range partitions."""
+    parts = written(edges.repartitionByRange("place").sortWithinPartitions("place").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).select("u", "v", "part", "row"))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    # a row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("u", "v", (F.col("before") + F.col("row")).alias("rank"))
 
 
 def greedy_groups(edges: DataFrame, images: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """(node, root) of edges(u, v, place), taken by place; images(node, image).
 
     An edge joins its ends' groups unless an image belongs to both; a refused
-    edge leaves both as they are. root is a group's smallest node. Groups only
-    interact inside a connected component: components without a conflict are
-    groups as they are, others are settled edge by edge, small ones in a task
-    each, large ones in rounds. Nodes without edges have no row.
+    edge leaves both as they are, for good, as groups only grow. root is a
+    group's smallest node. Nodes without edges have no row. Of edges of equal
+    place either may come first.
+
+    Groups only interact inside a connected component. A component without an
+    image in two groups is a group; one of task_rows edges and images or fewer
+    is settled edge by edge in a task. Of a larger one the first edges by place
+    are taken, a quarter as many as it has groups, or half of task_rows if that
+    is more. So few edges fall into many components of their own, which later
+    edges cannot reach back into: they are settled in a task each, side by
+    side; of one that is still too large the first task_rows / 2 edges are.
+    Groups are contracted, and what is left goes round again with its new
+    components. Each round settles a part of every open component, so it ends
+    for any size; only images that stand in two groups of a component go to a
+    task.
     """
-    edges = cut(edges.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("place").alias("place")))
-    component = cut(connected_components(edges))
-    placed = images.join(component, "node").select("component", "node", "image").distinct()
-    clashes = placed.groupBy("component", "image").agg(F.count("*").alias("n")).filter("n > 1").select("component").distinct()
-    of_edge = edges.join(component.withColumnRenamed("node", "u"), "u").join(clashes, "component", "left_semi")
-    sizes = of_edge.select("component").union(placed.join(clashes, "component", "left_semi").select("component")).groupBy("component").count()
-    open_ = cut(sizes)
-    small, large = open_.filter(F.col("count") <= task_rows), open_.filter(F.col("count") > task_rows)
-    free = component.join(clashes, "component", "left_anti").select("node", F.col("component").alias("root"))
-    pick = lambda df, which: df.join(which.select("component"), "component", "left_semi")
-    settled = pick(of_edge, small).groupBy("component").cogroup(pick(placed, small).toDF("component", "node", "image").groupBy("component")).applyInPandas(_settle, "node long, root long")
-    out = free.union(settled)
-    if not large.isEmpty():
-        out = out.union(_in_rounds(pick(of_edge, large), pick(placed, large)))
-    return out
+    edges = edges.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("place").alias("place"))
+    edges = written(_ranked(edges))
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
+    roots = written(nodes.withColumn("root", F.col("node")))
+    held = written(images.join(nodes, "node", "left_semi").select(F.col("node").alias("root"), "image").distinct())
+    most = max(2, task_rows)
+    while not edges.isEmpty():
+        component = written(connected_components(edges))
+        joined, left = _round(edges, held, component, most)
+        joined = written(joined)
+        move = lambda df, c: df.join(joined.withColumnRenamed("root", c), c, "left").withColumn(c, F.coalesce("low", c)).drop("low")  # noqa: E731, B023
+        new = (written(move(roots, "root").select("node", "root")), written(move(held, "root").select("root", "image")))
+        rest = move(move(left, "u"), "v").filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("rank").alias("rank"))
+        rest = written(rest)
+        for old in (edges, component, roots, held, joined):
+            discard(old)
+        edges, (roots, held) = rest, new
+    return roots
+
+
+def _round(edges: DataFrame, held: DataFrame, component: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(root, low): groups that go into a smaller one; and the edges that are still open. edges(u, v, rank) between groups held(root, image), component(node, component) of the groups."""
+    home = component.select(F.col("node").alias("u"), "component")
+    placed = held.join(component.withColumnRenamed("node", "root"), "root")
+    shared = written(placed.groupBy("component", "image").agg(F.count("*").alias("n")).filter("n > 1").select("component", "image"))
+    sizes = component.groupBy("component").agg(F.count("*").alias("groups"))
+    sizes = sizes.join(edges.join(home, "u").groupBy("component").agg(F.count("*").alias("edges")), "component").join(shared.groupBy("component").agg(F.count("*").alias("images")), "component", "left")
+    sizes = written(sizes)
+    free = component.join(sizes.filter("images is null"), "component", "left_semi").filter("node <> component").select(F.col("node").alias("root"), F.col("component").alias("low"))
+    small = (F.col("images").isNotNull()) & (F.col("edges") + F.col("images") <= most)
+    of_small = edges.join(home, "u").join(sizes.filter(small), "component", "left_semi")
+    large = sizes.filter(F.col("images").isNotNull() & ~small)
+    out = free.union(_settled(of_small, placed, shared, "component"))
+    none = edges.limit(0).select("u", "v", "rank")
+    if large.isEmpty():
+        return out, none
+    # the first edges of each large component, whose own components are apart from each other until later edges
+    open_ = written(edges.join(home, "u").join(large.select("component", "edges", "groups"), "component"))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(most / 2), F.col("groups") / 4) / F.col("edges"))
+    first = written(_first(open_.withColumn("share", share), "component").select("u", "v", "rank"))
+    inner = written(connected_components(first).withColumnRenamed("component", "part"))
+    inside = first.join(inner.withColumnRenamed("node", "u"), "u")
+    near = held.join(inner.withColumnRenamed("node", "root"), "root")
+    both = written(near.groupBy("part", "image").agg(F.count("*").alias("n")).filter("n > 1").select("part", "image"))
+    rows = inside.groupBy("part").agg(F.count("*").alias("edges")).join(both.groupBy("part").agg(F.count("*").alias("images")), "part", "left")
+    rows = written(rows)
+    calm = rows.filter("images is null")
+    joined = inner.join(calm, "part", "left_semi").filter("node <> part").select(F.col("node").alias("root"), F.col("part").alias("low"))
+    busy = rows.filter("images is not null").withColumn("share", F.least(F.lit(1.0), F.lit(most / 2) / F.col("edges")))
+    now = written(_first(inside.join(busy.select("part", "edges", "share"), "part"), "part").select("part", "u", "v", "rank"))
+    joined = joined.union(_settled(now, near, both, "part"))
+    done = now.select("rank").union(inside.join(calm, "part", "left_semi").select("rank"))
+    return out.union(joined), open_.select("u", "v", "rank").join(done, "rank", "left_anti")
+
+
+def _first(edges: DataFrame, key: str) -> DataFrame:
+    """Of the edges of each key the first by rank, about a share of them, rounded down to a step, and at least one."""
+    # mergeable sketches; the smallest rank is exact
+    steps = F.percentile_approx("rank", [2 ** (-k / 4) for k in range(STEPS)], 100_000)
+    cut = edges.groupBy(key).agg(F.min("rank").alias("low"), F.first("share").alias("share"), steps.alias("steps"))
+    step = F.least(F.ceil(-4 * F.log2("share")), F.lit(STEPS - 1)).cast("int")
+    return edges.join(cut.select(key, F.greatest("low", F.element_at("steps", step + 1)).alias("most")), key).filter("rank <= most").drop("most")
+
+
+def _settled(edges: DataFrame, placed: DataFrame, shared: DataFrame, key: str) -> DataFrame:
+    """(root, low) of the edges of each key, settled in a task each; of its groups' images those that stand in two groups."""
+    ends = edges.select(key, F.explode(F.array("u", "v")).alias("root")).distinct()
+    images = placed.join(shared, [key, "image"], "left_semi").join(ends, [key, "root"], "left_semi").select(F.col(key).alias("of"), "root", "image")
+    return edges.select(key, "u", "v", "rank").groupBy(key).cogroup(images.groupBy("of")).applyInPandas(_settle, "root long, low long")
 
 
 def _settle(edges: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
     parent = {n: n for n in pd.unique(pd.concat([edges["u"], edges["v"]]))}
     held = {n: set() for n in parent}
-    for n, i in zip(images["node"], images["image"], strict=True):
+    for n, i in zip(images["root"], images["image"], strict=True):
         held[n].add(i)
 
     def find(n):
@@ -51,33 +127,16 @@ def _settle(edges: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
             n = parent[n]
         return n
 
-    edges = edges.assign(key=[tuple(p.values()) if isinstance(p, dict) else p for p in edges["place"]]).sort_values("key")
+    edges = edges.sort_values("rank")
     for u, v in zip(edges["u"], edges["v"], strict=True):
         a, b = find(u), find(v)
-        if a != b and not held[a] & held[b]:
+        if a == b:
+            continue
+        few, many = sorted((held[a], held[b]), key=len)
+        if many.isdisjoint(few):
             low, high = min(a, b), max(a, b)
             parent[high] = low
-            held[low] |= held.pop(high)
-    return pd.DataFrame({"node": list(parent), "root": [find(n) for n in parent]})
-
-
-def _in_rounds(edges: DataFrame, images: DataFrame) -> DataFrame:
-    """The same, for any size: each round settles the edges that come first among all edges of both their groups."""
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
-    roots = cut(nodes.withColumn("root", F.col("node")))
-    pending = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "place"))
-    held = cut(images.select(F.col("node").alias("root"), "image").distinct())
-    while not pending.isEmpty():
-        ends = pending.select(F.col("a").alias("root"), "place").union(pending.select(F.col("b").alias("root"), "place"))
-        first = ends.groupBy("root").agg(F.min("place").alias("first"))
-        now = pending.join(first.select(F.col("root").alias("a"), F.col("first").alias("first_a")), "a").join(first.select(F.col("root").alias("b"), F.col("first").alias("first_b")), "b").filter("place = first_a and place = first_b").select("a", "b")
-        now = cut(now)
-        both = now.join(held.withColumnRenamed("root", "a"), "a").join(held.select(F.col("root").alias("b"), F.col("image").alias("image_b")), "b").filter("image = image_b").select("a", "b").distinct()
-        joined = now.join(both, ["a", "b"], "left_anti").select(F.greatest("a", "b").alias("root"), F.least("a", "b").alias("low"))
-        joined = cut(joined)
-        move = lambda df, c: df.join(joined.withColumnRenamed("root", c), c, "left").withColumn(c, F.coalesce("low", c)).drop("low")
-        roots = cut(move(roots, "root").select("node", "root"))
-        held = cut(move(held, "root").select("root", "image").distinct())
-        rest = pending.join(now, ["a", "b"], "left_anti")
-        pending = cut(move(move(rest, "a"), "b").filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("place").alias("place")))
-    return roots
+            many |= few
+            held[low], held[high] = many, None
+    moved = [(n, find(n)) for n in parent if parent[n] != n]
+    return pd.DataFrame(moved, columns=["root", "low"], dtype="int64")
