@@ -1,27 +1,38 @@
-"""Selection of frame pairs: a range self-join of camera poses."""
+"""Selection of frame pairs: each image's best partners in a range self-join of camera poses."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexmill.functions import geometry as g
+from vertexmill.plans.checkpoints import written
+
+#: Cells from the largest distance down to one part in 2 ** LEVELS of it.
+LEVELS = 7
+#: The first cells hold about so many images, where that many stand close enough.
+CELL_IMAGES = 4
+BONUS = 0.2
+_SHIFTS = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+
+
+def _cell(width: float) -> list[Column]:
+    return [F.floor(F.col("centre")[i] / width).alias(f"c{i}") for i in range(3)]
 
 
-def candidate_pairs(poses: DataFrame, max_baseline: float, columns: list[str]) -> DataFrame:
-    """Pairs of poses(image_id, centre, ...) with image_id_a < image_id_b whose centres are within max_baseline, by a grid of that width.
+def near_pairs(some: DataFrame, every: DataFrame, width: float) -> DataFrame:
+    """Ordered pairs of images of some and of every, columns with suffixes _a and _b, whose centres are within width, with baseline_m: by a grid of that width.
 
-    One side stands in its own cell, the other in its cell and the 26 around
-    it. columns are carried for both sides, with suffixes _a and _b.
+    Images of some stand in their cell and the 26 around it, those of every in
+    their own.
     """
-    cell = [F.floor(F.col("centre")[i] / max_baseline).alias(f"c{i}") for i in range(3)]
-    kept = ("image_id", "centre", *columns)
-    own = poses.select(*kept, *cell)
-    around = F.array(*[F.struct((F.col("c0") + i).alias("c0"), (F.col("c1") + j).alias("c1"), (F.col("c2") + k).alias("c2")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    a = own.select("c0", "c1", "c2", *[F.col(c).alias(f"{c}_a") for c in kept])
-    b = own.select(F.explode(around).alias("n"), *[F.col(c).alias(f"{c}_b") for c in kept]).select("n.*", *[f"{c}_b" for c in kept])
+    around = F.explode(F.array(*[F.struct(*[(F.col(f"c{n}") + s).alias(f"c{n}") for n, s in enumerate(shift)]) for shift in _SHIFTS])).alias("n")
+    a = some.select(*some.columns, *_cell(width)).select(around, *[F.col(c).alias(f"{c}_a") for c in some.columns]).select("n.*", *[f"{c}_a" for c in some.columns])
+    b = every.select(*_cell(width), *[F.col(c).alias(f"{c}_b") for c in every.columns])
     baseline = g.norm(g.minus(F.col("centre_a"), F.col("centre_b")))
-    return a.join(b, ["c0", "c1", "c2"]).filter("image_id_a < image_id_b").withColumn("baseline_m", baseline).filter(F.col("baseline_m") <= max_baseline).drop("c0", "c1", "c2", "centre_a", "centre_b")
+    return a.join(b, ["c0", "c1", "c2"]).filter("image_id_a <> image_id_b").withColumn("baseline_m", baseline).filter(F.col("baseline_m") <= width).drop("c0", "c1", "c2", "centre_a", "centre_b")
 
 
 def score_pairs(pairs: DataFrame, min_baseline: float = 0.03, max_angle_deg: float = 60.0, min_common: int = 0, bonus: bool = True) -> DataFrame:
@@ -29,25 +40,55 @@ def score_pairs(pairs: DataFrame, min_baseline: float = 0.03, max_angle_deg: flo
     angle = g.angle_deg(F.col("axis_a"), F.col("axis_b"))
     near = pairs.filter(F.col("baseline_m") >= min_baseline).withColumn("optical_axis_angle_deg", angle).filter(F.col("optical_axis_angle_deg") <= max_angle_deg)
     counted = near.withColumn("common_marker_count", F.size(F.array_intersect("markers_a", "markers_b")).cast("long")).filter(F.col("common_marker_count") >= min_common)
-    score = 1 / (1 + F.col("baseline_m")) + (0.2 * F.col("common_marker_count") if bonus else F.lit(0.0))
-    return counted.select("image_id_a", "image_id_b", "baseline_m", "optical_axis_angle_deg", "common_marker_count", score.alias("estimated_overlap_score"))
+    score = 1 / (1 + F.col("baseline_m")) + (BONUS * F.col("common_marker_count") if bonus else F.lit(0.0))
+    return counted.withColumn("estimated_overlap_score", score)
 
 
-def top_pairs(scored: DataFrame, most: int = 10) -> DataFrame:
-    """Pairs that are among the best `most` of either image; ties go to smaller ids."""
-    ends = scored.withColumn("image_id", F.explode(F.array("image_id_a", "image_id_b")))
-    order = Window.partitionBy("image_id").orderBy(F.desc("estimated_overlap_score"), "image_id_a", "image_id_b")
-    return ends.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("image_id", "place").distinct()
+def _start(placed: DataFrame, max_baseline: float) -> int:
+    """The level whose cells are the smallest that hold CELL_IMAGES on average."""
+    seen = placed.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.struct(*_cell(max_baseline / 2**k))).alias(f"l{k}") for k in range(LEVELS + 1)]).first()
+    return max((k for k in range(LEVELS + 1) if seen["n"] >= CELL_IMAGES * max(1, seen[f"l{k}"])), default=0)
 
 
 def select_frame_pairs(poses: DataFrame, detections: DataFrame, min_baseline: float = 0.03, max_baseline: float = 5.0, max_angle_deg: float = 60.0, min_common: int = 0, most: int = 10, bonus: bool = True) -> DataFrame:
-    """The frame pairs to match, with status candidate. poses(image_id, T), detections(image_id, marker_id).
+    """The frame pairs to match, with status candidate: those among the best `most` of either image, ties to smaller ids. poses(image_id, T), detections(image_id, marker_id).
 
-    Common markers are counted for pairs that stand near enough only: each pose
-    carries its image's markers.
+    The nearest cells come first. At each level an image meets those within the
+    level's cell width, and keeps its best. A pair's score is at most
+    1 / (1 + distance) and the bonus for all of the image's markers; an image
+    whose last place beats that bound at the cell's width is done, as no one
+    further off can enter. Only the others go on, at twice the width, up to
+    max_baseline, and look no further than their bound allows. Only images that
+    are looking are copied to the cells around them. An image without a pose or
+    id is in no pair.
     """
     markers = detections.groupBy("image_id").agg(F.collect_set("marker_id").alias("markers"))
-    placed = poses.select("image_id", F.col("T.t").alias("centre"), g.optical_axis(F.col("T")).alias("axis")).join(markers, "image_id", "left")
-    placed = placed.withColumn("markers", F.coalesce("markers", F.array().cast("array<long>")))
-    scored = score_pairs(candidate_pairs(placed, max_baseline, ["axis", "markers"]), min_baseline, max_angle_deg, min_common, bonus)
-    return top_pairs(scored, most).withColumn("status", F.lit("candidate"))
+    placed = poses.filter("image_id is not null and T is not null").select("image_id", F.col("T.t").alias("centre"), g.optical_axis(F.col("T")).alias("axis")).join(markers, "image_id", "left")
+    placed = written(placed.withColumn("markers", F.coalesce("markers", F.array().cast("array<long>"))))
+    looking, done = placed.withColumns({"worst": F.lit(-1.0), "reach": F.lit(max_baseline)}), []
+    columns = ("baseline_m", "optical_axis_angle_deg", "common_marker_count", "estimated_overlap_score")
+    score = F.col("estimated_overlap_score")
+    place = F.row_number().over(Window.partitionBy("image_id_a").orderBy(F.desc(score), F.least("image_id_a", "image_id_b"), F.greatest("image_id_a", "image_id_b")))
+    # what markers can add at most, and so how far an image must look
+    extra = BONUS * F.size("markers") if bonus else F.lit(0.0)
+    reach = F.when(F.col("worst") - extra > 0, 1 / (F.col("worst") - extra) - 1).otherwise(max_baseline)
+    for level in range(_start(placed, max_baseline), -1, -1):
+        width = max_baseline / 2**level
+        met = near_pairs(looking, placed, width).filter(F.col("baseline_m") <= F.col("reach_a"))
+        scored = score_pairs(met, min_baseline, max_angle_deg, min_common, bonus).filter(score >= F.col("worst_a"))
+        best = written(scored.select("image_id_a", "image_id_b", *columns).withColumn("place", place).filter(F.col("place") <= most).drop("place"))
+        done.append(best)
+        if not level:
+            break
+        worst = best.groupBy("image_id_a").agg(F.count("*").alias("n"), F.min(score).alias("low")).filter(F.col("n") >= most)
+        tried = looking.drop("worst", "reach").join(worst.select(F.col("image_id_a").alias("image_id"), "low"), "image_id", "left").withColumn("worst", F.coalesce("low", F.lit(-1.0)))
+        # the square root's and the quotient's last bits are left a margin
+        open_ = tried.withColumn("reach", F.least(reach * (1 + 1e-9) + 1e-9, F.lit(max_baseline))).filter((F.col("worst") < 0) | (F.col("reach") >= width))
+        looking = written(open_.select(*looking.columns))
+        # a later level finds all of an open image's pairs again
+        closed = looking.select(F.col("image_id").alias("image_id_a"))
+        done[-1] = best.join(closed, "image_id_a", "left_anti")
+        if looking.isEmpty():
+            break
+    ordered = reduce(DataFrame.union, done).withColumns({"image_id_a": F.least("image_id_a", "image_id_b"), "image_id_b": F.greatest("image_id_a", "image_id_b")})
+    return ordered.dropDuplicates(["image_id_a", "image_id_b"]).withColumn("status", F.lit("candidate"))

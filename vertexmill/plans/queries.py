@@ -142,8 +142,22 @@ def common_markers(spark, d):
     return graph.common_markers(fx.view(spark, d, "fx_path_markers"))
 
 
+def common_markers_near(spark, d):
+    """Over images that all see one of five markers and one of three."""
+    return graph.common_markers(fx.view(spark, d, "fx_pose_markers"))
+
+
 def frame_pairs(spark, d):
-    chosen = pairs.select_frame_pairs(fx.poses(spark, d, "fx_path"), fx.view(spark, d, "fx_path_markers"))
+    return _frame_pairs(spark, d, "fx_path", "fx_path_markers")
+
+
+def frame_pairs_near(spark, d):
+    """Over images that all stand within the largest distance."""
+    return _frame_pairs(spark, d, "fx_poses", "fx_pose_markers")
+
+
+def _frame_pairs(spark, d, poses, markers):
+    chosen = pairs.select_frame_pairs(fx.poses(spark, d, poses), fx.view(spark, d, markers))
     return chosen.select("image_id_a", "image_id_b", *r6("baseline_m", "optical_axis_angle_deg"), "common_marker_count", *r6("estimated_overlap_score"), "status")
 
 
@@ -343,7 +357,7 @@ def pipeline_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     marker_overlap, image_listing, status_flags, detectable_images, catalog_sync, index_summary, set_ignored, replace_by_key, redetect_status, settings, latest_run, run_rows, fold_run_log, config_values,
-    observation_counts, default_anchor, graph_components, reachability, graph_summary, seed_scores, residual_stats, outliers, common_markers, frame_pairs, mutual_match, match_summary,
+    observation_counts, default_anchor, graph_components, reachability, graph_summary, seed_scores, residual_stats, outliers, common_markers, common_markers_near, frame_pairs, frame_pairs_near, mutual_match, match_summary,
     epipolar_filter, sampson_filter, epipolar_pairs, two_view_points, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
     build_tracks, track_components, triangulate_tracks, estimate_poses, adjust_map, refine_points, residual_rows, calibration_frames, pair_upsert, pipeline_counts,
 )} | table_queries.QUERIES
@@ -561,5 +575,9 @@ FROM err JOIN angles USING (track_id) WHERE near > 0 AND far <= 1e2 AND mean_px
 }
 
 
+ORACLES["common_markers_near"] = ORACLES["common_markers"].replace("fx_path_markers", "fx_pose_markers")
+ORACLES["frame_pairs_near"] = ORACLES["frame_pairs"].replace("fx_path_markers", "fx_pose_markers").replace("fx_path", "fx_poses").replace(" AND b.room - a.room <= 1", "")
+
+
 def oracles() -> dict[str, str]:
     return {name: fx.with_views(sql) for name, sql in (ORACLES | table_queries.ORACLES).items()}
