@@ -322,6 +322,42 @@ def adjust_map(spark, d):
     return done.errors.select("image_id", "marker_id", "corner", F.round("error_px", 3).alias("error_px"), "is_outlier")
 
 
+def pose_recovery(spark, d):
+    """Whether each marker's estimated pose is the one that its corners were projected from, by the centre's distance, and fits the corners."""
+    scene = _scene(spark, d)
+    found = marker_poses.estimate_marker_poses(scene, fx.camera(spark), SIZE).join(scene.select("detection_id", g.transform_back(F.col("T"), F.col("M.t")).alias("centre")), "detection_id")
+    near = g.norm(g.minus(F.col("T_C_M.t"), F.col("centre"))) <= 0.05 * g.norm(F.col("centre"))
+    return found.select("detection_id", "success", near.alias("is_near"), (F.col("reprojection_error_px") < 0.1).alias("fits"))
+
+
+def map_recovery(spark, d):
+    """Whether each marker and image of the adjusted map is where the scene has it, seen from the anchor, and whether its corners fit."""
+    scene = _scene(spark, d)
+    found = marker_poses.estimate_marker_poses(scene, fx.camera(spark), SIZE).filter("success").withColumnRenamed("detection_id", "obs_id").withColumnRenamed("reprojection_error_px", "err")
+    anchor = found.agg(F.min("marker_id")).first()[0]
+    c, m = graph.propagate_poses(found, anchor)
+    done = adjust.robust_adjust(scene.drop("T", "M"), c, m, fx.camera(spark), SIZE, anchor)
+    home = scene.filter(F.col("marker_id") == anchor).select(F.col("M").alias("home")).limit(1)
+    fits = lambda key: done.errors.groupBy(key).agg((F.max("error_px") < 0.5).alias("fits"))
+    out = []
+    for kind, key, solved, truth in (("marker", "marker_id", done.marker_poses, "M"), ("image", "image_id", done.camera_poses, "T")):
+        at = scene.groupBy(key).agg(F.first(truth).alias("truth")).crossJoin(F.broadcast(home))  # one row
+        off = g.norm(g.minus(F.col("T.t"), g.transform_back(F.col("home"), F.col("truth.t"))))
+        both = solved.select(key, "T").join(at, key).join(fits(key), key)
+        out.append(both.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), (off < 0.05).alias("is_near"), "fits"))
+    return out[0].union(out[1])
+
+
+def point_recovery(spark, d):
+    """Whether each refined point is at most 5 cm from the one that its pixels were projected from, and costs no more than before."""
+    obs = _seen_points(spark, d)
+    p = tracks.triangulate(obs, fx.poses(spark, d), fx.camera(spark)).withColumn("point_id", F.col("track_id")).withColumn("is_active", F.lit(True))
+    truth = fx.view(spark, d, "fx_points").select("point_id", g.vector(F.col("x") + 1, F.col("y"), F.col("z") + 6).alias("truth"))
+    moved = points.refine_points(p, obs, fx.poses(spark, d), fx.camera(spark)).join(truth, "point_id")
+    near = g.norm(g.minus(g.vector(F.col("x"), F.col("y"), F.col("z")), F.col("truth"))) <= 0.05
+    return moved.select("point_id", near.alias("is_near"), (F.col("final_cost") <= F.col("initial_cost")).alias("is_better"))
+
+
 def refine_points(spark, d):
     obs = _seen_points(spark, d)
     p = tracks.triangulate(obs, fx.poses(spark, d), fx.camera(spark)).withColumn("point_id", F.col("track_id")).withColumn("is_active", F.lit(True))
@@ -359,7 +395,7 @@ QUERIES = {f.__name__: f for f in (
     marker_overlap, image_listing, status_flags, detectable_images, catalog_sync, index_summary, set_ignored, replace_by_key, redetect_status, settings, latest_run, run_rows, fold_run_log, config_values,
     observation_counts, default_anchor, graph_components, reachability, graph_summary, seed_scores, residual_stats, outliers, common_markers, common_markers_near, frame_pairs, frame_pairs_near, mutual_match, match_summary,
     epipolar_filter, sampson_filter, epipolar_pairs, two_view_points, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
-    build_tracks, track_components, triangulate_tracks, estimate_poses, adjust_map, refine_points, residual_rows, calibration_frames, pair_upsert, pipeline_counts,
+    build_tracks, track_components, triangulate_tracks, estimate_poses, adjust_map, refine_points, pose_recovery, map_recovery, point_recovery, residual_rows, calibration_frames, pair_upsert, pipeline_counts,
 )} | table_queries.QUERIES
 
 
@@ -575,6 +611,10 @@ FROM err JOIN angles USING (track_id) WHERE near > 0 AND far <= 1e2 AND mean_px
 }
 
 
+ORACLES["pose_recovery"] = f"WITH {_SCENE} SELECT DISTINCT image_id * 100 + marker_id AS detection_id, true AS success, true AS is_near, true AS fits FROM scene"
+ORACLES["map_recovery"] = f"""WITH {_SCENE}
+SELECT DISTINCT 'marker' AS kind, marker_id AS id, true AS is_near, true AS fits FROM scene UNION ALL SELECT DISTINCT 'image', image_id, true, true FROM scene"""
+ORACLES["point_recovery"] = f"SELECT track_id AS point_id, true AS is_near, true AS is_better FROM ({ORACLES['triangulate_tracks']})"
 ORACLES["common_markers_near"] = ORACLES["common_markers"].replace("fx_path_markers", "fx_pose_markers")
 ORACLES["frame_pairs_near"] = ORACLES["frame_pairs"].replace("fx_path_markers", "fx_pose_markers").replace("fx_path", "fx_poses").replace(" AND b.room - a.room <= 1", "")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vertexmill.functions import cameras as cam
 from vertexmill.functions import geometry as g
-from vertexmill.operators import catalog, epipolar, graph, matching, poses, tracks
-from vertexmill.sources import readers
+from vertexmill.operators import catalog, epipolar, graph, matching, poses, run_tables, tracks
+from vertexmill.plans.checkpoints import checkpoint_dir
+from vertexmill.sources import readers, writers
 
 from . import fixtures as fx
 
@@ -51,6 +54,37 @@ def snapshot(spark, d):
     return catalog.snapshot(new, F.lit("2024-05-06T07:08:09+00:00"))
 
 
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/kept-{uuid.uuid4()}"
+
+
+def run_table(spark, d):
+    """A table kept by run, in files: run 3 is replaced, and read with the latest successful one."""
+    rows = fx.view(spark, d, "fx_runs").select((F.col("project_id") % 8).alias("run_id"), F.col("run_id").alias("row_id"), "mean_error_px", "success")
+    schema, path = T.StructType([f for f in rows.schema if f.name != "run_id"]), _folder(spark)
+    rows.write.partitionBy("run_id").parquet(path)
+    run_tables.write_run(rows.filter("run_id = 3 and success").withColumn("mean_error_px", F.col("mean_error_px") + 1).drop("run_id"), path, 3)
+    runs = rows.groupBy("run_id").agg((F.col("run_id") < 7).alias("success"))
+    both = run_tables.read_run(spark, path, schema, runs).union(run_tables.read_run(spark, path, schema, runs, 3))
+    return both.select("run_id", "row_id", *r6("mean_error_px"), "success")
+
+
+def file_generations(spark, d):
+    """Files from before and after two columns came, read as one table."""
+    rows, path = fx.view(spark, d, "fx_runs"), _folder(spark)
+    rows.filter("run_id % 3 = 0").select("run_id").write.parquet(path)
+    rows.filter("run_id % 3 > 0").select("run_id", F.col("setting_key").alias("extraction_mode"), "mean_error_px").write.mode("append").parquet(path)
+    schema = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("extraction_mode", T.StringType()), T.StructField("mean_error_px", T.DoubleType())])
+    return run_tables.read_generations(spark, path, schema, ("extraction_mode",), {"mean_error_px": -1.0}).select("run_id", "extraction_mode", *r6("mean_error_px"))
+
+
+def point_file(spark, d):
+    """The point cloud's file, read back."""
+    path = _folder(spark)
+    writers.export_point_cloud(fx.view(spark, d, "fx_points").withColumn("is_active", F.col("z") > 1), path)
+    return spark.read.schema("x double, y double, z double").option("header", True).csv(path).select(*r6("x", "y", "z"))
+
+
 def evolve_table(spark, d):
     schema = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("extraction_mode", T.StringType()), T.StructField("sharpness", T.DoubleType())])
     old = fx.view(spark, d, "fx_images").select("image_id", F.when(F.col("ignored"), "fast").alias("extraction_mode"), "rel_path")
@@ -204,7 +238,7 @@ def feature_checks(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    read_detections, read_features, marker_families, image_order, snapshot, evolve_table, pending_images, pending_pairs, replace_matches, replace_match_counts, replace_triangulated, activate_points, move_points, replace_run,
+    read_detections, read_features, marker_families, image_order, snapshot, run_table, file_generations, point_file, evolve_table, pending_images, pending_pairs, replace_matches, replace_match_counts, replace_triangulated, activate_points, move_points, replace_run,
     match_listing, redetected_rows, update_pairs, pose_summary, overlap_images, fall_back, unseeded_markers, first_coordinates, camera_checks, in_image, unit_vectors, pose_vectors, pose_json, feature_checks,
 )}
 
@@ -212,6 +246,12 @@ _PAIRS = "pairs AS (SELECT pair_id, image_id_a, image_id_b, CASE WHEN count(*) %
 _POINTS = "pts AS (SELECT point_id, x, y, z, CASE WHEN point_id % 3 > 0 THEN 'triangulated' ELSE 'merged' END AS source FROM fx_points)"
 
 ORACLES = {
+    "run_table": """
+WITH r AS (SELECT project_id % 8 AS run_id, run_id AS row_id, mean_error_px, success FROM fx_runs)
+SELECT run_id, row_id, round(mean_error_px + CASE WHEN run_id = 3 THEN 1e0 ELSE 0e0 END, 6) AS mean_error_px, success FROM r WHERE run_id = (SELECT max(run_id) FROM r WHERE run_id < 7) OR (run_id = 3 AND success)""",
+    "file_generations": """
+SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'unknown' ELSE coalesce(setting_key, 'unknown') END AS extraction_mode, round(CASE WHEN run_id % 3 = 0 THEN -1e0 ELSE coalesce(mean_error_px, -1e0) END, 6) AS mean_error_px FROM fx_runs""",
+    "point_file": "SELECT round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM fx_points WHERE z > 1",
     "read_detections": """
 SELECT detection_id, image_id, CASE WHEN detection_id % 7 > 0 THEN 4 ELSE 0 END AS num_corners, CASE WHEN detection_id % 7 > 0 THEN CAST(marker_id AS DOUBLE) END AS last_u, CASE WHEN detection_id % 7 > 0 THEN 2.5e0 END AS first_v,
        CASE WHEN detection_id % 7 = 0 THEN 'four corners of two numbers are needed' END AS reason FROM fx_detections""",
