@@ -8,16 +8,17 @@ document's first seed that hits the index, the factor is the longest match of
 the document's words with the words of the block from that place on. The next
 factor is looked for among the seeds that straddle the end of the factor, or
 stand behind it, so a repeated window that would be split between two factors is
-found at their boundary. A factor counts if it is a window long, which also
-settles that the words, not only the hashes, are alike; the words under factors
-are the words under repeated windows.
+found at their boundary. A factor counts if it is a window long; the words under
+factors are the words under repeated windows.
 
 Only seeds that can hit go through the index. Every seed has an anchor, the
 smallest hash of the 10-word runs inside it; equal seeds have equal anchors, so
 a seed is looked up only when its anchor occurs in two different texts. About
-one word in twenty is an anchor. Exact copies are settled first, by digest.
-Hashes of seeds have 128 bits. Blocks are fetched once for each document that
-hits them, as 32-bit hashes of words.
+one word in twenty is an anchor. Exact copies are settled first, by the SHA-256 of
+their words, outside the parse. Words are compared by hash: a seed by 96 bits of
+its own, and every word of a factor by 32 bits; blocks are fetched once for each
+document that hits them, as these. A text is named by doc_id and row: 0 if the
+id has one text, else the text's hash.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import cut, free_name
+from .common import cut, free_name, written
 
 WINDOW = 50
 ANCHOR = 10
 #: Windows that begin in a block of the reference.
 BLOCK = 128
-#: Keys of texts are joined by broadcast of up to so many rows (16 bytes each), else by shuffle.
-MOST_BROADCAST_KEYS = 200_000
+#: A filter of the texts that are wanted has 16 bits for each of them, and at most so many in all (32 MB).
+MOST_BITS = 1 << 28
+CHUNK_BITS = 1 << 19
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -99,9 +101,9 @@ def _seeds(window: int, anchor: int):
                         continue
                     n = len(at)
                     one = tx.windows(h[0][a:b], window, 0)[at].view(np.int64)
-                    two = tx.windows(h[1][a:b], window, 1)[at].view(np.int64)
-                    ids = [pa.array(np.full(n, batch.column(c)[row + i].as_py(), np.int64)) for c in ("doc_id", "row_hash")]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], names=["doc_id", "row_hash", "at", "one", "two"])
+                    two = (tx.windows(h[1][a:b], window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    ids = [pa.array(np.full(n, batch.column(c)[row + i].as_py(), np.int64)) for c in ("doc_id", "row")]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], names=["doc_id", "row", "at", "one", "two"])
 
     return run
 
@@ -135,21 +137,25 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 
 
 def _blocks(window: int):
-    """The blocks of reference texts whose numbers are wanted."""
+    """The blocks of reference texts whose numbers are wanted; rows alike that come one after the other give them once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            wanted = batch.column("wanted")
+            wanted, names = batch.column("wanted"), list(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), strict=True))
             rows, numbers, content = [], [], []
             for row, end, w in tx.slices(batch.column("text")):
                 h = _short(w.hashes())
                 for i in range(end - row):
+                    if names[row + i] == before:
+                        continue
+                    before = names[row + i]
                     own = h[w.first[i] : w.first[i + 1]]
                     for n in wanted[row + i].as_py():
                         rows.append(row + i)
                         numbers.append(n)
                         content.append(own[n * BLOCK : (n + 1) * BLOCK + window - 1].tobytes())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], names=["ref", "ref_row", "number", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(numbers, pa.int32()), pa.array(content, pa.binary())], names=["ref", "ref_row", "number", "content"])
 
     return run
 
@@ -200,6 +206,43 @@ def _parser(window: int, out: str):
     return run
 
 
+def _bits(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column mark of rows, two bits each, as packed bytes; at most MOST_BITS come to the driver, in chunks."""
+    size = 1 << 16
+    while size < min(16 * rows.count(), MOST_BITS):
+        size *= 2
+    places = rows.select(F.explode(F.array(*[m.bitwiseAND(F.lit(size - 1)) for m in (F.col("mark"), F.shiftrightunsigned("mark", 32))])).alias("place"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        marked = np.zeros(CHUNK_BITS, bool)
+        place = table.column("place").to_numpy()
+        marked[place % CHUNK_BITS] = True
+        return pa.table({"chunk": pa.array([int(place[0]) // CHUNK_BITS]), "bits": pa.array([np.packbits(marked).tobytes()])})
+
+    chunks = places.distinct().groupBy(F.floor(F.col("place") / CHUNK_BITS).alias("c")).applyInArrow(pack, "chunk long, bits binary").collect()
+    whole = np.zeros(max(size, CHUNK_BITS) // 8, np.uint8)
+    for c in chunks:
+        whole[c.chunk * CHUNK_BITS // 8 : (c.chunk + 1) * CHUNK_BITS // 8] = np.frombuffer(c.bits, np.uint8)
+    return whole[: size // 8]
+
+
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of texts(doc_id, row_hash, text) that wanted(doc_id, row_hash) may name, before they are shuffled: none of those is missing, few others are left until the filter is full."""
+    mark = F.xxhash64("doc_id", "row_hash").alias("mark")
+    bits = texts.sparkSession.sparkContext.broadcast(_bits(wanted.select(mark)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last = bits.value, np.uint64(len(bits.value) * 8 - 1)
+        for batch in batches:
+            h = batch.column("mark").to_numpy().view(np.uint64)
+            mask = np.ones(len(h), bool)
+            for place in (h & last, (h >> np.uint64(32)) & last):
+                mask &= (known[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & np.uint8(1) == 1
+            yield batch.filter(pa.array(mask)).drop_columns(["mark"])
+
+    return texts.select("doc_id", "row_hash", "text", mark).mapInArrow(run, "doc_id long, row_hash long, text string")
+
+
 class Repeats:
     """The parse of docs(doc_id, text): summary, hits and texts.
 
@@ -216,27 +259,31 @@ class Repeats:
         known = self.summary.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
         first = known.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
         self.known = known.join(first, "digest").select("doc_id", "row_hash", "anchors", (F.col("first_id") < F.col("doc_id")).alias("copy"))
-        first_rows = self.known.filter(~F.col("copy")).select("doc_id", "row_hash", "anchors").dropDuplicates(["doc_id", "row_hash"])
+        first_rows = cut(self.known.filter(~F.col("copy")).select("doc_id", "row_hash", "anchors").dropDuplicates(["doc_id", "row_hash"]))
         anchors = first_rows.select("doc_id", "row_hash", F.explode("anchors").alias("anchor"))
         # written down, so that the join deals both sides and can split a common anchor's rows
-        shared = cut(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+        shared = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+        names = known.groupBy("doc_id").agg((F.min("row_hash") == F.max("row_hash")).alias("alone"))
         wanted = anchors.join(shared, "anchor").groupBy("doc_id", "row_hash").agg(F.collect_list("anchor").alias("shared"))
-        self.wanted = cut(wanted)
+        row = F.when(F.col("alone"), F.lit(0).cast("long")).otherwise(F.col("row_hash")).alias("row")
+        self.wanted = cut(wanted.join(names, "doc_id").select("doc_id", "row_hash", row, "shared"))
         self.texts = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        seeds = self.texts.join(self.wanted, ["doc_id", "row_hash"]).mapInArrow(_seeds(window, anchor), "doc_id long, row_hash long, at int, one long, two long")
-        index = seeds.groupBy("one", "two").agg(F.min(F.struct("doc_id", "row_hash", "at")).alias("ref"), F.count("*").alias("n")).filter("n > 1")
-        index = index.select("one", "two", F.col("ref.doc_id").alias("ref"), F.col("ref.row_hash").alias("ref_row"), F.col("ref.at").alias("place"))
-        self.hits = seeds.join(index, ["one", "two"]).filter("ref < doc_id").select("doc_id", "row_hash", "at", "ref", "ref_row", "place")
+        seeds = _only(self.texts, self.wanted).join(self.wanted, ["doc_id", "row_hash"]).mapInArrow(_seeds(window, anchor), "doc_id long, row long, at int, one long, two int")
+        index = seeds.groupBy("one", "two").agg(F.min(F.struct("doc_id", "row", "at")).alias("ref"), F.count("*").alias("n")).filter("n > 1")
+        index = index.select("one", "two", F.col("ref.doc_id").alias("ref"), F.col("ref.row").alias("ref_row"), F.col("ref.at").alias("place"))
+        self.hits = seeds.join(index, ["one", "two"]).filter("ref < doc_id").select("doc_id", "row", "at", "ref", "ref_row", "place")
 
     def _parsed(self, out: str, schema: str) -> DataFrame:
         key, block = ["doc_id", "row_hash"], ["ref", "ref_row", "number"]
-        listed = cut(self.hits.groupBy(*key).agg(F.collect_set(F.struct("at", "ref", "ref_row", "place")).alias("hits")))
+        named = self.wanted.select(*key, "row")
+        listed = self.hits.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "ref", "ref_row", "place")).alias("hits"))
+        listed = cut(listed.join(named, ["doc_id", "row"]).select(*key, "hits"))
         needed = listed.select(*key, F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["ref"].alias("ref"), h["ref_row"].alias("ref_row"), F.floor(h["place"] / BLOCK).cast("int").alias("number"))))).alias("b")).select(*key, "b.*")
-        of_text = needed.groupBy(F.col("ref").alias("doc_id"), F.col("ref_row").alias("row_hash")).agg(F.collect_set("number").alias("wanted"))
+        of_text = needed.groupBy(F.col("ref").alias("doc_id"), F.col("ref_row").alias("row")).agg(F.collect_set("number").alias("numbers")).join(named, ["doc_id", "row"])
+        of_text = cut(of_text.select(*key, "row", F.col("numbers").alias("wanted")))
         # only texts that hit, or are hit, are dealt out again
-        keys = cut(listed.select(*key).union(of_text.select(*key)).distinct())
-        texts = self.texts.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST_KEYS else keys, key, "left_semi")
-        blocks = texts.join(of_text, key).mapInArrow(_blocks(self.window), "ref long, ref_row long, number int, content binary").dropDuplicates(block)
+        texts = _only(self.texts, listed.select(*key).union(of_text.select(*key)))
+        blocks = texts.join(of_text, key).mapInArrow(_blocks(self.window), "ref long, ref_row long, number int, content binary")
         fetched = needed.join(blocks, block).groupBy(*key).agg(F.collect_list(F.struct(*block, "content")).alias("blocks"))
         rows = texts.dropDuplicates(key) if out == "factors" else texts
         return rows.join(listed, key).join(fetched, key).mapInArrow(_parser(self.window, out), schema)
