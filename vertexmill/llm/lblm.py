@@ -16,7 +16,9 @@ weighted by the word's uses in the shard, in the order of the shards. So the
 result does not depend on how the table is partitioned.
 
 Scoring normalises in three steps over a tree of near words (group, group in the
-group, word in that), each a batched matrix product and a softmax. Counts of the
+group, word in that), each a batched matrix product and a softmax, and mixes the
+result with the words' smoothed counts. A group's vector is the mean of its
+words', weighted by their biases; it is not trained on its own. Counts of the
 vocabulary are broadcast; those of other words are joined by shuffle. Words are
 known by 64-bit hashes.
 """
@@ -46,6 +48,8 @@ RATE = 0.08
 ROUNDS = 2
 #: Tokens of a training shard, about, and shards at most (shards grow beyond).
 SHARD_TOKENS, MOST_SHARDS = 4_000_000, 4096
+#: The model's share in the mixture with the words' smoothed counts, which sums to one as both do: where the tree's steps or two words of context mislead, a token loses a quarter of its probability at most against the counts.
+SHARE = 0.25
 #: Parts into which a copy of the model is cut for averaging.
 BLOCKS = 256
 END, OTHER = 0, 1
@@ -247,6 +251,11 @@ def _near_order(vectors: np.ndarray, bias: np.ndarray, least: int = 8) -> np.nda
     return np.concatenate(out)
 
 
+def mixed(log_model: np.ndarray, log_unigram: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """Log of the mixture of both probabilities, the model's with this share."""
+    return np.logaddexp(math.log(share) + log_model, math.log1p(-share) + log_unigram)
+
+
 def log_probabilities(p: Params, before: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of each target token's normalised probability."""
     return Tree(p).log_probabilities(predict(p, before), target)
@@ -335,7 +344,8 @@ def first_model(counts: Counts) -> Model:
     weight = np.ones(2 + len(hashes))
     weight[2 + rank] += n
     weight[END] += ends
-    weight[OTHER] += counts.tokens - ends - n.sum()
+    # smoothed as its words are, so that the counts alone give each word the base score
+    weight[OTHER] += counts.tokens - ends - n.sum() + counts.distinct - len(counts.hashes)
     log_unigram = np.log(weight / weight.sum())
     order = np.argsort(np.append(hashes, END_HASH))
     return Model(start(log_unigram), np.append(hashes, END_HASH)[order], np.append(2 + rank, END)[order], log_unigram.astype(np.float32))
@@ -471,7 +481,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, most_words: int = MOST_WORDS) -
                 at = _classes(h, hashes, number)
                 known, other = at >= 0, c == OTHER
                 log_c = log_n[at]
-                lbl = tree.log_probabilities(guesses(tables, contexts(c)), c) / math.log(10)
+                lbl = mixed(tree.log_probabilities(guesses(tables, contexts(c)), c), model.log_unigram[c]) / math.log(10)
                 sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), log_c, np.where(other, log_c, 0.0), lbl, other.astype(np.int64))]
                 row = ids[rows]
                 yield _batch(row, row, size, *sums)
