@@ -323,7 +323,7 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
     markers = cut(seeds.unionByName(spark.createDataFrame([(anchor, [0.0] * 6)], "marker_id long, mxi array<double>")))
     n_markers = markers.count()
 
-    rows = obs.join(camera_poses.select("image_id", g.to_vector(F.col("T")).alias("xi")), "image_id")
+    rows = written(obs.join(camera_poses.select("image_id", g.to_vector(F.col("T")).alias("xi")), "image_id"))
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     held = cut(rows.drop("xi").withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets))).repartition("bucket"))
     poses = cut(rows.groupBy("image_id").agg(F.first("xi").alias("xi")))

@@ -12,6 +12,7 @@ from vertexmill.functions import cameras as cam
 from vertexmill.functions.losses import loss
 from vertexmill.operators.greedy import greedy_groups
 from vertexmill.operators.poses import camera_array
+from vertexmill.plans.checkpoints import cut, written
 
 #: Observations that a task of the refinement holds, about.
 BUCKET_ROWS = 50_000
@@ -75,7 +76,7 @@ def refine_points(points: DataFrame, observations: DataFrame, poses: DataFrame,
         raise ValueError(f"mode {mode} is not supported")
     loss(loss_name)
     models = cam.ArrayModels()
-    rows = cam.with_camera(point_observations(points, observations, poses), cameras)
+    rows = written(cam.with_camera(point_observations(points, observations, poses), cameras))
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64("point_id"), F.lit(buckets))
 
@@ -148,8 +149,6 @@ def stride_sample(rows: DataFrame, most: int, order: str) -> DataFrame:
     """
     if most <= 0:
         return rows.limit(0)
-    from vertexmill.plans.checkpoints import cut
-
     parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("stride_part", F.spark_partition_id()).withColumn("stride_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     parts = cut(parts)
     sizes = parts.groupBy("stride_part").agg(F.count("*").alias("n"))

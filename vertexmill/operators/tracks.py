@@ -11,6 +11,7 @@ from vertexmill.functions import arrays
 from vertexmill.functions import cameras as cam
 from vertexmill.functions import matches as mt
 from vertexmill.operators.greedy import greedy_groups
+from vertexmill.plans.checkpoints import written
 
 FEATURE_BITS = 32
 #: Observations that a task of the triangulation holds, about.
@@ -71,7 +72,7 @@ def triangulate(observations: DataFrame, poses: DataFrame, cameras: DataFrame, m
     joined = observations.select("track_id", "image_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(poses.select("image_id", "T", "camera_id"), "image_id", "left")
     counts = joined.groupBy("track_id").agg(F.count("*").alias("num_observations"), F.count_distinct("image_id").alias("n_images"), F.count_if(F.col("T").isNull()).alias("n_missing"))
     whole = counts.filter((F.col("num_observations") >= min_observations) & (F.col("n_images") == F.col("num_observations")) & (F.col("n_missing") == 0)).select("track_id", "num_observations")
-    rows = cam.with_camera(joined.filter("T is not null"), cameras).join(whole.select("track_id"), "track_id")
+    rows = written(cam.with_camera(joined.filter("T is not null"), cameras).join(whole.select("track_id"), "track_id"))
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
 
     models = cam.ArrayModels()

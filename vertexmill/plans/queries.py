@@ -196,6 +196,12 @@ def sampson_filter(spark, d):
     return epipolar.with_epipolar_error(_located(spark, d), "sampson", limit=0.01).select("match_id", *r6("epipolar_error"), "is_epipolar_inlier")
 
 
+def epipolar_strict(spark, d):
+    """The operator's own limits, by both errors."""
+    errors = [epipolar.with_epipolar_error(_located(spark, d), kind).select(F.lit(kind).alias("error_type"), "match_id", "is_epipolar_inlier") for kind in ("ray_angular", "sampson")]
+    return errors[0].union(errors[1])
+
+
 def epipolar_pairs(spark, d):
     return epipolar.pair_results(epipolar.with_epipolar_error(_located(spark, d), limit=0.05))
 
@@ -394,7 +400,7 @@ def pipeline_counts(spark, d):
 QUERIES = {f.__name__: f for f in (
     marker_overlap, image_listing, status_flags, detectable_images, catalog_sync, index_summary, set_ignored, replace_by_key, redetect_status, settings, latest_run, run_rows, fold_run_log, config_values,
     observation_counts, default_anchor, graph_components, reachability, graph_summary, seed_scores, residual_stats, outliers, common_markers, common_markers_near, frame_pairs, frame_pairs_near, mutual_match, match_summary,
-    epipolar_filter, sampson_filter, epipolar_pairs, two_view_points, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
+    epipolar_filter, sampson_filter, epipolar_strict, epipolar_pairs, two_view_points, project_points, unproject_pixels, marker_map, relative_poses, radius_pairs, merge_centroid, merge_duplicates, bounds, stride_sample,
     build_tracks, track_components, triangulate_tracks, estimate_poses, adjust_map, refine_points, pose_recovery, map_recovery, point_recovery, residual_rows, calibration_frames, pair_upsert, pipeline_counts,
 )} | table_queries.QUERIES
 
@@ -615,6 +621,9 @@ ORACLES["pose_recovery"] = f"WITH {_SCENE} SELECT DISTINCT image_id * 100 + mark
 ORACLES["map_recovery"] = f"""WITH {_SCENE}
 SELECT DISTINCT 'marker' AS kind, marker_id AS id, true AS is_near, true AS fits FROM scene UNION ALL SELECT DISTINCT 'image', image_id, true, true FROM scene"""
 ORACLES["point_recovery"] = f"SELECT track_id AS point_id, true AS is_near, true AS is_better FROM ({ORACLES['triangulate_tracks']})"
+ORACLES["epipolar_strict"] = f"""
+SELECT 'ray_angular' AS error_type, match_id, is_epipolar_inlier FROM ({ORACLES['epipolar_filter'].replace('5e-2', '3e-3')})
+UNION ALL SELECT 'sampson', match_id, is_epipolar_inlier FROM ({ORACLES['sampson_filter'].replace('error <= 1e-2', 'error <= 1e-4')})"""
 ORACLES["common_markers_near"] = ORACLES["common_markers"].replace("fx_path_markers", "fx_pose_markers")
 ORACLES["frame_pairs_near"] = ORACLES["frame_pairs"].replace("fx_path_markers", "fx_pose_markers").replace("fx_path", "fx_poses").replace(" AND b.room - a.room <= 1", "")
 
