@@ -243,8 +243,11 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), a row per row of docs(doc_id, text).
 
     Null texts count as empty: no ids, an empty decoded text. Repeated rows and
-    null ids are encoded like any other. Other columns are not read. path names
-    the tokenizer file on every worker.
+    null ids are encoded like any other; an empty table gives an empty result. A
+    special token's string in a text becomes its id, as in the library, and is
+    decoded to its string. Texts are encoded BATCH_BYTES at a time, a longer text
+    alone. Other columns are not read. path names the tokenizer file on every
+    worker.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
