@@ -60,9 +60,9 @@ def merge_points(points: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def point_observations(points: DataFrame, observations: DataFrame, poses: DataFrame) -> DataFrame:
-    """Active points with their track's observations and the poses of their images; observations without a pose go."""
+    """Active points with their track's observations and the poses of their images; observations without a pose go. Poses are not broadcast, whatever their files' size."""
     o = observations.select("track_id", "image_id", F.col("x").alias("u"), F.col("y").alias("v"))
-    return points.filter("is_active").select("point_id", "track_id", "x", "y", "z").join(o, "track_id").join(poses.select("image_id", "T", "camera_id"), "image_id")
+    return points.filter("is_active").select("point_id", "track_id", "x", "y", "z").join(o, "track_id").join(poses.select("image_id", "T", "camera_id").hint("merge"), "image_id")
 
 
 def refine_points(points: DataFrame, observations: DataFrame, poses: DataFrame, cameras: DataFrame, mode: str = "points_only", loss_name: str = "huber", scale: float = 3.0, iterations: int = 50, tolerance: float = 1e-8) -> DataFrame:

@@ -67,9 +67,10 @@ def triangulate(observations: DataFrame, poses: DataFrame, cameras: DataFrame, m
     all cameras or too far, too small an angle between its nearest two rays, or
     too large an error. A NaN error leaves the track out. Tracks are dealt into
     buckets with all their observations (an image each), and a bucket is solved
-    at once.
+    at once. Poses are not broadcast: their files are much smaller than their
+    rows in the driver's memory.
     """
-    joined = observations.select("track_id", "image_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(poses.select("image_id", "T", "camera_id"), "image_id", "left")
+    joined = observations.select("track_id", "image_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(poses.select("image_id", "T", "camera_id").hint("merge"), "image_id", "left")
     counts = joined.groupBy("track_id").agg(F.count("*").alias("num_observations"), F.count_distinct("image_id").alias("n_images"), F.count_if(F.col("T").isNull()).alias("n_missing"))
     whole = counts.filter((F.col("num_observations") >= min_observations) & (F.col("n_images") == F.col("num_observations")) & (F.col("n_missing") == 0)).select("track_id", "num_observations")
     rows = written(cam.with_camera(joined.filter("T is not null"), cameras).join(whole.select("track_id"), "track_id"))
