@@ -34,3 +34,14 @@ def test_poses_are_not_broadcast(spark, monkeypatch):
     for text in found:
         poses = [line for line in text.splitlines() if "image_id" in line and "Join" in line]
         assert poses and not any("Broadcast" in line for line in poses)
+
+
+def test_radius_pairs_are_shuffled(spark):
+    """The copies in the cells around are not broadcast; pairs are those of all against all, copies and cell borders included."""
+    at = [(k, (k % 7) / 50, (k % 5) / 50, (k % 3) / 25) for k in range(60)]
+    p = spark.createDataFrame(at, "point_id long, x double, y double, z double")
+    found = points.radius_pairs(p, 0.045)
+    assert "Broadcast" not in plan(found)
+    far = {(a[0], b[0]): sum((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)) ** 0.5 for a in at for b in at if a[0] < b[0]}
+    got = [(r.i, r.j) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {k for k, d in far.items() if d <= 0.045}

@@ -18,15 +18,24 @@ from vertexmill.plans.checkpoints import cut, written
 BUCKET_ROWS = 50_000
 
 
+#: The cells that a cell's points meet: itself and one of each two that lie opposite.
+_HALF = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+
+
 def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """(i, j, distance), i < j, of points(point_id, x, y, z) within the radius, by a grid of that width; none for a radius of 0 or less."""
+    """(i, j, distance), i < j, of points(point_id, x, y, z) within the radius, by a grid of that width; none for a radius of 0 or less.
+
+    Neither side is broadcast: the copies in the cells around are many times the
+    points' files.
+    """
     cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xyz"] if radius > 0 else [F.lit(0).cast("long").alias(f"c{c}") for c in "xyz"]
     own = points.filter(F.lit(radius > 0)).select("point_id", "x", "y", "z", *cell)
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    a = own.select("cx", "cy", "cz", F.col("point_id").alias("i"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"))
-    b = own.withColumn("s", F.explode(shifts)).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), (F.col("cz") + F.col("s.k")).alias("cz"), F.col("point_id").alias("j"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"))
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i, j, k in _HALF])
+    a = own.select("cx", "cy", "cz", F.col("point_id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("z").alias("za"))
+    b = own.withColumn("s", F.explode(shifts)).select((F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), (F.col("cz") + F.col("s.k")).alias("cz"), F.col("point_id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("z").alias("zb"), ((F.col("s.i") == 0) & (F.col("s.j") == 0) & (F.col("s.k") == 0)).alias("home"))
     square = (F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")) + (F.col("ya") - F.col("yb")) * (F.col("ya") - F.col("yb")) + (F.col("za") - F.col("zb")) * (F.col("za") - F.col("zb"))
-    return a.join(b, ["cx", "cy", "cz"]).filter("i < j").withColumn("distance", F.sqrt(square)).filter(F.col("distance") <= radius).select("i", "j", "distance")
+    met = a.join(b.hint("merge"), ["cx", "cy", "cz"]).filter("not home or a < b").withColumn("distance", F.sqrt(square)).filter((F.col("distance") <= radius) & (F.col("a") != F.col("b")))
+    return met.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "distance")
 
 
 def merge_groups(points: DataFrame, observations: DataFrame, radius: float = 0.02, max_mean_px: float = 3.0, max_px: float = 6.0) -> DataFrame:
