@@ -45,3 +45,22 @@ def test_radius_pairs_are_shuffled(spark):
     far = {(a[0], b[0]): sum((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)) ** 0.5 for a in at for b in at if a[0] < b[0]}
     got = [(r.i, r.j) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == {k for k, d in far.items() if d <= 0.045}
+
+
+MATCHES = "pair_id long, match_id long, image_id_a long, feature_idx_a long, x_a double, y_a double, image_id_b long, feature_idx_b long, x_b double, y_b double"
+WIDE = 1 << 32
+
+
+def test_first_coordinates_of_ids_of_any_size(spark):
+    m = spark.createDataFrame([(0, 1, 0, WIDE + 5, 1.0, 2.0, 1, 5, 3.0, 4.0), (0, 0, 0, WIDE + 5, 7.0, 8.0, 1 << 40, 6, 9.0, 0.0)], MATCHES)
+    got = {(r.image_id, r.feature_idx): (r.x, r.y) for r in tracks.first_coordinates(m).collect()}
+    assert got == {(0, WIDE + 5): (7.0, 8.0), (1, 5): (3.0, 4.0), (1 << 40, 6): (9.0, 0.0)}
+
+
+def test_tracks_of_wide_feature_ids(spark):
+    """Features beyond 32 bits are features of their own, also beside one of the next image with the same low bits."""
+    m = spark.createDataFrame([(0, 0, 0, WIDE + 5, 0.0, 0.0, 3, 1, 0.0, 0.0), (0, 1, 1, 5, 0.0, 0.0, 4, 1, 0.0, 0.0)], MATCHES)
+    by = {}
+    for r in tracks.build_tracks(m).collect():
+        by.setdefault(r.track_id, set()).add((r.image_id, r.feature_idx))
+    assert sorted(map(sorted, by.values())) == [[(0, WIDE + 5), (3, 1)], [(1, 5), (4, 1)]]

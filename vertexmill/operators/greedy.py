@@ -11,6 +11,8 @@ from vertexmill.plans.checkpoints import discard, written
 
 #: Edges and images that one task settles at once, about; it sizes the work, not what can be settled.
 TASK_ROWS = 100_000
+#: Edges of small components that a task settles together, about.
+BUCKET_EDGES = 20_000
 #: A component's first edges are cut at shares of 2 ** (-k / 4), for k below this.
 STEPS = 128
 
@@ -109,10 +111,17 @@ def _first(edges: DataFrame, key: str) -> DataFrame:
 
 
 def _settled(edges: DataFrame, placed: DataFrame, shared: DataFrame, key: str) -> DataFrame:
-    """(root, low) of the edges of each key, settled in a task each; of its groups' images those that stand in two groups."""
+    """(root, low) of the edges of each key, a key whole in a task; of its groups' images those that stand in two groups.
+
+    Keys share no group, so small ones are dealt into buckets and a bucket's are
+    settled together: there may be millions.
+    """
+    edges = written(edges.select(key, "u", "v", "rank"))
+    buckets = F.lit(max(1, -(-edges.count() // BUCKET_EDGES)))
     ends = edges.select(key, F.explode(F.array("u", "v")).alias("root")).distinct()
-    images = placed.join(shared, [key, "image"], "left_semi").join(ends, [key, "root"], "left_semi").select(F.col(key).alias("of"), "root", "image")
-    return edges.select(key, "u", "v", "rank").groupBy(key).cogroup(images.groupBy("of")).applyInPandas(_settle, "root long, low long")
+    images = placed.join(shared, [key, "image"], "left_semi").join(ends, [key, "root"], "left_semi")
+    of = F.pmod(F.xxhash64(key), buckets)
+    return edges.select(of.alias("of"), "u", "v", "rank").groupBy("of").cogroup(images.select(of.alias("of"), "root", "image").groupBy("of")).applyInPandas(_settle, "root long, low long")
 
 
 def _settle(edges: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:

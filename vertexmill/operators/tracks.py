@@ -13,24 +13,31 @@ from vertexmill.functions import matches as mt
 from vertexmill.operators.greedy import greedy_groups
 from vertexmill.plans.checkpoints import written
 
+#: Bits of a feature id in a node, where no id needs more.
 FEATURE_BITS = 32
 #: Observations that a task of the triangulation holds, about.
 BUCKET_ROWS = 50_000
 POINTS = ("track_id", "x", "y", "z", "mean_reprojection_error_px", "max_reprojection_error_px", "num_observations", "min_triangulation_angle_deg")
 
 
-def feature_node(image: str, feature: str):
-    """One number for a feature of an image; ids outside 31 and 32 bits fail the job."""
-    good = (F.col(image) >= 0) & (F.col(image) < 1 << 31) & (F.col(feature) >= 0) & (F.col(feature) < 1 << FEATURE_BITS)
-    node = F.shiftleft(F.col(image).cast("long"), FEATURE_BITS).bitwiseOR(F.col(feature).cast("long"))
+def feature_bits(matches: DataFrame) -> int:
+    """The bits that the feature ids of matches need, FEATURE_BITS at least."""
+    most = matches.agg(F.max(F.greatest("feature_idx_a", "feature_idx_b"))).first()[0]
+    return max(FEATURE_BITS, int(most or 0).bit_length())
+
+
+def feature_node(image: str, feature: str, bits: int = FEATURE_BITS):
+    """One number for a feature of an image, in the order of both; ids below 0, or that need more than `bits` and 63 - `bits`, fail the job."""
+    good = (F.col(image) >= 0) & (F.col(image) < 1 << 63 - bits) & (F.col(feature) >= 0) & (F.col(feature) < 1 << bits)
+    node = F.shiftleft(F.col(image).cast("long"), bits).bitwiseOR(F.col(feature).cast("long"))
     return F.when(good, node).otherwise(F.raise_error("image or feature id out of range").cast("long"))
 
 
 def first_coordinates(matches: DataFrame) -> DataFrame:
-    """(node, image_id, feature_idx, x, y) of the features of matches; the first match in (pair_id, match_id) order gives the coordinates."""
-    ends = matches.select(F.explode(F.array(*[F.struct(feature_node(f"image_id_{n}", f"feature_idx_{n}").alias("node"), F.col(f"image_id_{n}").alias("image_id"), F.col(f"feature_idx_{n}").alias("feature_idx"), F.struct(F.col(f"x_{n}").alias("x"), F.col(f"y_{n}").alias("y")).alias("xy"), F.struct("pair_id", "match_id", F.lit(k).alias("side")).alias("place")) for k, n in enumerate("ab")])).alias("e")).select("e.*")
-    first = ends.groupBy("node", "image_id", "feature_idx").agg(F.min_by("xy", "place").alias("xy"))
-    return first.select("node", "image_id", "feature_idx", "xy.x", "xy.y")
+    """(image_id, feature_idx, x, y) of the features of matches, ids of any size; the first match in (pair_id, match_id) order gives the coordinates."""
+    ends = matches.select(F.explode(F.array(*[F.struct(F.col(f"image_id_{n}").alias("image_id"), F.col(f"feature_idx_{n}").alias("feature_idx"), F.struct(F.col(f"x_{n}").alias("x"), F.col(f"y_{n}").alias("y")).alias("xy"), F.struct("pair_id", "match_id", F.lit(k).alias("side")).alias("place")) for k, n in enumerate("ab")])).alias("e")).select("e.*")
+    first = ends.groupBy("image_id", "feature_idx").agg(F.min_by("xy", "place").alias("xy"))
+    return first.select("image_id", "feature_idx", "xy.x", "xy.y")
 
 
 def build_tracks(matches: DataFrame, task_rows: int | None = None) -> DataFrame:
@@ -38,11 +45,12 @@ def build_tracks(matches: DataFrame, task_rows: int | None = None) -> DataFrame:
 
     Matches join features in (pair_id, match_id) order; one that would put two
     features of an image into a track is refused. Tracks have two features or
-    more; track_id is the smallest node of the track.
+    more; track_id is the smallest node of the track, of feature_bits() bits.
     """
     used = matches.filter("is_epipolar_inlier") if "is_epipolar_inlier" in matches.columns else matches
-    edges = used.select(feature_node("image_id_a", "feature_idx_a").alias("u"), feature_node("image_id_b", "feature_idx_b").alias("v"), F.struct("pair_id", "match_id").alias("place"))
-    where = first_coordinates(used)
+    bits = feature_bits(used)
+    edges = used.select(feature_node("image_id_a", "feature_idx_a", bits).alias("u"), feature_node("image_id_b", "feature_idx_b", bits).alias("v"), F.struct("pair_id", "match_id").alias("place"))
+    where = first_coordinates(used).withColumn("node", feature_node("image_id", "feature_idx", bits))
     groups = greedy_groups(edges, where.select("node", F.col("image_id").alias("image")), **({} if task_rows is None else {"task_rows": task_rows}))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n")).filter("n >= 2").select("root")
     return groups.join(sizes, "root").join(where, "node").select(F.col("root").alias("track_id"), "image_id", "feature_idx", "x", "y")
