@@ -1,7 +1,11 @@
 """Steps that failed or differed on larger tables."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from vertexmill.functions import matches as mt
 from vertexmill.operators import points, tracks
 from vertexmill.plans import fixtures as fx
 
@@ -64,3 +68,27 @@ def test_tracks_of_wide_feature_ids(spark):
     for r in tracks.build_tracks(m).collect():
         by.setdefault(r.track_id, set()).add((r.image_id, r.feature_idx))
     assert sorted(map(sorted, by.values())) == [[(0, WIDE + 5), (3, 1)], [(1, 5), (4, 1)]]
+
+
+def test_epipolar_errors_to_the_last_bit():
+    """Both errors are those of plain arithmetic in the SQL's order, so that neither limits nor rounding tell them apart."""
+    r = np.random.default_rng(3)
+    n = 5000
+    a, b = np.c_[r.integers(-100, 101, (n, 2)) / 500, np.ones(n)], np.c_[r.integers(-100, 101, (n, 2)) / 500, np.ones(n)]
+    t = r.integers(-30, 31, (n, 3)) / 10
+    c, s = np.array([(1.0, 0.0), (0.8, 0.6), (0.6, 0.8)])[r.integers(0, 3, n)].T
+    R = np.zeros((n, 3, 3))
+    R[:, 0, 0], R[:, 0, 2], R[:, 1, 1], R[:, 2, 0], R[:, 2, 2] = c, s, 1, -s, c
+    for k, (angular, sampson) in enumerate(zip(mt.ray_angular_error(a, b, R, t), mt.sampson_error(a, b, R, t), strict=True)):
+        (ax, ay, _), (bx, by, _), (t1, t2, t3), ck, sk = a[k].tolist(), b[k].tolist(), t[k].tolist(), float(c[k]), float(s[k])
+        la, lb = math.sqrt(ax * ax + ay * ay + 1), math.sqrt(bx * bx + by * by + 1)
+        w1, w2, w3 = ck * (ax / la) + sk * (1 / la), ay / la, ck * (1 / la) - sk * (ax / la)
+        n1, n2, n3 = t2 * w3 - t3 * w2, t3 * w1 - t1 * w3, t1 * w2 - t2 * w1
+        size = math.sqrt(n1 * n1 + n2 * n2 + n3 * n3)
+        assert angular == (abs(n1 * (bx / lb) + n2 * (by / lb) + n3 * (1 / lb)) / size if size > 1e-12 else math.inf)
+        w1, w2, w3 = ck * ax + sk, ay, ck - sk * ax
+        n1, n2, n3 = t2 * w3 - t3 * w2, t3 * w1 - t1 * w3, t1 * w2 - t2 * w1
+        u1, u2, u3 = by * t3 - t2, t1 - bx * t3, bx * t2 - by * t1
+        m1, m2 = ck * u1 - sk * u3, u2
+        scale, value = n1 * n1 + n2 * n2 + m1 * m1 + m2 * m2, bx * n1 + by * n2 + n3
+        assert sampson == (value * value / scale if scale > 1e-12 else math.inf)

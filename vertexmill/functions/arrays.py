@@ -97,6 +97,13 @@ def project_slopes(points: np.ndarray, camera: np.ndarray | Lenses) -> tuple[np.
 
 def unproject(pixels: np.ndarray, camera: np.ndarray | Lenses, steps: int = 10) -> np.ndarray:
     """Unit rays (..., 3) of pixels (..., 2): `steps` steps of a fixed-point iteration undo the distortion."""
+    ray = rays(pixels, camera, steps)
+    n = np.linalg.norm(ray, axis=-1, keepdims=True)
+    return np.where(n > 1e-12, ray / np.where(n > 1e-12, n, 1.0), np.nan)
+
+
+def rays(pixels: np.ndarray, camera: np.ndarray | Lenses, steps: int = 10) -> np.ndarray:
+    """The same before they are brought to length one: a pinhole's have z = 1."""
     values, models = _lens(camera)
     omni, fx, fy, cx, cy, xi, k1, k2, p1, p2, k3 = np.moveaxis(values, -1, 0)
     x0, y0 = (pixels[..., 0] - cx) / fx, (pixels[..., 1] - cy) / fy
@@ -111,9 +118,7 @@ def unproject(pixels: np.ndarray, camera: np.ndarray | Lenses, steps: int = 10)
     alpha = (xi + np.sqrt(np.maximum(0.0, 1 + (1 - xi * xi) * r2))) / (1 + r2)
     one = np.where(omni == 1, alpha, 1.0)
     ray = np.stack([one * x, one * y, np.where(omni == 1, alpha - xi, 1.0)], -1)
-    ray = _by_model(ray, pixels, values, models, 1)
-    n = np.linalg.norm(ray, axis=-1, keepdims=True)
-    return np.where(n > 1e-12, ray / np.where(n > 1e-12, n, 1.0), np.nan)
+    return _by_model(ray, pixels, values, models, 1)
 
 
 def turn_slopes(r: np.ndarray) -> np.ndarray:

@@ -34,14 +34,34 @@ def cameras(column: pa.Array, models: ArrayModels) -> arrays.Lenses:
 
 def unit(v: np.ndarray) -> np.ndarray:
     """Vectors at length one; NaN for one that is nearly zero."""
-    n = np.linalg.norm(v, axis=-1, keepdims=True)
+    n = np.sqrt(v[..., :1] * v[..., :1] + v[..., 1:2] * v[..., 1:2] + v[..., 2:] * v[..., 2:])
     return np.where(n > EPSILON, v / np.where(n > EPSILON, n, 1.0), np.nan)
 
 
+def turned(R: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """R v of each row, term by term: sums of products in a fixed order and with every product rounded, so that plain SQL gives the same bits."""
+    return np.stack([R[:, i, 0] * v[:, 0] + R[:, i, 1] * v[:, 1] + R[:, i, 2] * v[:, 2] for i in range(3)], -1)
+
+
+def turned_back(R: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """R transposed v, likewise."""
+    return turned(np.swapaxes(R, 1, 2), v)
+
+
+def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows, likewise."""
+    return x[:, 0] * y[:, 0] + x[:, 1] * y[:, 1] + x[:, 2] * y[:, 2]
+
+
+def length(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(dot(v, v))
+
+
 def ray_angular_error(f1: np.ndarray, f2: np.ndarray, R: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Distance of ray f2 from the epipolar plane of ray f1, as a sine; the pose maps frame 1 into frame 2."""
-    normal = unit(np.cross(t, np.einsum("nij,nj->ni", R, f1)))
-    error = np.abs(np.einsum("ni,ni->n", normal, unit(f2)))
+    """Distance of ray f2 from the epipolar plane of ray f1, as a sine; the pose maps frame 1 into frame 2. Rays of any length."""
+    normal = np.cross(t, turned(R, unit(f1)))
+    n = length(normal)
+    error = np.abs(dot(normal, unit(f2))) / np.where(n > EPSILON, n, np.nan)
     return np.where(np.isnan(error), np.inf, error)
 
 
@@ -49,10 +69,10 @@ def sampson_error(f1: np.ndarray, f2: np.ndarray, R: np.ndarray, t: np.ndarray)
     """First-order squared distance to the epipolar constraint, on rays scaled to z = 1."""
     with np.errstate(divide="ignore", invalid="ignore"):
         a, b = f1 / f1[:, 2:], f2 / f2[:, 2:]
-        line = np.cross(t, np.einsum("nij,nj->ni", R, a))
-        back = np.einsum("nji,nj->ni", R, np.cross(b, t))
-        value = np.einsum("ni,ni->n", b, line)
-        scale = (line[:, :2] ** 2).sum(1) + (back[:, :2] ** 2).sum(1)
+        line = np.cross(t, turned(R, a))
+        back = turned_back(R, np.cross(b, t))
+        value = dot(b, line)
+        scale = line[:, 0] * line[:, 0] + line[:, 1] * line[:, 1] + back[:, 0] * back[:, 0] + back[:, 1] * back[:, 1]
         return np.where(scale > EPSILON, value * value / np.where(scale > EPSILON, scale, 1.0), np.inf)
 
 

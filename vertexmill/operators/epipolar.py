@@ -12,13 +12,13 @@ from vertexmill.functions import arrays
 from vertexmill.functions import cameras as cam
 from vertexmill.functions import matches as mt
 
-#: Error types: name to (errors of two rays, rotation and translation). Any other name means ray_angular.
+#: Error types: name to (errors of two rays of any length, rotation and translation). Any other name means ray_angular.
 ERRORS: dict[str, Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]] = {"ray_angular": mt.ray_angular_error, "sampson": mt.sampson_error}
 LIMITS = {"ray_angular": 0.003, "sampson": 1e-4}
 
 
 def match_geometry(matches: DataFrame, poses: DataFrame, cameras: DataFrame) -> DataFrame:
-    """matches(image_id_a, image_id_b, x_a, y_a, x_b, y_b, ...) with T_a, T_b, camera, ray_a and ray_b; matches without both poses are left out.
+    """matches(image_id_a, image_id_b, x_a, y_a, x_b, y_b, ...) with T_a, T_b, camera, ray_a and ray_b, which are not brought to length one; matches without both poses are left out.
 
     poses(image_id, T, camera_id). The small tables are broadcast by the
     optimizer as their size allows; matches are not grouped.
@@ -30,7 +30,7 @@ def match_geometry(matches: DataFrame, poses: DataFrame, cameras: DataFrame) ->
 
     def rays(batch) -> dict[str, np.ndarray]:
         camera = mt.cameras(batch.column("camera"), models)
-        return {f"ray_{n}": arrays.unproject(np.stack([mt.numbers(batch.column(f"x_{n}")), mt.numbers(batch.column(f"y_{n}"))], -1), camera) for n in "ab"}
+        return {f"ray_{n}": arrays.rays(np.stack([mt.numbers(batch.column(f"x_{n}")), mt.numbers(batch.column(f"y_{n}"))], -1), camera) for n in "ab"}
 
     return mt.with_columns(both, "ray_a array<double>, ray_b array<double>", rays)
 
@@ -47,8 +47,8 @@ def with_epipolar_error(located: DataFrame, error_type: str = "ray_angular", lim
 
     def errors(batch) -> dict[str, np.ndarray]:
         (Ra, ta), (Rb, tb) = (mt.poses(batch.column(f"T_{n}")) for n in "ab")
-        R, t = np.einsum("nji,njk->nik", Rb, Ra), np.einsum("nji,nj->ni", Rb, ta - tb)
-        error = np.where(np.linalg.norm(ta - tb, axis=1) < min_baseline, np.inf, measure(_rays(batch, "a"), _rays(batch, "b"), R, t))
+        R, t = np.stack([mt.turned_back(Rb, Ra[:, :, k]) for k in range(3)], -1), mt.turned_back(Rb, ta - tb)
+        error = np.where(mt.length(ta - tb) < min_baseline, np.inf, measure(_rays(batch, "a"), _rays(batch, "b"), R, t))
         return {"epipolar_error": error, "is_epipolar_inlier": error <= bound}
 
     return mt.with_columns(located, "epipolar_error double, is_epipolar_inlier boolean", errors)
@@ -61,16 +61,16 @@ def triangulate_pairs(located: DataFrame, min_angle_deg: float = 1.0, max_px: fl
     def points(batch) -> dict[str, np.ndarray]:
         camera = mt.cameras(batch.column("camera"), models)
         T = {n: mt.poses(batch.column(f"T_{n}")) for n in "ab"}
-        d = {n: mt.unit(np.einsum("nij,nj->ni", T[n][0], _rays(batch, n))) for n in "ab"}
-        c, dot = {n: T[n][1] for n in "ab"}, lambda x, y: np.einsum("ni,ni->n", x, y)
+        d = {n: mt.turned(T[n][0], mt.unit(_rays(batch, n))) for n in "ab"}
+        c, dot = {n: T[n][1] for n in "ab"}, mt.dot
         k, wa, wb = dot(d["a"], d["b"]), dot(c["b"] - c["a"], d["a"]), dot(c["b"] - c["a"], d["b"])
         scale = 1 - k * k
         safe = np.where(np.abs(scale) > mt.EPSILON, scale, mt.EPSILON)
         pa, pb = c["a"] + d["a"] * ((wa - k * wb) / safe)[:, None], c["b"] + d["b"] * ((k * wa - wb) / safe)[:, None]
         p = (pa + pb) / 2
-        gap, angle = np.linalg.norm(pa - pb, axis=1), np.degrees(np.arccos(np.clip(k, -1.0, 1.0)))
+        gap, angle = mt.length(pa - pb), np.degrees(np.arccos(np.clip(k, -1.0, 1.0)))
         error = {n: _pixel_error(p, *T[n], camera, batch.column(f"x_{n}"), batch.column(f"y_{n}")) for n in "ab"}
-        far = np.maximum(np.linalg.norm(p - c["a"], axis=1), np.linalg.norm(p - c["b"], axis=1))
+        far = np.maximum(mt.length(p - c["a"]), mt.length(p - c["b"]))
         valid = (dot(p - c["a"], d["a"]) > 0) & (dot(p - c["b"], d["b"]) > 0) & (angle >= min_angle_deg) & (error["a"] <= max_px) & (error["b"] <= max_px) & (gap <= max_gap) & (far <= max_depth)
         return {"x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "gap_m": gap, "angle_deg": angle, "error_a_px": error["a"], "error_b_px": error["b"], "is_valid": valid}
 
@@ -80,7 +80,7 @@ def triangulate_pairs(located: DataFrame, min_angle_deg: float = 1.0, max_px: fl
 
 def _pixel_error(p: np.ndarray, R: np.ndarray, t: np.ndarray, camera: arrays.Lenses, x, y) -> np.ndarray:
     """Distances in the image of points p from the pixels (x, y); NaN where a point is not seen."""
-    seen = arrays.project(np.einsum("nji,nj->ni", R, p - t), camera)
+    seen = arrays.project(mt.turned_back(R, p - t), camera)
     return np.hypot(seen[:, 0] - mt.numbers(x), seen[:, 1] - mt.numbers(y))
 
 
