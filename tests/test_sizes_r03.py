@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vertexmill.functions import matches as mt
-from vertexmill.operators import points, tracks
+from vertexmill.operators import graph, points, tracks
 from vertexmill.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,14 @@ def test_epipolar_errors_to_the_last_bit():
         m1, m2 = ck * u1 - sk * u3, u2
         scale, value = n1 * n1 + n2 * n2 + m1 * m1 + m2 * m2, bx * n1 + by * n2 + n3
         assert sampson == (value * value / scale if scale > 1e-12 else math.inf)
+
+
+def test_images_of_equal_markers_are_not_paired_by_a_shuffle(spark, monkeypatch):
+    """Counts as of all against all, over blocks of three images; what is grouped are classes, not images."""
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 3)
+    rows = [(i, m) for i in range(40) for m in ({i % 2, 10 + i % 3} if i < 36 else {i})] + [(0, 0)]
+    got = graph.common_markers(spark.createDataFrame(rows, "image_id long, marker_id long"))
+    by = {i: {m for j, m in rows if j == i} for i in range(40)}
+    want = sorted((a, b, len(by[a] & by[b])) for a in by for b in by if a < b and by[a] & by[b])
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "Aggregate" not in plan(got)
