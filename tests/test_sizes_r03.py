@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from vertexmill.functions import cameras as cam
 from vertexmill.functions import matches as mt
 from vertexmill.operators import graph, points, tracks
 from vertexmill.plans import fixtures as fx
@@ -103,3 +104,18 @@ def test_images_of_equal_markers_are_not_paired_by_a_shuffle(spark, monkeypatch)
     want = sorted((a, b, len(by[a] & by[b])) for a in by for b in by if a < b and by[a] & by[b])
     assert sorted(tuple(r) for r in got.collect()) == want
     assert "Aggregate" not in plan(got)
+
+
+def test_pixels_are_unprojected_as_arrays(spark):
+    """Rays are those of the columns, null where they are; and the plan works on batches."""
+    rows = [(k, "cdox"[k % 4], None if k % 11 == 5 else {"u": 10.0 * k, "v": 400.0 - 7 * k}) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, camera_id string, pixel struct<u:double,v:double>")
+    cameras = fx.cameras(spark)
+    cameras = cameras.union(cameras.filter("camera_id = 'c'").withColumns({"camera_id": F.lit("x"), "model": F.lit("fisheye")}))
+    found = cam.unproject(df, cameras)
+    assert "MapInArrow" in plan(found) and found.columns == ["id", "camera_id", "pixel", "ray"]
+    want = {r.id: r.ray for r in cam.with_camera(df, cameras).withColumn("ray", cam.unproject_column(F.col("pixel"), F.col("camera"))).collect()}
+    got = {r.id: r.ray for r in found.collect()}
+    assert got.keys() == want.keys() and len(got) == 60
+    for k, ray in want.items():
+        assert (got[k] is None) == (ray is None) and (ray is None or np.allclose(got[k], ray, rtol=0, atol=1e-14))

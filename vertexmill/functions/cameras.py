@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays
 from . import geometry as g
@@ -149,8 +152,33 @@ def project(df: DataFrame, cameras: DataFrame, point: str = "point") -> DataFram
 
 
 def unproject(df: DataFrame, cameras: DataFrame, pixel: str = "pixel") -> DataFrame:
-    """df(camera_id, pixel) with column ray."""
-    return with_camera(df, cameras).withColumn("ray", unproject_column(F.col(pixel), F.col("camera"))).drop("camera")
+    """df(camera_id, pixel) with column ray; null without a pixel, for a ray of no length and for an unknown model. A null parameter counts as 0.
+
+    Batches of rows are unprojected as arrays; by columns only where a
+    registered model has no array functions.
+    """
+    both, models = with_camera(df, cameras), ArrayModels()
+    if set(MODELS) - set(models.kinds):
+        return both.withColumn("ray", unproject_column(F.col(pixel), F.col("camera"))).drop("camera")
+    # where the work begins each row has its model's name and numbers, flat
+    kept = [c for c in df.columns if c != "ray"]
+    flat = both.select(*kept, F.col(f"{pixel}.u").cast("double").alias("__u"), F.col(f"{pixel}.v").cast("double").alias("__v"), F.col("camera.model").alias("__model"), *[F.col(f"camera.{n}").cast("double").alias(f"__{n}") for n in PARAMETERS])
+    schema = T.StructType([flat.schema[c] for c in kept] + [T.StructField("ray", T.ArrayType(T.DoubleType()))])
+    known = list(models.kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = [batch.column(f"__{n}").to_numpy(zero_copy_only=False) for n in ("u", "v", *PARAMETERS)]
+            names = batch.column("__model")
+            kind = pc.index_in(names, pa.array(known, names.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            lens = arrays.Lenses(np.stack([np.maximum(kind, 0).astype(float), *[np.nan_to_num(x) for x in given[2:]]], -1), models.functions)
+            ray = arrays.unproject(np.stack(given[:2], -1), lens)
+            none = (kind < 0) | np.isnan(ray).any(1)
+            sizes = np.append(0, np.cumsum(np.where(none, 0, 3))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes, mask=np.append(none, False)), pa.array(ray[~none].ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], lists], names=[*kept, "ray"])
+
+    return flat.mapInArrow(run, schema)
 
 
 def in_image(pixel: Column, width: Column, height: Column) -> Column:
