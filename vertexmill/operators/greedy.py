@@ -15,6 +15,10 @@ TASK_ROWS = 100_000
 BUCKET_EDGES = 20_000
 #: A component's first edges are cut at shares of 2 ** (-k / 4), for k below this.
 STEPS = 128
+#: Of a group of more images, edges are not compared with those of other groups before their turn.
+LISTED_IMAGES = 64
+#: Passes over all groups go on while one leaves at most this share of the edges.
+PASS_SHARE = 0.9
 
 
 def _ranked(edges: DataFrame) -> DataFrame:
@@ -45,6 +49,11 @@ def greedy_groups(edges: DataFrame, images: DataFrame, task_rows: int = TASK_ROW
     components. Each round settles a part of every open component, so it ends
     for any size; only images that stand in two groups of a component go to a
     task.
+
+    Before a round, while there are more than task_rows edges, passes settle
+    the edges that are the first of both their groups, as nothing earlier can
+    change these, and drop those whose groups share an image already. Passes
+    stop at one that leaves nearly all edges, as along a chain.
     """
     edges = edges.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("place").alias("place"))
     edges = written(_ranked(edges))
@@ -52,7 +61,24 @@ def greedy_groups(edges: DataFrame, images: DataFrame, task_rows: int = TASK_ROW
     roots = written(nodes.withColumn("root", F.col("node")))
     held = written(images.join(nodes, "node", "left_semi").select(F.col("node").alias("root"), "image").distinct())
     most = max(2, task_rows)
-    while not edges.isEmpty():
+    n = edges.count()
+    if n > most:
+        every, edges = edges, written(_moved(edges, roots.limit(0).select("root", F.col("root").alias("low")), held))
+        discard(every)
+        n = edges.count()
+    going = True
+    while n:
+        if going and n > most:
+            joined, refused = _least(edges, held)
+            open_ = edges.join(refused, "rank", "left_anti")
+            new = [written(_renamed(t, joined).distinct()) for t in (roots, held)]
+            rest = written(_moved(open_, joined, new[1], held))
+            for old in (edges, roots, held, joined, refused):
+                discard(old)
+            edges, (roots, held) = rest, new
+            left = edges.count()
+            going, n = left <= PASS_SHARE * n, left
+            continue
         component = written(connected_components(edges))
         joined, left = _round(edges, held, component, most)
         joined = written(joined)
@@ -63,9 +89,39 @@ def greedy_groups(edges: DataFrame, images: DataFrame, task_rows: int = TASK_ROW
         for old in (edges, component, roots, held, joined):
             discard(old)
         edges, (roots, held) = rest, new
+        n, going = edges.count(), True
     return roots
 
 
+def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows with root replaced by what joined(root, low) makes of it."""
+    return rows.join(joined.hint("merge"), "root", "left").withColumn("root", F.coalesce("low", "root")).select(*rows.columns)
+
+
+def _least(edges: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the edges that are the first by rank of both ends, which no other edge can change: (root, low) of those that join, (rank) of those refused."""
+    ends = edges.select(F.col("u").alias("n"), "rank").union(edges.select(F.col("v").alias("n"), "rank"))
+    first = ends.groupBy("n").agg(F.min("rank").alias("rank"))
+    both = written(first.groupBy("rank").agg(F.count("*").alias("k"), F.min("n").alias("u"), F.max("n").alias("v")).filter("k = 2").select("rank", "u", "v"))
+    side = lambda c: held.select(F.col("root").alias(c), "image").hint("merge")
+    refused = written(both.join(side("u"), "u").join(side("v"), ["v", "image"], "left_semi").select("rank").distinct())
+    joined = written(both.join(refused.hint("merge"), "rank", "left_anti").select(F.col("v").alias("root"), F.col("u").alias("low")))
+    discard(both)
+    return joined, refused
+
+
+def _moved(edges: DataFrame, joined: DataFrame, held: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """edges between the groups that joined(root, low) leaves, the first of each two groups, without those of groups that share an image: held(root, image), by the groups before them if there are such."""
+    few = held.groupBy("root").agg(F.count("*").alias("n"), F.collect_list("image").alias("images")).filter(F.col("n") <= LISTED_IMAGES)
+    known = (held if before is None else before).select("root").union(joined.select("root")).distinct()
+    known = known.join(joined.hint("merge"), "root", "left").withColumn("low", F.coalesce("low", "root"))
+    known = written(known.join(few.select(F.col("root").alias("low"), "images").hint("merge"), "low", "left").select("root", "low", "images"))
+    side = lambda c: known.select(F.col("root").alias(c), F.col("low").alias(f"low_{c}"), F.col("images").alias(f"images_{c}")).hint("merge")
+    placed = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").filter("not coalesce(arrays_overlap(images_u, images_v), false)")
+    a, b = F.coalesce("low_u", "u"), F.coalesce("low_v", "v")
+    return placed.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), "rank").filter("u <> v").groupBy("u", "v").agg(F.min("rank").alias("rank"))
+
+
 def _round(edges: DataFrame, held: DataFrame, component: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(root, low): groups that go into a smaller one; and the edges that are still open. edges(u, v, rank) between groups held(root, image), component(node, component) of the groups."""
     home = component.select(F.col("node").alias("u"), "component")
