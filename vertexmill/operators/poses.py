@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,54 +29,87 @@ def estimate_marker_poses(detections: DataFrame, cameras: DataFrame, size: float
     A row that cannot be solved fails with a message and keeps its ids; no row
     fails the job.
     """
-    rays = F.transform("corners", lambda p: cam.unproject_column(p, F.col("camera")))
-    rows, models = cam.with_camera(detections, cameras).withColumn("rays", rays), cam.ArrayModels()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    models, unlisted = cam.ArrayModels(), set(cam.MODELS) - set(cam.ArrayModels().kinds)
+    both = cam.with_camera(detections, cameras)
+    model, corner = F.col("camera.model"), lambda k, n: F.get("corners", F.lit(k))[n].cast("double")
+    # where the work begins each row has its corners, its model's name and its numbers, flat
+    lacks = F.lit(False)
+    for name, known in cam.MODELS.items():
+        for n in known.required:
+            lacks = F.when((model == name) & F.col(f"camera.{n}").isNull(), True).otherwise(lacks)
+    rows = both.select(
+        "detection_id", "image_id", "marker_id", F.coalesce(F.size("corners") == 4, F.lit(False)).alias("four"), *[corner(k, n).alias(f"{n}{k}") for k in range(4) for n in "uv"],
+        model.alias("model"), lacks.alias("lacks"), *[F.coalesce(F.col(f"camera.{n}").cast("double"), F.lit(0.0)).alias(n) for n in cam.PARAMETERS],
+    )
+    names = list(models.kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            n = batch.num_rows
             message = np.full(n, None, object)
-            good = np.array([c is not None and len(c) == 4 and all(p is not None and p["u"] is not None and p["v"] is not None for p in c) for c in batch["corners"]], bool)
+            whole = np.logical_and.reduce([batch.column(f"{c}{k}").is_valid().to_numpy(zero_copy_only=False) for k in range(4) for c in "uv"])
+            good = column("four").astype(bool) & whole
             message[~good] = "four corners are needed"
-            for i in np.flatnonzero(good):
-                if any(r is None or not r[2] > 1e-9 for r in batch["rays"].iat[i]):
-                    good[i], message[i] = False, "a corner does not unproject to a forward ray"
-            at = np.flatnonzero(good)
-            poses, errors = np.full(n, None, object), np.full(n, None, object)
+            given = batch.column("model")
+            refused = unlisted & set(given.filter(pa.array(good)).unique().to_pylist())
+            if refused:
+                raise ValueError(f"no array functions for camera model: {', '.join(sorted(refused))}")
+            kind = pc.index_in(given, pa.array(names, given.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            lens = arrays.Lenses(np.stack([np.maximum(kind, 0).astype(float), *[column(p) for p in arrays.CAMERA[1:]]], -1), models.functions)
+            pixels = np.stack([np.stack([column(f"{c}{k}") for c in "uv"], -1) for k in range(4)], 1).astype(float)
+            known = good & (kind >= 0) & ~column("lacks").astype(bool)
+            rays = np.full((n, 4, 3), np.nan)
+            if known.any():
+                with np.errstate(all="ignore"):
+                    rays[known] = arrays.unproject(pixels[known], lens[known][:, None, :])
+            ahead = good & (rays[..., 2] > 1e-9).all(1)
+            message[good & ~ahead] = "a corner does not unproject to a forward ray"
+            at = np.flatnonzero(ahead)
+            R, t, errors, reason = np.zeros((n, 3, 3)), np.zeros((n, 3)), np.zeros(n), np.full(n, None, object)
             if len(at):
-                pixels = np.array([[(p["u"], p["v"]) for p in c] for c in batch["corners"].iloc[at]])
-                rays = np.array([[list(r) for r in x] for x in batch["rays"].iloc[at]])
-                camera = camera_array(batch["camera"].iloc[at], models)
-                for i, x in zip(at, _solve(rays[..., :2] / rays[..., 2:], pixels, camera, size), strict=True):
-                    if isinstance(x, str):
-                        good[i], message[i] = False, x
-                    else:
-                        poses[i], errors[i] = {"R": x[0].tolist(), "t": x[1].tolist()}, x[2]
-            yield pd.DataFrame({"detection_id": batch["detection_id"], "image_id": batch["image_id"], "marker_id": batch["marker_id"], "success": good, "T_C_M": poses, "reprojection_error_px": pd.Series(errors, index=batch.index, dtype=float), "error_message": message})
-
-    return rows.select("detection_id", "image_id", "marker_id", "corners", "rays", "camera").mapInPandas(run, POSES)
-
-
-def _solve(flat: np.ndarray, pixels: np.ndarray, camera: arrays.Lenses, size: float) -> list:
+                R[at], t[at], errors[at], reason[at] = _solve(rays[at][..., :2] / rays[at][..., 2:], pixels[at], lens[at], size)
+            message[at] = reason[at]
+            done = np.zeros(n, bool)
+            done[at] = [m is None for m in reason[at]]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("detection_id", "image_id", "marker_id")], pa.array(done), _structs(R, t, done), pa.array(errors, mask=~done), pa.array(message, pa.string())],
+                names=["detection_id", "image_id", "marker_id", "success", "T_C_M", "reprojection_error_px", "error_message"],
+            )
+
+    kept = rows.select(*[F.col(c).cast("long").alias(c) for c in ("detection_id", "image_id", "marker_id")], *rows.columns[3:])
+    return kept.mapInArrow(run, POSES)
+
+
+def _structs(R: np.ndarray, t: np.ndarray, there: np.ndarray) -> pa.StructArray:
+    """Poses as structs of lists, null where there is none."""
+    n = len(t)
+    upto = lambda k, step: pa.array(np.arange(0, k * step + 1, step, dtype=np.int32))
+    rows = pa.ListArray.from_arrays(upto(3 * n, 3), pa.array(R.ravel()))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(upto(n, 3), rows), pa.ListArray.from_arrays(upto(n, 3), pa.array(t.ravel()))], names=["R", "t"], mask=pa.array(~there))
+
+
+def _solve(flat: np.ndarray, pixels: np.ndarray, camera: arrays.Lenses, size: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(R, t, mean corner error, message) of rows of corners; the message is None for a row that is solved."""
+    n = len(flat)
     try:
         R, t = arrays.squares_to_poses(flat, size)
     except np.linalg.LinAlgError:
-        if len(flat) > 1:  # one degenerate row must not fail its batch
-            return [x for i in range(len(flat)) for x in _solve(flat[i : i + 1], pixels[i : i + 1], camera[i : i + 1], size)]
-        return ["degenerate corners"]
+        if n > 1:  # one degenerate row must not fail its batch; halves leave the others together
+            halves = [_solve(flat[k], pixels[k], camera[k], size) for k in (slice(0, n // 2), slice(n // 2, n))]
+            return tuple(np.concatenate(x) for x in zip(*halves, strict=True))
+        return np.zeros((1, 3, 3)), np.zeros((1, 3)), np.zeros(1), np.array(["degenerate corners"], object)
     corners = np.einsum("nsij,kj->nski", R, arrays.DETECTOR_CORNERS * size) + t[:, :, None, :]
     seen = arrays.project(corners, camera[:, None, None, :])
     error = np.linalg.norm(seen - pixels[:, None], axis=-1).mean(-1)
     front = (corners[..., 2] > 1e-9).all(-1)
     score = np.where(front & np.isfinite(error), error, np.inf)
+    at = np.arange(n)
     best = score.argmin(1)
-    out = []
-    for i, k in enumerate(best):
-        if np.isinf(score[i, k]):
-            out.append("a corner is behind the camera" if not front[i].any() else "invalid reprojection")
-        else:
-            out.append((R[i, k], t[i, k], float(score[i, k])))
-    return out
+    message = np.full(n, None, object)
+    lost = np.isinf(score[at, best])
+    message[lost] = np.where(front.any(1), "invalid reprojection", "a corner is behind the camera")[lost]
+    return R[at, best], t[at, best], score[at, best], message
 
 
 def pose_summary(observations: DataFrame) -> DataFrame:
