@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from vertexmill.functions import arrays
 from vertexmill.functions import cameras as cam
 from vertexmill.functions import geometry as g
 from vertexmill.functions.losses import loss
-from vertexmill.operators.poses import camera_array
+from vertexmill.operators.poses import pose_structs
 from vertexmill.plans.checkpoints import cut, discard, written
 
 PENALTY = 1e6
@@ -27,6 +26,8 @@ RESIDUAL = 1e-6
 MOST_STEPS = 500
 #: Observations of the images that a task holds at once, about.
 BUCKET_ROWS = 20_000
+#: Observations whose slopes are computed at once, so that their arrays stay in a core's cache.
+ROWS_AT_ONCE = 1024
 
 
 class Config(NamedTuple):
@@ -89,9 +90,66 @@ class Result(NamedTuple):
     summary: dict
 
 
-def _observe(frame: pd.DataFrame, models: cam.ArrayModels):
-    pixels = np.array([[(p["u"], p["v"]) for p in c] for c in frame["corners"]])
-    return pixels, camera_array(frame["camera"], models)
+_BUCKET = "bucket int, images binary, image_at binary, markers binary, marker_at binary, pixels binary, lenses binary, lens_at binary, xi binary"
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """rows(bucket, image_id, marker_id, corners, camera, T) with their numbers as columns."""
+    pixels = [F.col("corners")[k][n].cast("double").alias(f"{n}{k}") for k in range(4) for n in "uv"]
+    lens = [F.coalesce(F.col(f"camera.{n}").cast("double"), F.lit(0.0)).alias(n) for n in arrays.CAMERA[1:]]
+    pose = [F.col("T.R")[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)] + [F.col("T.t")[i].alias(f"t{i}") for i in range(3)]
+    return rows.select("bucket", "image_id", "marker_id", *pixels, F.col("camera.model").alias("model"), *lens, *pose)
+
+
+def _packed(table: pa.Table, models: cam.ArrayModels) -> pa.Table:
+    """A bucket's rows of _flat(), by image, as one row of arrays in bytes: ids once each, which of them a row has, its pixels and its camera; xi are the images' poses."""
+    table = table.sort_by([("image_id", "ascending"), ("marker_id", "ascending")])
+    column = lambda n: table.column(n).to_numpy()
+    images, first, image_at = np.unique(column("image_id"), return_index=True, return_inverse=True)
+    markers, marker_at = np.unique(column("marker_id"), return_inverse=True)
+    names = table.column("model").combine_chunks().dictionary_encode()
+    kind = models.lenses(names.dictionary.to_pylist(), [np.zeros(len(names.dictionary))] * (len(arrays.CAMERA) - 1)).values[:, 0] if names.null_count == 0 else models.lenses([None], [])
+    values = np.stack([kind[names.indices.to_numpy()], *[column(n) for n in arrays.CAMERA[1:]]], -1)
+    lenses, lens_at = np.unique(values, axis=0, return_inverse=True)
+    R = np.stack([column(f"r{i}{j}")[first] for i in range(3) for j in range(3)], -1).reshape(-1, 3, 3)
+    xi = np.concatenate([np.stack([column(f"t{i}")[first] for i in range(3)], -1), arrays.rotation_vectors(R)], 1)
+    pixels = np.stack([column(f"{n}{k}") for k in range(4) for n in "uv"], -1)
+    row = {"images": images, "image_at": image_at.astype(np.int32), "markers": markers, "marker_at": marker_at.astype(np.int32), "pixels": pixels, "lenses": lenses, "lens_at": lens_at.ravel().astype(np.int32), "xi": xi}
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), **{k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in row.items()}})
+
+
+def _lists(table: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of six."""
+    return table.column(name).combine_chunks().flatten().to_numpy().reshape(-1, 6)
+
+
+class _Bucket:
+    """A bucket's arrays and the poses of its markers, rows of markers(marker_id, ...) in any order."""
+
+    def __init__(self, packed: pa.Table, markers: pa.Table, models: cam.ArrayModels):
+        row = packed.to_pylist()[0]
+        ints = lambda n, kind: np.frombuffer(row[n], kind)
+        self.number, self.images, self.at = row["bucket"], ints("images", np.int64), ints("image_at", np.int32)
+        self.first = np.searchsorted(self.at, np.arange(len(self.images)))  # rows stand by image
+        self.markers, self.marker_at = ints("markers", np.int64), ints("marker_at", np.int32)
+        self.pixels = _floats(row["pixels"], 4, 2)
+        self.camera = arrays.Lenses(_floats(row["lenses"], len(arrays.CAMERA)), models.functions)[ints("lens_at", np.int32)]
+        self.xi = _floats(row["xi"], 6)
+        self._table, self._order = markers, np.argsort(markers.column("marker_id").to_numpy())
+
+    def of_markers(self, name: str) -> np.ndarray:
+        """A column of the markers, a row an observation."""
+        return _lists(self._table, name)[self._order][self.marker_at]
+
+    def by_image(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.first)
+
+
+def _sums_by(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sums of the rows of x with them)."""
+    order = np.argsort(key, kind="stable")
+    keys, first = np.unique(key[order], return_index=True)
+    return keys, np.add.reduceat(x[order], first)
 
 
 def _corners(camera_xi, marker_xi, corners):
@@ -305,6 +363,27 @@ def solve_many(pairs: DataFrame, damping: float) -> DataFrame:
     return out
 
 
+def _of_lists(x: np.ndarray) -> pa.ListArray:
+    """Rows of numbers as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, marker_id) of the markers that a packed bucket sees."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = np.frombuffer(row["markers"], np.int64)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(ids), row["bucket"], np.int32)), "marker_id": pa.array(ids)})
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(image_id, T) of a bucket's images and poses."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            images, xi = np.frombuffer(row["images"], np.int64), _floats(row["xi"], 6)
+            yield pa.RecordBatch.from_arrays([pa.array(images), pose_structs(arrays.rotations(xi[:, 3:]), xi[:, :3], np.ones(len(xi), bool))], names=["image_id", "T"])
+
+
 def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses: DataFrame, cameras: DataFrame, size: float, anchor: int, config: Config = Config()) -> Result:
     """Camera and marker poses of least robust reprojection error, the anchor marker fixed at the identity.
 
@@ -323,101 +402,114 @@ def bundle_adjust(observations: DataFrame, camera_poses: DataFrame, marker_poses
     markers = cut(seeds.unionByName(spark.createDataFrame([(anchor, [0.0] * 6)], "marker_id long, mxi array<double>")))
     n_markers = markers.count()
 
-    rows = written(obs.join(camera_poses.select("image_id", g.to_vector(F.col("T")).alias("xi")), "image_id"))
+    rows = written(obs.join(camera_poses.select("image_id", "T"), "image_id"))
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    held = cut(rows.drop("xi").withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets))).repartition("bucket"))
-    poses = cut(rows.groupBy("image_id").agg(F.first("xi").alias("xi")))
+    dealt = _flat(rows.withColumn("bucket", F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int")))
+    packed = written(dealt.groupBy("bucket").applyInArrow(lambda table: _packed(table, models), _BUCKET))
+    discard(rows)
+    held, poses = packed.drop("xi"), packed.select("bucket", "xi")
+    needed = written(packed.select("bucket", "markers").mapInArrow(_needed, "bucket int, marker_id long"))
 
     def with_poses(markers: DataFrame):
-        return held.join(poses, "image_id").join(markers, "marker_id").groupBy("bucket")
-
-    def prepare(frame: pd.DataFrame):
-        images, at = np.unique(frame["image_id"].to_numpy(), return_inverse=True)
-        camera_xi, marker = (np.array([list(x) for x in frame[c]]) for c in ("xi", "mxi"))
-        return images, at, camera_xi, _linear(camera_xi, marker, *_observe(frame, models), corners, config.penalty_px)
-
-    def blocks(frame: pd.DataFrame, damping: float):
-        images, at, camera_xi, (r, Jc, Jm) = prepare(frame)
-        free = frame["marker_id"].to_numpy() != anchor
+        """Each bucket's row and the rows of the markers that it sees."""
+        return held.join(poses, "bucket").groupBy("bucket").cogroup(needed.join(markers, "marker_id").groupBy("bucket"))
+
+    def blocks(bucket: _Bucket, damping: float):
+        """Squared errors (n), the images' systems, and each observation's part in the markers'."""
+        n = len(bucket.at)
+        r, Jc, Jm = np.empty((n, 8)), np.empty((n, 8, 6)), np.empty((n, 8, 6))
+        xi, mxi = bucket.xi[bucket.at], bucket.of_markers("mxi")
+        for k in range(0, n, ROWS_AT_ONCE):
+            part = slice(k, k + ROWS_AT_ONCE)
+            r[part], Jc[part], Jm[part] = _linear(xi[part], mxi[part], bucket.pixels[part], bucket.camera[part], corners, config.penalty_px)
+        Jm[bucket.markers[bucket.marker_at] == anchor] = 0.0
         s = (r * r).sum(1)
         w = rho.weight(s, config.scale)[:, None, None]
-        Jm = Jm * free[:, None, None]
-        U, bc = np.zeros((len(images), 6, 6)), np.zeros((len(images), 6))
-        np.add.at(U, at, np.swapaxes(Jc, 1, 2) @ (w * Jc))
-        np.add.at(bc, at, (np.swapaxes(Jc, 1, 2) @ (w * r[..., None]))[..., 0])
+        Jct, Jmt, wJm, wr = np.swapaxes(Jc, 1, 2), np.swapaxes(Jm, 1, 2), w * Jm, w * r[..., None]
+        U = bucket.by_image(Jct @ (w * Jc))
+        bc = bucket.by_image((Jct @ wr)[..., 0])
         U += np.eye(6) * (damping * np.einsum("nii->ni", U) + 1e-12)[:, None, :]
-        W = np.swapaxes(Jc, 1, 2) @ (w * Jm)
-        V = np.swapaxes(Jm, 1, 2) @ (w * Jm)
-        bm = (np.swapaxes(Jm, 1, 2) @ (w * r[..., None]))[..., 0]
-        return images, at, camera_xi, s, U, bc, W, V, bm
-
-    def evaluate(damping: float) -> tuple[DataFrame, float, float]:
-        """The table (i, j, block) of the sums by pair of markers, the cost, and the largest slope."""
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            images, at, _, s, U, bc, W, V, bm = blocks(frame, damping)
-            m = frame["marker_id"].to_numpy()
-            UW = np.linalg.solve(U[at], W)
-            Ub = np.linalg.solve(U, bc[..., None])[..., 0]
-            own = np.concatenate([V.reshape(-1, 36), np.einsum("nii->ni", V), bm - np.einsum("nij,ni->nj", W, Ub[at])], 1)
+        return s, U, bc, Jct @ wJm, Jmt @ wJm, (Jmt @ wr)[..., 0]
+
+    def evaluate(damping: float) -> tuple[DataFrame, float, float, int]:
+        """The table (i, j, block) of the sums by pair of markers, the cost, the largest slope, and the number of blocks without the anchor."""
+        def run(packed: pa.Table, markers: pa.Table) -> pa.Table:
+            bucket = _Bucket(packed, markers, models)
+            s, U, bc, W, V, bm = blocks(bucket, damping)
+            at, m, n = bucket.at, bucket.marker_at.astype(np.int64), len(bucket.markers)
+            solved = np.linalg.solve(U, np.concatenate([np.broadcast_to(np.eye(6), U.shape), bc[..., None]], -1))
+            UW, Ub = solved[at][..., :6] @ W, solved[..., 6]
+            Wt = np.swapaxes(W, 1, 2)
+            own = np.concatenate([V.reshape(-1, 36), np.einsum("nii->ni", V), bm - (Wt @ Ub[at][..., None])[..., 0]], 1)
+            mine, diagonal = _sums_by(m, own)
             a, b = _pairs_within(at)
-            both = np.concatenate([-np.einsum("nki,nkj->nij", W[a], UW[b]).reshape(-1, 36), np.zeros((len(a), 12))], 1)
-            keys, which = np.unique(np.stack([np.concatenate([m, m[a]]), np.concatenate([m, m[b]])], 1), axis=0, return_inverse=True)
-            sums = np.zeros((len(keys), 48))
-            np.add.at(sums, which.ravel(), np.concatenate([own, both]))
+            keys, both = _sums_by(m[a] * n + m[b], -(Wt[a] @ UW[b]).reshape(-1, 36))
+            sums = np.concatenate([both, np.zeros((len(keys), 12))], 1)
+            sums[np.searchsorted(keys, mine * (n + 1))] += diagonal  # each observation meets itself
             cost = 0.5 * rho.rho(s, config.scale).sum()
-            out = pd.DataFrame({"total": False, "i": keys[:, 0], "j": keys[:, 1], "block": list(sums)})
-            return pd.concat([out, pd.DataFrame({"total": [True], "i": [0], "j": [0], "block": [np.array([cost, np.abs(bc).max(initial=0.0)])]})])
+            last = np.zeros((1, 48))
+            last[0, :2] = cost, np.abs(bc).max(initial=0.0)
+            ids = lambda k: pa.array(np.append(bucket.markers[k], 0))
+            total = np.append(np.zeros(len(keys), bool), True)
+            return pa.table({"total": pa.array(total), "i": ids(keys // n), "j": ids(keys % n), "block": _of_lists(np.concatenate([sums, last]))})
 
-        parts = cut(with_poses(markers).applyInPandas(run, "total boolean, i long, j long, block array<double>"))
+        parts = written(with_poses(markers).applyInArrow(run, "total boolean, i long, j long, block array<double>"))
         block = F.col("block")
         sums = cut(parts.filter("not total").groupBy("i", "j").agg(F.array(*[F.sum(block[k]) for k in range(48)]).alias("block")))
         cost, slope = parts.filter("total").agg(F.coalesce(F.sum(block[0]), F.lit(0.0)), F.coalesce(F.max(block[1]), F.lit(0.0))).first()
-        steep = sums.filter((F.col("i") == F.col("j")) & (F.col("i") != anchor)).agg(F.max(F.array_max(F.transform(F.slice("block", 43, 6), F.abs)))).first()[0]
-        return sums, cost, max(slope, steep or 0.0)
+        discard(parts)
+        free = (F.col("i") != anchor) & (F.col("j") != anchor)
+        steepest = F.max(F.when(free & (F.col("i") == F.col("j")), F.array_max(F.transform(F.slice("block", 43, 6), F.abs))))
+        steep, n = sums.agg(steepest, F.count_if(free)).first()
+        return sums, cost, max(slope, steep or 0.0), n
 
     def step_back(trial: DataFrame, damping: float) -> DataFrame:
-        """trial(marker_id, mxi, delta, moved): the markers before the step, the step, and the markers after it."""
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            images, at, camera_xi, _, U, bc, W, _, _ = blocks(frame, damping)
-            delta, moved = (np.array([list(x) for x in frame[c]]) for c in ("delta", "moved"))
-            rhs = bc.copy()
-            np.add.at(rhs, at, (W @ delta[..., None])[..., 0])
-            first = np.unique(at, return_index=True)[1]
-            new = camera_xi[first] - np.linalg.solve(U, rhs[..., None])[..., 0]
-            r = _residuals(new[at], moved, *_observe(frame, models), corners, config.penalty_px)
-            cost = np.bincount(at, 0.5 * rho.rho((r * r).sum(1), config.scale), len(images))
-            return pd.DataFrame({"image_id": images, "xi": new.tolist(), "cost": cost})
-
-        return with_poses(trial).applyInPandas(run, "image_id long, xi array<double>, cost double")
-
-    damping, first_cost, cost, done = 1e-4, None, None, 0
+        """trial(marker_id, mxi, delta, moved): the markers before the step, the step, and the markers after it. Result: (bucket, xi, cost)."""
+        def run(packed: pa.Table, markers: pa.Table) -> pa.Table:
+            bucket = _Bucket(packed, markers, models)
+            _, U, bc, W, _, _ = blocks(bucket, damping)
+            rhs = bc + bucket.by_image((W @ bucket.of_markers("delta")[..., None])[..., 0])
+            new = bucket.xi - np.linalg.solve(U, rhs[..., None])[..., 0]
+            xi, moved, r = new[bucket.at], bucket.of_markers("moved"), np.empty((len(bucket.at), 8))
+            for k in range(0, len(r), ROWS_AT_ONCE):
+                part = slice(k, k + ROWS_AT_ONCE)
+                r[part] = _residuals(xi[part], moved[part], bucket.pixels[part], bucket.camera[part], corners, config.penalty_px)
+            cost = 0.5 * rho.rho((r * r).sum(1), config.scale).sum()
+            return pa.table({"bucket": pa.array([bucket.number], pa.int32()), "xi": pa.array([new.tobytes()], pa.binary()), "cost": [float(cost)]})
+
+        return with_poses(trial).applyInArrow(run, "bucket int, xi binary, cost double")
+
+    damping, first_cost, cost, done, last_moved = 1e-4, None, None, 0, None
     for _ in range(config.iterations):
-        sums, cost, slope = evaluate(damping)
+        sums, cost, slope, n_blocks = evaluate(damping)
         first_cost = cost if first_cost is None else first_cost
         if slope < config.gradient_tolerance:
             break
         accepted = False
         while damping < 1e12:
             pairs = sums.filter((F.col("i") != anchor) & (F.col("j") != anchor))
-            step = (solve_few if pairs.count() <= MOST_BLOCKS else solve_many)(pairs, damping)
+            step = (solve_few if n_blocks <= MOST_BLOCKS else solve_many)(pairs, damping)
             delta = F.coalesce("delta", F.array(*[F.lit(0.0)] * 6))
             trial = markers.join(step, "marker_id", "left").withColumn("delta", delta)
             trial = cut(trial.withColumn("moved", F.zip_with("mxi", "delta", lambda x, y: x + y)))
-            moved = cut(step_back(trial, damping))
+            moved = written(step_back(trial, damping))
             new_cost = moved.agg(F.sum("cost")).first()[0]
             if new_cost < cost:
                 accepted = True
                 break
+            discard(moved)
             damping *= 10
-            sums, _, _ = evaluate(damping)
+            sums, _, _, n_blocks = evaluate(damping)
         if not accepted:
             break
         change, size_of_step = cost - new_cost, trial.agg(F.max(F.array_max(F.transform("delta", F.abs)))).first()[0]
-        markers, poses, cost, damping, done = trial.select("marker_id", F.col("moved").alias("mxi")), moved.select("image_id", "xi"), new_cost, max(damping / 10, 1e-12), done + 1
+        discard(last_moved)
+        last_moved = moved
+        markers, poses, cost, damping, done = trial.select("marker_id", F.col("moved").alias("mxi")), moved.select("bucket", "xi"), new_cost, max(damping / 10, 1e-12), done + 1
         if change <= config.cost_tolerance * max(cost, 1e-300) or (n_markers > 1 and size_of_step < config.step_tolerance):
             break
 
-    solved = poses.select("image_id", g.from_vector(F.col("xi")).alias("T"))
+    solved = held.select("bucket", "images").join(poses, "bucket").select("images", "xi").mapInArrow(_unpacked, f"image_id long, T {g.POSE_JSON}")
     summary = {"initial_cost": first_cost or 0.0, "final_cost": cost or 0.0, "num_iterations": done, "num_markers": n_markers}
     return Result(solved, markers.select("marker_id", g.from_vector(F.col("mxi")).alias("T"), (F.col("marker_id") == anchor).alias("is_anchor")), summary)
 

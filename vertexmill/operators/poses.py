@@ -73,7 +73,7 @@ def estimate_marker_poses(detections: DataFrame, cameras: DataFrame, size: float
             done = np.zeros(n, bool)
             done[at] = [m is None for m in reason[at]]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("detection_id", "image_id", "marker_id")], pa.array(done), _structs(R, t, done), pa.array(errors, mask=~done), pa.array(message, pa.string())],
+                [*[batch.column(c) for c in ("detection_id", "image_id", "marker_id")], pa.array(done), pose_structs(R, t, done), pa.array(errors, mask=~done), pa.array(message, pa.string())],
                 names=["detection_id", "image_id", "marker_id", "success", "T_C_M", "reprojection_error_px", "error_message"],
             )
 
@@ -81,7 +81,7 @@ def estimate_marker_poses(detections: DataFrame, cameras: DataFrame, size: float
     return kept.mapInArrow(run, POSES)
 
 
-def _structs(R: np.ndarray, t: np.ndarray, there: np.ndarray) -> pa.StructArray:
+def pose_structs(R: np.ndarray, t: np.ndarray, there: np.ndarray) -> pa.StructArray:
     """Poses as structs of lists, null where there is none."""
     n = len(t)
     upto = lambda k, step: pa.array(np.arange(0, k * step + 1, step, dtype=np.int32))
