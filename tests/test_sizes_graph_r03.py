@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from vertexmill.functions import geometry as g
 from vertexmill.operators import components, graph
 
 
@@ -58,3 +59,20 @@ def test_only_crowded_images_are_dealt_into_blocks(spark, monkeypatch):
     by = {i: {m for j, m in rows if j == i and m is not None} for i, _ in rows if i is not None}
     assert got == sorted((a, b, i) for i, ms in by.items() for a in ms for b in ms if a < b)
     assert set(dealt) == {99}
+
+
+def test_edges_of_other_components_are_not_shuffled(spark, monkeypatch):
+    """Beside the few markers of the anchor's component; beside many, both sides are."""
+    plans, keep = [], graph.written
+
+    def watched(df):
+        if "T_C_M" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(graph, "written", watched)
+    rows = [(10 * c + k, 10 * c + k // 2, 10 * c + k % 2, 0.5 + k) for c in range(8) for k in range(4)]
+    df = spark.createDataFrame(rows, "obs_id long, image_id long, marker_id long, err double").withColumn("T_C_M", g.identity())
+    found = [sorted((r.image_id, r.score) for r in graph.propagate_poses(df, 0, most)[0].collect()) for most in (1000, 0)]
+    assert found[0] == found[1] == [(0, 0.5), (1, 2.5)]
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0] and "Broadcast" not in plans[1]
