@@ -84,8 +84,8 @@ def status_flags(images: DataFrame) -> DataFrame:
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
-    """old without the rows of keys, and new."""
-    return old.join(keys.select(*key).distinct(), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
+    """old without the rows of keys, and new. A task holds its part of the keys; the rows of old pass by unsorted."""
+    return old.join(keys.select(*key).distinct().hint("shuffle_hash"), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def replace_detections(images: DataFrame, old: DataFrame, new: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
