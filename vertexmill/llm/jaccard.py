@@ -41,9 +41,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexmill.operators.components import connected_components
+from vertexmill.plans.checkpoints import discard
 
 from . import text as tx
-from .common import cut, free_name
+from .common import cut, free_name, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -262,18 +263,16 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
     node = members.filter("doc_id is not null and n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
     sets, tried, tested, component, n_linked, last = None, None, None, None, 0, False
     for turn in range(pivot_rounds + 1):
-        state = facts
         if component is None:
-            state = state.withColumn("component", F.col("label"))
+            # every class is its own component, and every column lies across two
+            across, kept = cols.join(near(facts, n_facts), "label").withColumn("component", F.col("label")).withColumn("tested", F.lit(None).cast("array<bigint>")), None
         else:
-            state = state.join(near(component, n_linked), "label", "left").withColumn("component", F.coalesce("component", "label"))
-        marked = cols.join(near(state.select("label", "component"), n_facts), "label")
-        ends = marked.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("col")
-        if tested is not None:
-            state = state.join(tested, "label", "left")
-        else:
-            state = state.withColumn("tested", F.lit(None).cast("array<bigint>"))
-        across = marked.drop("component").join(ends, "col").join(near(state, n_facts), "label")
+            state = facts.join(near(component, n_linked), "label", "left").withColumn("component", F.coalesce("component", "label"))
+            marked = cols.join(near(state.select("label", "component"), n_facts), "label")
+            ends = marked.groupBy("col").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("col")
+            state = state.drop("component").join(tested, "label", "left")
+            # written down: the pivots and both sides of the product are taken from it, and would each plan and run all this anew
+            across = kept = written(marked.join(ends, "col").join(near(state, n_facts), "label"))
         last = last or turn == pivot_rounds
         if not last:
             if component is not None:  # later rounds look for hubs among the classes not linked yet
@@ -286,6 +285,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
             across = across.join(sketches.join(near(facts.select("label"), n_facts), "label", "left_semi"), "label")
             pairs = _pairs(across, across, percent, apart=True).select("a", "b")
         pairs = cut(pairs)
+        discard(kept)
         wanted = pairs.select(F.col("a").alias("label")).union(pairs.select(F.col("b").alias("label"))).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("label"), "label", "left_anti")
@@ -299,12 +299,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, p
             found = cut(_links(pairs, sets, percent))
             tried = found if tried is None else tried.union(found)
             links = tried.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            # of each class the pivots that it is not linked with, one a round
-            tested = cut(tried.filter("not linked").groupBy(F.col("b").alias("label")).agg(F.collect_set("a").alias("tested")))
             component = cut(connected_components(links).select(F.col("node").alias("label"), "component"))
-            n_linked = component.count()
         if last:
             break
+        if component is not None:
+            # of each class the pivots that it is not linked with, one a round
+            tested = cut(tried.filter("not linked").groupBy(F.col("b").alias("label")).agg(F.collect_set("a").alias("tested")))
+            n_linked = component.count()
         # few new links: what is left is formed in full
         last = (n_linked - was) * LEAST_LINKED <= n_facts
 

@@ -9,7 +9,7 @@ score reaches a fixed threshold.
 
 All is done with DataFrame functions. The corpus counts are summed in the map
 tasks before the shuffle; the ratios, one a cell (CELLS of them), go to the
-tasks as an array, and each text is scored where it stands.
+tasks as one array, and each text is scored where it stands.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import free_name, let, words
 
 CELLS = 1 << 16
 ORDERS = (1, 2)
@@ -151,18 +151,23 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, orders=ORDERS, n_cells: int
     return out
 
 
-def likelihood(text: Column, table: list[float], orders=ORDERS) -> Column:
-    """(n_grams, score) of a text: the number of its n-grams and the mean of their ratios, 0 without any.
+def with_ratios(docs: DataFrame, table: list[float], name: str) -> DataFrame:
+    """docs with the ratios, to five decimals, as the array column `name`, the same for every row.
 
-    The ratios stand in the plan as one array, to five decimals.
+    They come from a table of one row by a scalar subquery. As a literal they
+    would be spelled out in every copy and every text of the plan on the driver.
     """
-    ratio = F.split(F.lit(",".join(f"{x:.5f}" for x in table)), ",").cast("array<float>")
+    one = docs.sparkSession.createDataFrame([(",".join(f"{x:.5f}" for x in table),)], "ratios string")
+    return docs.withColumn(name, one.select(F.split("ratios", ",").cast("array<float>")).scalar())
 
+
+def likelihood(text: Column, ratio: Column, orders=ORDERS, n_cells: int = CELLS) -> Column:
+    """(n_grams, score) of a text: the number of its n-grams and the mean of their ratios, 0 without any."""
     def mean(c):
         total = F.aggregate(c, F.lit(0.0), lambda a, x: a + F.get(ratio, x))
         return F.struct(F.size(c).cast("long").alias("n_grams"), F.when(F.size(c) > 0, total / F.size(c)).otherwise(0.0).alias("score"))
 
-    return let(cells(text, orders, len(table)), mean)
+    return let(cells(text, orders, n_cells), mean)
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD, **fit) -> DataFrame:
@@ -174,8 +179,8 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD,
     Other columns of docs are not read. An empty table gives an empty result.
     Rows are neither split nor shuffled.
     """
-    base = base_columns(F.col("text"))
-    model = likelihood(F.col("text"), ratios(docs, trusted_ids, **fit), fit.get("orders", ORDERS))
+    docs, base = docs.select("doc_id", "text"), base_columns(F.col("text"))
+    docs, model = _modelled(docs, trusted_ids, "ratios", fit)
     rows = docs.select("doc_id", *[c.alias(n) for n, c in base.items()], model.alias("model"))
     counts, score = F.col("counts"), F.col("model.score")
     failed = base_failed(counts)
@@ -193,8 +198,15 @@ def keep(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD,
     """The rows of docs that judge() keeps, with all their columns, whatever these are called. Nulls, repeats and empty tables as there."""
     text = F.col("text")
     good = let(base_columns(text)["counts"], lambda c: ~base_failed(c))
-    model = likelihood(text, ratios(docs, trusted_ids, **fit), fit.get("orders", ORDERS))
-    return docs.filter(good).filter(model["score"] >= threshold)
+    name = free_name(docs, "ratios")
+    docs, model = _modelled(docs, trusted_ids, name, fit)
+    return docs.filter(good).filter(model["score"] >= threshold).drop(name)
+
+
+def _modelled(docs: DataFrame, trusted_ids: DataFrame, name: str, fit: dict) -> tuple[DataFrame, Column]:
+    """docs with the fitted ratios as the column `name`, and the model of a row's text."""
+    table = ratios(docs, trusted_ids, **fit)
+    return with_ratios(docs, table, name), likelihood(F.col("text"), F.col(name), fit.get("orders", ORDERS), len(table))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
