@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vertexmill.plans import fixtures as fx
+from vertexmill.plans import queries
 
 
 def test_numbers_are_rounded_as_the_sql_does(spark):
@@ -15,3 +16,15 @@ def test_numbers_are_rounded_as_the_sql_does(spark):
     want = np.array([r for (r,) in duckdb.sql(f"SELECT round(v, 6) FROM (VALUES {', '.join(f'({k}, {float(v)!r}::DOUBLE)' if np.isfinite(v) else f'''({k}, '{v}'::DOUBLE)''' for k, v in enumerate(x))}) AS t(k, v) ORDER BY k").fetchall()])
     assert (got["plain"].to_numpy() != want).any()
     assert (got["x"].to_numpy() == want).all()
+
+
+def test_each_two_images_are_matched(spark, tmp_path):
+    """However far apart their ids are; as the SQL, which has no such bound either."""
+    r = np.random.default_rng(4)
+    images = (0, 3, 9, 14, 40, 1000)
+    rows = [(k, [float(x) for x in r.normal(size=6)], images[k % 6]) for k in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.mutual_match(spark, str(tmp_path)).collect()
+    assert {(x.image_id_a, x.image_id_b) for x in got} == {(a, b) for a in images for b in images if a < b}
+    sql = f"WITH embeddings AS (SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')), " + queries.oracles()["mutual_match"].removeprefix("WITH ")
+    assert sorted(tuple(x) for x in got) == sorted(duckdb.sql(sql).fetchall())
