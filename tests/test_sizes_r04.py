@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from vertexmill.operators import greedy
 from vertexmill.plans import fixtures as fx
 from vertexmill.plans import queries
 
@@ -28,3 +29,38 @@ def test_each_two_images_are_matched(spark, tmp_path):
     assert {(x.image_id_a, x.image_id_b) for x in got} == {(a, b) for a in images for b in images if a < b}
     sql = f"WITH embeddings AS (SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')), " + queries.oracles()["mutual_match"].removeprefix("WITH ")
     assert sorted(tuple(x) for x in got) == sorted(duckdb.sql(sql).fetchall())
+
+
+def grouped(edges, images):
+    """{node: root} by the rule, edge by edge."""
+    parent, held = {n: n for e in edges for n in e}, {n: set(images.get(n, ())) for e in edges for n in e}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for u, v in edges:
+        a, b = sorted((find(u), find(v)))
+        if a != b and not held[a] & held[b]:
+            parent[b] = a
+            held[a] |= held[b]
+    return {n: find(n) for n in parent}
+
+
+def test_many_small_components_are_settled_at_once(spark, monkeypatch):
+    """In few steps over all edges, however many there are beside task_rows, by places of two fields."""
+    steps, keep = [], greedy.written
+    monkeypatch.setattr(greedy, "written", lambda df: steps.append(1) or keep(df))
+    r = np.random.default_rng(5)
+    edges = [(int(10 * c + a), int(10 * c + b)) for c in range(120) for a, b in [sorted(r.choice(8, 2, replace=False)) for _ in range(9)]]
+    r.shuffle(edges)
+    edges = [tuple(map(int, e)) for e in edges]
+    images = {n: {n % 10 % 5} for n in range(1200)}
+    rows = [(u, v, (None if k < 2 else k // 3, 7 * k % 3 if k % 3 else 0)) for k, (u, v) in enumerate(edges)]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][2][0] is not None, rows[k][2][0] or 0, rows[k][2][1], k))
+    assert len({x[2] for x in rows}) == len(rows)
+    df = spark.createDataFrame(rows, "u long, v long, place struct<a: long, b: long>").repartition(3)
+    found = greedy.greedy_groups(df, spark.createDataFrame([(n, i) for n, s in images.items() for i in s], "node long, image long"), 60)
+    assert {x.node: x.root for x in found.collect()} == grouped([edges[k] for k in order], images)
+    assert len(steps) <= 10

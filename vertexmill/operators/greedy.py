@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vertexmill.operators.components import connected_components
 from vertexmill.plans.checkpoints import discard, written
 
-#: Edges and images that one task settles at once, about; it sizes the work, not what can be settled.
-TASK_ROWS = 100_000
+#: Edges, or edges and images, that one task settles at once; it sizes the work, not what can be settled.
+TASK_ROWS = 500_000
 #: Edges of small components that a task settles together, about.
-BUCKET_EDGES = 20_000
-#: A component's first edges are cut at shares of 2 ** (-k / 4), for k below this.
-STEPS = 128
+BUCKET_EDGES = 50_000
 #: Of a group of more images, edges are not compared with those of other groups before their turn.
 LISTED_IMAGES = 64
-#: Passes over all groups go on while one leaves at most this share of the edges.
-PASS_SHARE = 0.9
+#: Types of place, or of its fields, that a task can sort as they are; edges of other places are ranked.
+SORTED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType)
 
 
 def _ranked(edges: DataFrame) -> DataFrame:
@@ -30,178 +31,178 @@ def _ranked(edges: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("u", "v", (F.col("before") + F.col("row")).alias("rank"))
 
 
-def greedy_groups(edges: DataFrame, images: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
-    """(node, root) of edges(u, v, place), taken by place; images(node, image).
+def greedy_groups(edges: DataFrame, images: DataFrame | Column, task_rows: int = TASK_ROWS, component: DataFrame | None = None) -> DataFrame:
+    """(node, root) of edges(u, v, place), taken by place; images(node, image), or the image as an expression of node.
 
     An edge joins its ends' groups unless an image belongs to both; a refused
     edge leaves both as they are, for good, as groups only grow. root is a
     group's smallest node. Nodes without edges have no row. Of edges of equal
-    place either may come first.
+    place either may come first. component(node, component) may be given if
+    it is known.
 
     Groups only interact inside a connected component. A component without an
-    image in two groups is a group; one of task_rows edges and images or fewer
-    is settled edge by edge in a task. Of a larger one the first edges by place
-    are taken, a quarter as many as it has groups, or half of task_rows if that
-    is more. So few edges fall into many components of their own, which later
-    edges cannot reach back into: they are settled in a task each, side by
-    side; of one that is still too large the first task_rows / 2 edges are.
-    Groups are contracted, and what is left goes round again with its new
-    components. Each round settles a part of every open component, so it ends
-    for any size; only images that stand in two groups of a component go to a
+    image in two nodes is a group; those of task_rows edges and images or fewer
+    are settled edge by edge, many in a task. What is left goes by prefixes: see
+    _by_prefixes(). Only images that stand in two nodes of a component go to a
     task.
-
-    Before a round, while there are more than task_rows edges, passes settle
-    the edges that are the first of both their groups, as nothing earlier can
-    change these, and drop those whose groups share an image already. Passes
-    stop at one that leaves nearly all edges, as along a chain.
     """
-    edges = edges.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("place").alias("place"))
-    edges = written(_ranked(edges))
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
-    roots = written(nodes.withColumn("root", F.col("node")))
-    held = written(images.join(nodes, "node", "left_semi").select(F.col("node").alias("root"), "image").distinct())
-    most = max(2, task_rows)
-    n = edges.count()
-    if n > most:
-        every, edges = edges, written(_moved(edges, roots.limit(0).select("root", F.col("root").alias("low")), held))
-        discard(every)
-        n = edges.count()
-    going = True
-    while n:
-        if going and n > most:
-            joined, refused = _least(edges, held)
-            open_ = edges.join(refused, "rank", "left_anti")
-            new = [written(_renamed(t, joined).distinct()) for t in (roots, held)]
-            rest = written(_moved(open_, joined, new[1], held))
-            for old in (edges, roots, held, joined, refused):
-                discard(old)
-            edges, (roots, held) = rest, new
-            left = edges.count()
-            going, n = left <= PASS_SHARE * n, left
-            continue
+    edges = edges.filter("u <> v").select("u", "v", "place")
+    if component is None:
+        edges = written(edges)
         component = written(connected_components(edges))
-        joined, left = _round(edges, held, component, most)
-        joined = written(joined)
-        move = lambda df, c: df.join(joined.withColumnRenamed("root", c), c, "left").withColumn(c, F.coalesce("low", c)).drop("low")  # noqa: E731, B023
-        new = (written(move(roots, "root").select("node", "root")), written(move(held, "root").select("root", "image")))
-        rest = move(move(left, "u"), "v").filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("rank").alias("rank"))
-        rest = written(rest)
-        for old in (edges, component, roots, held, joined):
-            discard(old)
-        edges, (roots, held) = rest, new
-        n, going = edges.count(), True
-    return roots
-
-
-def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """rows with root replaced by what joined(root, low) makes of it."""
-    return rows.join(joined.hint("merge"), "root", "left").withColumn("root", F.coalesce("low", "root")).select(*rows.columns)
-
-
-def _least(edges: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the edges that are the first by rank of both ends, which no other edge can change: (root, low) of those that join, (rank) of those refused."""
-    ends = edges.select(F.col("u").alias("n"), "rank").union(edges.select(F.col("v").alias("n"), "rank"))
-    first = ends.groupBy("n").agg(F.min("rank").alias("rank"))
-    both = written(first.groupBy("rank").agg(F.count("*").alias("k"), F.min("n").alias("u"), F.max("n").alias("v")).filter("k = 2").select("rank", "u", "v"))
-    side = lambda c: held.select(F.col("root").alias(c), "image").hint("merge")
-    refused = written(both.join(side("u"), "u").join(side("v"), ["v", "image"], "left_semi").select("rank").distinct())
-    joined = written(both.join(refused.hint("merge"), "rank", "left_anti").select(F.col("v").alias("root"), F.col("u").alias("low")))
-    discard(both)
-    return joined, refused
-
-
-def _moved(edges: DataFrame, joined: DataFrame, held: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """edges between the groups that joined(root, low) leaves, the first of each two groups, without those of groups that share an image: held(root, image), by the groups before them if there are such."""
-    few = held.groupBy("root").agg(F.count("*").alias("n"), F.collect_list("image").alias("images")).filter(F.col("n") <= LISTED_IMAGES)
-    known = (held if before is None else before).select("root").union(joined.select("root")).distinct()
-    known = known.join(joined.hint("merge"), "root", "left").withColumn("low", F.coalesce("low", "root"))
-    known = written(known.join(few.select(F.col("root").alias("low"), "images").hint("merge"), "low", "left").select("root", "low", "images"))
-    side = lambda c: known.select(F.col("root").alias(c), F.col("low").alias(f"low_{c}"), F.col("images").alias(f"images_{c}")).hint("merge")
-    placed = edges.join(side("u"), "u", "left").join(side("v"), "v", "left").filter("not coalesce(arrays_overlap(images_u, images_v), false)")
-    a, b = F.coalesce("low_u", "u"), F.coalesce("low_v", "v")
-    return placed.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), "rank").filter("u <> v").groupBy("u", "v").agg(F.min("rank").alias("rank"))
-
-
-def _round(edges: DataFrame, held: DataFrame, component: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(root, low): groups that go into a smaller one; and the edges that are still open. edges(u, v, rank) between groups held(root, image), component(node, component) of the groups."""
-    home = component.select(F.col("node").alias("u"), "component")
-    placed = held.join(component.withColumnRenamed("node", "root"), "root")
-    shared = written(placed.groupBy("component", "image").agg(F.count("*").alias("n")).filter("n > 1").select("component", "image"))
-    sizes = component.groupBy("component").agg(F.count("*").alias("groups"))
-    sizes = sizes.join(edges.join(home, "u").groupBy("component").agg(F.count("*").alias("edges")), "component").join(shared.groupBy("component").agg(F.count("*").alias("images")), "component", "left")
-    sizes = written(sizes)
-    free = component.join(sizes.filter("images is null"), "component", "left_semi").filter("node <> component").select(F.col("node").alias("root"), F.col("component").alias("low"))
-    small = (F.col("images").isNotNull()) & (F.col("edges") + F.col("images") <= most)
-    of_small = edges.join(home, "u").join(sizes.filter(small), "component", "left_semi")
-    large = sizes.filter(F.col("images").isNotNull() & ~small)
-    out = free.union(_settled(of_small, placed, shared, "component"))
-    none = edges.limit(0).select("u", "v", "rank")
+    placed = component.select("component", "node", images.alias("image")) if isinstance(images, Column) else component.join(images, "node").select("component", "node", "image")
+    placed = placed.filter("image is not null")
+    shared = written(placed.groupBy("component", "image").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("component", "image"))
+    busy = written(shared.select("component").distinct())
+    calm = component.join(busy, "component", "left_anti").select("node", F.col("component").alias("root"))
+    if busy.isEmpty():
+        return calm
+    return calm.union(_round(edges, placed, shared, component.join(busy, "component", "left_semi"), max(2, task_rows)))
+
+
+def _round(edges: DataFrame, placed: DataFrame, shared: DataFrame, component: DataFrame, most: int) -> DataFrame:
+    """(node, root) of the components, in which images repeat: shared(component, image)."""
+    component = written(component)
+    inside = written(edges.join(component.select(F.col("node").alias("u"), "component"), "u").select("component", "u", "v", "place"))
+    held = written(placed.join(shared, ["component", "image"], "left_semi").distinct())
+    sizes = inside.groupBy("component").agg(F.count("*").alias("edges")).join(held.groupBy("component").agg(F.count("*").alias("images")), "component")
+    sizes = written(sizes.select("component", (F.col("edges") + F.col("images") > most).alias("is_large")))
+    large = sizes.filter("is_large").select("component")
     if large.isEmpty():
-        return out, none
-    # the first edges of each large component, whose own components are apart from each other until later edges
-    open_ = written(edges.join(home, "u").join(large.select("component", "edges", "groups"), "component"))
-    share = F.least(F.lit(1.0), F.greatest(F.lit(most / 2), F.col("groups") / 4) / F.col("edges"))
-    first = written(_first(open_.withColumn("share", share), "component").select("u", "v", "rank"))
-    inner = written(connected_components(first).withColumnRenamed("component", "part"))
-    inside = first.join(inner.withColumnRenamed("node", "u"), "u")
-    near = held.join(inner.withColumnRenamed("node", "root"), "root")
-    both = written(near.groupBy("part", "image").agg(F.count("*").alias("n")).filter("n > 1").select("part", "image"))
-    rows = inside.groupBy("part").agg(F.count("*").alias("edges")).join(both.groupBy("part").agg(F.count("*").alias("images")), "part", "left")
-    rows = written(rows)
-    calm = rows.filter("images is null")
-    joined = inner.join(calm, "part", "left_semi").filter("node <> part").select(F.col("node").alias("root"), F.col("part").alias("low"))
-    busy = rows.filter("images is not null").withColumn("share", F.least(F.lit(1.0), F.lit(most / 2) / F.col("edges")))
-    now = written(_first(inside.join(busy.select("part", "edges", "share"), "part"), "part").select("part", "u", "v", "rank"))
-    joined = joined.union(_settled(now, near, both, "part"))
-    done = now.select("rank").union(inside.join(calm, "part", "left_semi").select("rank"))
-    return out.union(joined), open_.select("u", "v", "rank").join(done, "rank", "left_anti")
-
-
-def _first(edges: DataFrame, key: str) -> DataFrame:
-    """Of the edges of each key the first by rank, about a share of them, rounded down to a step, and at least one."""
-    # mergeable sketches; the smallest rank is exact
-    steps = F.percentile_approx("rank", [2 ** (-k / 4) for k in range(STEPS)], 100_000)
-    cut = edges.groupBy(key).agg(F.min("rank").alias("low"), F.first("share").alias("share"), steps.alias("steps"))
-    step = F.least(F.ceil(-4 * F.log2("share")), F.lit(STEPS - 1)).cast("int")
-    return edges.join(cut.select(key, F.greatest("low", F.element_at("steps", step + 1)).alias("most")), key).filter("rank <= most").drop("most")
-
-
-def _settled(edges: DataFrame, placed: DataFrame, shared: DataFrame, key: str) -> DataFrame:
-    """(root, low) of the edges of each key, a key whole in a task; of its groups' images those that stand in two groups.
-
-    Keys share no group, so small ones are dealt into buckets and a bucket's are
-    settled together: there may be millions.
-    """
-    edges = written(edges.select(key, "u", "v", "rank"))
-    buckets = F.lit(max(1, -(-edges.count() // BUCKET_EDGES)))
-    ends = edges.select(key, F.explode(F.array("u", "v")).alias("root")).distinct()
-    images = placed.join(shared, [key, "image"], "left_semi").join(ends, [key, "root"], "left_semi")
-    of = F.pmod(F.xxhash64(key), buckets)
-    return edges.select(of.alias("of"), "u", "v", "rank").groupBy("of").cogroup(images.select(of.alias("of"), "root", "image").groupBy("of")).applyInPandas(_settle, "root long, low long")
-
-
-def _settle(edges: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
-    parent = {n: n for n in pd.unique(pd.concat([edges["u"], edges["v"]]))}
-    held = {n: set() for n in parent}
-    for n, i in zip(images["root"], images["image"], strict=True):
-        held[n].add(i)
+        return _small(inside, held)
+    out = _by_prefixes(*[written(t.join(large, "component", "left_semi").drop("component")) for t in (inside, held, component)], most)
+    if sizes.filter("not is_large").isEmpty():
+        return out
+    return out.union(_small(*[t.join(sizes.filter("not is_large"), "component", "left_semi") for t in (inside, held)]))
+
+
+def _small(edges: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, root) of edges(component, u, v, place) with held(component, node, image): components share no group, so they are dealt into buckets, and a bucket's are settled together."""
+    place = edges.schema["place"].dataType
+    fields = place.fields if isinstance(place, T.StructType) else [T.StructField("place", place)]
+    if all(isinstance(f.dataType, SORTED) for f in fields):
+        order = [(F.col("place") if f.name == "place" and not isinstance(place, T.StructType) else F.col("place")[f.name]).alias(f"place_{k}") for k, f in enumerate(fields)]
+    else:
+        home = edges.select(F.col("u").alias("of"), "component").distinct()
+        edges, order = _ranked(edges).withColumn("of", F.col("u")).join(home, "of"), [F.col("rank").alias("place_0")]
+    keys = [f"place_{k}" for k in range(len(order))]
+    edges = written(edges.select("component", "u", "v", *order))
+    bucket = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-edges.count() // BUCKET_EDGES)))).alias("of")
+
+    def run(edges: pa.Table, images: pa.Table) -> pa.Table:
+        nodes, root, _ = _settled(edges, keys, images.column("node"), images.column("image"))
+        return pa.table({"node": nodes, "root": root})
+
+    return edges.select(bucket, "u", "v", *keys).groupBy("of").cogroup(held.select(bucket, "node", "image").groupBy("of")).applyInArrow(run, "node long, root long")
+
+
+def _settled(edges: pa.Table, keys: list[str], of: pa.ChunkedArray, image: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, dict[int, set]]:
+    """The ends of edges and the smallest of each one's group, edges taken by keys; and of each group that joined others its images, of those given as rows (of, image)."""
+    order = pc.sort_indices(edges.select(keys), [(k, "ascending") for k in keys], null_placement="at_start")
+    u, v = (edges.column(c).take(order).to_numpy() for c in "uv")
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    at = np.searchsorted(nodes, of.to_numpy())
+    held = {}
+    for n, i in zip(at.tolist(), image.to_pylist(), strict=True):
+        held.setdefault(n, set()).add(i)
+    parent = list(range(len(nodes)))
+    joined, none = set(), frozenset()
 
     def find(n):
         while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
+            parent[n] = n = parent[parent[n]]
         return n
 
-    edges = edges.sort_values("rank")
-    for u, v in zip(edges["u"], edges["v"], strict=True):
-        a, b = find(u), find(v)
+    for a, b in zip(*ends.reshape(2, -1).tolist(), strict=True):
+        a, b = find(a), find(b)
         if a == b:
             continue
-        few, many = sorted((held[a], held[b]), key=len)
+        few, many = held.get(a, none), held.get(b, none)
+        if len(few) > len(many):
+            few, many = many, few
         if many.isdisjoint(few):
-            low, high = min(a, b), max(a, b)
+            low, high = (a, b) if a < b else (b, a)
             parent[high] = low
-            many |= few
-            held[low], held[high] = many, None
-    moved = [(n, find(n)) for n in parent if parent[n] != n]
-    return pd.DataFrame(moved, columns=["root", "low"], dtype="int64")
+            held.pop(high, None)
+            if many:
+                many |= few
+                held[low] = many
+            joined.add(low)
+    root = nodes[np.array([find(n) for n in range(len(nodes))], dtype=int)] if len(nodes) else nodes
+    return nodes, root, {int(nodes[n]): held.get(n, none) for n in joined if parent[n] == n}
+
+
+def _by_prefixes(edges: DataFrame, held: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(node, root) of nodes(node) with edges(u, v, place) and held(node, image), of components that no task should hold.
+
+    Edges are taken range by range of their rank. All earlier ones being
+    settled, those of a range are moved to the groups of their ends, and go if
+    these are one group or share an image already, so that a range of ever more
+    edges leaves as few open ones as a task settles. If it leaves more, and
+    their components are no larger than that, tasks settle components side by
+    side; else the range is cut. Of a range only groups that joined others
+    change.
+    """
+    ranked = written(_ranked(edges))
+    lists = written(held.groupBy(F.col("node").alias("root")).agg(F.collect_list("image").alias("images")))
+    known = written(nodes.select("node", F.col("node").alias("root")).join(lists, "root", "left").select("node", "root", F.when(F.size("images") <= LISTED_IMAGES, F.col("images")).alias("images")))
+    n, at, width = ranked.count(), 0, most
+    schema = f"root long, low long, images {lists.schema['images'].dataType.simpleString()}"
+    while at < n:
+        open_ = written(_open(ranked.filter((F.col("rank") >= at) & (F.col("rank") < at + width)), known))
+        left = open_.count()
+        if left:
+            bucket = F.lit(0)
+            if left > most:
+                component = written(connected_components(open_))
+                open_, bare = written(open_.join(component.select(F.col("node").alias("u"), "component"), "u")), open_
+                discard(bare)
+                discard(component)
+                if open_.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] > most:
+                    discard(open_)
+                    width = max(1, width * most // (2 * left))
+                    continue
+                bucket = F.pmod(F.xxhash64("component"), F.lit(-(-left // BUCKET_EDGES)))
+            joined = written(_joined(open_, lists, bucket, schema))
+            known, lists = _moved(known, lists, joined)
+            discard(joined)
+        discard(open_)
+        at += width
+        width = max(1, int(width * min(4.0, max(0.25, 0.75 * most / max(left, 1)))))
+    discard(ranked)
+    return known.select("node", "root")
+
+
+def _open(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """edges(u, v, rank) between the groups known(node, root, images) of their ends, the first of each two groups, without those within a group or of groups that share a listed image."""
+    side = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("images").alias(f"images_{c}")).hint("merge")
+    placed = edges.join(side("u"), "u").join(side("v"), "v").filter("root_u <> root_v and not coalesce(arrays_overlap(images_u, images_v), false)")
+    return placed.groupBy(F.least("root_u", "root_v").alias("u"), F.greatest("root_u", "root_v").alias("v")).agg(F.min("rank").alias("rank"))
+
+
+def _joined(edges: DataFrame, lists: DataFrame, bucket: Column, schema: str) -> DataFrame:
+    """(root, low, images): groups of edges(u, v, rank, ...) that go into low, themselves included, and low's images, in its own row; lists(root, images) are those of the groups before."""
+    dealt = edges.select(bucket.alias("of"), "u", "v", "rank")
+    ends = dealt.select("of", F.explode(F.array("u", "v")).alias("root")).distinct()
+
+    def run(edges: pa.Table, images: pa.Table) -> pa.Table:
+        flat = pc.list_flatten(images.column("images").combine_chunks())
+        of = np.repeat(images.column("root").to_numpy(), pc.list_value_length(images.column("images")).to_numpy())
+        nodes, root, sets = _settled(edges, ["rank"], pa.chunked_array([of], pa.int64()), pa.chunked_array([flat]))
+        new = np.isin(root, np.array(list(sets), dtype=np.int64))
+        nodes, root = nodes[new], root[new]
+        listed = [list(sets[r]) if r == x else None for x, r in zip(nodes.tolist(), root.tolist(), strict=True)]
+        return pa.table({"root": nodes, "low": root, "images": pa.array(listed, pa.list_(flat.type))})
+
+    return dealt.groupBy("of").cogroup(lists.join(ends, "root").select(F.col("of").alias("of"), "root", "images").groupBy("of")).applyInArrow(run, schema)
+
+
+def _moved(known: DataFrame, lists: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """known(node, root, images) and lists(root, images) after joined(root, low, images), written down; the old files go."""
+    whole = joined.filter("root = low").select("root", "images")
+    made = joined.select("root", "low").join(whole.select(F.col("root").alias("low"), F.col("images").alias("all")), "low").select("root", "low", F.when(F.size("all") <= LISTED_IMAGES, F.col("all")).alias("all"))
+    new = known.join(made.hint("merge"), "root", "left").select("node", F.coalesce("low", "root").alias("root"), F.when(F.col("low").isNull(), F.col("images")).otherwise(F.col("all")).alias("images"))
+    out = written(new), written(lists.join(joined.select("root").hint("merge"), "root", "left_anti").select("root", "images").union(whole))
+    for old in (known, lists):
+        discard(old)
+    return out

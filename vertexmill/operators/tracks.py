@@ -36,10 +36,23 @@ def feature_node(image: str, feature: str, bits: int = FEATURE_BITS):
 def first_coordinates(matches: DataFrame) -> DataFrame:
     """(image_id, feature_idx, x, y) of the features of matches, ids of any size; the first match in (pair_id, match_id) order gives the coordinates."""
     ends = matches.select(F.explode(F.array(*[F.struct(F.col(f"image_id_{n}").alias("image_id"), F.col(f"feature_idx_{n}").alias("feature_idx"), F.struct(F.col(f"x_{n}").alias("x"), F.col(f"y_{n}").alias("y")).alias("xy"), F.struct("pair_id", "match_id", F.lit(k).alias("side")).alias("place")) for k, n in enumerate("ab")])).alias("e")).select("e.*")
-    first = ends.groupBy("image_id", "feature_idx").agg(F.min_by("xy", "place").alias("xy"))
+    # structs are aggregated by sorting, so they are sorted once, where they end up
+    first = ends.repartition("image_id", "feature_idx").groupBy("image_id", "feature_idx").agg(F.min_by("xy", "place").alias("xy"))
     return first.select("image_id", "feature_idx", "xy.x", "xy.y")
 
 
+def feature_edges(matches: DataFrame, bits: int) -> DataFrame:
+    """Edges (u, v, place) between the features of matches as nodes of feature_node()."""
+    return matches.select(feature_node("image_id_a", "feature_idx_a", bits).alias("u"), feature_node("image_id_b", "feature_idx_b", bits).alias("v"), F.struct("pair_id", "match_id").alias("place"))
+
+
+def track_nodes(edges: DataFrame, bits: int, task_rows: int | None = None, component: DataFrame | None = None) -> DataFrame:
+    """(track_id, node) of the tracks of feature_edges(); component(node, component) may be given if it is known."""
+    groups = written(greedy_groups(edges, F.shiftright("node", bits), **({} if task_rows is None else {"task_rows": task_rows}), component=component))
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).filter("n >= 2").select("root")
+    return groups.join(sizes, "root").select(F.col("root").alias("track_id"), "node")
+
+
 def build_tracks(matches: DataFrame, task_rows: int | None = None) -> DataFrame:
     """(track_id, image_id, feature_idx, x, y) from inlier matches(pair_id, match_id, image_id_a, feature_idx_a, x_a, y_a, image_id_b, ...).
 
@@ -49,11 +62,9 @@ def build_tracks(matches: DataFrame, task_rows: int | None = None) -> DataFrame:
     """
     used = matches.filter("is_epipolar_inlier") if "is_epipolar_inlier" in matches.columns else matches
     bits = feature_bits(used)
-    edges = used.select(feature_node("image_id_a", "feature_idx_a", bits).alias("u"), feature_node("image_id_b", "feature_idx_b", bits).alias("v"), F.struct("pair_id", "match_id").alias("place"))
+    found = track_nodes(feature_edges(used, bits), bits, task_rows)
     where = first_coordinates(used).withColumn("node", feature_node("image_id", "feature_idx", bits))
-    groups = greedy_groups(edges, where.select("node", F.col("image_id").alias("image")), **({} if task_rows is None else {"task_rows": task_rows}))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).filter("n >= 2").select("root")
-    return groups.join(sizes, "root").join(where, "node").select(F.col("root").alias("track_id"), "image_id", "feature_idx", "x", "y")
+    return found.join(where, "node").select("track_id", "image_id", "feature_idx", "x", "y")
 
 
 def _points(A: np.ndarray, b: np.ndarray) -> np.ndarray:
