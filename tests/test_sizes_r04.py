@@ -4,10 +4,12 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from vertexmill.operators import greedy
+from vertexmill.operators import greedy, tracks
 from vertexmill.plans import fixtures as fx
 from vertexmill.plans import queries
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_numbers_are_rounded_as_the_sql_does(spark):
     """Next to ties of the sixth digit too, where the shortest decimal goes the other way."""
@@ -64,3 +66,12 @@ def test_many_small_components_are_settled_at_once(spark, monkeypatch):
     found = greedy.greedy_groups(df, spark.createDataFrame([(n, i) for n, s in images.items() for i in s], "node long, image long"), 60)
     assert {x.node: x.root for x in found.collect()} == grouped([edges[k] for k in order], images)
     assert len(steps) <= 10
+
+
+def test_tracks_are_counted_without_coordinates_and_with_one_search_for_components(spark, monkeypatch):
+    want = sorted(tuple(x) for x in queries.track_components(spark, SF).collect())
+    calls, plain = [], greedy.connected_components
+    monkeypatch.setattr(greedy, "connected_components", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(tracks, "first_coordinates", lambda m: calls.append(2))
+    assert sorted(tuple(x) for x in queries.track_components(spark, SF).collect()) == want and want
+    assert not calls
