@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vertexmill.operators import greedy, tracks
@@ -75,3 +76,28 @@ def test_tracks_are_counted_without_coordinates_and_with_one_search_for_componen
     monkeypatch.setattr(tracks, "first_coordinates", lambda m: calls.append(2))
     assert sorted(tuple(x) for x in queries.track_components(spark, SF).collect()) == want and want
     assert not calls
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_a_dense_component_is_settled_by_prefixes(spark, monkeypatch, many):
+    """In few steps, not an edge a group at a time; with few images and with many, some of which no other node has."""
+    steps, keep = [], greedy.written
+    monkeypatch.setattr(greedy, "written", lambda df: steps.append(1) or keep(df))
+    r = np.random.default_rng(6)
+    edges = sorted({tuple(sorted(map(int, r.choice(300, 2, replace=False)))) for _ in range(4000)})
+    images = {n: {n % 5, 10 + n % 7} | ({100 + n % 90, 1000 + n} if many else set()) for n in range(300)}
+    df = spark.createDataFrame([(u, v, k) for k, (u, v) in enumerate(edges)], "u long, v long, place long").repartition(3)
+    found = greedy.greedy_groups(df, spark.createDataFrame([(n, i) for n, s in images.items() for i in s], "node long, image long"), 1500)
+    assert {x.node: x.root for x in found.collect()} == grouped(edges, images)
+    assert len(steps) <= 30, len(steps)
+
+
+def test_prefixes_of_long_image_lists_and_of_edges_one_by_one(spark, monkeypatch):
+    """Lists that are not compared beforehand, and tasks of two edges."""
+    monkeypatch.setattr(greedy, "LISTED_IMAGES", 2)
+    r = np.random.default_rng(9)
+    edges = sorted({tuple(sorted(map(int, r.choice(9, 2, replace=False)))) for _ in range(14)})
+    images = {n: {n % 4, 20 + n % 3, 30 + n} for n in range(9)}
+    df = spark.createDataFrame([(u, v, k) for k, (u, v) in enumerate(edges)], "u long, v long, place long")
+    found = greedy.greedy_groups(df, spark.createDataFrame([(n, i) for n, s in images.items() for i in s], "node long, image long"), 2)
+    assert {x.node: x.root for x in found.collect()} == grouped(edges, images)

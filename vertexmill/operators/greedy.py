@@ -13,9 +13,11 @@ from vertexmill.operators.components import connected_components
 from vertexmill.plans.checkpoints import discard, written
 
 #: Edges, or edges and images, that one task settles at once; it sizes the work, not what can be settled.
-TASK_ROWS = 500_000
+TASK_ROWS = 1_000_000
 #: Edges of small components that a task settles together, about.
 BUCKET_EDGES = 50_000
+#: Up to so many images of a task are bits of a number.
+FEW_IMAGES = 62
 #: Of a group of more images, edges are not compared with those of other groups before their turn.
 LISTED_IMAGES = 64
 #: Types of place, or of its fields, that a task can sort as they are; edges of other places are ranked.
@@ -70,7 +72,7 @@ def _round(edges: DataFrame, placed: DataFrame, shared: DataFrame, component: Da
     large = sizes.filter("is_large").select("component")
     if large.isEmpty():
         return _small(inside, held)
-    out = _by_prefixes(*[written(t.join(large, "component", "left_semi").drop("component")) for t in (inside, held, component)], most)
+    out = _by_prefixes(*[t.join(large, "component", "left_semi").drop("component") for t in (inside, held, component)], most)
     if sizes.filter("not is_large").isEmpty():
         return out
     return out.union(_small(*[t.join(sizes.filter("not is_large"), "component", "left_semi") for t in (inside, held)]))
@@ -90,23 +92,35 @@ def _small(edges: DataFrame, held: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64("component"), F.lit(max(1, -(-edges.count() // BUCKET_EDGES)))).alias("of")
 
     def run(edges: pa.Table, images: pa.Table) -> pa.Table:
-        nodes, root, _ = _settled(edges, keys, images.column("node"), images.column("image"))
+        nodes, root, *_ = _settled(edges, keys, images.column("node"), images.column("image"))
         return pa.table({"node": nodes, "root": root})
 
     return edges.select(bucket, "u", "v", *keys).groupBy("of").cogroup(held.select(bucket, "node", "image").groupBy("of")).applyInArrow(run, "node long, root long")
 
 
-def _settled(edges: pa.Table, keys: list[str], of: pa.ChunkedArray, image: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, dict[int, set]]:
-    """The ends of edges and the smallest of each one's group, edges taken by keys; and of each group that joined others its images, of those given as rows (of, image)."""
+def _settled(edges: pa.Table, keys: list[str], of: pa.ChunkedArray, image: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+    """The ends of edges and the smallest of each one's group, edges taken by keys; the groups that others joined, and their images of those given as rows (of, image)."""
     order = pc.sort_indices(edges.select(keys), [(k, "ascending") for k in keys], null_placement="at_start")
     u, v = (edges.column(c).take(order).to_numpy() for c in "uv")
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    at = np.searchsorted(nodes, of.to_numpy())
-    held = {}
-    for n, i in zip(at.tolist(), image.to_pylist(), strict=True):
-        held.setdefault(n, set()).add(i)
+    at, code = np.searchsorted(nodes, of.to_numpy()), pc.dictionary_encode(image.combine_chunks())
+    if isinstance(code, pa.ChunkedArray):
+        code = code.combine_chunks()
+    names, number = code.dictionary, code.indices.to_numpy()
+    few = len(names) <= FEW_IMAGES
+    # a group's images are bits of a number, or a set
+    if few:
+        bits = np.zeros(len(nodes), np.int64)
+        np.bitwise_or.at(bits, at, np.int64(1) << number.astype(np.int64))
+        held = bits.tolist()
+    else:
+        held = [frozenset()] * len(nodes)
+        by = np.argsort(at, kind="stable")
+        start = np.flatnonzero(np.diff(at[by], prepend=-1))
+        for n, own in zip(at[by][start].tolist(), np.split(number[by], start[1:]), strict=True):
+            held[n] = frozenset(own.tolist())
     parent = list(range(len(nodes)))
-    joined, none = set(), frozenset()
+    joined = set()
 
     def find(n):
         while parent[n] != n:
@@ -115,21 +129,22 @@ def _settled(edges: pa.Table, keys: list[str], of: pa.ChunkedArray, image: pa.Ch
 
     for a, b in zip(*ends.reshape(2, -1).tolist(), strict=True):
         a, b = find(a), find(b)
-        if a == b:
-            continue
-        few, many = held.get(a, none), held.get(b, none)
-        if len(few) > len(many):
-            few, many = many, few
-        if many.isdisjoint(few):
-            low, high = (a, b) if a < b else (b, a)
-            parent[high] = low
-            held.pop(high, None)
-            if many:
-                many |= few
-                held[low] = many
-            joined.add(low)
-    root = nodes[np.array([find(n) for n in range(len(nodes))], dtype=int)] if len(nodes) else nodes
-    return nodes, root, {int(nodes[n]): held.get(n, none) for n in joined if parent[n] == n}
+        if a != b and not held[a] & held[b]:
+            if b < a:
+                a, b = b, a
+            parent[b] = a
+            held[a], held[b] = held[a] | held[b], None
+            joined.add(a)
+    root = np.array([find(n) for n in range(len(nodes))], dtype=np.int64)
+    grown = np.array(sorted(n for n in joined if parent[n] == n), dtype=np.int64)
+    own = [held[n] for n in grown.tolist()]
+    if few:
+        there = (np.array(own, dtype=np.int64)[:, None] >> np.arange(len(names)) & 1).astype(bool)
+        sizes, each = there.sum(1), np.nonzero(there)[1]
+    else:
+        sizes, each = np.array([len(x) for x in own], dtype=np.int64), np.array([i for x in own for i in x], dtype=np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), names.take(pa.array(each, pa.int64())))
+    return nodes, nodes[root], nodes[grown], lists
 
 
 def _by_prefixes(edges: DataFrame, held: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -188,11 +203,11 @@ def _joined(edges: DataFrame, lists: DataFrame, bucket: Column, schema: str) ->
     def run(edges: pa.Table, images: pa.Table) -> pa.Table:
         flat = pc.list_flatten(images.column("images").combine_chunks())
         of = np.repeat(images.column("root").to_numpy(), pc.list_value_length(images.column("images")).to_numpy())
-        nodes, root, sets = _settled(edges, ["rank"], pa.chunked_array([of], pa.int64()), pa.chunked_array([flat]))
-        new = np.isin(root, np.array(list(sets), dtype=np.int64))
+        nodes, root, grown, made = _settled(edges, ["rank"], pa.chunked_array([of], pa.int64()), pa.chunked_array([flat]))
+        new = np.isin(root, grown)
         nodes, root = nodes[new], root[new]
-        listed = [list(sets[r]) if r == x else None for x, r in zip(nodes.tolist(), root.tolist(), strict=True)]
-        return pa.table({"root": nodes, "low": root, "images": pa.array(listed, pa.list_(flat.type))})
+        own = pa.array(np.searchsorted(grown, nodes), mask=nodes != root)
+        return pa.table({"root": nodes, "low": root, "images": made.take(own)})
 
     return dealt.groupBy("of").cogroup(lists.join(ends, "root").select(F.col("of").alias("of"), "root", "images").groupBy("of")).applyInArrow(run, schema)
 
