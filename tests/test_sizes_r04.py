@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexmill.operators import greedy, tracks
+from vertexmill.operators import graph, greedy, tracks
 from vertexmill.plans import fixtures as fx
 from vertexmill.plans import queries
 
@@ -101,3 +101,18 @@ def test_prefixes_of_long_image_lists_and_of_edges_one_by_one(spark, monkeypatch
     df = spark.createDataFrame([(u, v, k) for k, (u, v) in enumerate(edges)], "u long, v long, place long")
     found = greedy.greedy_groups(df, spark.createDataFrame([(n, i) for n, s in images.items() for i in s], "node long, image long"), 2)
     assert {x.node: x.root for x in found.collect()} == grouped(edges, images)
+
+
+def test_pairs_of_images_come_from_lists(spark, monkeypatch):
+    """What is shuffled for the pairs are rows of lists, a row for each two blocks of images; pairs are those of all against all."""
+    monkeypatch.setattr(graph, "LISTED_ROWS", 8)
+    monkeypatch.setattr(graph, "OUT_ROWS", 10)
+    rows = [(i, m) for i in range(60) for m in ({i % 2, 10 + i % 3} if i < 54 else {i})] + [(0, 0), (None, 1), (5, None)]
+    seen = spark.createDataFrame(rows, "image_id int, marker_id long")
+    got = graph.common_markers(seen)
+    by = {i: {m for j, m in rows if j == i and m is not None} for i in range(60)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((a, b, len(by[a] & by[b])) for a in by for b in by if a < b and by[a] & by[b])
+    assert got.schema["image_id_a"].dataType.simpleString() == "int"
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "images_a" in plan and "images_b" in plan
+    assert graph.common_markers(seen.limit(0)).count() == 0
