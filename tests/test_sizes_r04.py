@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexmill.operators import graph, greedy, tracks
+from vertexmill.operators import epipolar, graph, greedy, tracks
 from vertexmill.plans import fixtures as fx
 from vertexmill.plans import queries
 
@@ -116,3 +116,21 @@ def test_pairs_of_images_come_from_lists(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "images_a" in plan and "images_b" in plan
     assert graph.common_markers(seen.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("looked_up", [0, 20_000])
+def test_errors_of_all_types_come_from_one_pass(spark, monkeypatch, looked_up):
+    """To the last bit those of each type alone, without poses, cameras or ids too, whether poses are looked up or joined."""
+    monkeypatch.setattr(epipolar, "LOOKED_UP", looked_up)
+    r = np.random.default_rng(11)
+    rows = [(k, *[int(x) for x in r.integers(0, 45, 2)], *[float(x) for x in r.integers(100, 500, 4)]) for k in range(3000)] + [(3000, None, 1, 1.0, 2.0, 3.0, 4.0), (3001, 1, 2, None, 2.0, 3.0, 4.0)]
+    m = spark.createDataFrame(rows, "match_id long, image_id_a long, image_id_b long, x_a double, y_a double, x_b double, y_b double").repartition(3)
+    P = fx.poses(spark, SF).filter("image_id % 40 < 38").withColumn("camera_id", F.element_at(F.array(*[F.lit(c) for c in "cdon"]), (F.col("image_id") % 4 + 1).cast("int")))
+    cameras = fx.cameras(spark)
+    kinds = ("ray_angular", "sampson", "no such")
+    located = epipolar.match_geometry(m, P, cameras)
+    want = {(kind, x.match_id): (repr(x.epipolar_error), x.is_epipolar_inlier) for kind in kinds for x in epipolar.with_epipolar_error(located, kind, min_baseline=0.5).collect()}
+    got = epipolar.match_errors(m, P, cameras, error_types=kinds, min_baseline=0.5).collect()
+    assert len(got) == len(want) > 1000 and {(x.error_type, x.match_id): (repr(x.epipolar_error), x.is_epipolar_inlier) for x in got} == want
+    assert epipolar.match_errors(m.limit(0), P, cameras).count() == 0
+    assert queries.epipolar_strict(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
